@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, packing, tokens
+from corpuslens.llm import chat, dedup, packing, quality, tokens, toxicity
 from corpuslens.llm.sql import ORACLES
 
 #: Where the vocabulary files are, if a query is given no other place.
@@ -29,11 +29,20 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(rows))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = TOKENIZERS("byte_bpe_multi_50k.tiktoken")
     return tokens.digest(tokens.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pieces(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json")))
 
@@ -43,6 +52,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_byte_bpe, op6_packing, op8_token_counts)
+    f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op6_packing, op8_token_counts, op9_quality_rules)
 }

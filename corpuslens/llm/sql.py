@@ -22,4 +22,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1}
+OP2 = r"""
+WITH each AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM each WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM ranked
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_exact_dedup": OP2}
