@@ -132,10 +132,10 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
 
 def whole(hashes: np.ndarray) -> np.uint64:
     """One hash for a sequence of words that is shorter than a window."""
-    h = np.uint64(len(hashes)) * _SEEDS[62]
-    for x in hashes:
-        h = mix(np.array([h + x * _SEEDS[61]], np.uint64))[0]
-    return h
+    h = np.full(1, len(hashes), np.uint64) * _SEEDS[62]
+    for k in range(len(hashes)):
+        h = mix(h + hashes[k : k + 1] * _SEEDS[61])
+    return h[0]
 
 
 def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, dedup, packing, quality, tokens, toxicity
+from corpuslens.llm import chat, dedup, jaccard, packing, quality, tokens, toxicity
 from corpuslens.llm.sql import ORACLES
 
 #: Where the vocabulary files are, if a query is given no other place.
@@ -56,6 +56,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op6_packing, op8_token_counts, op9_quality_rules)
+    f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op6_packing, op8_token_counts, op9_quality_rules, op10_ngram_jaccard)
 }

@@ -33,4 +33,23 @@ WITH each AS (
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM ranked
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_exact_dedup": OP2}
+OP10 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS grams
+  FROM words
+), grams AS (
+  SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM sets
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT doc_id, len(grams) AS n_shingles, component_id FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = sets.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_exact_dedup": OP2, "op10_ngram_jaccard": OP10}
