@@ -19,10 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 
+from corpuslens.llm.arrays import mix
+
 #: Bytes of text worked on at once.
 SLICE_BYTES = 1 << 20
-#: Pre-tokens that a worker's cache holds before it is emptied; longer pre-tokens than CACHED_BYTES aren't kept.
-CACHE_ENTRIES, CACHED_BYTES = 250_000, 64
+#: A worker's cache has 2**CACHE_BITS slots (24 bytes each) and is emptied when half full. Longer pre-tokens than CACHED_BYTES
+#: aren't kept, and longer ones than MERGED_BYTES are merged one at a time.
+CACHE_BITS, CACHED_BYTES, MERGED_BYTES = 20, 16, 64
 
 # ---- pre-tokenisation
 
@@ -165,54 +168,49 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.order[at], NEVER)
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece, as little-endian 32-bit."""
-        out = [b""] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if len(p) <= CACHED_BYTES]
-        for i, p in enumerate(pieces):
-            if len(p) > CACHED_BYTES:
-                out[i] = self._merge_long(p)
-        if not short:
-            return out
-        raw = np.frombuffer(b"".join(pieces[i] for i in short), np.uint8)
-        size = np.array([len(pieces[i]) for i in short], np.int64)
-        owner = np.array(short, np.int64)
+    def merge(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that stand one after the other in ``raw``, and how many each has. None is empty."""
+        owner = np.arange(len(size))
         token = self.of_byte[raw].astype(np.int64)
         rank = np.full(len(token), NEVER, np.int64)
         if len(token) > 1:
             rank[:-1] = self.low[raw[:-1].astype(np.int64) * 256 + raw[1:]]
         rank[np.cumsum(size) - 1] = NEVER
+        owners, sizes, ids = [], [], []
         while len(owner):
-            start = np.cumsum(size) - size
-            best = np.minimum.reduceat((rank << POSITION_BITS) + np.arange(len(rank)), start)
+            best = np.minimum.reduceat((rank << POSITION_BITS) + np.arange(len(rank)), np.cumsum(size) - size)
             done = (best >> POSITION_BITS) >= NEVER
             if done.any():
                 ended = np.repeat(done, size)
-                blob, edge = token[ended].astype("<u4").tobytes(), (np.cumsum(size[done]) * 4).tolist()
-                for i, a, b in zip(owner[done].tolist(), [0, *edge], edge):
-                    out[i] = blob[a:b]
+                owners.append(owner[done])
+                sizes.append(size[done])
+                ids.append(token[ended].astype("<u4"))
+                shift = np.cumsum(ended)  # places of the others once the ended ones are gone
+                best = best[~done]
+                at = best & PLACE
+                best -= shift[at]
                 token, rank, size, owner = token[~ended], rank[~ended], size[~done], owner[~done]
                 if not len(owner):
                     break
-                start = np.cumsum(size) - size
-                best = np.minimum.reduceat((rank << POSITION_BITS) + np.arange(len(rank)), start)
-            at = best & ((1 << POSITION_BITS) - 1)
+            at = best & PLACE
             token[at] = self.by_order[best >> POSITION_BITS]
             keep = np.ones(len(token), bool)
             keep[at + 1] = False
             token, rank = token[keep], rank[keep]
             at -= np.arange(len(at))
             size = size - 1
-            last = np.cumsum(size) - 1
-            nxt = np.minimum(at + 1, len(token) - 1)
-            rank[at] = self._search(token[at], token[nxt])
-            prev = np.maximum(at - 1, 0)
-            rank[prev] = np.where(at > 0, self._search(token[prev], token[at]), rank[prev])
-            rank[last] = NEVER
-        return out
-
-    def _merge_long(self, piece: bytes) -> bytes:
-        """One long piece, by a heap over a linked list."""
+            after, before = np.minimum(at + 1, len(token) - 1), np.maximum(at - 1, 0)
+            rank[at] = self._search(token[at], token[after])
+            rank[before] = np.where(at > 0, self._search(token[before], token[at]), rank[before])
+            rank[np.cumsum(size) - 1] = NEVER
+        if not owners:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        flat, count = np.concatenate(ids), np.concatenate(sizes)
+        order = np.argsort(np.concatenate(owners), kind="stable")
+        return take_runs(flat, (np.cumsum(count) - count)[order], count[order]), count[order]
+
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece of any length, by a heap over a linked list."""
         raw = np.frombuffer(piece, np.uint8)
         token = self.of_byte[raw].astype(np.int64).tolist()
         n = len(token)
@@ -235,7 +233,7 @@ class Vocabulary:
                     s = table.get(token[x] * self.size + token[y])
                     if s is not None:
                         heapq.heappush(heap, (s, x, token[x], token[y]))
-        return np.array([t for t in token if t >= 0], "<u4").tobytes()
+        return np.array([t for t in token if t >= 0], "<u4")
 
     def _dict(self) -> dict[int, int]:
         if not hasattr(self, "_table"):
@@ -248,14 +246,18 @@ class Vocabulary:
 
 #: A rank above all; bits for a place in a slice's tokens.
 NEVER, POSITION_BITS = np.int64(1 << 24), 34
+PLACE = np.int64((1 << POSITION_BITS) - 1)
+
+
+def take_runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of a pool, joined."""
+    return pool[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 def spell(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The entries of a pool of byte strings, joined."""
     ids = ids.astype(np.int64)
-    size = lengths[ids]
-    skip = starts[ids] - (np.cumsum(size) - size)
-    return pool[np.repeat(skip, size) + np.arange(int(size.sum()))].tobytes()
+    return take_runs(pool, starts[ids], lengths[ids]).tobytes()
 
 
 def _from_ranks(path: str) -> Vocabulary:
@@ -302,25 +304,101 @@ def _from_json(path: str) -> Vocabulary:
     return Vocabulary(tokens, of_byte, key, np.arange(len(merges)), made, {t.encode(): i for t, i in special.items()})
 
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first 8 and the next 8 bytes of byte ranges as 64-bit words, and their lengths."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    low = words[starts] & _MASK[np.minimum(length, 8)]
+    high = words[np.minimum(starts + 8, len(data) + 7)] & _MASK[np.clip(length - 8, 0, 8)]
+    return low, high, length
+
+
+def spread(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of packed byte ranges."""
+    return mix(low + mix(high + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+class PieceCache:
+    """An open-addressing table from packed pre-tokens to their ids, which are runs of a pool. Whole columns are found and
+    added at once. A row has the two words and, in the third, length, number of ids and place in the pool."""
+
+    def __init__(self, bits: int):
+        self.mask, self.entries = np.uint64((1 << bits) - 1), 0
+        self.rows = np.zeros((1 << bits, 3), np.uint64)
+        self.pool, self.used = np.empty(1 << 16, "<u4"), 0
+
+    def find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool and numbers of ids; 0 ids for what isn't there."""
+        length = length.astype(np.uint64)
+        found = np.zeros(len(low), np.uint64)
+        at, left = spread(low, high, length) & self.mask, np.arange(len(low))
+        while len(left):
+            row = self.rows.take(at.astype(np.int64), 0)
+            same = (row[:, 0] == low[left]) & (row[:, 1] == high[left]) & ((row[:, 2] & np.uint64(31)) == length[left])
+            found[left[same]] = row[same, 2]
+            on = ~same & (row[:, 2] != 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+        return (found >> np.uint64(16)).astype(np.int64), ((found >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+
+    def add(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct pre-tokens that aren't there, with their ids one after the other."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + len(ids), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        place = self.used + np.cumsum(sizes) - sizes
+        self.used, self.entries = self.used + len(ids), self.entries + len(low)
+        row = np.column_stack([low, high, length.astype(np.uint64) | sizes.astype(np.uint64) << np.uint64(8) | place.astype(np.uint64) << np.uint64(16)])
+        at, left = (spread(low, high, length) & self.mask).astype(np.int64), np.arange(len(low))
+        while len(left):
+            free = np.flatnonzero(self.rows[at[left], 2] == 0)
+            _, first = np.unique(at[left[free]], return_index=True)
+            won = free[first]
+            self.rows[at[left[won]]] = row[left[won]]
+            left = np.delete(left, won)
+            at[left] = (at[left] + 1) & int(self.mask)
+
+
 class Encoder:
     """Texts to ids, with a worker's cache of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.cache: dict[bytes, bytes] = {}
-
-    def lookup(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian 32-bit."""
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        found = list(map(cache.get, pieces))
-        if None in found:
-            missing = list({p for p, f in zip(pieces, found) if f is None})
-            fresh = dict(zip(missing, self.vocabulary.merge(missing)))
-            found = [fresh[p] if f is None else f for p, f in zip(pieces, found)]
-            cache.update((p, f) for p, f in fresh.items() if len(p) <= CACHED_BYTES)
-        return found
+        self.cache = PieceCache(CACHE_BITS)
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and for each byte range its place there and its number of ids."""
+        if self.cache.entries > 1 << CACHE_BITS - 1:
+            self.cache = PieceCache(CACHE_BITS)
+        low, high, length = packed(data, starts, ends)
+        short = length <= CACHED_BYTES
+        if not short.all():
+            low, high = np.where(short, low, 0), np.where(short, high, 0)
+        place, size = self.cache.find(low, high, np.where(short, length, 0))
+        while len(miss := np.flatnonzero(short & (size == 0) & (length > 0))):
+            _, first = np.unique(spread(low[miss], high[miss], length[miss]), return_index=True)
+            new = miss[first]
+            ids, count = self.vocabulary.merge(take_runs(data, starts[new], length[new]), length[new])
+            self.cache.add(low[new], high[new], length[new], ids, count)
+            place[miss], size[miss] = self.cache.find(low[miss], high[miss], length[miss])
+        pool = self.cache.pool[: self.cache.used]
+        if not short.all():
+            rest = np.flatnonzero(~short)
+            medium = rest[length[rest] <= MERGED_BYTES]
+            ids, count = self.vocabulary.merge(take_runs(data, starts[medium], length[medium]), length[medium])
+            pools, used = [pool, ids], len(pool) + len(ids)
+            place[medium], size[medium] = len(pool) + np.cumsum(count) - count, count
+            for k in rest[length[rest] > MERGED_BYTES].tolist():
+                ids = self.vocabulary.merge_long(data[starts[k] : ends[k]].tobytes())
+                place[k], size[k] = used, len(ids)
+                pools.append(ids)
+                used += len(ids)
+            pool = np.concatenate(pools)
+        return pool, place, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and for each text (one more) the number of ids before it."""
@@ -329,43 +407,33 @@ class Encoder:
 
     def encode_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As encode, with the bytes at which pre-tokens start and the number of ids before each."""
-        blob = data.tobytes()
-        cuts, special = special_cuts(blob, offsets, self.vocabulary.special)
+        cuts, special = special_cuts(data, offsets, self.vocabulary.special)
         starts = pretokens(data, cuts)
-        ends = np.append(starts[1:], len(data))
-        pieces = [blob[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        found = self.lookup(pieces)
-        if special:
-            whole = dict(special)
-            at = set(whole)
-            found = [np.uint32(whole[a]).tobytes() if a in at else f for a, f in zip(starts.tolist(), found)]
-            inside = np.array(sorted(at), np.int64)
-            # a special string is one piece, whatever its pre-tokens are
-            length = np.array([len(self.vocabulary.bytes[self.vocabulary.starts[whole[a]] :][: self.vocabulary.lengths[whole[a]]]) for a in inside.tolist()], np.int64)
-            k = np.searchsorted(inside, starts, "right") - 1
-            drop = (k >= 0) & (starts > inside[np.maximum(k, 0)]) & (starts < inside[np.maximum(k, 0)] + length[np.maximum(k, 0)])
-            found = [b"" if d else f for f, d in zip(found, drop.tolist())]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, place, size = self.lookup(data, starts, np.append(starts[1:], len(data)))
+        if special:  # one id for all pre-tokens of a special string
+            pool, size = np.append(pool, np.array([x[2] for x in special], "<u4")), size.copy()
+            for k, (a, b, _) in enumerate(special):
+                i, j = np.searchsorted(starts, (a, b))
+                size[i:j] = 0
+                place[i], size[i] = len(pool) - len(special) + k, 1
         before = np.concatenate([[0], np.cumsum(size)])
-        ids = np.frombuffer(b"".join(found), "<u4")
-        return ids, before[np.searchsorted(starts, offsets)], starts, before
+        return take_runs(pool, place, size), before[np.searchsorted(starts, offsets)], starts, before
 
 
-def special_cuts(blob: bytes, offsets: np.ndarray, special: dict[bytes, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Offsets of texts and special strings, so that pre-tokens stop there; the special strings and their ids."""
-    found: list[tuple[int, int]] = []
+def special_cuts(data: np.ndarray, offsets: np.ndarray, special: dict[bytes, int]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Offsets of texts and special strings, so that pre-tokens stop there; starts, ends and ids of the special strings."""
+    found, blob = [], data.tobytes() if special else b""
     for text, number in special.items():
         k = blob.find(text)
         while k >= 0:
             row = int(np.searchsorted(offsets, k, "right")) - 1
             inside = k + len(text) <= offsets[row + 1]
             if inside:
-                found.append((k, number))
+                found.append((k, k + len(text), number))
             k = blob.find(text, k + (len(text) if inside else 1))
     if not found:
         return offsets, []
-    edges = [x for k, number in found for x in (k, k + len(next(t for t, i in special.items() if i == number)))]
-    return np.unique(np.concatenate([offsets, edges])), found
+    return np.unique(np.concatenate([offsets, *(x[:2] for x in found)])), found
 
 
 @lru_cache(4)

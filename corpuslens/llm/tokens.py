@@ -83,22 +83,6 @@ def digest(encoded: DataFrame, vocabulary: str) -> DataFrame:
 PACKED_BYTES = 16
 #: Entries of that table, and of the summary that each task gives of its own pre-tokens.
 FREQUENT, SUMMARY = 1 << 16, 1 << 13
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
-
-
-def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first 8 and the next 8 bytes of byte ranges as 64-bit words, and their lengths."""
-    padded = np.zeros(len(data) + 16, np.uint8)
-    padded[: len(data)] = data
-    words = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
-    length = ends - starts
-    low = words[starts] & _MASK[np.minimum(length, 8)]
-    high = words[np.minimum(starts + 8, len(data) + 7)] & _MASK[np.clip(length - 8, 0, 8)]
-    return low, high, length
-
-
-def slots(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return arrays.mix(low + arrays.mix(high + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def frequent(docs: DataFrame) -> list[bytes]:
@@ -110,14 +94,14 @@ def frequent(docs: DataFrame) -> list[bytes]:
 
         def reduce(most: int) -> None:
             nonlocal low, high, length, count
-            _, first, where = np.unique(slots(low, high, length), return_index=True, return_inverse=True)
+            _, first, where = np.unique(bpe.spread(low, high, length), return_index=True, return_inverse=True)
             total = np.bincount(where, count, len(first)).astype(np.int64)
             top = np.argsort(-total, kind="stable")[:most]
             low, high, length, count = low[first[top]], high[first[top]], length[first[top]], total[top]
 
         for _, data, offsets in arrays.text_slices(batches, "text"):
             starts = bpe.pretokens(data, offsets)
-            a, b, n = packed(data, starts, np.append(starts[1:], len(data)))
+            a, b, n = bpe.packed(data, starts, np.append(starts[1:], len(data)))
             short = n <= PACKED_BYTES
             low, high, length = np.append(low, a[short]), np.append(high, b[short]), np.append(length, n[short])
             count = np.append(count, np.ones(int(short.sum()), np.int64))
@@ -141,8 +125,8 @@ class LengthTable:
         self.length, self.tokens = np.full(self.mask + 1, -1, np.int16), np.zeros(self.mask + 1, np.uint8)
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces], dtype=np.int64) if pieces else np.empty(0, np.int64)
-        low, high, length = packed(data, ends - np.array([len(p) for p in pieces], np.int64), ends)
-        at = slots(low, high, length) & np.uint64(self.mask)
+        low, high, length = bpe.packed(data, ends - np.array([len(p) for p in pieces], np.int64), ends)
+        at = bpe.spread(low, high, length) & np.uint64(self.mask)
         self.probes = 1
         for a, b, n, k, t in zip(low, high, length, at.astype(np.int64).tolist(), lengths):
             probes = 1
@@ -154,7 +138,7 @@ class LengthTable:
     def find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Numbers of tokens; 0 for what isn't there."""
         out = np.zeros(len(low), np.int64)
-        at = (slots(low, high, length) & np.uint64(self.mask)).astype(np.int64)
+        at = (bpe.spread(low, high, length) & np.uint64(self.mask)).astype(np.int64)
         left = np.flatnonzero(length <= PACKED_BYTES)
         for _ in range(self.probes):
             k = at[left]
@@ -170,20 +154,21 @@ def count(docs: DataFrame, tokenizer: str) -> DataFrame:
     broadcast (FREQUENT entries at most, about 3 MB); others are encoded once per worker and kept in its cache."""
     encoder = bpe.encoder(tokenizer)
     pieces = frequent(docs)
-    table = docs.sparkSession.sparkContext.broadcast(LengthTable(pieces, [len(x) // 4 for x in encoder.lookup(pieces)]))
+    ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+    lengths = encoder.lookup(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends[:-1]]), ends)[2] if pieces else []
+    table = docs.sparkSession.sparkContext.broadcast(LengthTable(pieces, list(lengths)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = bpe.encoder(tokenizer), table.value
         for batch, data, offsets in arrays.text_slices(batches, "text"):
-            blob = data.tobytes()
-            if any(s in blob for s in own.vocabulary.special):
+            if bpe.special_cuts(data, offsets, own.vocabulary.special)[1]:
                 tokens = np.diff(own.encode(data, offsets)[1])
             else:
                 starts = bpe.pretokens(data, offsets)
                 ends = np.append(starts[1:], len(data))
-                found = known.find(*packed(data, starts, ends))
+                found = known.find(*bpe.packed(data, starts, ends))
                 miss = np.flatnonzero(found == 0)
-                found[miss] = [len(x) // 4 for x in own.lookup([blob[a:b] for a, b in zip(starts[miss].tolist(), ends[miss].tolist())])]
+                found[miss] = own.lookup(data, starts[miss], ends[miss])[2]
                 tokens = np.diff(np.concatenate([[0], np.cumsum(found)])[np.searchsorted(starts, offsets)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
 
