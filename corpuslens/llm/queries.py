@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, dedup, jaccard, packing, quality, tokens, toxicity
+from corpuslens.llm import chat, dedup, jaccard, licenses, lm, packing, quality, tokens, toxicity
 from corpuslens.llm.sql import ORACLES
 
 #: Where the vocabulary files are, if a query is given no other place.
@@ -43,10 +43,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.digest(licenses.scan(docs, licenses.train(licenses.sample(docs))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pieces(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json")))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -61,5 +70,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op6_packing, op8_token_counts, op9_quality_rules, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op5_license_scan, op6_packing, op7_lm_scoring, op8_token_counts, op9_quality_rules, op10_ngram_jaccard)
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,9 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on the driver's
+        garbage collection, which may be long in coming while disks fill up."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
