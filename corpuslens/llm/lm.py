@@ -34,12 +34,12 @@ from corpuslens.llm import arrays
 from corpuslens.llm.scratch import Scratch
 
 #: Text bytes in a block; keys that one range has about, at most.
-BLOCK_BYTES, RANGE_KEYS = 8 << 20, 2 << 20
+BLOCK_BYTES, RANGE_KEYS = 6 << 20, 2 << 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Buckets of c(h): 0 for none, then powers of two. Steps of the histogram: two for each power of two.
 BUCKETS, PAIR_STEPS, WORD_STEPS = 24, 64, 96
 
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary"
 ASK = "part int, block long, keys binary, counts binary"
 ANSWER = "part int, block long, counts binary, n_words long, n_tokens long"
 
@@ -60,14 +60,25 @@ def single_rows(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
-def planes(values: np.ndarray, kind: str) -> bytes:
-    """Bytes of equal weight together, which compress better."""
-    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
+def packed(values: np.ndarray, kind: str) -> bytes:
+    """Compressed numbers: bytes of equal weight together, which compress better; their length in front."""
+    raw = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 
-def unplanes(blob: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes, by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)), "<u8")
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, "<u8"))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -90,9 +101,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                     pa.array([task + turn]),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([[held_out(i) for i in ids]], pa.list_(pa.bool_())),
-                    pa.array([(np.diff(bounds) + 1).astype("<i4").tobytes()], pa.binary()),
-                    pa.array([words.tobytes()], pa.binary()),
-                    pa.array([planes(tokens, "<i4")], pa.binary()),
+                    pa.array([(np.diff(bounds) + 1).astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([packed_keys(words)], pa.binary()),
+                    pa.array([packed(tokens, "<i4")], pa.binary()),
                 ],
                 names=["block", "doc_ids", "held", "sizes", "words", "tokens"],
             )
@@ -105,9 +116,9 @@ class Block:
 
     def __init__(self, row: dict):
         self.ids, self.held = row["doc_ids"], np.array(row["held"], bool)
-        self.sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
-        words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = unplanes(row["tokens"], "<i4").astype(np.int64)
+        self.sizes = np.array(row["sizes"], np.int64)
+        words = unpacked_keys(row["words"])
+        self.tokens = unpacked(row["tokens"], "<i4").astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.first = np.cumsum(self.sizes) - self.sizes
         before = np.empty(len(self.tokens), np.int64)
@@ -167,8 +178,8 @@ def ask(encoded: DataFrame, parts: int) -> DataFrame:
                     [
                         pa.array(range(parts), pa.int32()),
                         pa.array([row["block"]] * parts, pa.int64()),
-                        pa.array([planes(np.diff(k, prepend=np.uint64(0)), "<u8") for k, _ in rows], pa.binary()),
-                        pa.array([planes(c, "<i4") for _, c in rows], pa.binary()),
+                        pa.array([packed_keys(k) for k, _ in rows], pa.binary()),
+                        pa.array([packed(c, "<i4") for _, c in rows], pa.binary()),
                     ],
                     names=["part", "block", "keys", "counts"],
                 )
@@ -180,8 +191,8 @@ def answer(asked: DataFrame) -> DataFrame:
     """The totals of each block's keys, in their order; on one row of each range its training words and tokens."""
 
     def flush(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = [np.cumsum(unplanes(k, "<u8")) for _, k, _ in rows]
-        counts = np.concatenate([unplanes(c, "<i4") for _, _, c in rows])
+        keys = [unpacked_keys(k) for _, k, _ in rows]
+        counts = np.concatenate([unpacked(c, "<i4") for _, _, c in rows])
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(where, counts, len(distinct)).astype(np.int64)
         word = (distinct & np.uint64(1)).astype(bool)
@@ -192,7 +203,7 @@ def answer(asked: DataFrame) -> DataFrame:
             at += len(keys[k])
             n, t = stats if k == 0 else (0, 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([planes(own, "<i8")], pa.binary()), pa.array([n], pa.int64()), pa.array([t], pa.int64())],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([packed(own, "<i8")], pa.binary()), pa.array([n], pa.int64()), pa.array([t], pa.int64())],
                 names=["part", "block", "counts", "n_words", "n_tokens"],
             )
 
@@ -251,7 +262,7 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     encoded = scratch.save(blocks(docs), "blocks")
-    total = encoded.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    total = encoded.agg(F.sum(F.aggregate(F.transform("sizes", lambda n: n.cast("long")), F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
     parts = max(16, 1 << int(2 * total / RANGE_KEYS).bit_length())
     with single_rows(spark):
         asked = scratch.save(answer(ask(encoded, parts)), "answers")
@@ -263,7 +274,7 @@ def scores(docs: DataFrame) -> DataFrame:
         for row in block_rows.to_pylist():
             order = np.argsort(answer_rows.column("part").to_numpy())
             blobs = answer_rows.column("counts").to_pylist()
-            yield Block(row), np.concatenate([unplanes(blobs[k], "<i8") for k in order.tolist()])
+            yield Block(row), np.concatenate([unpacked(blobs[k], "<i8") for k in order.tolist()])
 
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
         cells, times = zip(*(histogram(b, t, n) for b, t in met(left, right)))
