@@ -297,7 +297,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_matches, n_unknown, license (the likeliest family, else unknown, else none), probability,
     families (all, sorted, joined by commas), start and length of the first match."""
     known = F.filter("matches", lambda m: m["family"] != "unknown")
-    best = F.element_at(F.sort_array(F.transform(known, lambda m: F.struct((-m["probability"]).alias("p"), m["family"].alias("family")))), 1)
+    best = F.get(F.sort_array(F.transform(known, lambda m: F.struct((-m["probability"]).alias("p"), m["family"].alias("family")))), F.lit(0))
     return scanned.select("*", known.alias("known")).select(
         "doc_id",
         "n_paragraphs",
