@@ -470,13 +470,13 @@ def client_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clause_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A contract for each conversation: a preamble, and its turns as clauses."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
-    line = F.concat(F.lit("Section "), (F.col("turn") + 1).cast("string"), F.lit(". ("), F.col("role"), F.lit(")\n"), body)
+    line = F.concat(F.lit("Section "), (F.col("turn") + 1).cast("string"), F.lit(" ("), F.col("role"), F.lit(")\n"), body)
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("t"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["line"]), "\n")
     return turns.groupBy("conv_id").agg(F.concat(F.lit("Preamble.\n"), joined).alias("text")).select(F.col("conv_id").alias("document_id"), "text")
 
 
-_CLAUSES = r"""clauses AS (SELECT conv_id, turn, role, 'Section ' || (turn + 1) || '. (' || role || ')' AS heading, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS body FROM conversations),
+_CLAUSES = r"""clauses AS (SELECT conv_id, turn, role, 'Section ' || (turn + 1) || ' (' || role || ')' AS heading, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS body FROM conversations),
 placed AS (SELECT *, CAST(10 + coalesce(sum(length(heading) + length(body) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS char_offset FROM clauses)"""
 
 
