@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from corpuslens import schema
 from corpuslens.functions import embed
-from corpuslens.operators import contracts, drafts, entities, history, invoices, pii, review, risk, search
+from corpuslens.operators import contracts, drafts, entities, history, invoices, pii, review, risk
+from corpuslens.operators import search as ranking
 from corpuslens.plans import store as st
 from corpuslens.plans import understand
 from corpuslens.sources import extractors, files
@@ -143,22 +144,22 @@ class Engine:
         listed = docs.filter(F.col("kind").isin(*kinds)) if kinds else docs
         own = chunks.join(docs.select("document_id"), "document_id", "left_semi")
         known = known.join(docs.select("document_id"), "document_id", "left_semi")
-        fetch = search.over_fetch(limit)
+        fetch = ranking.over_fetch(limit)
         said = chunks.withColumn("body", F.concat_ws(" ", "text", "section_heading", "sheet_name"))
-        hits = search.bm25(said, text, "body").join(listed.select("document_id"), "document_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(fetch)
+        hits = ranking.bm25(said, text, "body").join(listed.select("document_id"), "document_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(fetch)
         near = None
         if mode in ("hybrid", "semantic") and text.strip() and workspace_ids and self.workspaces().filter(F.col("id").isin(*workspace_ids) & F.col("enable_vector_search")).count():
             goal = self.embedder([text])[0]
-            near = search.nearest(self.store.read("vectors"), goal, fetch, where=F.col("workspace_id").isin(*workspace_ids))
+            near = ranking.nearest(self.store.read("vectors"), goal, fetch, where=F.col("workspace_id").isin(*workspace_ids))
         if mode in ("filename", "semantic", "entity"):
             hits = hits.filter("false")
         if mode in ("filename", "fulltext", "semantic"):
             known = known.filter("false")
-        rows = search.candidates(docs, own, hits, known, text, near)
+        rows = ranking.candidates(docs, own, hits, known, text, near)
         if mode == "filename" or rows.isEmpty():
             first = docs if not workspace_ids else docs.filter(F.col("workspace_id") == workspace_ids[0])
-            rows = search.by_file_name(first.orderBy(F.desc("mtime"), "document_id").limit(500) if mode != "filename" else docs, text)
-        ranked = search.rank(rows, text, now, period=(asked.since, asked.until), period_note=asked.period_note)
+            rows = ranking.by_file_name(first.orderBy(F.desc("mtime"), "document_id").limit(500) if mode != "filename" else docs, text)
+        ranked = ranking.rank(rows, text, now, period=(asked.since, asked.until), period_note=asked.period_note)
         return ranked.orderBy(F.desc("score"), "document_id").limit(limit)
 
     def text_of(self, reference: str, max_chars: int = 20_000) -> str:
@@ -179,7 +180,7 @@ class Engine:
             raise KeyError(f"unknown document {reference}")
         return hit.document_id
 
-    def evidence(self, intent: str, text: str, workspace_ids: list[str] | None = None, max_sources: int = search.MAX_SOURCES, now: datetime | None = None) -> DataFrame:
+    def evidence(self, intent: str, text: str, workspace_ids: list[str] | None = None, max_sources: int = ranking.MAX_SOURCES, now: datetime | None = None) -> DataFrame:
         """One row: a packet for an intent."""
         found = self.search(text, workspace_ids, limit=max(2 * max_sources, 16), now=now)
         firsts = self.chunks().groupBy("document_id").agg(F.min_by("chunk_id", "ordinal").alias("first_chunk"))
@@ -190,7 +191,7 @@ class Engine:
             "document_id", "workspace_id", "name", "path", "kind", "chunk_id", F.coalesce("chunk_text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
             F.coalesce("extraction_method", "document_method", F.lit("")).alias("extraction_method"), "score", "reason",
         )
-        return search.packet(search.evidence(rows, self.store.read("fields"), intent, max_sources), intent)
+        return ranking.packet(ranking.evidence(rows, self.store.read("fields"), intent, max_sources), intent)
 
     # ---- workflows
 

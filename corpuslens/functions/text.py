@@ -32,6 +32,11 @@ def query_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def lines(text: Column) -> Column:
     """Lines as splitlines gives them: no empty one after a final break."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
@@ -40,12 +45,12 @@ def lines(text: Column) -> Column:
 
 def normal_body(text: Column) -> Column:
     """Lines trimmed, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(lines(text), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines(text), lambda x: strip(x)), lambda x: x != ""), "\n")
 
 
 def slug(value: Column, longest: int = 40) -> Column:
     """A name safe for files: the local part of an e-mail address, runs of other characters than a-z0-9 as one hyphen."""
-    local = F.substring_index(F.lower(F.trim(value)), "@", 1)
+    local = F.substring_index(F.lower(strip(value)), "@", 1)
     out = F.substring(F.regexp_replace(F.regexp_replace(local, r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, longest)
     return F.when(F.length(out) > 0, out).otherwise("x")
 
@@ -62,7 +67,7 @@ def shortened(text: Column, longest: int, mark: str = "...") -> Column:
 
 def first_line(text: Column, longest: int = 140) -> Column:
     """The first line that isn't blank."""
-    found = F.get(F.filter(F.transform(lines(text), F.trim), lambda x: x != ""), F.lit(0))
+    found = F.get(F.filter(F.transform(lines(text), lambda x: strip(x)), lambda x: x != ""), F.lit(0))
     return F.coalesce(shortened(found, longest, "…"), F.lit(""))
 
 

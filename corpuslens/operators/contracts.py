@@ -33,20 +33,16 @@ def stitch(chunks: DataFrame) -> DataFrame:
 def _heading(line: Column) -> Column:
     """struct(ordinal, title, heading) of a line that opens a clause, or null."""
     marked = line.rlike(r"^#+\s+")
-    inner = F.when(marked, F.rtrim(F.regexp_replace(line, r"^#+\s+", ""))).otherwise(F.trim(line))
+    inner = F.when(marked, F.rtrim(F.regexp_replace(line, r"^#+\s+", ""))).otherwise(T.strip(line))
     plain = marked | ((F.length(inner) <= LONGEST_HEADING) & ~inner.rlike(PROSE))
     tries = []
     for pattern in CLAUSES:
-        title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(inner, pattern, 2), BRACKETS_LEFT, ""), BRACKETS_RIGHT, ""))
+        title = T.strip(F.regexp_replace(F.regexp_replace(F.regexp_extract(inner, pattern, 2), BRACKETS_LEFT, ""), BRACKETS_RIGHT, ""))
         number = F.regexp_extract(inner, pattern, 1).try_cast("int")
         tries.append(F.when(plain & inner.rlike(pattern) & number.isNotNull(), F.struct(number.alias("ordinal"), title.alias("title"), inner.alias("heading"))))
     return F.coalesce(*tries)
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
-
-
 def sections(texts: DataFrame, longest: int | None = None) -> DataFrame:
     """document_id, position, ordinal, title, heading, body, char_offset. Lines and their places are arrays of the text's own row."""
     lined = texts.select("document_id", F.coalesce("text", F.lit("")).alias("text"), F.split(F.coalesce("text", F.lit("")), r"(?<=\n)|(?<=\r)(?!\n)").alias("lines"))
@@ -58,7 +54,7 @@ def sections(texts: DataFrame, longest: int | None = None) -> DataFrame:
     cut = placed.withColumn("opens", opens).select("document_id", "text", "offsets", "heads", "opens", F.posexplode("opens").alias("position", "k"))
     start = F.get("offsets", F.col("k") + 1)
     stop = F.coalesce(F.get("offsets", F.get("opens", F.col("position") + 1)), F.length("text"))
-    body = _strip(F.substring("text", start + 1, stop - start))
+    body = T.strip(F.substring("text", start + 1, stop - start))
     head = F.get("heads", F.col("k"))
     return cut.select(
         "document_id", "position", head["ordinal"].alias("ordinal"), head["title"].alias("title"), head["heading"].alias("heading"),

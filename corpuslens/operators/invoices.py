@@ -39,7 +39,7 @@ SAME_LINE, NEXT_LINE, INLINE, LOW = 0.95, 0.75, 0.65, 0.70
 
 def clean(value: Column) -> Column:
     """Without the marks of lists, quotes and brackets in front, and colons behind."""
-    return F.trim(F.regexp_replace(F.regexp_replace(value, r"^[\s>*\-•・:：)\]}]+", ""), r"[\s:：]+$", ""))
+    return T.strip(F.regexp_replace(F.regexp_replace(value, r"^[\s>*\-•・:：)\]}]+", ""), r"[\s:：]+$", ""))
 
 
 def _first(values: Column) -> Column:
@@ -47,7 +47,7 @@ def _first(values: Column) -> Column:
 
 
 def _value(text: Column, look: str | None) -> Column:
-    return clean(text) if look is None else F.trim(F.regexp_extract(text, f"({look})", 1))
+    return clean(text) if look is None else T.strip(F.regexp_extract(text, f"({look})", 1))
 
 
 def _same_line(label: str, look: str | None) -> Column:
@@ -58,12 +58,12 @@ def _same_line(label: str, look: str | None) -> Column:
     else:
         tail = lambda line: F.when(F.instr(line, label) > 0, F.substring(line, F.instr(line, label) + len(label), F.length(line)))
     value = lambda line: F.when(_value(tail(line), look) != label, _value(tail(line), look))
-    return _first(F.transform("lines", lambda line: value(F.trim(line))))
+    return _first(F.transform("lines", lambda line: value(T.strip(line))))
 
 
 def _next_line(label: str, look: str | None) -> Column:
     """The value in the line after one that is nothing but the label, perhaps as a heading; ``solid`` has no blank lines."""
-    here = lambda line: F.trim(F.regexp_replace(line, r"^#+\s*", ""))
+    here = lambda line: T.strip(F.regexp_replace(line, r"^#+\s*", ""))
     is_label = lambda line: (here(line) == label) | (clean(here(line)) == label)
     follows = F.transform("solid", lambda line, i: F.when(is_label(line), F.get("solid", i + 1)))
     return _first(F.transform(follows, lambda line: _value(clean(line), look)))
@@ -72,7 +72,7 @@ def _next_line(label: str, look: str | None) -> Column:
 def extract(chunks: DataFrame) -> DataFrame:
     """document_id, chunk_id, key, value, value_type, confidence, extractor: at most one value of each key in a chunk."""
     lined = chunks.select("document_id", "chunk_id", F.coalesce("text", F.lit("")).alias("text"), T.lines(F.col("text")).alias("lines"))
-    lined = lined.withColumn("solid", F.filter("lines", lambda line: F.trim(line) != ""))
+    lined = lined.withColumn("solid", F.filter("lines", lambda line: T.strip(line) != ""))
     fields = []
     for key, kind, look, labels in LABELS:
         tries = []
