@@ -98,23 +98,20 @@ class Engine:
         known = pii.flagged(chunks_in).select(F.col("document_id").alias("id"), F.lit(True).alias("pii_flagged"))
         documents = documents.join(known, "id", "left").withColumn("pii_flagged", F.coalesce("pii_flagged", F.lit(False)))
         read = self.store.read
-        self.store.write("chunks", st.replace_children(read("chunks"), self._typed("chunks", chunks), ids))
-        self.store.write("entities", st.replace_children(read("entities"), self._typed("entities", entities.extract(chunks_in)), ids))
+        self.store.write("chunks", st.replace_children(read("chunks"), self.store.typed("chunks", chunks), ids))
+        self.store.write("entities", st.replace_children(read("entities"), self.store.typed("entities", entities.extract(chunks_in)), ids))
         if ws["enable_vector_search"]:
-            self.store.write("vectors", st.replace_children(read("vectors"), self._typed("vectors", embed.embed(chunks_in, self.embedder)), ids))
-        self.store.write("documents", st.upsert(read("documents"), self._typed("documents", documents), "id"))
+            self.store.write("vectors", st.replace_children(read("vectors"), self.store.typed("vectors", embed.embed(chunks_in, self.embedder)), ids))
+        self.store.write("documents", st.upsert(read("documents"), self.store.typed("documents", documents), "id"))
         done = documents.agg(F.count("*").alias("n"), F.count_if(F.col("extraction_error").isNotNull()).alias("bad")).first()
         seen = found.count()
         todo.unpersist()
         extracted.unpersist()
+        self.audit("extract", "index", referenced_files=[ws["root_path"]], now=now)
         count = read("documents").filter(F.col("workspace_id") == workspace_id).count()
         self.update_workspace(workspace_id, status="indexed", last_indexed_at=now, document_count=count)
         return {"seen": seen, "indexed": done.n - done.bad, "skipped": seen - done.n, "errors": done.bad}
 
-    def _typed(self, name: str, df: DataFrame) -> DataFrame:
-        wanted = self.spark.createDataFrame([], schema.TABLES[name]).schema
-        return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
-
     def apply_events(self, workspace_id: str, events: DataFrame) -> None:
         """Acts on (path, event_type): deletes what was deleted, reads again what else was touched and is still there."""
         gone = events.filter(F.col("event_type") == "deleted").select(schema.document_id(F.lit(workspace_id), F.col("path")).alias("document_id"))
@@ -137,6 +134,7 @@ class Engine:
         now = _now(now)
         asked = understand.parse(text, now, calendar)
         docs, chunks, known = self.documents(), self.chunks(), self.store.read("entities")
+        kinds = [k for k in kinds or [] if k in schema.KIND_BY_EXTENSION.values()]  # unknown ones don't count
         if workspace_ids:
             docs = docs.filter(F.col("workspace_id").isin(*workspace_ids))
         if strict and kinds:
@@ -185,12 +183,14 @@ class Engine:
         found = self.search(text, workspace_ids, limit=max(2 * max_sources, 16), now=now)
         firsts = self.chunks().groupBy("document_id").agg(F.min_by("chunk_id", "ordinal").alias("first_chunk"))
         more = self.documents().select("document_id", "workspace_id", F.col("extraction_method").alias("document_method"))
-        places = self.chunks().select(F.col("chunk_id").alias("shown"), F.col("text").alias("chunk_text"), "confidence", "extraction_method")
+        place = schema.locator(F.col("page_number"), F.col("sheet_name"), F.col("cell_range"), F.col("slide_number"))
+        places = self.chunks().select(F.col("chunk_id").alias("shown"), F.col("text").alias("chunk_text"), "confidence", "extraction_method", place.alias("locator"))
         rows = found.join(firsts, "document_id", "left").join(more, "document_id").withColumn("shown", F.coalesce("chunk_id", "first_chunk")).join(places, "shown", "left")
         rows = rows.select(
             "document_id", "workspace_id", "name", "path", "kind", "chunk_id", F.coalesce("chunk_text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
-            F.coalesce("extraction_method", "document_method", F.lit("")).alias("extraction_method"), "score", "reason",
+            F.coalesce("extraction_method", "document_method", F.lit("")).alias("extraction_method"), "score", "reason", "locator",
         )
+        self.audit("search", "evidence", user_request=intent, now=now)
         return ranking.packet(ranking.evidence(rows, self.store.read("fields"), intent, max_sources), intent)
 
     # ---- workflows
@@ -200,9 +200,10 @@ class Engine:
         doc = self.resolve(reference)
         best = invoices.best_fields(invoices.extract(self.chunks().filter(F.col("document_id") == doc)))
         if persist:
+            self.audit("extract", "extract_invoice", referenced_files=[doc])
             ids = self.spark.createDataFrame([(doc,)], "document_id string")
             kept = self.store.read("fields").filter(F.col("key").startswith("section.") & (F.col("document_id") == doc))
-            self.store.write("fields", st.replace_children(self.store.read("fields"), self._typed("fields", best).unionByName(kept), ids))
+            self.store.write("fields", st.replace_children(self.store.read("fields"), self.store.typed("fields", best).unionByName(kept), ids))
         return best
 
     def invoice_table(self, workspace_id: str, path: str, confirm: bool = False, overwrite: bool = False, extract: bool = True) -> dict:
@@ -231,8 +232,11 @@ class Engine:
         elif there:
             gate = risk.intercept(self.spark, "confirmable_overwrite", [target], ws, confirm=confirm)
             if gate["outcome"] != "pass":
-                return gate | {"rows": n}
+                if gate["outcome"] == "confirm":
+                    invoices.write_difference(rows, target, f"{target}.diff")
+                return gate | {"rows": n, "difference": f"{target}.diff"}
         invoices.write_csv(rows, target)
+        self.audit("export_csv", "invoice_table", "medium", output_files=[target])
         low = invoices.low_rows(rows).count()
         rows.unpersist()
         return {"outcome": "written", "path": target, "rows": n, "low_confidence": low}
@@ -248,7 +252,7 @@ class Engine:
         cut = contracts.sections(contracts.stitch(self.chunks().filter(F.col("document_id") == doc)), contracts.LONGEST_BODY)
         if persist:
             ids = self.spark.createDataFrame([(doc,)], "document_id string")
-            self.store.write("fields", st.replace_prefix(self.store.read("fields"), self._typed("fields", contracts.as_fields(cut)), ids, "section."))
+            self.store.write("fields", st.replace_prefix(self.store.read("fields"), self.store.typed("fields", contracts.as_fields(cut)), ids, "section."))
         return cut
 
     def compare_contracts(self, first: str, second: str) -> DataFrame:
@@ -275,6 +279,7 @@ class Engine:
         stream = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
         stream.write(bytearray(out["body"].encode()))
         stream.close()
+        self.audit("draft", "email_draft", user_request=intent, output_files=[target], now=now)
         return out | {"path": target}
 
     # ---- trail

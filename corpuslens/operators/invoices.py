@@ -121,6 +121,18 @@ def low_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("confidence_avg").cast("double") < LOW)
 
 
+def write_difference(rows: DataFrame, path: str, to: str) -> None:
+    """What overwriting a table would take away (-) and add (+), as lines of text; a note if it is nothing."""
+    line = F.to_csv(F.struct(*COLUMNS))
+    new = rows.select(*COLUMNS).select(line.alias("value"))
+    old = rows.sparkSession.read.option("header", True).schema(", ".join(f"{c} string" for c in COLUMNS)).csv(path).na.fill("").select(line.alias("value"))
+    gone = old.exceptAll(new).select(F.concat(F.lit("- "), "value").alias("value"))
+    come = new.exceptAll(old).select(F.concat(F.lit("+ "), "value").alias("value"))
+    both = gone.unionByName(come)
+    note = rows.sparkSession.createDataFrame([("(no textual difference)",)], "value string")
+    (note if both.isEmpty() else both.orderBy(F.substring("value", 3, 2**31 - 1))).coalesce(1).write.mode("overwrite").text(to)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """One CSV file with a header, in a folder (a report, of the size of the number of invoices)."""
     rows.select(*COLUMNS).orderBy("source_path", "invoice_number").coalesce(1).write.mode("overwrite").option("header", True).csv(path)

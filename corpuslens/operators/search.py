@@ -247,7 +247,7 @@ def suggested_action(kind: Column, intent: str) -> Column:
 
 def evidence(results: DataFrame, fields: DataFrame, intent: str, most: int = MAX_SOURCES, longest: int = MAX_TEXT) -> DataFrame:
     """The sources of a packet, best first. ``results`` has document_id, workspace_id, name, path, kind, chunk_id, text,
-    confidence, extraction_method, score and reason; ``fields`` document_id, key, value, confidence."""
+    confidence, extraction_method, score, reason and perhaps locator; ``fields`` document_id, key, value, confidence."""
     top = ranked(results.orderBy(F.desc("score"), "document_id").limit(most), F.desc("score"), F.col("document_id"))
     own = F.sort_array(F.collect_list(F.struct("key", "value", F.col("confidence").alias("field_confidence"))))
     some = fields.join(F.broadcast(top.select("document_id")), "document_id").groupBy("document_id").agg(F.slice(own, 1, MAX_FIELDS).alias("fields"))  # at most ``most`` rows
@@ -260,6 +260,7 @@ def evidence(results: DataFrame, fields: DataFrame, intent: str, most: int = MAX
         (F.length("text") > longest).alias("truncated"),
         F.coalesce("fields", F.array().cast("array<struct<key:string,value:string,field_confidence:double>>")).alias("fields"),
         F.col("score").alias("relevance_score"), F.col("confidence").alias("confidence_score"), "reason",
+        (F.col("locator") if "locator" in results.columns else F.lit("")).alias("locator"),
         F.when(F.col("confidence") < LOW_CONFIDENCE, low).alias("low_confidence"),
         suggested_action(F.col("kind"), intent).alias("suggested_action"),
     )

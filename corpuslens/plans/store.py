@@ -72,10 +72,14 @@ class Store:
         at = self._current(name)
         return self.spark.read.schema(TABLES[name]).parquet(at) if at else self.spark.createDataFrame([], TABLES[name])
 
+    def typed(self, name: str, df: DataFrame) -> DataFrame:
+        """The table's columns in its types, null where there are none."""
+        wanted = self.spark.createDataFrame([], TABLES[name]).schema
+        return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+
     def write(self, name: str, df: DataFrame) -> None:
         """A new state, in the types of the table, sorted for reads by document; the one before stays for those reading it."""
-        wanted = self.spark.createDataFrame([], TABLES[name]).schema
-        typed = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+        typed = self.typed(name, df)
         order = [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]
         path, fs = self._fs()
         before = self._current(name)
@@ -86,7 +90,12 @@ class Store:
                 fs.delete(status.getPath(), True)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(df, allowMissingColumns=True))
+        """Adds rows to the current state, without touching those that are there."""
+        at = self._current(name)
+        if at is None:
+            self.write(name, df)
+        else:
+            self.typed(name, df).write.mode("append").parquet(at)
 
     def delete_documents(self, ids: DataFrame) -> None:
         """Documents (document_id) and all that hangs on them."""

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 import pytest
 
+from corpuslens import cli
 from corpuslens.engine import Engine
 from corpuslens.sources import extractors
 from corpuslens.streaming import watch
@@ -98,12 +99,15 @@ def test_index_search_and_workflows(spark, engine):
     assert {r.kind: r.documents for r in engine.folder_summary(engine.ws).collect()} == {"markdown": 3, "csv": 1, "docx": 1, "xlsx": 1}
     written = engine.invoice_table(engine.ws, "out/invoices.csv")
     assert written["outcome"] == "written" and written["rows"] == 1
-    assert engine.invoice_table(engine.ws, "out/invoices.csv", overwrite=True)["outcome"] == "confirm"
+    again = engine.invoice_table(engine.ws, "out/invoices.csv", overwrite=True)
+    assert again["outcome"] == "confirm" and spark.read.text(again["difference"]).first().value == "(no textual difference)"
+    assert engine.invoice_table(engine.ws, "out/invoices.csv", overwrite=True, confirm=True)["path"].endswith("out/invoices.csv")
     assert engine.invoice_table(engine.ws, "/elsewhere/x.csv")["outcome"] == "refused"
     draft = engine.email_draft(engine.ws, "a@acme.com", "Your invoice", "reply about the invoice", "acme invoice", now=NOW)
     assert "/drafts/2026-05-17-a-your-invoice-" in draft["path"] and draft["citations"] >= 1
     engine.audit("search", "test", now=NOW)
-    assert engine.recent_audit().first().operation == "search"
+    assert {"extract", "search", "export_csv", "draft"} <= {r.operation for r in engine.recent_audit().collect()}
+    assert packet.sources[0].locator == "" and engine.search("acme", [engine.ws], kinds=["odd"], now=NOW).count() > 0
     assert engine.status().filter("capability = 'text'").first().available
 
 
@@ -128,6 +132,19 @@ def test_changes_deletion_and_watch(spark, engine, tmp_path):
     assert engine.documents().count() == 0 and engine.chunks().count() == 0 and engine.workspaces().count() == 0
 
 
+def test_command_line(spark, engine):
+    store = engine.store.root
+    call = lambda *a: cli.run(spark, ["--store", store, *a])
+    assert call("index", engine.ws)[0]["indexed"] == 5
+    found, code = call("search", "acme invoice", "--workspace", engine.ws)
+    assert code == 0 and found[0]["path"].endswith("invoice-1.md")
+    assert call("risk", "delete")[1] == 2 and call("risk", "read", "--workspace", engine.ws, "--target", "a.md")[1] == 0
+    assert {r["kind"] for r in call("summary", engine.ws)[0]} == {"markdown", "csv", "docx", "xlsx"}
+    call("workspace-set", engine.ws, "--vector", "off")
+    assert call("workspace-list")[0][0]["enable_vector_search"] is False
+    assert any(r["capability"] == "pdf" for r in call("status")[0])
+
+
 def test_adding_a_workspace_again_keeps_its_id(engine):
     again = engine.add_workspace(str(engine.root_path), name="other", policy="read-only", now=NOW)
     assert again == engine.ws and engine.workspace(again)["name"] == "other"
