@@ -2,9 +2,9 @@
 
 Lines are normalised (A-Z lower-cased, white space between words ignored) and hashed. For each host (the source of a
 document) the distinct documents that hold a line are counted; lines above the host's limit count as removed, and
-a document that this depletes is rejected. Copies of a document count once: a document is told from others, for
-one of its lines, by the least hash among its other lines. So a group of copies doesn't turn its own text into
-boilerplate; that is for the dedup stages to judge.
+a document that this depletes is rejected. Only documents with text of their own count: documents of the same lines count
+once, and those of which less than OWN_SHARE is in lines that few others hold don't count. So a group of copies or near copies
+doesn't turn its own text into boilerplate; that is for the dedup stages to judge.
 
 Null texts have no words; null hosts are a host of their own; a null doc_id stays null; rows that repeat are judged
 each (and alike, as copies); other columns are carried by ``clean`` and otherwise ignored; an empty table gives no rows.
@@ -22,16 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
-from corpuslens.llm.scratch import Scratch
+from corpuslens.llm.scratch import Scratch, bounded
 
 #: A line is removed in a host where more distinct documents hold it than MIN_DOCS and than SHARE of the host's documents.
 MIN_DOCS, SHARE = 50, 0.02
 #: A document is depleted if removing lines leaves fewer words than LEFT_WORDS, or less than LEFT_SHARE of its words.
 LEFT_WORDS, LEFT_SHARE = 10, 0.2
+#: A document counts if so much of its words is in lines that the host's limit lets stand.
+OWN_SHARE = 0.5
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,other:long,words:int>>"
-LINE = pa.struct([("line", pa.int64()), ("other", pa.int64()), ("words", pa.int32())])
+FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>, signature long"
+LINE = pa.struct([("line", pa.int64()), ("words", pa.int32())])
 
 
 def per_row(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ def repeated_words(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> np.
 
 
 def features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The base figures of each document and its distinct normalised lines: hash, least other hash in the document, words."""
+    """The base figures of each document and its distinct normalised lines (hash, words), and a signature of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in arrays.text_slices(batches, "text"):
@@ -82,10 +84,9 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
             sort = np.lexsort((line[once], row[once]))
             line, size, row = line[once][sort], size[sort], row[once][sort]
             edge = np.searchsorted(row, np.arange(n + 1))
-            least, next_ = edge[:-1][row], np.minimum(edge[:-1][row] + 1, max(len(line) - 1, 0))
-            alone = (np.diff(edge) == 1)[row]
-            other = np.where(alone, 0, np.where(np.arange(len(line)) == least, line[next_], line[least])) if len(line) else line
-            lines = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(line), pa.array(other), pa.array(size)], fields=list(LINE)))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(line.view(np.uint64)))])
+            signature = (total[edge[1:]] - total[edge[:-1]]).view(np.int64)
+            lines = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(line), pa.array(size)], fields=list(LINE)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -101,11 +102,12 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
                         )
                     ),
                     lines,
+                    pa.array(signature),
                 ],
-                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text").mapInArrow(run, FEATURES)
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text").mapInArrow(run, FEATURES)
 
 
 def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
@@ -118,13 +120,16 @@ def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sh
     often = own.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     often = scratch.save(often.join(hosts, "host").filter(F.col("n") > limit).select("host", "line", limit.alias("limit")), "often")
     hits = scratch.save(own.join(often, ["host", "line"]), "hits")
-    gone = hits.groupBy("host", "line", "limit").agg(F.countDistinct("other").alias("n")).filter(F.col("n") > F.col("limit")).select("host", "line")
+    shared = hits.groupBy("uid").agg(F.sum("words").alias("shared"))
+    own_text = rows.join(shared, "uid").filter(F.col("n_words") - F.col("shared") >= OWN_SHARE * F.col("n_words")).select("uid", "signature")
+    gone = hits.join(own_text, "uid").groupBy("host", "line", "limit").agg(F.countDistinct("signature").alias("n"))
+    gone = scratch.save(gone.filter(F.col("n") > F.col("limit")).select("host", "line"), "gone")
     removed = hits.join(gone, ["host", "line"]).groupBy("uid").agg(F.sum("words").cast("long").alias("removed_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
     return (
-        rows.drop("lines")
+        rows.drop("lines", "signature")
         .join(removed, "uid", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
