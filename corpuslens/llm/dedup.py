@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
-from corpuslens.llm.scratch import Scratch
+from corpuslens.llm.scratch import Scratch, bounded
 
 #: Bytes of contents that one table holds; two tables at most live in a worker.
 TABLE_BYTES = 48 << 20
@@ -160,7 +160,7 @@ def groups(docs: DataFrame, scratch: Scratch, table_bytes: int = TABLE_BYTES) ->
 
 def verdicts(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    scratch = Scratch(docs.sparkSession, "dedup")
+    docs, scratch = bounded(docs), Scratch(docs.sparkSession, "dedup")
     many = scratch.save(groups(docs, scratch, table_bytes).filter("rows > 1"), "many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

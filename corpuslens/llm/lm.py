@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
-from corpuslens.llm.scratch import Scratch
+from corpuslens.llm.scratch import Scratch, bounded
 
 #: Text bytes in a block; keys that one range has about, at most.
 BLOCK_BYTES, RANGE_KEYS = 6 << 20, 2 << 20
@@ -259,7 +259,7 @@ def learn(cells: np.ndarray, times: np.ndarray, v: int, turns: int = 40) -> np.n
 
 def scores(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    docs, spark = bounded(docs), docs.sparkSession
     scratch = Scratch(spark, "lm")
     encoded = scratch.save(blocks(docs), "blocks")
     total = encoded.agg(F.sum(F.aggregate(F.transform("sizes", lambda n: n.cast("long")), F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0

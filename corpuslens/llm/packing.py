@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays, bpe
+from corpuslens.llm.scratch import bounded
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -54,8 +55,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048
                 names=["doc_id", "start", "length", "doc_tokens", "ids"],
             )
 
-    cutted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
-    return cutted.select(
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return rows.select(
         "*",
         F.log2(F.col("length").cast("double")).cast("int").alias("bucket"),
         F.monotonically_increasing_id().alias("sequence_id"),

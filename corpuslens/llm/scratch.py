@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_fallback[app]}"
 
 
+#: Bytes of an Arrow batch that Python gets at most, unless the session names a limit of its own.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The DataFrame, in a session whose Arrow batches are bounded by bytes: by rows alone, long texts would fill the memory."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_LIMIT)) or 0) >= 2**31 - 1:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 class Scratch:
     """A folder of one operator run. ``save`` writes a table and reads it back, which cuts its lineage;
     ``drop`` deletes one as soon as nothing reads it any more. What a returned DataFrame reads stays."""

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays, bpe
+from corpuslens.llm.scratch import bounded
 
 # ---- encoding and decoding
 
@@ -40,7 +41,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 names=["doc_id", "ids", "piece_bytes", "piece_ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, piece_bytes binary, piece_ids binary")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, piece_bytes binary, piece_ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -153,7 +154,7 @@ def count(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens by a tokenizers ``.json`` with byte-level BPE. The frequent pre-tokens' lengths are
     broadcast (FREQUENT entries at most, about 3 MB); others are encoded once per worker and kept in its cache."""
     encoder = bpe.encoder(tokenizer)
-    pieces = frequent(docs)
+    pieces = frequent(bounded(docs))
     ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
     lengths = encoder.lookup(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends[:-1]]), ends)[2] if pieces else []
     table = docs.sparkSession.sparkContext.broadcast(LengthTable(pieces, list(lengths)))
