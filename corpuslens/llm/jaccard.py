@@ -10,7 +10,9 @@ all in one component has no more to tell. In the others, members outside the lis
 all members of other components. Every pair of sets that link shares a list, so it is verified or already connected.
 
 Lists are dealt by n-gram, pairs and sets by signature; hot ones are split by adaptive execution, as each is the side of a
-plain join. The order of n-grams is by a fixed-size sketch of counts over all documents; any order gives the same links.
+plain join. The order of n-grams is by bounds of their counts, from two
+sketches of fixed size over all documents: an n-gram is at most as frequent as its rarest word, and as its own counter. The words'
+sketch still tells rare from frequent when the other, with far more n-grams, is full. Any order gives the same links.
 Intermediate tables are written to the shared folder, so a lost executor repeats tasks only.
 
 Null and empty texts, and texts without words, have no n-grams and link with nothing. Fewer words than an n-gram has form one
@@ -25,30 +27,49 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
-from corpuslens.llm.scratch import Scratch
+from corpuslens.llm.scratch import Scratch, bounded
 
-#: Counters of the sketch of n-gram counts, and bits of the filter of signatures to verify; both in SLICES rows. Their size
-#: is fixed, so they may be broadcast at any size of the input (1 MB and 2 MB).
+#: Counters of each of the two sketches, and bits of the filter of keys to look for; both in SLICES rows. Their size
+#: is fixed, so they may be broadcast at any size of the input (2 MB each).
 SKETCH_BITS, FILTER_BITS, SLICES = 20, 24, 64
+#: Stands for a null doc_id where one is looked for.
+NO_ID = -(2**63)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, level: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The sorted distinct n-gram hashes of each text and, given levels (logarithms of counts) of words and of n-grams, the level
+    that each n-gram has at most: the least of its own counter's and its words'."""
     low = arrays.LOWER[data]
     starts, ends, bounds = arrays.words(low, offsets)
     word = arrays.span_hashes(low, starts, ends)
     found, first = arrays.windows(word, bounds, size)
+    if level is not None:
+        of_word, of_gram = (x[counter(h)] for x, h in zip(level, (word, found)))
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        at = np.arange(len(found)) - first[row] + bounds[row]
+        for k in range(size):
+            of_gram = np.minimum(of_gram, of_word[at + k])
     for k in range(len(offsets) - 1):
-        if first[k + 1] > first[k]:
-            yield np.unique(found[first[k] : first[k + 1]])
+        a, b = first[k], first[k + 1]
+        if b > a and level is None:
+            yield np.unique(found[a:b]), None
+        elif b > a:
+            own, where = np.unique(found[a:b], return_index=True)
+            yield own, of_gram[a:b][where]
         elif bounds[k + 1] > bounds[k]:
-            yield np.array([arrays.whole(word[bounds[k] : bounds[k + 1]])])
+            yield np.array([arrays.whole(word[bounds[k] : bounds[k + 1]])]), np.zeros(1, np.uint8)
         else:
-            yield np.empty(0, np.uint64)
+            yield np.empty(0, np.uint64), np.empty(0, np.uint8)
+
+
+def counter(hashes: np.ndarray) -> np.ndarray:
+    """The counter of a sketch for each hash."""
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def signature(grams: np.ndarray) -> int:
@@ -77,27 +98,28 @@ def sliced(array: np.ndarray) -> pa.RecordBatch:
 
 
 def document_sets(docs: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles and sid of every document, and the level of each counter of the sketch."""
+    """doc_id, n_shingles and sid of every document, and the levels of the counters of words and of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
         for batch, data, offsets in arrays.text_slices(batches, "text"):
-            sets = list(shingle_sets(data, offsets, size))
-            every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            sets = [own for own, _ in shingle_sets(data, offsets, size)]
+            low = arrays.LOWER[data]
+            for own, hashes in zip(counts, (arrays.span_hashes(low, *arrays.words(low, offsets)[:2]), np.concatenate(sets))):
+                own += np.bincount(counter(hashes), minlength=1 << SKETCH_BITS)
             none = pa.nulls(len(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
                 names=["doc_id", "n_shingles", "sid", "slice", "blob"],
             )
-        last = sliced(counts)
+        last = sliced(counts.ravel())
         none = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, *last.columns], names=["doc_id", "n_shingles", "sid", "slice", "blob"])
 
     both = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, slice int, blob binary"), "sets")
     counts = fold(both.filter("slice IS NOT NULL").select("slice", "blob"), "<i8", np.add)
-    level = np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8) if len(counts) else np.zeros(1 << SKETCH_BITS, np.uint8)
-    return both.filter("slice IS NULL").select("doc_id", "n_shingles", "sid"), level
+    level = np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8) if len(counts) else np.zeros(2 << SKETCH_BITS, np.uint8)
+    return both.filter("slice IS NULL").select("doc_id", "n_shingles", "sid"), level.reshape(2, -1)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -105,9 +127,8 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def postings(docs: DataFrame, size: int, num: int, den: int, level: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, size: int, num: int, den: int, levels: Broadcast) -> DataFrame:
     """gram, sid, n and pos for the prefix of each class that can link with another; copies within a task count once."""
-    levels = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -115,7 +136,7 @@ def postings(docs: DataFrame, size: int, num: int, den: int, level: np.ndarray)
             gram, sid, total, pos = [], [], [], []
             if len(seen) > 1_000_000:
                 seen = set()
-            for own in shingle_sets(data, offsets, size):
+            for own, rarity in shingle_sets(data, offsets, size, levels.value):
                 n = len(own)
                 if n * den < num * (n + 1):  # any other set differs too much
                     continue
@@ -124,7 +145,7 @@ def postings(docs: DataFrame, size: int, num: int, den: int, level: np.ndarray)
                     continue
                 seen.add(s)
                 p = prefix_length(n, num, den)
-                order = np.argsort(levels.value[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:p]
+                order = np.argsort(rarity, kind="stable")[:p]
                 gram.append(own[order])
                 sid.append(np.full(p, s))
                 total.append(np.full(p, n, np.int32))
@@ -158,44 +179,51 @@ def bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return bound(a[:half], b[:cut], depth - 1) + bound(a[half:], b[cut:], depth - 1)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) that link. Only the sets that a fixed-size filter lets through are gathered."""
-    wide = FILTER_BITS - 6
+def bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in a filter."""
+    h = arrays.mix(keys.astype(np.int64).view(np.uint64))
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
-    def bits(sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = sid.astype(np.int64).view(np.uint64)
-        base = (u >> np.uint64(58)).astype(np.int64) << wide
-        return tuple(base + ((u >> np.uint64(s)) & np.uint64((1 << wide) - 1)).astype(np.int64) for s in (0, 30))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(1 << FILTER_BITS, np.uint8)
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A filter of fixed size that all keys in the columns of a table pass, and few others unless there are very many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            for at in bits(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])):
-                on[at] = 1
+            for column in batch.columns:
+                for at in bits(column.to_numpy()):
+                    np.bitwise_or.at(on, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if on.any():
-            yield sliced(np.packbits(on))
+            yield sliced(on)
+
+    return fold(keys.mapInArrow(run, "slice int, blob binary"), "u1", np.bitwise_or)
+
+
+def passes(on: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(on):
+        return np.zeros(len(keys), bool)
+    x, y = bits(keys)
+    return ((on[x >> 3] >> (x & 7)) & (on[y >> 3] >> (y & 7)) & 1).astype(bool)
 
-    marked = docs.sparkSession.sparkContext.broadcast(fold(pairs.mapInArrow(mark, "slice int, blob binary"), "u1", np.bitwise_or))
+
+def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) that link. Of each class that occurs, one document's set is gathered, the one with the smallest
+    doc_id; a fixed-size filter finds these documents in the scan."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    chosen = sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")).select("doc_id")
+    marked = docs.sparkSession.sparkContext.broadcast(filter_of(chosen))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        if not len(marked.value):
-            return
-        on = np.unpackbits(marked.value)
-        for _, data, offsets in arrays.text_slices(batches, "text"):
-            sets = list(shingle_sets(data, offsets, size))
-            sids = np.array([signature(s) for s in sets], np.int64)
-            x, y = bits(sids)
-            hit = [k for k in np.flatnonzero(on[x] & on[y]).tolist() if sids[k] not in seen]
-            hit = list({int(sids[k]): k for k in hit}.values())
-            seen.update(sids[hit].tolist())
-            if len(seen) > 1_000_000:
-                seen = set()
-            if hit:
-                yield pa.RecordBatch.from_arrays([pa.array(sids[hit]), pa.array([sets[k].tobytes() for k in hit], pa.binary())], names=["sid", "grams"])
+        for batch, data, offsets in arrays.text_slices(batches, "text"):
+            hit = np.flatnonzero(passes(marked.value, batch.column(0).to_numpy(zero_copy_only=False)))
+            own = [next(shingle_sets(data[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k], size))[0] for k in hit.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["sid", "grams"])
 
-    gathered = docs.select("text").mapInArrow(gather, "sid long, grams binary")
-    sets = scratch.save(gathered.dropDuplicates(["sid"]), f"{name}-sets", "lz4")
+    with_id = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    # a few more come through the filter or share a null id; a set that comes twice gives the same links again
+    gathered = scratch.save(with_id.mapInArrow(gather, "sid long, grams binary"), f"{name}-sets", "lz4")
+    marked.destroy()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,10 +235,11 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, scr
                 keep.append(both >= need)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("grams_a")), "a")
-    two = one.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("grams_b")), "b")
+    one = pairs.join(gathered.select(F.col("sid").alias("a"), F.col("grams").alias("grams_a")), "a")
+    two = one.join(gathered.select(F.col("sid").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = scratch.save(two.select("a", "b", "grams_a", "grams_b").mapInArrow(check, "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-sets")
+    scratch.release()
     return links
 
 
@@ -220,14 +249,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     state, mark, turn = scratch.save(both, f"{name}-0"), None, 0
     while True:
         way = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = way.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = way.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written, as joins below split hot nodes only if they deal both of their sides
+        least = scratch.save(way.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{turn}-a")
+        large = scratch.save(way.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-{turn}-b")
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{turn}-c")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         turn += 1
         state = scratch.save(small, f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
+        scratch.drop(f"{name}-{turn - 1}", *(f"{name}-{turn - 1}-{x}" for x in "abc"))
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -237,25 +267,43 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document. Documents link
     whose sets have den * intersection >= num * union."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    docs, scratch = bounded(docs), Scratch(docs.sparkSession, "jaccard")
     sets, level = document_sets(docs, size, scratch)
-    lists = scratch.save(postings(docs, size, num, den, level), "lists")
+    context = docs.sparkSession.sparkContext
+    levels = context.broadcast(level)
+    lists = scratch.save(postings(docs, size, num, den, levels), "lists")
+    levels.destroy()
     shared = lists.groupBy("gram").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low != high").select("gram")
-    lists = scratch.save(lists.join(shared, "gram").distinct(), "shared")
-    hubs = lists.groupBy("gram").agg(F.min(F.struct("pos", "n", "sid")).alias("hub"))
+    shared = scratch.save(shared, "grams")
+    scratch.release()
+    marked = context.broadcast(filter_of(shared))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # most n-grams have one text only; they needn't go through the join
+            yield batch.filter(pa.array(passes(marked.value, batch.column(0).to_numpy())))
+
+    some = lists.select("gram", "sid", "n", "pos").mapInArrow(sift, "gram long, sid long, n int, pos int")
+    lists = scratch.save(some.join(shared, "gram").distinct(), "shared")
+    marked.destroy()
+    scratch.drop("lists", "grams")
+    scratch.release()
+    # written, so that the join deals both of its sides and may split hot lists
+    hubs = scratch.save(lists.groupBy("gram").agg(F.min(F.struct("pos", "n", "sid")).alias("hub")), "hubs")
     near = may_link(num, den, (F.col("n"), F.col("hub.n")), (F.col("pos"), F.col("hub.pos")))
     stars = lists.join(hubs, "gram").filter((F.col("sid") != F.col("hub.sid")) & near)
     pairs = scratch.save(stars.select(F.greatest("sid", "hub.sid").alias("a"), F.least("sid", "hub.sid").alias("b")).distinct(), "pairs")
-    scratch.drop("lists")
-    links = verify(pairs, docs, size, num, den, scratch, "stars")
+    scratch.release()
+    links = verify(pairs, docs, sets, size, num, den, scratch, "stars")
     roots = components(links, scratch, "first")
 
     label = F.coalesce("root", "sid")
     labelled = lists.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gram", "sid", "n", "pos", label.alias("label"))
     labelled = scratch.save(labelled, "labelled")
-    mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gram")
-    counts = labelled.join(mixed, "gram").groupBy("gram", "label").agg(F.count("*").alias("members"))
+    mixed = scratch.save(labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gram"), "mixed")
+    labelled = scratch.save(labelled.join(mixed, "gram"), "split")
+    counts = labelled.groupBy("gram", "label").agg(F.count("*").alias("members"))
     most = counts.groupBy("gram").agg(F.max(F.struct("members", "label")).alias("most")).select("gram", F.col("most.label").alias("most"))
+    most = scratch.save(most, "most")
     members = scratch.save(labelled.join(most, "gram"), "members")
     one, two = members.filter("label != most").alias("x"), members.alias("y")
     near = may_link(num, den, (F.col("x.n"), F.col("y.n")), (F.col("x.pos"), F.col("y.pos")))
@@ -263,12 +311,12 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
     rest = crossed.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = scratch.save(rest, "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verify(rest, docs, size, num, den, scratch, "rest"))
+        links = links.unionByName(verify(rest, docs, sets, size, num, den, scratch, "rest"))
         roots = components(links, scratch, "second")
 
     rooted = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("root", "sid").alias("root"))
     rooted = scratch.save(rooted, "rooted")
-    least = rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = scratch.save(rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     found = rooted.filter("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     return found.unionByName(rooted.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
