@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import chat, dedup, jaccard, licenses, lm, packing, quality, tokens, toxicity
-from corpuslens.llm.sql import ORACLES
 
-#: Where the vocabulary files are, if a query is given no other place.
-try:
-    import public_tokenizers
-
-    TOKENIZERS = public_tokenizers.path
-except ImportError:
-    TOKENIZERS = "/opt/tokenizers/{}".format
+#: Where a vocabulary file is; the operators take its path as a parameter.
+TOKENIZERS = public_tokenizers.path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
