@@ -4,8 +4,9 @@ A paragraph is a line; a longer one than WINDOW words is read in windows that ov
 paragraph, hashed, go into a multinomial logistic regression whose classes are license families, ``unknown`` (talk of a
 license of no known family) and ``none``. It is trained in numpy on variations of the templates below, on made-up license
 names, and on paragraphs of a bounded sample of documents. Probabilities are calibrated by a temperature fitted on
-variations that were held out. A family is reported where its calibrated probability is the highest and at least
-MIN_PROBABILITY and one of its templates confirms it: enough of the template's words stand in the paragraph. A family that
+variations that were held out. A family is reported where its calibrated probability is the highest
+and the comparison with the templates confirms it: at least MIN_CONTAINED of the words and pairs of one of its templates stand in the
+paragraph, and no other family's template fits better. If one does, and fits to DECISIVE, that family is reported. A family that
 no template confirms counts as unknown, if the paragraph has a word of license talk.
 
 Null texts count as empty and have no paragraphs; a null doc_id stays null; rows that repeat are scanned each; columns
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
+from corpuslens.llm.scratch import bounded
 
-WINDOW, MIN_PROBABILITY, MIN_CONTAINED = 40, 0.5, 0.6
+WINDOW, MIN_CONTAINED, DECISIVE = 40, 0.8, 0.95
 #: Documents whose paragraphs serve as examples without a license, at most (the lowest hashes of doc_id), and paragraphs.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 1500
 BUCKET_BITS, VARIATIONS, EPOCHS = 15, 30, 60
@@ -48,16 +50,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU GPL v3.",
+        "Licensed under the GNU General Public License.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Released under the GNU General Public License version 2 or any later version.",
     ),
     "LGPL": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU Lesser General Public License.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "Released under the LGPL v3.",
     ),
     "AGPL": (
         "Licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License.",
         "Released under the AGPL v3.",
     ),
     "BSD": (
@@ -249,6 +254,15 @@ def contained(paragraph: str, family: str) -> tuple[float, int]:
     return shares[best], best
 
 
+def confirmed(paragraph: str, predicted: str) -> tuple[str, int]:
+    """The family that the templates confirm and its template, or unknown."""
+    shares = {f: contained(paragraph, f) for f in FAMILIES}
+    best = max(FAMILIES, key=lambda f: (shares[f][0], f == predicted))
+    share, template = shares[best]
+    good = share >= (MIN_CONTAINED if best == predicted else DECISIVE)
+    return (best, template) if good else ("unknown", -1)
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, matches (family, probability, template, start and length in code
     points; family unknown has no template)."""
@@ -274,9 +288,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     c = int(np.argmax(p[k, :-1]))
                     family, template = CLASSES[c], -1
                     if c < len(FAMILIES):
-                        share, template = contained(text, family)
-                        if p[k, c] < MIN_PROBABILITY or share < MIN_CONTAINED:
-                            family, template = "unknown", -1
+                        family, template = confirmed(text, family)
+                    elif TALK.search(text):
+                        family, template = confirmed(text, "")
                     if family == "unknown" and not TALK.search(text):
                         continue
                     start = int(points[a] - points[offsets[doc]])
@@ -287,7 +301,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     found[doc].append({"family": family, "probability": float(p[k, c]), "template": template, "start": start, "length": length})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count.astype(np.int64)), pa.array(found, MATCHES)], names=["doc_id", "n_paragraphs", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_paragraphs long, matches array<struct<family:string,probability:double,template:int,start:long,length:long>>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_paragraphs long, matches array<struct<family:string,probability:double,template:int,start:long,length:long>>")
 
 
 MATCHES = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("template", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
