@@ -7,7 +7,7 @@ length, positional and suffix filters; what is left is verified on whole sets.
 A group of m near copies has m*m/2 links, and they aren't wanted one by one. So each list first joins all its members with one,
 the hub in whose prefix the shared n-gram stands earliest; the links found give components. A list whose members are
 all in one component has no more to tell. In the others, members outside the list's largest component are joined with
-all members of other components, each pair in the list of its first shared n-gram. Every pair of sets that link shares a list, so it is verified or already connected.
+all members of other components, hardly ever in more than one list. Every pair of sets that link shares a list, so it is verified or already connected.
 
 Lists are dealt by n-gram, pairs and sets by signature; hot ones are split by adaptive execution, as each is the side of a
 plain join. The order of n-grams is by bounds of their counts, from two
@@ -37,6 +37,8 @@ from corpuslens.llm.scratch import Scratch, bounded
 #: Counters of each of the two sketches, and bits of the filter of keys to look for; both in SLICES rows. Their size
 #: is fixed, so they may be broadcast at any size of the input (2 MB each).
 SKETCH_BITS, FILTER_BITS, SLICES = 20, 24, 64
+#: Earlier n-grams that a posting carries to keep pairs from coming twice.
+EARLIER = 4
 #: Stands for a null doc_id where one is looked for.
 NO_ID = -(2**63)
 
@@ -304,10 +306,11 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
     counts = labelled.groupBy("gram", "label").agg(F.count("*").alias("members"))
     most = counts.groupBy("gram").agg(F.max(F.struct("members", "label")).alias("most")).select("gram", F.col("most.label").alias("most"))
     most = scratch.save(most, "most")
-    # a posting knows the earlier n-grams of its set, so that a pair comes from the list of the first n-gram it shares only
+    # a posting knows the first of the earlier n-grams of its set; a pair that shares one of them comes from an earlier list, and it
+    # always comes from the list of the first n-gram it shares
     place = F.struct("pos", "gram", "n", "label", "most")
     own = labelled.join(most, "gram").groupBy("sid").agg(F.sort_array(F.collect_list(place)).alias("own"))
-    each = own.select("sid", "own", F.posexplode("own").alias("k", "p")).select("sid", "p.*", F.slice(F.transform("own", lambda o: o["gram"]), F.lit(1), F.col("k")).alias("before"))
+    each = own.select("sid", "own", F.posexplode("own").alias("k", "p")).select("sid", "p.*", F.slice(F.transform("own", lambda o: o["gram"]), F.lit(1), F.least("k", F.lit(EARLIER))).alias("before"))
     members = scratch.save(each, "members")
     one, two = members.filter("label != most").alias("x"), members.alias("y")
     near = may_link(num, den, (F.col("x.n"), F.col("y.n")), (F.col("x.pos"), F.col("y.pos")))
