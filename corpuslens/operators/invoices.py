@@ -57,8 +57,8 @@ def _same_line(label: str, look: str | None) -> Column:
         tail = lambda line: F.when(line.rlike(f"(?i){found}"), F.regexp_replace(line, f"(?i)^.*?{found}", ""))
     else:
         tail = lambda line: F.when(F.instr(line, label) > 0, F.substring(line, F.instr(line, label) + len(label), F.length(line)))
-    value = lambda line: F.when(_value(tail(line), look) != label, _value(tail(line), look))
-    return _first(F.transform("lines", lambda line: value(T.strip(line))))
+    values = F.transform("lines", lambda line: _value(tail(T.strip(line)), look))
+    return _first(F.filter(values, lambda v: v != label))
 
 
 def _next_line(label: str, look: str | None) -> Column:
@@ -72,17 +72,22 @@ def _next_line(label: str, look: str | None) -> Column:
 def extract(chunks: DataFrame) -> DataFrame:
     """document_id, chunk_id, key, value, value_type, confidence, extractor: at most one value of each key in a chunk."""
     lined = chunks.select("document_id", "chunk_id", F.coalesce("text", F.lit("")).alias("text"), T.lines(F.col("text")).alias("lines"))
-    lined = lined.withColumn("solid", F.filter("lines", lambda line: T.strip(line) != ""))
+    lined = lined.select("*", F.filter("lines", lambda line: T.strip(line) != "").alias("solid"), F.lower("text").alias("low"))
+
+    def field(value: Column, key: str, kind: str, sure: float, how: str) -> Column:
+        made = lambda v: F.when(v.isNotNull() & (v != ""), F.struct(F.lit(key).alias("key"), v.alias("value"), F.lit(kind).alias("value_type"), F.lit(sure).alias("confidence"), F.lit(how).alias("extractor")))
+        return F.get(F.transform(F.array(value), made), F.lit(0))  # the value is worked out once
+
     fields = []
     for key, kind, look, labels in LABELS:
         tries = []
         for label in labels:
-            for value, sure, how in ((_same_line(label, look), SAME_LINE, "invoice.label"), (_next_line(label, look), NEXT_LINE, "invoice.section")):
-                tries.append(F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), value.alias("value"), F.lit(kind).alias("value_type"), F.lit(sure).alias("confidence"), F.lit(how).alias("extractor"))))
+            there = F.col("low").contains(label.lower())  # most labels are in no line of most texts
+            tries.append(F.when(there, field(_same_line(label, look), key, kind, SAME_LINE, "invoice.label")))
+            tries.append(F.when(there, field(_next_line(label, look), key, kind, NEXT_LINE, "invoice.section")))
         if key == "invoice_number":
-            inline = F.trim(F.regexp_extract("text", f"({NUMBER})", 1))
             named = F.col("text").contains("請求書") | F.col("text").contains("Invoice") | F.col("text").contains("INVOICE")
-            tries.append(F.when((inline != "") & named, F.struct(F.lit(key).alias("key"), inline.alias("value"), F.lit(kind).alias("value_type"), F.lit(INLINE).alias("confidence"), F.lit("invoice.heuristic").alias("extractor"))))
+            tries.append(F.when(named, field(T.strip(F.regexp_extract("text", f"({NUMBER})", 1)), key, kind, INLINE, "invoice.heuristic")))
         fields.append(F.coalesce(*tries))
     return lined.select("document_id", "chunk_id", F.explode(F.array_compact(F.array(*fields))).alias("f")).select("document_id", "chunk_id", "f.*")
 
