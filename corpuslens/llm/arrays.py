@@ -6,6 +6,7 @@ all of these are single bytes in UTF-8, so no decoding is needed. Null texts cou
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once. A longer text is still worked on whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes hashed at once: each takes three eight-byte values meanwhile.
+HASH_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -75,6 +78,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
         data, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
         for i, j in slices(offsets, limit):
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which the C library else keeps for a worker that may never need it again."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +112,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):  # long buffers go in parts, as eight-byte values would fill the memory
-        m = max(k + 1, int(np.searchsorted(ends, starts[k] + 2 * SLICE_BYTES, "right")))
+        m = max(k + 1, int(np.searchsorted(ends, starts[k] + HASH_BYTES, "right")))
         a, b = int(starts[k]), int(ends[k:m].max())
         up, down = _power(b - a + 1)
         total = np.zeros(b - a + 1, np.uint64)

@@ -23,15 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
+from corpuslens.llm.scratch import bounded
 
 #: Labelled rows to train on, at most, of the toxic and of the other class.
-TRAIN_ROWS = (1500, 3500)
+TRAIN_ROWS = (1000, 2000)
 #: N-grams that fewer training texts hold have no vector of their own (that of nothing, zero).
 MIN_TEXTS = 20
 #: A text's mean has so many neutral words besides its own, so that a few rare n-grams don't decide on a short text.
 NEUTRAL = 60
 BUCKET_BITS, DIM, EPOCHS, RATE, DECAY = 20, 4, 40, 0.3, 1e-6
 SIZES = (3, 4, 5)
+PART_WORDS, PART_VALUES = 8_000, 200_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _LETTER[[ord("'"), ord("@"), ord("$")]] = True
@@ -77,6 +79,17 @@ def unique_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return first, where
 
 
+def run_sums(values: np.ndarray, index: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of the values at runs of an index, a bounded part at a time."""
+    out, k = np.empty((len(edge), values.shape[1]), values.dtype), 0
+    while k < len(edge):
+        j = max(k + 1, int(np.searchsorted(edge, edge[k] + PART_VALUES)))
+        a, b = edge[k], edge[j] if j < len(edge) else len(index)
+        out[k:j] = np.add.reduceat(values[index[a:b]], edge[k:j] - a)
+        k = j
+    return out
+
+
 @dataclass
 class Model:
     """log-odds of a text: bias + mean over words of the mean over n-grams of ``value``."""
@@ -102,39 +115,55 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
     total = float(weight.sum()) if len(weight) else 0.0
     share = float((weight * toxic).sum()) / total if total else 0.0
     if share in (0.0, 1.0):
-        return Model(np.zeros(1 << BUCKET_BITS), 700.0 if share else -700.0)
+        return Model(np.zeros(1 << BUCKET_BITS, np.float32), 700.0 if share else -700.0)
     data, offsets = arrays.buffers(pa.array(texts, pa.string()))
     low, starts, ends, bounds = tokens(data, offsets)
     first, where = unique_words(low, starts, ends)
-    bucket, edge = ngrams(low, starts[first], ends[first])
     # documents by distinct words, each with its share
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     key, times = np.unique(row * len(first) + where, return_counts=True)
     row, word = key // len(first), key % len(first)
     part = (times / (np.diff(bounds) + NEUTRAL)[row]).astype(np.float32)
-    by_word = np.argsort(word, kind="stable")
+    starts, ends, where, key, times = starts[first], ends[first], None, None, None  # what isn't needed any more goes
+    by_word = np.argsort(word, kind="stable").astype(np.int32)
     word_edge = np.searchsorted(word[by_word], np.arange(len(first)))
     row_edge = np.searchsorted(row, np.arange(len(texts) + 1))
     busy = np.flatnonzero(np.diff(row_edge))
-    scale = (1 / np.diff(edge)).astype(np.float32)[:, None]
-    ngram_word = np.repeat(np.arange(len(first)), np.diff(edge))
-    common = np.bincount(bucket, np.bincount(word, minlength=len(first))[ngram_word], 1 << BUCKET_BITS)[bucket] >= MIN_TEXTS
-    bucket, ngram_word = bucket[common], ngram_word[common]
+    # n-grams in parts, twice: those that enough texts hold are known only after all are counted
+    texts_of = np.bincount(word, minlength=len(first))
+    held, size = np.zeros(1 << BUCKET_BITS), np.empty(len(first), np.int64)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for count in (True, False):
+        for k in range(0, len(first), PART_WORDS):
+            part_of = slice(k, min(k + PART_WORDS, len(first)))
+            bucket, edge = ngrams(low, starts[part_of], ends[part_of])
+            size[k : k + PART_WORDS] = np.diff(edge)
+            owner = np.repeat(np.arange(part_of.start, part_of.stop, dtype=np.int32), np.diff(edge))
+            if count:
+                held += np.bincount(bucket, texts_of[owner], 1 << BUCKET_BITS)
+            else:
+                common = held[bucket] >= MIN_TEXTS
+                kept.append((bucket[common].astype(np.int32), owner[common]))
+    scale = (1 / size).astype(np.float32)[:, None]
+    bucket, ngram_word = (np.concatenate([x[i] for x in kept]) for i in (0, 1))
+    kept.clear()
     if not len(bucket):
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share / (1 - share))))
     spelled, edge = np.unique(ngram_word, return_index=True)  # the words with a vector
-    by_bucket = np.argsort(bucket, kind="stable")
+    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
     used, used_edge = np.unique(bucket[by_bucket], return_index=True)
 
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)), np.log([1 - share, share])
-    compact = np.searchsorted(used, bucket)
+    compact = np.searchsorted(used, bucket).astype(np.int32)
+    bucket_word = ngram_word[by_bucket]
+    del bucket, ngram_word, by_bucket, data, low
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (embedding, softmax, bias)]
     target, w = np.eye(2)[toxic.astype(int)], (weight / total)[:, None]
     for epoch in range(1, EPOCHS + 1):
         words = np.zeros((len(first), DIM), np.float32)
-        words[spelled] = np.add.reduceat(embedding[compact], edge) * scale[spelled]
+        words[spelled] = run_sums(embedding, compact, edge) * scale[spelled]
         docs = np.zeros((len(texts), DIM))
         docs[busy] = np.add.reduceat(words[word] * part[:, None], row_edge[:-1][busy])
         logit = docs @ softmax + bias
@@ -143,7 +172,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
         error = (p - target) * w
         back = (error @ softmax.T).astype(np.float32)
         per_word = np.add.reduceat((back[row] * part[:, None])[by_word], word_edge) * scale
-        slope = np.add.reduceat(per_word[ngram_word[by_bucket]], used_edge) + DECAY * embedding
+        slope = run_sums(per_word, bucket_word, used_edge) + DECAY * embedding
         for q, g, (m, v) in zip((embedding, softmax, bias), (slope, docs.T @ error, error.sum(0)), state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -165,12 +194,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS)
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.filter("toxic = 1").orderBy(*order).limit(rows[0]).unionByName(known.filter("toxic = 0").orderBy(*order).limit(rows[1]))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    got = sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
-    toxic = np.array([r.toxic for r in got], np.int64)
-    drawn = np.maximum(np.bincount(toxic, minlength=2), 1)
-    weight = np.array([counts.get(t, 0) / drawn[t] for t in toxic.tolist()])
-    return train([r.text or "" for r in got], toxic, weight)
+    drawn = {t: min(n, rows[1 - t]) for t, n in counts.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted({r["doc_id"]: r for b in batches for r in b.to_pylist()}.values(), key=lambda r: r["doc_id"])
+        toxic = np.array([r["toxic"] for r in got], np.int64)
+        weight = np.array([counts[t] / drawn[t] for t in toxic.tolist()])
+        arrays.give_back()
+        model = train([r["text"] or "" for r in got], toxic, weight)
+        yield pa.RecordBatch.from_arrays([pa.array([model.value.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["value", "bias"])
+
+    # one task of an executor trains, on at most sum(rows) rows; only the model comes to the driver
+    got = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    made = got.repartition(1).mapInArrow(run, "value binary, bias double").first()
+    return Model(np.frombuffer(bytes(made.value), "<f4"), made.bias) if made else train([], np.empty(0, np.int64), np.empty(0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -181,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch, data, offsets in arrays.text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(data, offsets))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
