@@ -2,9 +2,10 @@
 
 Lines are normalised (A-Z lower-cased, white space between words ignored) and hashed. For each host (the source of a
 document) the distinct documents that hold a line are counted; lines above the host's limit count as removed, and
-a document that this depletes is rejected. Only documents with text of their own count: documents of the same lines count
-once, and those of which less than OWN_SHARE is in lines that few others hold don't count. So a group of copies or near copies
-doesn't turn its own text into boilerplate; that is for the dedup stages to judge.
+a document that this depletes is rejected. Every distinct document counts: documents of the same lines count once, and so do
+near copies, which are documents of a host that hold the same frequent lines (those that more rows hold than the limit) and at
+most 1/NEAR as many words besides them, so that any two of them share eight words of ten. So a group of copies or such near
+copies doesn't turn its own text into boilerplate; that is for the dedup stages to judge.
 
 Null texts have no words; null hosts are a host of their own; a null doc_id stays null; rows that repeat are judged
 each (and alike, as copies); other columns are carried by ``clean`` and otherwise ignored; an empty table gives no rows.
@@ -28,8 +29,8 @@ from corpuslens.llm.scratch import Scratch, bounded
 MIN_DOCS, SHARE = 50, 0.02
 #: A document is depleted if removing lines leaves fewer words than LEFT_WORDS, or less than LEFT_SHARE of its words.
 LEFT_WORDS, LEFT_SHARE = 10, 0.2
-#: A document counts if so much of its words is in lines that the host's limit lets stand.
-OWN_SHARE = 0.5
+#: Documents of the same frequent lines count once if these hold NEAR times as many words as their other lines, or more.
+NEAR = 8
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>, signature long"
@@ -120,9 +121,10 @@ def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sh
     often = own.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     often = scratch.save(often.join(hosts, "host").filter(F.col("n") > limit).select("host", "line", limit.alias("limit")), "often")
     hits = scratch.save(own.join(often, ["host", "line"]), "hits")
-    shared = hits.groupBy("uid").agg(F.sum("words").alias("shared"))
-    own_text = rows.join(shared, "uid").filter(F.col("n_words") - F.col("shared") >= OWN_SHARE * F.col("n_words")).select("uid", "signature")
-    gone = hits.join(own_text, "uid").groupBy("host", "line", "limit").agg(F.countDistinct("signature").alias("n"))
+    shared = hits.groupBy("uid").agg(F.sum("words").alias("shared"), F.bit_xor(F.xxhash64("line")).alias("same"))
+    near = NEAR * (F.col("n_words") - F.col("shared")) <= F.col("shared")
+    voters = rows.join(shared, "uid").select("uid", F.when(near, F.col("same")).otherwise(F.col("signature")).alias("voter"))
+    gone = hits.join(voters, "uid").groupBy("host", "line", "limit").agg(F.countDistinct("voter").alias("n"))
     gone = scratch.save(gone.filter(F.col("n") > F.col("limit")).select("host", "line"), "gone")
     removed = hits.join(gone, ["host", "line"]).groupBy("uid").agg(F.sum("words").cast("long").alias("removed_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -243,6 +243,15 @@ def test_quality_removes_boilerplate_but_not_copies(spark):
     assert all(got[200 + i].kept for i in range(60)) and got[300].kept and got[300].removed_words == 0
 
 
+def test_quality_counts_pages_that_are_mostly_boilerplate(spark):
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    menu = "\n".join(" ".join(f"menu{k}word{j}" for j in range(10)) for k in range(6))
+    rows = [(i, f"{menu}\n{own(i, 40)}", "h") for i in range(200)] + [(1000 + i, f"{menu}\n{own(1000 + i, 5)}", "h") for i in range(20)]
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r.removed_words == 60 for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000 + i for i in range(20)}
+
+
 # ---- toxicity
 
 
