@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from corpuslens.llm import arrays
 from corpuslens.llm.scratch import Scratch, bounded
 
-#: A line is removed in a host where more distinct documents hold it than MIN_DOCS and than SHARE of the host's documents.
-MIN_DOCS, SHARE = 50, 0.02
+#: A line is removed in a host where more distinct documents hold it than SHARE of the host's distinct documents, and than
+#: MIN_DOCS, which only keeps a few documents from deciding in a small host.
+MIN_DOCS, SHARE = 5, 0.02
 #: A document is depleted if removing lines leaves fewer words than LEFT_WORDS, or less than LEFT_SHARE of its words.
 LEFT_WORDS, LEFT_SHARE = 10, 0.2
 #: Documents of the same frequent lines count once if these hold NEAR times as many words as their other lines, or more.
@@ -116,7 +117,7 @@ def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sh
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(features(docs, host).withColumn("uid", F.monotonically_increasing_id()), "features")
     own = rows.select("uid", F.coalesce("host", F.lit("\0")).alias("host"), F.explode("lines").alias("l")).select("uid", "host", "l.*")
-    hosts = rows.groupBy(F.coalesce("host", F.lit("\0")).alias("host")).agg(F.count("*").alias("docs"))
+    hosts = rows.groupBy(F.coalesce("host", F.lit("\0")).alias("host"), "signature").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("docs"))
     often = own.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     often = scratch.save(often.join(hosts, "host").filter(F.col("n") > limit).select("host", "line", limit.alias("limit")), "often")

@@ -252,6 +252,49 @@ def test_quality_counts_pages_that_are_mostly_boilerplate(spark):
     assert {i for i, r in got.items() if not r.kept} == {1000 + i for i in range(20)}
 
 
+def brute_quality(rows):
+    """Kept, removed words of each row by the stated rule, with its production parameters."""
+    lines = [Counter() for _ in rows]
+    for own, (_, text, _) in zip(lines, rows):
+        for x in text.split("\n"):
+            if words(x):
+                own[tuple(w.lower() for w in words(x))] += len(words(x))
+    held, distinct, votes = Counter(), {}, {}
+    for own, (_, _, host) in zip(lines, rows):
+        held.update((host, x) for x in own)
+        distinct.setdefault(host, set()).add(frozenset(own))
+    limit = {h: max(5, 0.02 * len(d)) for h, d in distinct.items()}
+    for own, (_, _, host) in zip(lines, rows):
+        often = frozenset(x for x in own if held[host, x] > limit[host])
+        shared = sum(own[x] for x in often)
+        voter = ("near", often) if 8 * (sum(own.values()) - shared) <= shared else ("own", frozenset(own))
+        for x in often:
+            votes.setdefault((host, x), set()).add(voter)
+    out = {}
+    for own, (i, text, host) in zip(lines, rows):
+        n, removed = sum(own.values()), sum(k for x, k in own.items() if len(votes.get((host, x), ())) > limit[host])
+        failed = n < 10 or 5 * brute_features(text)[4] > n
+        out[i] = (not failed and not (removed and (n - removed < 10 or n - removed < 0.2 * n)), removed)
+    return out
+
+
+def test_quality_against_brute_force_at_all_sizes(spark):
+    rng, rows = np.random.default_rng(9), []
+    for host, size in (("a", 10), ("b", 50), ("c", 500), ("d", 1500)):
+        lines = [" ".join(f"{host}{k}w{j}" for j in range(4 + k)) for k in range(40)]
+        for i in range(size):
+            some = [x for k, x in enumerate(lines) if rng.random() < 0.3 / (1 + k)]
+            own = " ".join(f"{host}{i}o{j}" for j in range(int(rng.choice([1, 5, 12, 40]))))
+            rows.append((len(rows), "\n".join([*some, own]), host))
+            if i % 9 == 0:
+                rows.append((len(rows), rows[-1][1], host))
+    got = {r.doc_id: (r.kept, r.removed_words) for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = brute_quality(rows)
+    assert got == want
+    for host in "bcd":
+        assert any(want[i][1] for i, _, h in rows if h == host)
+
+
 # ---- toxicity
 
 
