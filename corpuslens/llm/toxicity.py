@@ -26,9 +26,9 @@ from corpuslens.llm import arrays
 from corpuslens.llm.scratch import bounded
 
 #: Labelled rows to train on, at most, of the toxic and of the other class.
-TRAIN_ROWS = (1000, 2000)
-#: N-grams that fewer training texts hold have no vector of their own (that of nothing, zero).
-MIN_TEXTS = 20
+TRAIN_ROWS = (1500, 3500)
+#: N-grams that a smaller share of the training texts hold, or only one, have no vector of their own (that of nothing, zero).
+MIN_SHARE = 0.004
 #: A text's mean has so many neutral words besides its own, so that a few rare n-grams don't decide on a short text.
 NEUTRAL = 60
 BUCKET_BITS, DIM, EPOCHS, RATE, DECAY = 20, 4, 40, 0.3, 1e-6
@@ -142,7 +142,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
             if count:
                 held += np.bincount(bucket, texts_of[owner], 1 << BUCKET_BITS)
             else:
-                common = held[bucket] >= MIN_TEXTS
+                common = held[bucket] >= max(2, round(MIN_SHARE * len(texts)))
                 kept.append((bucket[common].astype(np.int32), owner[common]))
     scale = (1 / size).astype(np.float32)[:, None]
     bucket, ngram_word = (np.concatenate([x[i] for x in kept]) for i in (0, 1))

@@ -328,6 +328,15 @@ def test_toxicity_learns_and_shares_subwords(spark, docs):
     assert clean.columns == df.columns and 990 <= clean.count() < 1060
 
 
+def test_toxicity_rare_ngrams_scale_with_the_sample():
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(200)]
+    texts = [" ".join([*rng.choice(plain, 20), *["gronkwald"] * (3 * (i < 15))]) for i in range(600)]
+    model = toxicity.train(texts, np.arange(600) < 15, np.ones(600))
+    score = model.score(*arrays.buffers(pa.array(["gronkwald " * 10 + " ".join(plain[:20]), " ".join(plain[:30])], pa.string())))
+    assert score[0] > 0.5 > score[1] and toxicity.TRAIN_ROWS == (1500, 3500)
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([(4, None), (None, 1)], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0}
