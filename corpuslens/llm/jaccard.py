@@ -100,7 +100,7 @@ def sliced(array: np.ndarray) -> pa.RecordBatch:
 
 
 def document_sets(docs: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles and sid of every document, and the levels of the counters of words and of n-grams."""
+    """doc_id, row (a hash of the text), n_shingles and sid of every document, and the levels of the counters of words and of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
@@ -111,17 +111,18 @@ def document_sets(docs: DataFrame, size: int, scratch: Scratch) -> tuple[DataFra
                 own += np.bincount(counter(hashes), minlength=1 << SKETCH_BITS)
             none = pa.nulls(len(batch))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-                names=["doc_id", "n_shingles", "sid", "slice", "blob"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
+                names=["doc_id", "row", "n_shingles", "sid", "slice", "blob"],
             )
         last = sliced(counts.ravel())
         none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, *last.columns], names=["doc_id", "n_shingles", "sid", "slice", "blob"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, *last.columns], names=["doc_id", "row", "n_shingles", "sid", "slice", "blob"])
 
-    both = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, slice int, blob binary"), "sets")
+    each = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+    both = scratch.save(each.mapInArrow(run, "doc_id long, row long, n_shingles long, sid long, slice int, blob binary"), "sets")
     counts = fold(both.filter("slice IS NOT NULL").select("slice", "blob"), "<i8", np.add)
     level = np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8) if len(counts) else np.zeros(2 << SKETCH_BITS, np.uint8)
-    return both.filter("slice IS NULL").select("doc_id", "n_shingles", "sid"), level.reshape(2, -1)
+    return both.filter("slice IS NULL").select("doc_id", "row", "n_shingles", "sid"), level.reshape(2, -1)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -266,10 +267,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         mark = now
 
 
-def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document. Documents link
-    whose sets have den * intersection >= num * union."""
-    docs, scratch = bounded(docs), Scratch(docs.sparkSession, "jaccard")
+def rooted(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """doc_id, row, n_shingles and root of every document; those of a component have the same root."""
+    docs = bounded(docs)
     sets, level = document_sets(docs, size, scratch)
     context = docs.sparkSession.sparkContext
     levels = context.broadcast(level)
@@ -321,16 +321,34 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
         links = links.unionByName(verify(rest, docs, sets, size, num, den, scratch, "rest"))
         roots = components(links, scratch, "second")
 
-    rooted = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("root", "sid").alias("root"))
-    rooted = scratch.save(rooted, "rooted")
-    least = scratch.save(rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    found = rooted.filter("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return found.unionByName(rooted.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "row", "n_shingles", F.coalesce("root", "sid").alias("root"))
+    return scratch.save(found, "rooted")
+
+
+def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document. Documents link
+    whose sets have den * intersection >= num * union."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    every = rooted(docs, size, num, den, scratch).drop("row")
+    some = every.filter("n_shingles > 0")
+    least = scratch.save(some.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    found = some.join(least, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return found.unionByName(every.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
+    """One row of each component, with all its columns: one with the smallest doc_id (null only if there is no other). Rows are told
+    apart by doc_id and text; of those that repeat one stays. Rows without n-grams all stay."""
     scratch = Scratch(docs.sparkSession, "near")
-    gone = join(docs, size, num, den).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    gone = scratch.save(gone, "gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    some = rooted(docs, size, num, den, scratch).filter("n_shingles > 0")
+    best = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count("*").alias("n"))
+    best = scratch.save(best.filter("n > 1").select("root", "best.doc_id", "best.row").toDF("root", "best_id", "best_row"), "best")
+    kept = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row"))
+    each = some.join(best, "root").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hash")).agg(F.max(kept).alias("kept"), F.count("*").alias("n"))
+    each = scratch.save(each.filter("NOT kept OR n > 1"), "judged")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
+    rows, twice = docs.withColumn("_row", F.xxhash64("text")), each.filter("kept")
+    out = rows.join(each, same, "left_anti")
+    if not twice.isEmpty():  # rows that repeat: one of them stays
+        out = out.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_row"]))
+    return out.drop("_row")

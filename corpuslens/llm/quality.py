@@ -34,7 +34,7 @@ LEFT_WORDS, LEFT_SHARE = 10, 0.2
 NEAR = 8
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>, signature long"
+FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>, signature long, row long"
 LINE = pa.struct([("line", pa.int64()), ("words", pa.int32())])
 
 
@@ -61,7 +61,7 @@ def repeated_words(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> np.
 
 
 def features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The base figures of each document and its distinct normalised lines (hash, words), and a signature of all of them."""
+    """The base figures of each document and its distinct normalised lines (hash, words), a signature of all of them, and ``row``, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in arrays.text_slices(batches, "text"):
@@ -105,15 +105,16 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
                     ),
                     lines,
                     pa.array(signature),
+                    batch.column(2),
                 ],
-                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "signature"],
+                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "signature", "row"],
             )
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text").mapInArrow(run, FEATURES)
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, FEATURES)
 
 
-def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, the base figures, base_failed, removed_words and kept."""
+def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """One row per document: doc_id, host, row, the base figures, base_failed, removed_words and kept."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(features(docs, host).withColumn("uid", F.monotonically_increasing_id()), "features")
     own = rows.select("uid", F.coalesce("host", F.lit("\0")).alias("host"), F.explode("lines").alias("l")).select("uid", "host", "l.*")
@@ -135,12 +136,19 @@ def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sh
         rows.drop("lines", "signature")
         .join(removed, "uid", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
+        .select("doc_id", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
     )
 
 
+def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """One row per document: doc_id, the base figures, base_failed, removed_words and kept."""
+    return judged(docs, host, min_docs, share).drop("host", "row")
+
+
 def clean(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that are kept, with all their columns. A doc_id of which a row is rejected goes with all its rows."""
+    """The rows that are kept, with all their columns. Rows are told apart by doc_id, host and text; those that repeat are judged alike."""
     scratch = Scratch(docs.sparkSession, "clean")
-    gone = scratch.save(verdicts(docs, host).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = judged(docs, host).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("row").alias("_gone")).distinct()
+    gone = scratch.save(gone, "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col(host).cast("string").eqNullSafe(F.col("_host")) & (F.col("_row") == F.col("_gone"))
+    return docs.withColumn("_row", F.xxhash64("text")).join(gone, same, "left_anti").drop("_row")

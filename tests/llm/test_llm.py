@@ -483,6 +483,27 @@ def test_jaccard_on_awkward_rows(docs):
     assert kept.columns == docs.columns and {9, 10}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    near = lambda k, edit="": " ".join([f"{k}w{j}" for j in range(60)] + [edit] * bool(edit))
+    rows = [
+        (1, near("a")), (None, near("a", "x")), (None, near("b")), (None, near("c")), (None, near("c", "y")), (2, near("d")), (2, near("e")),
+        (0, near("e", "z")), (3, near("f")), (3, near("f")), (4, near("g")), (4, near("g", "u")), (None, near("h")), (None, near("h")), (None, None), (5, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("other", F.lit(1)).repartition(3)
+    got = jaccard.deduplicate(df)
+    assert got.columns == df.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    assert Counter((t or "")[:1] for _, t in got) == {**{k: 1 for k in "abcdefgh"}, "": 2} and all(r in rows for r in got)
+    assert {i for i, t in got if t} == {None, 0, 1, 2, 3, 4} and (2, near("d")) in got and (0, near("e", "z")) in got and (1, near("a")) in got
+
+
+def test_quality_clean_takes_judged_rows_only(spark):
+    good = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(None, "too short", "h"), (None, good("a"), "h"), (7, good("b"), "h"), (7, "short", "h"), (8, None, None), (8, good("c"), None), (9, good("d"), "h"), (9, good("d"), "h")]
+    got = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"] and sorted(map(tuple, got.collect()), key=repr) == sorted((r for r in rows if len((r[1] or "").split()) > 9), key=repr)
+
+
 def test_suffix_filter_never_loses():
     rng = np.random.default_rng(3)
     for _ in range(300):
