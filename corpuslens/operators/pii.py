@@ -1,7 +1,7 @@
 """Personal data in text: card numbers, phone numbers, personal numbers, with places and short evidence.
 
 Places and the words around a hit decide, which regular expressions of the JVM don't give; so texts go to Python in Arrow
-batches, once, and only those with a digit run long enough to matter (a filter in the scan's stage)."""
+batches, once, and only those with a digit run long enough to matter (a filter in the scan's stage; digits of any script, as in Python)."""
 
 from __future__ import annotations
 
@@ -76,7 +76,7 @@ def scan(docs: DataFrame, key: str = "document_id", text: str = "text") -> DataF
             rows = [(k, *hit) for k, t in zip(frame[key], frame["_text"]) for hit in scan_text(t)]
             yield pd.DataFrame(rows, columns=[key, "kind", "value", "start", "end", "evidence"])
 
-    some = docs.select(key, F.col(text).alias("_text")).filter(F.col("_text").rlike(r"(?:\d[ -]?){9}\d"))
+    some = docs.select(key, F.col(text).alias("_text")).filter(F.col("_text").rlike(r"(?U)(?:\d[ -]?){9}\d"))
     return some.mapInPandas(run, f"{key} {kind}, kind string, value string, start int, end int, evidence string")
 
 

@@ -180,3 +180,21 @@ def test_draft():
     assert drafts.draft({}, "a", "b", "返信", NOW)["language"] == "ja"
     assert drafts.file_name("taro@x.jp", "Hi there", NOW) == "2026-05-17-taro-hi-there-000000.md"
     assert "1. **a.pdf** (pdf) p.2" in drafts.packet_markdown({"sources": [source], "intent": "x"})
+
+
+def test_digits_of_any_script(spark):
+    import re
+
+    wide = str.maketrans("0123456789", "０１２３４５６７８９")
+    texts = [t.translate(wide) for t in ("個人番号 123456789012 です", "card 4111 1111 1111 1111 ok", "only 12 and 34")]
+    df = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    got = [(r.document_id, *tuple(r)[1:]) for r in pii.scan(df).orderBy("document_id", "start").collect()]
+    assert got == [(i, *h) for i, t in enumerate(texts) for h in pii.scan_text(t)] and {g[0] for g in got} == {0, 1}
+    said = [t.translate(wide) for t in ("2024年5月3日 に 1,200円", "2024-05-03 total USD 120.50", "¥ 300")]
+    chunks = spark.createDataFrame([(k, k, t) for k, t in enumerate(said)], "document_id long, chunk_id long, text string")
+    found = {(r.document_id, r.kind, r.text) for r in entities.extract(chunks, kinds=("money", "date")).collect()}
+    want = set()
+    for kind, _, pattern in entities.PATTERNS[:2]:
+        flags = re.IGNORECASE if "(?i" in pattern else 0
+        want |= {(k, kind, m[0].strip(" ")) for k, t in enumerate(said) for m in re.finditer(re.sub(r"^\(\?i?U\)", "", pattern), t, flags)}
+    assert found == want and len(want) >= 5
