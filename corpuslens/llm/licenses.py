@@ -1,6 +1,9 @@
 """License scans by a trained paragraph classifier.
 
-A paragraph is a line; a longer one than WINDOW words is read in windows that overlap by half. Words and word pairs of a
+A paragraph is a line; a longer one than WINDOW words is read in windows that overlap by half. Lines that no blank line (one without
+words) parts are also read together, in windows of WINDOW words across their breaks, each STEP words on, so that a notice
+wrapped over lines is seen whole; what they find counts where no line's own match of that family stands, and
+replaces matches of family unknown in that place. Words and word pairs of a
 paragraph, hashed, go into a multinomial logistic regression whose classes are license families, ``unknown`` (talk of a
 license of no known family) and ``none``. It is trained in numpy on variations of the templates below, on made-up license
 names, and on paragraphs of a bounded sample of documents. Probabilities are calibrated by a temperature fitted on
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import arrays
 from corpuslens.llm.scratch import bounded
 
-WINDOW, MIN_CONTAINED, DECISIVE = 40, 0.8, 0.95
+WINDOW, STEP, MIN_CONTAINED, DECISIVE = 40, 10, 0.8, 0.95
 #: Documents whose paragraphs serve as examples without a license, at most (the lowest hashes of doc_id), and paragraphs.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 1500
 BUCKET_BITS, VARIATIONS, EPOCHS = 15, 30, 60
@@ -127,6 +130,21 @@ def paragraphs(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, begin, np.minimum(begin + WINDOW, np.repeat(last, pieces))
 
 
+def wrapped(low: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last word (one more) of windows over two lines or more that no blank line parts."""
+    a, b = arrays.spans(low != 10, offsets)
+    first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
+    a, b, first, last = (x[last > first] for x in (a, b, first, last))
+    row = np.searchsorted(offsets, a, "right")
+    apart = (a[1:] != b[:-1] + 1) | (row[1:] != row[:-1])
+    head, tail = np.flatnonzero(np.r_[True, apart][: len(a)]), np.flatnonzero(np.r_[apart, True][: len(a)])
+    first, last = first[head[tail > head]], last[tail[tail > head]]
+    pieces = np.maximum(1, -(-(last - first - WINDOW) // STEP) + 1)
+    k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(first, pieces) + k * STEP
+    return begin, np.minimum(begin + WINDOW, np.repeat(last, pieces))
+
+
 def buckets(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature of each word, and of each word with the next."""
     word = arrays.span_hashes(low, starts, ends)
@@ -278,6 +296,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             count = np.bincount(row, minlength=len(batch))
             found: list[list[dict]] = [[] for _ in range(len(batch))]
             if len(begin):
+                n_own, more = len(begin), wrapped(low, offsets, starts)
+                begin, end = np.concatenate([begin, more[0]]), np.concatenate([end, more[1]])
                 p = shared.value.probabilities(low, starts, ends, begin, end)
                 points = np.cumsum((data & 0xC0) != 0x80)
                 last = [(-1, -1, "")] * len(batch)
@@ -285,6 +305,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     a, b = int(starts[begin[k]]), int(ends[end[k] - 1])
                     doc = int(np.searchsorted(offsets, a, "right")) - 1
                     text = data[a:b].tobytes().decode("utf-8", "replace")
+                    if k >= n_own:
+                        text = re.sub(r"[\W_]+", " ", text)
                     c = int(np.argmax(p[k, :-1]))
                     family, template = CLASSES[c], -1
                     if c < len(FAMILIES):
@@ -294,11 +316,18 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     if family == "unknown" and not TALK.search(text):
                         continue
                     start = int(points[a] - points[offsets[doc]])
-                    if last[doc][2] == family and start < last[doc][1]:  # the same one, in the next window
+                    if k < n_own and last[doc][2] == family and start < last[doc][1]:  # the same one, in the next window
                         continue
                     length = int(points[b - 1] - points[a] + 1)
+                    if k >= n_own:
+                        here = [m for m in found[doc] if m["start"] < start + length and start < m["start"] + m["length"]]
+                        if any(family in ("unknown", m["family"]) for m in here):
+                            continue
+                        found[doc] = [m for m in found[doc] if m not in here or m["family"] != "unknown"]
                     last[doc] = (start, start + length, family)
                     found[doc].append({"family": family, "probability": float(p[k, c]), "template": template, "start": start, "length": length})
+            for own in found:
+                own.sort(key=lambda m: m["start"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count.astype(np.int64)), pa.array(found, MATCHES)], names=["doc_id", "n_paragraphs", "matches"])
 
     return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_paragraphs long, matches array<struct<family:string,probability:double,template:int,start:long,length:long>>")

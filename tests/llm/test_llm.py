@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import sys
+import textwrap
 import zlib
 from collections import Counter
 from math import log10
@@ -347,6 +348,23 @@ def test_toxicity_without_labels(spark, docs):
 # ---- licenses
 
 
+def test_licenses_wrapped_over_lines(spark, corpus):
+    model = licenses.train(licenses.sample(corpus))
+    rows = []
+    for family, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for width in (40, 75):
+                lines = textwrap.wrap(template, width)
+                rows += [(family, template, f"Some file.\n\n{sep.join(lines)}\n\nOther words here.") for sep in (" ", "\n", "\n * ")]
+    df = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = [r for r in licenses.digest(licenses.scan(df, model)).orderBy("doc_id").collect()]
+    for k in range(0, len(rows), 3):
+        flat = got[k]
+        for r in got[k : k + 3]:
+            assert (r.license, r.families) == (flat.license, flat.families), rows[r.doc_id]
+    assert all(got[k].license == f for k, (f, t, _) in enumerate(rows) if f in ("MIT", "BSD", "MPL-2.0") and len(t) > 75)
+
+
 def test_licenses(spark, corpus):
     model = licenses.train(licenses.sample(corpus))
     texts = [
