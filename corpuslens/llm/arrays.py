@@ -7,28 +7,28 @@ all of these are single bytes in UTF-8, so no decoding is needed. Null texts cou
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once. A longer text is still worked on whole.
+#: Bytes of text worked on at once. A longer text is still worked on whole, but what takes memory per byte goes in parts of it.
 SLICE_BYTES = 1 << 20
-#: Bytes hashed at once: each takes three eight-byte values meanwhile.
-HASH_BYTES = 1 << 19
+#: Byte ranges or sequences hashed at once, and the values that are mixed in turn: longer ones go through BLAKE2b.
+HASH_RANGES, HASH_TURNS = 1 << 17, 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+IN_LINE = np.arange(256) != 10
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SEEDS = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,15 +41,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _UNBASE)):
-            p = np.full(max(n, 1 << 16), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a text column."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,39 +79,63 @@ def give_back() -> None:
         trim(0)
 
 
-def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True that no row boundary crosses."""
-    n = len(solid)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    before, after = np.ones(n, bool), np.ones(n, bool)
-    before[1:] = ~solid[:-1]
-    after[:-1] = ~solid[1:]
-    before[offsets[offsets < n]] = True
-    after[offsets[offsets > 0] - 1] = True
-    return np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
+def spans(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are True in a table of 256, which no row boundary crosses."""
+    starts, ends, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], len(data)
+    for a in range(0, n, SLICE_BYTES):
+        b = min(a + SLICE_BYTES, n)
+        solid = table[data[max(a - 1, 0) : b + 1]]
+        own = solid[a > 0 :][: b - a]
+        before, after = np.ones(b - a, bool), np.ones(b - a, bool)
+        before[a == 0 :] = ~solid[: b - a - (a == 0)]
+        after[: len(solid) - (a > 0) - 1] = ~solid[(a > 0) + 1 :]
+        before[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a] = True
+        after[offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "right")] - 1 - a] = True
+        starts.append(np.flatnonzero(own & before) + a)
+        ends.append(np.flatnonzero(own & after) + a + 1)
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row (one more) the number of words before it."""
-    starts, ends = spans(~SPACE[data], offsets)
+    starts, ends = spans(~SPACE, data, offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a 64-bit value; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+
+
+def chained(size: np.ndarray, value: Callable[[np.ndarray, int], np.ndarray], blob: Callable[[int], bytes], turns: int) -> np.ndarray:
+    """Hashes of sequences of ``size`` values, mixed in one after the other; ``value`` gives those of some sequences at a turn,
+    ``blob`` the bytes of a whole sequence of more than ``turns``."""
+    out = size.astype(np.uint64) * _SEEDS[63]
+    for a in range(0, len(size), HASH_RANGES):
+        part = slice(a, a + HASH_RANGES)
+        left, turn = np.flatnonzero((size[part] > 0) & (size[part] <= turns)) + a, 0
+        while len(left):
+            out[left] = mix(out[left] * _SEEDS[60] + value(left, turn))
+            turn += 1
+            left = left[size[left] > turn]
+    for k in np.flatnonzero(size > turns).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(blob(k), digest_size=8).digest(), "little")
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, by prefix sums of a polynomial modulo 2**64."""
-    out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):  # long buffers go in parts, as eight-byte values would fill the memory
-        m = max(k + 1, int(np.searchsorted(ends, starts[k] + HASH_BYTES, "right")))
-        a, b = int(starts[k]), int(ends[k:m].max())
-        up, down = _power(b - a + 1)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=total[1:])
-        s, e = starts[k:m] - a, ends[k:m] - a
-        out[k:m] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _SEEDS[63]
-        k = m
-    return mix(out)
+    """64-bit hashes of byte ranges, eight bytes at a time."""
+    at, length = eights(data), ends - starts
+    value = lambda k, turn: at[starts[k] + 8 * turn] & _MASK[np.minimum(length[k] - 8 * turn, 8)]
+    hashes = chained(-(-length // 8), value, lambda k: data[starts[k] : ends[k]].tobytes(), HASH_TURNS)
+    return mix(hashes + length.astype(np.uint64))
+
+
+def sequence_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of 64-bit values."""
+    return mix(chained(last - first, lambda k, turn: values[first[k] + turn], lambda k: values[first[k] : last[k]].tobytes(), HASH_TURNS))
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +158,18 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
 
 def whole(hashes: np.ndarray) -> np.uint64:
     """One hash for a sequence of words that is shorter than a window."""
-    h = np.full(1, len(hashes), np.uint64) * _SEEDS[62]
-    for k in range(len(hashes)):
-        h = mix(h + hashes[k : k + 1] * _SEEDS[61])
-    return h[0]
+    return sequence_hashes(hashes, np.zeros(1, np.int64), np.array([len(hashes)]))[0] ^ _SEEDS[62]
+
+
+def count_between(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many are True between each two bounds."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    some = np.flatnonzero(np.diff(bounds) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(mask[: bounds[-1]].view(np.uint8), bounds[some], dtype=np.int64)
+    return out
 
 
-def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Code points in byte ranges of UTF-8."""
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=total[1:])
-    return total[ends] - total[starts]
+def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Code points of each text in UTF-8."""
+    return count_between((data & 0xC0) != 0x80, offsets)

@@ -15,17 +15,21 @@ import base64
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-from corpuslens.llm.arrays import mix
+from corpuslens.llm.arrays import SPACE as WHITE_BYTE
+from corpuslens.llm.arrays import eights, mix
 
-#: Bytes of text worked on at once.
+#: Bytes of text worked on at once; a longer text goes in parts.
 SLICE_BYTES = 1 << 20
-#: A worker's cache has 2**CACHE_BITS slots (24 bytes each) and is emptied when half full. Longer pre-tokens than CACHED_BYTES
-#: aren't kept, and longer ones than MERGED_BYTES are merged one at a time.
+#: A worker's cache has 2**CACHE_BITS slots (24 bytes each); it takes in no more once half full, and the next slice begins an
+#: empty one. Longer pre-tokens than CACHED_BYTES aren't kept, and longer ones than MERGED_BYTES are merged one at a time.
 CACHE_BITS, CACHED_BYTES, MERGED_BYTES = 20, 16, 64
+#: Pre-tokens merged together.
+MERGED_TOGETHER = 1 << 16
 
 # ---- pre-tokenisation
 
@@ -34,6 +38,13 @@ OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 #: contract with one or two letters. FIRST is added at the start of a text.
 S_GLUE, S_ALONE, S_RUN, S_SHORT, S_LONG, FIRST = 3, 4, 5, 6, 7, 8
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, GLUED, IN_BLANKS, ONE_LEFT, TWO_LEFT = range(8)
+#: Letters and numbers that Unicode 16.0 has and 15.1, which Python knows, has not.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -43,6 +54,9 @@ def classes() -> np.ndarray:
     for c in range(0x110000):
         kind = unicodedata.category(chr(c))[0]
         table[c] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for a, b in ranges:
+            table[a : b + 1] = kind
     table[WHITE] = BLANK
     table[0x20] = SPACE
     return table
@@ -292,6 +306,8 @@ def _from_json(path: str) -> Vocabulary:
         raise ValueError(f"{path}: not a plain byte-level BPE")
     vocabulary, byte = spec["model"]["vocab"], printable()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(c.isspace() for t in special for c in t):  # long texts are parted at spaces
+        raise ValueError(f"{path}: a special token with white space")
     tokens = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
     for t, i in vocabulary.items():
         tokens[i] = t.encode() if t in special else bytes(byte[c] for c in t)
@@ -309,10 +325,7 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first 8 and the next 8 bytes of byte ranges as 64-bit words, and their lengths."""
-    padded = np.zeros(len(data) + 16, np.uint8)
-    padded[: len(data)] = data
-    words = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
-    length = ends - starts
+    words, length = eights(data), ends - starts
     low = words[starts] & _MASK[np.minimum(length, 8)]
     high = words[np.minimum(starts + 8, len(data) + 7)] & _MASK[np.clip(length - 8, 0, 8)]
     return low, high, length
@@ -328,7 +341,7 @@ class PieceCache:
     added at once. A row has the two words and, in the third, length, number of ids and place in the pool."""
 
     def __init__(self, bits: int):
-        self.mask, self.entries = np.uint64((1 << bits) - 1), 0
+        self.mask, self.entries, self.most = np.uint64((1 << bits) - 1), 0, 1 << bits - 1
         self.rows = np.zeros((1 << bits, 3), np.uint64)
         self.pool, self.used = np.empty(1 << 16, "<u4"), 0
 
@@ -346,7 +359,11 @@ class PieceCache:
         return (found >> np.uint64(16)).astype(np.int64), ((found >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
 
     def add(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Distinct pre-tokens that aren't there, with their ids one after the other."""
+        """Distinct pre-tokens that aren't there, with their ids one after the other; at most as many as there is room for, as
+        a table must have free slots for a search to end."""
+        room = max(0, self.most - self.entries)
+        low, high, length, sizes = low[:room], high[:room], length[:room], sizes[:room]
+        ids = ids[: int(sizes.sum())]
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + len(ids), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -372,33 +389,40 @@ class Encoder:
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and for each byte range its place there and its number of ids."""
-        if self.cache.entries > 1 << CACHE_BITS - 1:
+        if self.cache.entries >= self.cache.most:
             self.cache = PieceCache(CACHE_BITS)
         low, high, length = packed(data, starts, ends)
         short = length <= CACHED_BYTES
         if not short.all():
             low, high = np.where(short, low, 0), np.where(short, high, 0)
         place, size = self.cache.find(low, high, np.where(short, length, 0))
-        while len(miss := np.flatnonzero(short & (size == 0) & (length > 0))):
-            _, first = np.unique(spread(low[miss], high[miss], length[miss]), return_index=True)
+        pools, used = [self.cache.pool[: self.cache.used]], self.cache.used
+
+        def put(rows: np.ndarray, ids: np.ndarray, count: np.ndarray, of: np.ndarray) -> None:
+            nonlocal used
+            place[rows], size[rows] = (used + np.cumsum(count) - count)[of], count[of]
+            pools.append(ids)
+            used += len(ids)
+
+        miss = np.flatnonzero(short & (size == 0) & (length > 0))
+        while len(miss):  # a second turn is for those whose hash is another pre-token's too
+            _, first, of = np.unique(spread(low[miss], high[miss], length[miss]), return_index=True, return_inverse=True)
             new = miss[first]
-            ids, count = self.vocabulary.merge(take_runs(data, starts[new], length[new]), length[new])
+            merged = [self.vocabulary.merge(take_runs(data, starts[k], length[k]), length[k]) for k in np.split(new, range(MERGED_TOGETHER, len(new), MERGED_TOGETHER))]
+            ids, count = (np.concatenate([m[i] for m in merged]) for i in (0, 1))
+            same = (low[miss] == low[new[of]]) & (high[miss] == high[new[of]]) & (length[miss] == length[new[of]])
+            put(miss[same], ids, count, of[same])
             self.cache.add(low[new], high[new], length[new], ids, count)
-            place[miss], size[miss] = self.cache.find(low[miss], high[miss], length[miss])
-        pool = self.cache.pool[: self.cache.used]
-        if not short.all():
-            rest = np.flatnonzero(~short)
-            medium = rest[length[rest] <= MERGED_BYTES]
-            ids, count = self.vocabulary.merge(take_runs(data, starts[medium], length[medium]), length[medium])
-            pools, used = [pool, ids], len(pool) + len(ids)
-            place[medium], size[medium] = len(pool) + np.cumsum(count) - count, count
-            for k in rest[length[rest] > MERGED_BYTES].tolist():
-                ids = self.vocabulary.merge_long(data[starts[k] : ends[k]].tobytes())
-                place[k], size[k] = used, len(ids)
-                pools.append(ids)
-                used += len(ids)
-            pool = np.concatenate(pools)
-        return pool, place, size
+            miss = miss[~same]
+        rest = np.flatnonzero(~short)
+        medium = rest[length[rest] <= MERGED_BYTES]
+        for k in np.split(medium, range(MERGED_TOGETHER >> 2, len(medium), MERGED_TOGETHER >> 2)):
+            if len(k):
+                put(k, *self.vocabulary.merge(take_runs(data, starts[k], length[k]), length[k]), np.arange(len(k)))
+        for k in rest[length[rest] > MERGED_BYTES].tolist():
+            ids = self.vocabulary.merge_long(data[starts[k] : ends[k]].tobytes())
+            put(np.array([k]), ids, np.array([len(ids)]), np.zeros(1, np.int64))
+        return np.concatenate(pools) if len(pools) > 1 else pools[0], place, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and for each text (one more) the number of ids before it."""
@@ -407,6 +431,17 @@ class Encoder:
 
     def encode_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As encode, with the bytes at which pre-tokens start and the number of ids before each."""
+        ids, starts, before, at, n = [np.empty(0, "<u4")], [np.empty(0, np.int64)], [], 0, 0
+        for part, bounds in parts(data, offsets):
+            own, where, count = self._spans(part, bounds)
+            ids.append(own)
+            starts.append(where + at)
+            before.append(count[:-1] + n)
+            at, n = at + len(part), n + len(own)
+        starts, before = np.concatenate(starts), np.concatenate([*before, [n]])
+        return np.concatenate(ids), before[np.searchsorted(starts, offsets)], starts, before
+
+    def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cuts, special = special_cuts(data, offsets, self.vocabulary.special)
         starts = pretokens(data, cuts)
         pool, place, size = self.lookup(data, starts, np.append(starts[1:], len(data)))
@@ -416,8 +451,24 @@ class Encoder:
                 i, j = np.searchsorted(starts, (a, b))
                 size[i:j] = 0
                 place[i], size[i] = len(pool) - len(special) + k, 1
-        before = np.concatenate([[0], np.cumsum(size)])
-        return take_runs(pool, place, size), before[np.searchsorted(starts, offsets)], starts, before
+        return take_runs(pool, place, size), starts, np.concatenate([[0], np.cumsum(size)])
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A slice of texts as it is, or a long text in parts, each of about SLICE_BYTES, that encode as the whole does: a part ends before
+    a space after a visible character, where a pre-token starts whatever is around it. A text without such places stays whole."""
+    a, n = 0, len(data)
+    while len(offsets) == 2 and n - a > 2 * SLICE_BYTES:
+        b, k = a + SLICE_BYTES, None
+        while k is None and b < n:
+            near = data[b - 1 : b + SLICE_BYTES]
+            found = np.flatnonzero((near[1:] == 0x20) & (near[:-1] < 0x80) & ~WHITE_BYTE[near[:-1]])
+            k, b = (b + int(found[0]), b) if len(found) else (None, b + SLICE_BYTES)
+        if k is None:
+            break
+        yield data[a:k], np.array([0, k - a])
+        a = k
+    yield (data[a:], np.array([0, n - a])) if a else (data, offsets)
 
 
 def special_cuts(data: np.ndarray, offsets: np.ndarray, special: dict[bytes, int]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:

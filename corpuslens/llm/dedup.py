@@ -2,15 +2,17 @@
 
 Texts are equal when they are identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Each task first
 groups its own rows in an open-addressing table, so that a text repeated a million times leaves a task as one
-record. Records are then dealt by hash to buckets; a bucket's task fills a table of bounded bytes, comparing
-complete contents. Records that are new once the table is full pass through as spill files (a table in the
-shared folder), which the next level deals by another hash, until every bucket fits. A text is in a table or in
+record. Records are then dealt by hash to buckets, twice as many as would hold all bytes; a bucket fills a table of bounded
+bytes, comparing complete contents. Records that are new once the table is full pass through as spill files (a table in the
+shared folder), which the next level deals by another hash to buckets by their own bytes, until every bucket fits. So a level
+leaves only what uneven buckets couldn't hold, and the levels hardly grow with the input. A text is in a table or in
 spill files, never in both, as a full table still takes in what it holds. Losing an executor repeats tasks only.
 
-Of equal texts the row with the most code points in the original text stays, then the smallest doc_id (null last),
-then one of the rows that agree in both. Null texts count as empty; empty texts equal each other. Rows that repeat
-count each. Columns beside doc_id and text are carried by ``deduplicate`` and otherwise ignored. An empty
-table gives no rows. Two texts of equal SHA-256 but different content would end the run with an error.
+Of equal texts the row with the most code points in the original text stays, then the smallest doc_id (null last), then
+the one whose original text has the smallest hash, then one of the rows that agree in all three. Null texts count as empty; empty
+texts equal each other. Rows that repeat count each. Columns beside doc_id and text, whatever their names, are carried by
+``deduplicate`` and otherwise ignored. An empty table gives no rows. A long text is worked on whole (some ten bytes a byte).
+Tables compare contents, so hashes only deal; rows find their group again by SHA-256 and 128 bits of BLAKE2b together.
 """
 
 from __future__ import annotations
@@ -24,26 +26,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
-from corpuslens.llm.scratch import Scratch, bounded
+from corpuslens.llm.scratch import Scratch, bounded, keep_one
 
 #: Bytes of contents that one table holds; two tables at most live in a worker.
 TABLE_BYTES = 48 << 20
-DELETED = " \t\n\x0b\x0c\r"
+#: Tasks that a level's buckets are dealt to, at most; each works off its buckets one after the other.
+MOST_TASKS = 10_000
+SHA_BYTES = 32
 
-RECORD = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("rows", pa.int64()), ("chars", pa.int64()), ("keep_id", pa.int64()), ("n_best", pa.int64())])
-RECORD_DDL = "digest binary, content binary, rows long, chars long, keep_id long, n_best long"
+RECORD = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("rows", pa.int64()), ("chars", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("n_best", pa.int64())])
+RECORD_DDL = "digest binary, content binary, rows long, chars long, keep_id long, keep_row long, n_best long"
+
+
+def digest_of(content: bytes) -> bytes:
+    return hashlib.sha256(content).digest() + hashlib.blake2b(content, digest_size=16).digest()
 
 
 def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes], list[int]]]:
-    """Slices of (doc_id, text) with normalised contents, their SHA-256 and the code points of the originals."""
+    """Slices with normalised contents of ``text``, their digests and the code points of the originals."""
     for batch, data, offsets in arrays.text_slices(batches, "text"):
         solid = ~arrays.SPACE[data]
-        before = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(solid, out=before[1:])
-        edges, blob = before[offsets].tolist(), data[solid].tobytes()
+        edges, blob = np.concatenate([[0], np.cumsum(arrays.count_between(solid, offsets))]).tolist(), data[solid].tobytes()
         own = [blob[a:b] for a, b in zip(edges, edges[1:])]
-        chars = arrays.code_points(data, offsets[:-1], offsets[1:]).tolist()
-        yield batch, own, [hashlib.sha256(x).digest() for x in own], chars
+        chars = arrays.code_points(data, offsets).tolist()
+        yield batch, own, [digest_of(x) for x in own], chars
 
 
 class Table:
@@ -58,34 +64,31 @@ class Table:
         mask = len(self.slots) - 1
         at = int.from_bytes(digest[8:16], "little") & mask
         while (k := int(self.slots[at])) >= 0:
-            entry = self.entries[k]
-            if entry[1] == content:
+            if self.entries[k][1] == content:
                 return k, at
-            if entry[0] == digest:
-                raise RuntimeError(f"different texts have the SHA-256 {digest.hex()}")
             at = (at + 1) & mask
         return -1, at
 
-    def add(self, digest: bytes, content: bytes, rows: int, chars: int, keep: int | None, n_best: int) -> bool:
+    def add(self, digest: bytes, content: bytes, rows: int, chars: int, keep: int | None, row: int, n_best: int) -> bool:
         """False if the content is new and the table is full."""
         k, at = self.place(digest, content)
         if k < 0:
             if self.bytes + len(content) > self.limit and self.entries:
                 return False
             self.slots[at] = len(self.entries)
-            self.entries.append([digest, content, rows, chars, keep, n_best])
+            self.entries.append([digest, content, rows, chars, keep, row, n_best])
             self.bytes += len(content) + 200
             if 2 * len(self.entries) > len(self.slots):
                 self._grow()
             return True
         entry = self.entries[k]
         entry[2] += rows
-        order = lambda n, i: (-n, i is None, i or 0)
-        mine, other = order(entry[3], entry[4]), order(chars, keep)
+        order = lambda n, i, row: (-n, i is None, i or 0, row)
+        mine, other = order(*entry[3:6]), order(chars, keep, row)
         if other < mine:
-            entry[3:] = [chars, keep, n_best]
+            entry[3:] = [chars, keep, row, n_best]
         elif other == mine:
-            entry[5] += n_best
+            entry[6] += n_best
         return True
 
     def _grow(self) -> None:
@@ -113,29 +116,41 @@ def record_batch(rows: list[list], with_content: bool = True) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RECORD.types)], schema=RECORD)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+
+
 def records(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One record per content and task (more if a task's contents exceed a table)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(table_bytes)
         for batch, own, digests, chars in contents(batches):
-            for i, content, digest, n in zip(batch.column(0).to_pylist(), own, digests, chars):
-                if not table.add(digest, content, 1, n, i, 1):
+            for i, row, content, digest, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own, digests, chars):
+                if not table.add(digest, content, 1, n, i, row, 1):
                     yield from table.batches(True)
                     table = Table(table_bytes)
-                    table.add(digest, content, 1, n, i, 1)
+                    table.add(digest, content, 1, n, i, row, 1)
         yield from table.batches(True)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RECORD_DDL)
+    return keyed(docs).mapInArrow(run, RECORD_DDL)
 
 
-def groups(docs: DataFrame, scratch: Scratch, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """One row per distinct content: digest, rows, chars and keep_id of the best row, n_best rows that equal it."""
+def deal(rows: DataFrame, size: int, level: int, table_bytes: int, most_tasks: int) -> DataFrame:
+    """Records of ``size`` bytes to buckets, and what their tables hold (without contents) and spill (with contents)."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fan = max(tasks, -(-2 * size // table_bytes))
+    many = fan > max(tasks, most_tasks)  # then a task has several buckets, which come sorted
+    bucket = F.pmod(F.xxhash64("digest", F.lit(level)), F.lit(fan))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, spilled, size = Table(table_bytes), [], 0
+        table, spilled, size, now = Table(table_bytes), [], 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for *row, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if many and own != now:
+                    yield from table.batches(False)
+                    table, now = Table(table_bytes), own
                 if not table.add(*row):
                     spilled.append(list(row))
                     size += len(row[1])
@@ -146,31 +161,44 @@ def groups(docs: DataFrame, scratch: Scratch, table_bytes: int = TABLE_BYTES) ->
             yield record_batch(spilled)
         yield from table.batches(False)
 
+    dealt = rows.select("*", bucket.alias("bucket")).repartition(max(tasks, most_tasks) if many else fan, "bucket" if many else F.xxhash64("digest", F.lit(level)))
+    return (dealt.sortWithinPartitions("bucket") if many else dealt).mapInArrow(fit, RECORD_DDL)
+
+
+def groups(docs: DataFrame, scratch: Scratch, table_bytes: int = TABLE_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
+    """One row per distinct content: digest, rows, chars, keep_id and keep_row of the best row, n_best rows that equal it."""
     level, rows, done = 0, records(docs, table_bytes), None
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     while True:
-        dealt = rows.repartition(F.xxhash64("digest", F.lit(level)))
-        saved = scratch.save(dealt.mapInArrow(fit, RECORD_DDL), f"level{level}")
+        saved = scratch.save(deal(rows, size, level, table_bytes, most_tasks), f"level{level}")
         fitting = saved.filter(F.col("content").isNull()).drop("content")
         done = fitting if done is None else done.unionByName(fitting)
         rows = saved.filter(F.col("content").isNotNull())
-        if rows.isEmpty():
+        size = rows.agg(F.sum(F.octet_length("content") + F.lit(200))).first()[0]  # null: no rows
+        if size is None:
             return done
         level += 1
 
 
-def verdicts(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def judged(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> tuple[DataFrame, Scratch]:
+    """doc_id, row, digest of every document, best (if it is like the row of its group that stays), and the columns of groups where
+    a group has more than one row."""
     docs, scratch = bounded(docs), Scratch(docs.sparkSession, "dedup")
     many = scratch.save(groups(docs, scratch, table_bytes).filter("rows > 1"), "many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, digests, chars in contents(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(chars, pa.int64())], names=["doc_id", "digest", "own_chars"])
+        for batch, _, digests, _ in contents(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["doc_id", "row", "digest"])
+
+    each = keyed(docs).mapInArrow(run, "doc_id long, row long, digest binary")
+    best = F.col("rows").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row")))
+    return each.join(many, "digest", "left").withColumn("best", best), scratch
 
-    each = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, own_chars long")
-    best = F.col("rows").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own_chars") == F.col("chars")))
-    joined = each.join(many, "digest", "left").withColumn("best", best)
-    if not many.filter("n_best > 1").isEmpty():  # rows that repeat: one of them stays
+
+def verdicts(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    joined, scratch = judged(docs, table_bytes)
+    if not scratch.read("many").filter("n_best > 1").isEmpty():  # rows that repeat: one of them stays
         joined = scratch.save(joined.withColumn("tag", F.monotonically_increasing_id()), "joined")
         first = joined.filter("best AND n_best > 1").groupBy("digest").agg(F.min("tag").alias("first"))
         joined = joined.join(first, "digest", "left").withColumn("best", F.col("best") & (F.col("first").isNull() | (F.col("tag") == F.col("first"))))
@@ -179,19 +207,11 @@ def verdicts(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
         F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"),
         F.col("best").alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex(F.substring("digest", 1, SHA_BYTES))).alias("text_sha256"),
     )
 
 
 def deduplicate(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "deduplicate")
-    judged = scratch.save(verdicts(docs, table_bytes).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "judged")
-    keep = judged.filter("kept").groupBy("_id", "_sha").agg(F.lit(1).alias("_one")).drop("_one")
-    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), DELETED, "").cast("binary"), 256)
-    out = docs.withColumn("_sha", sha)
-    rows = out.join(keep, F.col("doc_id").cast("long").eqNullSafe(keep["_id"]) & (out["_sha"] == keep["_sha"]), "left_semi")
-    kept, pairs = judged.filter("kept").count(), judged.groupBy("_id", "_sha").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    if kept and not pairs.filter("kept AND n > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_sha"])
-    return rows.drop("_sha")
+    """The rows that stay, with all their columns. Rows are told apart by doc_id and text."""
+    joined, scratch = judged(docs, table_bytes)
+    return keep_one(docs, joined.filter("rows IS NOT NULL").select("doc_id", "row", F.col("best").alias("kept"), (F.col("n_best") > 1).alias("twice")), scratch)

@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
-from corpuslens.llm.scratch import Scratch, bounded
+from corpuslens.llm.scratch import Scratch, bounded, keep_one
 
-#: Counters of each of the two sketches, and bits of the filter of keys to look for; both in SLICES rows. Their size
-#: is fixed, so they may be broadcast at any size of the input (2 MB each).
-SKETCH_BITS, FILTER_BITS, SLICES = 20, 24, 64
+#: Counters of each of the two sketches, in SLICES rows. Their size is fixed, so they may be broadcast at any size of the input (2 MB).
+SKETCH_BITS, SLICES = 20, 64
+#: A filter of keys to look for has KEY_BITS bits for each, and 2**FILTER_BITS of them at most and at least (32 MB at most); for more keys
+#: than that, rows are found by a join instead.
+KEY_BITS, FILTER_BITS = 8, (20, 28)
 #: Earlier n-grams that a posting carries to keep pairs from coming twice.
 EARLIER = 4
 #: Stands for a null doc_id where one is looked for.
@@ -182,21 +184,23 @@ def bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return bound(a[:half], b[:cut], depth - 1) + bound(a[half:], b[cut:], depth - 1)
 
 
-def bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each key in a filter."""
+def bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in a filter of 2**size bits."""
     h = arrays.mix(keys.astype(np.int64).view(np.uint64))
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return (h >> np.uint64(64 - size)).astype(np.int64), (h & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
-def filter_of(keys: DataFrame) -> np.ndarray:
-    """A filter of fixed size that all keys in the columns of a table pass, and few others unless there are very many."""
+def filter_of(keys: DataFrame, most_bits: int = FILTER_BITS[1]) -> np.ndarray | None:
+    """A filter that all keys in the column of a written table pass, and one other in twenty at most; none if it would be too large."""
+    size = max(FILTER_BITS[0], (KEY_BITS * keys.count()).bit_length())
+    if size > most_bits:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        on = np.zeros(1 << (size - 3), np.uint8)
         for batch in batches:
-            for column in batch.columns:
-                for at in bits(column.to_numpy()):
-                    np.bitwise_or.at(on, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at in bits(batch.column(0).to_numpy(), size):
+                np.bitwise_or.at(on, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if on.any():
             yield sliced(on)
 
@@ -206,24 +210,29 @@ def filter_of(keys: DataFrame) -> np.ndarray:
 def passes(on: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(on):
         return np.zeros(len(keys), bool)
-    x, y = bits(keys)
+    x, y = bits(keys, len(on).bit_length() + 2)
     return ((on[x >> 3] >> (x & 7)) & (on[y >> 3] >> (y & 7)) & 1).astype(bool)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) that link. Of each class that occurs, one document's set is gathered, the one with the smallest
-    doc_id; a fixed-size filter finds these documents in the scan."""
+    doc_id; a filter finds these documents in the scan, or, if they are too many for one, a join."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     chosen = sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")).select("doc_id")
-    marked = docs.sparkSession.sparkContext.broadcast(filter_of(chosen))
+    chosen = scratch.save(chosen, f"{name}-chosen")
+    on = filter_of(chosen)
+    marked = docs.sparkSession.sparkContext.broadcast(on)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in arrays.text_slices(batches, "text"):
-            hit = np.flatnonzero(passes(marked.value, batch.column(0).to_numpy(zero_copy_only=False)))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = np.arange(len(ids)) if marked.value is None else np.flatnonzero(passes(marked.value, ids))
             own = [next(shingle_sets(data[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k], size))[0] for k in hit.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["sid", "grams"])
 
     with_id = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    if on is None:
+        with_id = with_id.join(chosen.distinct(), "doc_id", "left_semi").select("doc_id", "text")
     # a few more come through the filter or share a null id; a set that comes twice gives the same links again
     gathered = scratch.save(with_id.mapInArrow(gather, "sid long, grams binary"), f"{name}-sets", "lz4")
     marked.destroy()
@@ -241,7 +250,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, num: i
     one = pairs.join(gathered.select(F.col("sid").alias("a"), F.col("grams").alias("grams_a")), "a")
     two = one.join(gathered.select(F.col("sid").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = scratch.save(two.select("a", "b", "grams_a", "grams_b").mapInArrow(check, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-chosen")
     scratch.release()
     return links
 
@@ -278,13 +287,15 @@ def rooted(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     shared = lists.groupBy("gram").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low != high").select("gram")
     shared = scratch.save(shared, "grams")
     scratch.release()
-    marked = context.broadcast(filter_of(shared))
+    on = filter_of(shared)
+    marked = context.broadcast(on)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # most n-grams have one text only; they needn't go through the join
             yield batch.filter(pa.array(passes(marked.value, batch.column(0).to_numpy())))
 
-    some = lists.select("gram", "sid", "n", "pos").mapInArrow(sift, "gram long, sid long, n int, pos int")
+    some = lists.select("gram", "sid", "n", "pos")
+    some = some if on is None else some.mapInArrow(sift, "gram long, sid long, n int, pos int")
     lists = scratch.save(some.join(shared, "gram").distinct(), "shared")
     marked.destroy()
     scratch.drop("lists", "grams")
@@ -344,11 +355,5 @@ def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     best = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count("*").alias("n"))
     best = scratch.save(best.filter("n > 1").select("root", "best.doc_id", "best.row").toDF("root", "best_id", "best_row"), "best")
     kept = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row"))
-    each = some.join(best, "root").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hash")).agg(F.max(kept).alias("kept"), F.count("*").alias("n"))
-    each = scratch.save(each.filter("NOT kept OR n > 1"), "judged")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
-    rows, twice = docs.withColumn("_row", F.xxhash64("text")), each.filter("kept")
-    out = rows.join(each, same, "left_anti")
-    if not twice.isEmpty():  # rows that repeat: one of them stays
-        out = out.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_row"]))
-    return out.drop("_row")
+    each = some.join(best, "root").groupBy("doc_id", "row").agg(F.max(kept).alias("kept"), (F.count("*") > 1).alias("twice"))
+    return keep_one(docs, each, scratch)

@@ -5,12 +5,14 @@ words) parts are also read together, in windows of WINDOW words across their bre
 wrapped over lines is seen whole; what they find counts where no line's own match of that family stands, and
 replaces matches of family unknown in that place. Words and word pairs of a
 paragraph, hashed, go into a multinomial logistic regression whose classes are license families, ``unknown`` (talk of a
-license of no known family) and ``none``. It is trained in numpy on variations of the templates below, on made-up license
-names, and on paragraphs of a bounded sample of documents. Probabilities are calibrated by a temperature fitted on
-variations that were held out. A family is reported where its calibrated probability is the highest
-and the comparison with the templates confirms it: at least MIN_CONTAINED of the words and pairs of one of its templates stand in the
-paragraph, and no other family's template fits better. If one does, and fits to DECISIVE, that family is reported. A family that
-no template confirms counts as unknown, if the paragraph has a word of license talk.
+license of no known family) and ``none``. It is trained in numpy, in a task of an executor, on variations of the templates below, on
+made-up license names, and on paragraphs of a bounded sample of documents. Its probabilities are calibrated by a temperature: a first
+model learns from all but one template of each family, and the temperature is the one that fits its answers to variations
+of the templates (and of a fifth of the paragraphs) that it never saw.
+
+The classifier decides. A paragraph that is likelier none than all else has no license; else the likeliest family is predicted. The
+comparison with that family's templates confirms it: at least MIN_CONTAINED of the words and pairs of one of them stand in the paragraph.
+A prediction that isn't confirmed, and the class unknown, count as unknown where the likeliest class is ODDS times as likely as none, or more.
 
 Null texts count as empty and have no paragraphs; a null doc_id stays null; rows that repeat are scanned each; columns
 beside doc_id and text are ignored; an empty table gives no rows; the highest probability among a document's families
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 from corpuslens.llm import arrays
 from corpuslens.llm.scratch import bounded
 
-WINDOW, STEP, MIN_CONTAINED, DECISIVE = 40, 10, 0.8, 0.95
-#: Documents whose paragraphs serve as examples without a license, at most (the lowest hashes of doc_id), and paragraphs.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 1500
+WINDOW, STEP, MIN_CONTAINED, ODDS = 40, 10, 0.8, 2.5
+#: Documents whose paragraphs serve as examples without a license, at most (the lowest hashes of doc_id), and paragraphs, in all and of one.
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, OF_ONE = 400, 1500, 50
 BUCKET_BITS, VARIATIONS, EPOCHS = 15, 30, 60
 
 #: Usual notices of license families.
@@ -110,6 +112,7 @@ UNFAMILIAR = (
     "Distributed under the * Open License 2.0.",
     "Licensed to * under a license agreement.",
 )
+#: Paragraphs of documents that match aren't taken as examples without a license.
 TALK = re.compile(r"licen[cs]|copyright|rights reserved|public domain|redistribut|permission|copyleft", re.IGNORECASE)
 FAMILIES = tuple(TEMPLATES)
 CLASSES = (*FAMILIES, "unknown", "none")
@@ -120,8 +123,8 @@ _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 def paragraphs(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words; the first and the last word (one more) of all paragraphs and windows."""
-    starts, ends = arrays.spans(_WORD[low], offsets)
-    a, b = arrays.spans(low != 10, offsets)
+    starts, ends = arrays.spans(_WORD, low, offsets)
+    a, b = arrays.spans(arrays.IN_LINE, low, offsets)
     first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
     first, last = first[last > first], last[last > first]
     pieces = np.maximum(1, -(-(last - first - WINDOW) // (WINDOW // 2)) + 1)
@@ -132,7 +135,7 @@ def paragraphs(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def wrapped(low: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first and the last word (one more) of windows over two lines or more that no blank line parts."""
-    a, b = arrays.spans(low != 10, offsets)
+    a, b = arrays.spans(arrays.IN_LINE, low, offsets)
     first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
     a, b, first, last = (x[last > first] for x in (a, b, first, last))
     row = np.searchsorted(offsets, a, "right")
@@ -146,12 +149,15 @@ def wrapped(low: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[n
 
 
 def buckets(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature of each word, and of each word with the next."""
+    """Feature of each word, and of each word with the next; a word said again at once has feature 0, which has no weight."""
     word = arrays.span_hashes(low, starts, ends)
     pair = word.copy()
     pair[:-1] = arrays.mix(word[:-1] * arrays._SEEDS[50] + word[1:] * arrays._SEEDS[51])
     shift = np.uint64(64 - BUCKET_BITS)
-    return (word >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    one, two = (word >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    again = np.flatnonzero(word[1:] == word[:-1])
+    one[again + 1] = two[again] = 0
+    return one, two
 
 
 def summed(weights: np.ndarray, one: np.ndarray, two: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -176,12 +182,14 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
-def variations(rng: np.random.Generator, fillers: list[str]) -> tuple[list[str], list[int]]:
-    """Templates with words dropped and with other words before and after, and license talk with made-up names."""
-    texts, classes = [], []
+def variations(rng: np.random.Generator, fillers: list[str]) -> tuple[list[str], list[int], list[bool]]:
+    """Templates with words dropped and with other words before and after, license talk with made-up names, and if the template is
+    the one of its family that is held out for calibration."""
+    texts, classes, out = [], [], []
     made_up = lambda: "".join(rng.choice(list("bcdfglmnprstvaeiou"), rng.integers(3, 9))).capitalize()
     for family, templates in (*TEMPLATES.items(), ("unknown", UNFAMILIAR)):
-        for template in templates:
+        aside = int(rng.integers(0, len(templates)))
+        for place, template in enumerate(templates):
             for k in range(VARIATIONS):
                 words = (template.replace("*", made_up()) if "*" in template else template).split()
                 if k % 3 == 2 and len(words) > 6:
@@ -192,16 +200,16 @@ def variations(rng: np.random.Generator, fillers: list[str]) -> tuple[list[str],
                     words = [*extra[max(0, cut - 15) : cut], *words, *extra[cut : cut + 15]]
                 texts.append(" ".join(words[: 2 * WINDOW]))
                 classes.append(CLASSES.index(family))
-    return texts, classes
+                out.append(place == aside)
+    return texts, classes, out
 
 
 def train(plain: list[str], seed: int = 11) -> Model:
     """``plain`` are paragraphs of documents; those with license talk are left out."""
     rng = np.random.default_rng(seed)
     plain = [p for p in plain if not TALK.search(p)][:SAMPLE_PARAGRAPHS]
-    texts, classes = variations(rng, plain)
-    texts += plain
-    classes += [len(CLASSES) - 1] * len(plain)
+    texts, classes, aside = variations(rng, plain)
+    texts, classes, aside = texts + plain, classes + [len(CLASSES) - 1] * len(plain), aside + (rng.random(len(plain)) < 0.2).tolist()
     data, offsets = arrays.buffers(pa.array([t.replace("\n", " ") for t in texts], pa.string()))
     low = arrays.LOWER[data]
     starts, ends, begin, end = paragraphs(low, offsets)
@@ -210,75 +218,90 @@ def train(plain: list[str], seed: int = 11) -> Model:
     # of a longer text, windows that aren't its first only count as examples without a license if it has none
     use = np.concatenate([[True], row[1:] != row[:-1]]) | (label == len(CLASSES) - 1)
     begin, end, row, label = begin[use], end[use], row[use], label[use]
-    one, two = buckets(low, starts, ends)
-    n, size = end - begin, (end - begin) * 2 - 1
-    at = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    more = np.repeat(begin, n - 1) + np.arange(int((n - 1).sum())) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)
+    features, held = buckets(low, starts, ends), np.array(aside)[row]
+    first = fit_softmax(features, begin, end, label, ~held)
+    scores, truth = (summed(first.weights, *features, begin[held], end[held]) + first.bias), label[held]
+    weight = 1 / np.bincount(truth, minlength=len(CLASSES))[truth] if len(truth) else np.empty(0)
+
+    def loss(t: float) -> float:
+        x = scores / t
+        x = x - x.max(1, keepdims=True)
+        return float((weight * (np.log(np.exp(x).sum(1)) - x[np.arange(len(x)), truth])).sum())
+
+    last = fit_softmax(features, begin, end, label, np.ones(len(label), bool))
+    last.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss)) if len(truth) else 1.0
+    return last
+
+
+def fit_softmax(features: tuple[np.ndarray, np.ndarray], begin: np.ndarray, end: np.ndarray, label: np.ndarray, use: np.ndarray) -> Model:
+    """Multinomial logistic regression on the ranges of words in use, by Adam; classes weigh alike."""
+    begin, end, label, c = begin[use], end[use], label[use], len(CLASSES)
+    n = end - begin
+    runs = lambda size: np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     example = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n)), n - 1)])
-    feature = np.concatenate([one[at], two[more]])
-    value = (1 / np.sqrt(n))[example]
+    feature = np.concatenate([features[0][runs(n)], features[1][runs(n - 1)]])
     order = np.argsort(example, kind="stable")
-    example, feature, value = example[order], feature[order], value[order]
-    edge = np.cumsum(size) - size
+    example, feature = example[order], feature[order]
+    value = (1 / np.sqrt(n))[example].astype(np.float32)
+    edge = np.cumsum(2 * n - 1) - (2 * n - 1)
     used, compact = np.unique(feature, return_inverse=True)
     by = np.argsort(compact, kind="stable")
     by_edge = np.searchsorted(compact[by], np.arange(len(used)))
-    held = rng.random(len(n)) < 0.2
-    target, c = np.eye(len(CLASSES))[label], len(CLASSES)
-    weight = (~held / np.maximum(np.bincount(label[~held], minlength=c), 1)[label])[:, None]
+    weight = (1 / np.maximum(np.bincount(label, minlength=c), 1)[label])[:, None]
     weight /= weight.sum()
-    w, b = np.zeros((len(used), c), np.float32), np.zeros(c)
-    value = value.astype(np.float32)
+    target, w, b = np.eye(c)[label], np.zeros((len(used), c), np.float32), np.zeros(c)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, b)]
-
-    def logits() -> np.ndarray:
-        return np.add.reduceat(w[compact] * value[:, None], edge) + b
-
-    def soft(x: np.ndarray) -> np.ndarray:
-        p = np.exp(x - x.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-
     for epoch in range(1, EPOCHS + 1):
-        error = (soft(logits()) - target) * weight
+        logit = np.add.reduceat(w[compact] * value[:, None], edge) + b
+        p = np.exp(logit - logit.max(1, keepdims=True))
+        error = (p / p.sum(1, keepdims=True) - target) * weight
         slope = np.add.reduceat((error.astype(np.float32)[example] * value[:, None])[by], by_edge) + 1e-6 * w
         for q, g, (m, v) in zip((w, b), (slope, error.sum(0)), state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             q -= 0.1 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-9)
-    scores = logits()[held]
-    best = min(np.geomspace(0.25, 8, 41), key=lambda t: -np.log(np.maximum(soft(scores / t)[np.arange(len(scores)), label[held]], 1e-12)).sum()) if len(scores) else 1.0
     weights = np.zeros((1 << BUCKET_BITS, c), np.float32)
     weights[used] = w
-    return Model(weights, b, float(best))
+    weights[0] = 0
+    return Model(weights, b, 1.0)
 
 
-def sample(docs: DataFrame) -> list[str]:
-    """Paragraphs of the SAMPLE_DOCS documents with the lowest hashes."""
+def fit(docs: DataFrame) -> Model:
+    """A model whose examples without a license are paragraphs of the SAMPLE_DOCS documents with the lowest hashes, OF_ONE of each at
+    most. One task of an executor trains; only the model comes to the driver."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return [p for r in sorted(rows, key=lambda r: r.doc_id) for p in (r.text or "").split("\n") if p.strip()]
-
-
-def contained(paragraph: str, family: str) -> tuple[float, int]:
-    """The largest share of a template's words and pairs that stand in the paragraph, and which template that is."""
-    words = re.findall(r"[^\W_]+", paragraph.lower())
-    have = {*words, *zip(words, words[1:])}
-    shares = []
-    for template in TEMPLATES[family]:
-        own = re.findall(r"[^\W_]+", template.lower())
-        need = {*own, *zip(own, own[1:])}
-        shares.append(len(need & have) / len(need))
-    best = int(np.argmax(shares))
-    return shares[best], best
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[str]] = {}
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = [p for p in (text.as_py() or "").split("\n") if p.strip()]
+                got[i] = own[:: -(-len(own) // OF_ONE) or 1]
+        model = train([p for i in sorted(got) for p in got[i]])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary()), pa.array([model.temperature])], names=["weights", "bias", "temperature"])
+
+    made = bounded(some).repartition(1).mapInArrow(run, "weights binary, bias binary, temperature double").first()
+    weights, bias = (np.frombuffer(bytes(x), kind) for x, kind in ((made.weights, np.float32), (made.bias, np.float64)))
+    return Model(weights.reshape(1 << BUCKET_BITS, -1), bias, made.temperature)
+
+
+def parts_of(text: str) -> set:
+    """Words and word pairs."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    return {*words, *zip(words, words[1:])}
 
 
-def confirmed(paragraph: str, predicted: str) -> tuple[str, int]:
-    """The family that the templates confirm and its template, or unknown."""
-    shares = {f: contained(paragraph, f) for f in FAMILIES}
-    best = max(FAMILIES, key=lambda f: (shares[f][0], f == predicted))
-    share, template = shares[best]
-    good = share >= (MIN_CONTAINED if best == predicted else DECISIVE)
-    return (best, template) if good else ("unknown", -1)
+#: Words and pairs of the templates of each family.
+NEEDED = {family: [parts_of(t) for t in templates] for family, templates in TEMPLATES.items()}
+
+
+def confirmed(paragraph: str, family: str) -> int:
+    """The template of the family that the paragraph holds most of, or -1 if that isn't enough."""
+    have = parts_of(paragraph)
+    shares = [len(need & have) / len(need) for need in NEEDED[family]]
+    best = int(np.argmax(shares))
+    return best if shares[best] >= MIN_CONTAINED else -1
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,7 +313,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         for batch, data, offsets in arrays.text_slices(batches, "text"):
             low = arrays.LOWER[data]
             starts, ends, begin, end = paragraphs(low, offsets)
-            lines = arrays.spans(low != 10, offsets)
+            lines = arrays.spans(arrays.IN_LINE, low, offsets)
             per_line = np.searchsorted(starts, lines[1]) > np.searchsorted(starts, lines[0])
             row = np.searchsorted(offsets, lines[0][per_line], "right") - 1
             count = np.bincount(row, minlength=len(batch))
@@ -301,20 +324,19 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 p = shared.value.probabilities(low, starts, ends, begin, end)
                 points = np.cumsum((data & 0xC0) != 0x80)
                 last = [(-1, -1, "")] * len(batch)
-                for k in np.flatnonzero(p[:, -1] < 0.5).tolist():
+                for k in np.flatnonzero(p.argmax(1) < len(CLASSES) - 1).tolist():
                     a, b = int(starts[begin[k]]), int(ends[end[k] - 1])
                     doc = int(np.searchsorted(offsets, a, "right")) - 1
                     text = data[a:b].tobytes().decode("utf-8", "replace")
                     if k >= n_own:
                         text = re.sub(r"[\W_]+", " ", text)
                     c = int(np.argmax(p[k, :-1]))
-                    family, template = CLASSES[c], -1
-                    if c < len(FAMILIES):
-                        family, template = confirmed(text, family)
-                    elif TALK.search(text):
-                        family, template = confirmed(text, "")
-                    if family == "unknown" and not TALK.search(text):
-                        continue
+                    family = CLASSES[c]
+                    template = confirmed(text, family) if c < len(FAMILIES) else -1
+                    if template < 0:
+                        family = "unknown"
+                        if p[k, c] < ODDS * p[k, -1]:
+                            continue
                     start = int(points[a] - points[offsets[doc]])
                     if k < n_own and last[doc][2] == family and start < last[doc][1]:  # the same one, in the next window
                         continue

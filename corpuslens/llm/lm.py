@@ -2,27 +2,33 @@
 
 P(w | h) = a * c(h w) / c(h) + b * c(w) / N + (1 - a - b) / (V + 1), over counts of the training documents. The weights depend on
 the bucket of c(h) (its power of two). They are learned by expectation-maximisation on deleted counts: each training
-document is held out in turn, that is, its own counts are taken away from those it is weighed by.
+document is held out in turn, that is, its own counts are taken away from those it is weighed by. For that, shares c(h w) / c(h) and
+c(w) / N are rounded to half powers of two (off by a factor of 2**0.25 = 1.19 at most); scores use the exact ones.
 
 Exact counts of all words and word pairs take part, without a table that has to fit anywhere:
 
 1. Documents are encoded to blocks: distinct word hashes, and each text as numbers into them.
 2. Each block asks for the counts of its distinct words and pairs and gives its own: sorted keys, one blob for each key range.
-   A word in every document is one entry of a block, so no key is hot. Each range adds up and answers in the same order.
+   A word in every document is one entry of a block, so no key is hot. Each range adds up and answers in the same order. There
+   are PARTS[1] ranges at most, so the rows of a block are bounded and all of them grow with the input, not with its square; a range
+   of more keys than fit in memory is worked off in smaller ranges, which the task deals to a file of its own and back.
 3. Blocks meet their answers. A first pass sums up how often which counts occur together (a histogram of fixed size, for the
    driver's EM); a second one scores.
 
 Blocks and answers are written to the shared folder, so a lost executor repeats tasks only.
 
 Null texts count as empty and have the end token only; a null doc_id trains and is scored; rows that repeat count each; columns
-beside doc_id and text are ignored; an empty table gives no rows. Words are told apart by 64-bit hashes.
+beside doc_id and text are ignored; an empty table gives no rows. Words are told apart by 64-bit hashes. A long text is a block of its own.
 """
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,9 @@ from pyspark.sql import functions as F
 from corpuslens.llm import arrays
 from corpuslens.llm.scratch import Scratch, bounded
 
-#: Text bytes in a block; keys that one range has about, at most.
-BLOCK_BYTES, RANGE_KEYS = 6 << 20, 2 << 20
+#: Text bytes in a block; keys that one range has about, at most, while there are fewer ranges than the most; the least and the most
+#: ranges (powers of two); bytes that a task holds before it writes to its file.
+BLOCK_BYTES, RANGE_KEYS, PARTS, HELD_BYTES = 6 << 20, 2 << 20, (128, 8192), 32 << 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Buckets of c(h): 0 for none, then powers of two. Steps of the histogram: two for each power of two.
 BUCKETS, PAIR_STEPS, WORD_STEPS = 24, 64, 96
@@ -187,37 +194,102 @@ def ask(encoded: DataFrame, parts: int) -> DataFrame:
     return encoded.mapInArrow(run, ASK)
 
 
-def answer(asked: DataFrame) -> DataFrame:
-    """The totals of each block's keys, in their order; on one row of each range its training words and tokens."""
+class Spill:
+    """Records by bucket in one file of a task, which goes with the task."""
+
+    def __init__(self, buckets: int, kind: list[tuple[str, str]]):
+        self.file, self.kind, self.bytes = tempfile.TemporaryFile(), np.dtype(kind), 0
+        self.held: list[list[np.ndarray]] = [[] for _ in range(buckets)]
+        self.places: list[list[tuple[int, int]]] = [[] for _ in range(buckets)]
+
+    def add(self, bucket: np.ndarray, records: np.ndarray) -> None:
+        order = np.argsort(bucket, kind="stable")
+        some, first = np.unique(bucket[order], return_index=True)
+        for k, own in zip(some.tolist(), np.split(records[order], first[1:])):
+            self.held[k].append(own)
+        self.bytes += records.nbytes
+        if self.bytes > HELD_BYTES:
+            for k, own in enumerate(self.held):
+                if own:
+                    blob = np.concatenate(own).tobytes()
+                    self.places[k].append((self.file.seek(0, 2), len(blob)))
+                    self.file.write(blob)
+                    own.clear()
+            self.bytes = 0
+
+    def read(self, bucket: int) -> np.ndarray:
+        """The records of a bucket, in the order they came."""
+        out = []
+        for at, size in self.places[bucket]:
+            self.file.seek(at)
+            out.append(np.frombuffer(self.file.read(size), self.kind))
+        return np.concatenate([*out, *self.held[bucket], np.empty(0, self.kind)])
+
+
+def answer(asked: DataFrame, parts: int, range_keys: int = RANGE_KEYS, subs: int = 2) -> DataFrame:
+    """The totals of each block's keys, in their order; on one row of each range its training words and tokens. A range of more than
+    twice ``range_keys`` goes in ``subs`` (a power of two) smaller ones."""
+
+    def row(part: int, block: int, totals: np.ndarray, stats: tuple[int, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([packed(totals, "<i8")], pa.binary()), pa.array([stats[0]], pa.int64()), pa.array([stats[1]], pa.int64())],
+            names=["part", "block", "counts", "n_words", "n_tokens"],
+        )
 
-    def flush(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = [unpacked_keys(k) for _, k, _ in rows]
-        counts = np.concatenate([unpacked(c, "<i4") for _, _, c in rows])
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int, int]:
+        distinct, where = np.unique(keys, return_inverse=True)
         total = np.bincount(where, counts, len(distinct)).astype(np.int64)
         word = (distinct & np.uint64(1)).astype(bool)
-        stats = (int((total[word] > 0).sum()), int(total[word].sum()))
-        at = 0
-        for k, (block, _, _) in enumerate(rows):
-            own = total[where[at : at + len(keys[k])]]
-            at += len(keys[k])
-            n, t = stats if k == 0 else (0, 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([packed(own, "<i8")], pa.binary()), pa.array([n], pa.int64()), pa.array([t], pa.int64())],
-                names=["part", "block", "counts", "n_words", "n_tokens"],
-            )
+        return total[where], int((total[word] > 0).sum()), int(total[word].sum())
+
+    def small(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = [unpacked_keys(k) for _, _, k, _ in rows]
+        totals, *stats = added(np.concatenate(keys), np.concatenate([unpacked(c, "<i4") for *_, c in rows]))
+        bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        for k, (part, block, _, _) in enumerate(rows):
+            yield row(part, block, totals[bounds[k] : bounds[k + 1]], (0, 0) if k else stats)
+
+    def large(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        there = Spill(subs, [("place", "<i8"), ("key", "<u8"), ("count", "<i4")])
+        blocks, bounds = [], [0]
+        shift, most = np.uint64(64 - (parts.bit_length() - 1) - (subs.bit_length() - 1)), np.uint64(subs - 1)
+        for part, block, k, c in rows:
+            keys = unpacked_keys(k)
+            own = np.empty(len(keys), there.kind)
+            own["place"], own["key"], own["count"] = np.arange(bounds[-1], bounds[-1] + len(keys)), keys, unpacked(c, "<i4")
+            there.add(((keys >> shift) & most).astype(np.int64), own)
+            blocks.append(block)
+            bounds.append(bounds[-1] + len(keys))
+        edges = np.array(bounds)
+        of_block = edges[:-1] // range_keys  # blocks whose totals come back together
+        back, n_words, n_tokens = Spill(int(of_block[-1]) + 1, [("place", "<i8"), ("count", "<i8")]), 0, 0
+        for s in range(subs):
+            own = there.read(s)
+            out = np.empty(len(own), back.kind)
+            out["place"] = own["place"]
+            out["count"], n, t = added(own["key"], own["count"])
+            n_words, n_tokens = n_words + n, n_tokens + t
+            back.add(of_block[np.searchsorted(edges, own["place"], "right") - 1], out)
+        for g in np.unique(of_block).tolist():
+            mine, own = np.flatnonzero(of_block == g), back.read(g)
+            base = int(edges[mine[0]])
+            totals = np.zeros(int(edges[mine[-1] + 1]) - base, np.int64)
+            totals[own["place"] - base] = own["count"]
+            for k in mine.tolist():
+                yield row(part, blocks[k], totals[edges[k] - base : edges[k + 1] - base], (0, 0) if k else (n_words, n_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows = None, []
-        for batch in batches:
-            for p, block, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
-                    if rows:
-                        yield from flush(part, rows)
-                    part, rows = p, []
-                rows.append((block, keys, counts))
-        if rows:
-            yield from flush(part, rows)
+        every = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+        for _, own in groupby(every, itemgetter(0)):
+            held, size = [], 0
+            for r in own:
+                held.append(r)
+                size += int.from_bytes(r[2][:8], "little") >> 3
+                if size > 2 * range_keys:
+                    yield from large(chain(held, own))
+                    break
+            else:
+                yield from small(held)
 
     return asked.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, ANSWER)
 
@@ -257,15 +329,16 @@ def learn(cells: np.ndarray, times: np.ndarray, v: int, turns: int = 40) -> np.n
     return weights / weights.sum(1, keepdims=True)
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, range_keys: int = RANGE_KEYS, some: tuple[int, int] = PARTS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs, spark = bounded(docs), docs.sparkSession
     scratch = Scratch(spark, "lm")
     encoded = scratch.save(blocks(docs), "blocks")
     total = encoded.agg(F.sum(F.aggregate(F.transform("sizes", lambda n: n.cast("long")), F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
-    parts = max(16, 1 << int(2 * total / RANGE_KEYS).bit_length())
+    parts = min(max(some[0], 1 << int(2 * total / range_keys).bit_length()), some[1])
+    subs = max(2, 1 << int(4 * total / parts / range_keys).bit_length())
     with single_rows(spark):
-        asked = scratch.save(answer(ask(encoded, parts)), "answers")
+        asked = scratch.save(answer(ask(encoded, parts), parts, range_keys, subs), "answers")
     scratch.release()
     v, n = (int(x or 0) for x in asked.agg(F.sum("n_words"), F.sum("n_tokens")).first())
     answers = asked.select("part", "block", "counts")

@@ -1,14 +1,15 @@
 """Quality rules by cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, white space between words ignored) and hashed. For each host (the source of a
-document) the distinct documents that hold a line are counted; lines above the host's limit count as removed, and
-a document that this depletes is rejected. Every distinct document counts: documents of the same lines count once, and so do
+document) the distinct documents that hold a line are counted; lines above the host's limit are removed (``clean`` takes them
+out of the texts), and a document that this depletes is rejected. Every distinct document counts: documents of the same lines count once, and so do
 near copies, which are documents of a host that hold the same frequent lines (those that more rows hold than the limit) and at
 most 1/NEAR as many words besides them, so that any two of them share eight words of ten. So a group of copies or such near
 copies doesn't turn its own text into boilerplate; that is for the dedup stages to judge.
 
 Null texts have no words; null hosts are a host of their own; a null doc_id stays null; rows that repeat are judged
-each (and alike, as copies); other columns are carried by ``clean`` and otherwise ignored; an empty table gives no rows.
+each (and alike, as copies); other columns, whatever their names, are carried by ``clean`` and otherwise ignored; an empty
+table gives no rows. Texts are worked on whole; what takes memory is some hundred bytes a word. Lines are told apart by 64-bit hashes.
 Lines go through one shuffle with counts combined map-side; lines that reach the limit are joined back, and hot ones
 of these are split by adaptive execution.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +40,6 @@ FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols l
 LINE = pa.struct([("line", pa.int64()), ("words", pa.int32())])
 
 
-def per_row(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many are True between each two bounds."""
-    total = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=total[1:])
-    return np.diff(total[bounds])
-
-
 def in_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Hashes that differ between rows too."""
     return arrays.mix(hashes + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -57,7 +52,18 @@ def repeated_words(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> np.
     _, where, times = np.unique(in_row(found, row), return_inverse=True, return_counts=True)
     at = (np.arange(len(found)) - first[row] + bounds[row])[times[where] > 1]
     cover = np.bincount(at, minlength=len(hashes) + size + 1) - np.bincount(at + size, minlength=len(hashes) + size + 1)
-    return per_row(np.cumsum(cover)[: len(hashes)] > 0, bounds)
+    return arrays.count_between(np.cumsum(cover)[: len(hashes)] > 0, bounds)
+
+
+def text_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, rows, hashes and numbers of words of all lines with a word. A normalised line is the sequence of its words."""
+    low = arrays.LOWER[data]
+    starts, ends, _ = arrays.words(low, offsets)
+    a, b = arrays.spans(arrays.IN_LINE, data, offsets)
+    first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
+    a, b, first, last = (x[last > first] for x in (a, b, first, last))
+    line = arrays.sequence_hashes(arrays.span_hashes(low, starts, ends), first, last)
+    return a, b, np.searchsorted(offsets, a, "right") - 1, line, last - first
 
 
 def features(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -67,46 +73,28 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
         for batch, data, offsets in arrays.text_slices(batches, "text"):
             n = len(batch)
             starts, ends, bounds = arrays.words(data, offsets)
-            solid = ~arrays.SPACE[data]
-            a, b = arrays.spans(data != 10, offsets)
-            first, last = np.searchsorted(starts, a), np.searchsorted(starts, b)
-            a, b, first, last = (x[last > first] for x in (a, b, first, last))
-            row = np.searchsorted(offsets, a, "right") - 1
-            exact = in_row(arrays.span_hashes(data, a, b), row)
-            _, once = np.unique(exact, return_index=True)
+            a, b, row, line, size = text_lines(data, offsets)
+            of_row = np.bincount(row, minlength=n)
+            _, once = np.unique(in_row(arrays.span_hashes(data, a, b), row), return_index=True)
             distinct = np.bincount(row[once], minlength=n)
-            # a normalised line is the sequence of its words
-            word = arrays.span_hashes(arrays.LOWER[data], starts, ends)
-            order = np.zeros(len(word) + 1, np.uint64)
-            up, down = arrays._power(len(word) + 1)
-            np.cumsum(word * up[: len(word)], out=order[1:])
-            line = arrays.mix((order[last] - order[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
-            _, once, where = np.unique(in_row(line.view(np.uint64), row), return_index=True, return_inverse=True)
-            size = np.bincount(where, last - first, len(once)).astype(np.int32)
+            _, once, where = np.unique(in_row(line, row), return_index=True, return_inverse=True)
+            size = np.bincount(where, size, len(once)).astype(np.int32)
+            line = line.view(np.int64)
             sort = np.lexsort((line[once], row[once]))
             line, size, row = line[once][sort], size[sort], row[once][sort]
             edge = np.searchsorted(row, np.arange(n + 1))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(line.view(np.uint64)))])
             signature = (total[edge[1:]] - total[edge[:-1]]).view(np.int64)
             lines = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(line), pa.array(size)], fields=list(LINE)))
+            figures = (
+                np.diff(bounds),
+                arrays.count_between(~arrays.SPACE[data] & ((data & 0xC0) != 0x80), offsets),
+                arrays.count_between(SYMBOLS[data], offsets),
+                of_row - distinct,
+                repeated_words(arrays.span_hashes(data, starts, ends), bounds),
+            )
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    *(
-                        pa.array(x.astype(np.int64))
-                        for x in (
-                            np.diff(bounds),
-                            per_row(solid & ((data & 0xC0) != 0x80), offsets),
-                            per_row(SYMBOLS[data], offsets),
-                            np.bincount(np.searchsorted(offsets, a, "right") - 1, minlength=n) - distinct,
-                            repeated_words(arrays.span_hashes(data, starts, ends), bounds),
-                        )
-                    ),
-                    lines,
-                    pa.array(signature),
-                    batch.column(2),
-                ],
+                [batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in figures), lines, pa.array(signature), batch.column(2)],
                 names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "signature", "row"],
             )
 
@@ -114,7 +102,7 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, host, row, the base figures, base_failed, removed_words and kept."""
+    """One row per document: doc_id, host, row, the base figures, base_failed, removed_words, kept, its signature, and the hashes of its removed lines."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(features(docs, host).withColumn("uid", F.monotonically_increasing_id()), "features")
     own = rows.select("uid", F.coalesce("host", F.lit("\0")).alias("host"), F.explode("lines").alias("l")).select("uid", "host", "l.*")
@@ -128,27 +116,66 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     voters = rows.join(shared, "uid").select("uid", F.when(near, F.col("same")).otherwise(F.col("signature")).alias("voter"))
     gone = hits.join(voters, "uid").groupBy("host", "line", "limit").agg(F.countDistinct("voter").alias("n"))
     gone = scratch.save(gone.filter(F.col("n") > F.col("limit")).select("host", "line"), "gone")
-    removed = hits.join(gone, ["host", "line"]).groupBy("uid").agg(F.sum("words").cast("long").alias("removed_words"))
+    removed = hits.join(gone, ["host", "line"]).groupBy("uid").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
     return (
-        rows.drop("lines", "signature")
+        rows.drop("lines")
         .join(removed, "uid", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-        .select("doc_id", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
+        .select("doc_id", "host", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words", "signature", "removed")
     )
 
 
 def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, the base figures, base_failed, removed_words and kept."""
-    return judged(docs, host, min_docs, share).drop("host", "row")
-
-
-def clean(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows that are kept, with all their columns. Rows are told apart by doc_id, host and text; those that repeat are judged alike."""
+    return judged(docs, host, min_docs, share).drop("host", "row", "signature", "removed")
+
+
+def without_lines(texts: pa.Array, removed: pa.ListArray) -> list[str]:
+    """Texts without the lines of those hashes; the others are joined by newlines as before."""
+    data, offsets = arrays.buffers(texts)
+    a, _, row, line, _ = text_lines(data, offsets)
+    gone = np.repeat(np.arange(len(removed)), removed.value_lengths().to_numpy(zero_copy_only=False))
+    known = in_row(removed.flatten().to_numpy(zero_copy_only=False).view(np.uint64), gone)
+    drop, blob, out = set(a[np.isin(in_row(line, row), known)].tolist()), data.tobytes(), []
+    for at, end in zip(offsets.tolist(), offsets[1:].tolist()):
+        kept = []
+        for piece in blob[at:end].split(b"\n"):
+            if at not in drop:
+                kept.append(piece)
+            at += len(piece) + 1
+        out.append(b"\n".join(kept).decode())
+    return out
+
+
+def clean(docs: DataFrame, host: str = "source", chars: str = "n_chars", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """The rows that are kept, with all their columns, and without the lines above their host's limit. Documents of the same lines in several
+    hosts all lose what one of them loses, so that copies stay copies. Where a text changes, the column ``chars``, if there is one, gets
+    its new number of code points. Rows are told apart by doc_id, host and text; those that repeat are judged alike. The input
+    goes through one join by these."""
     scratch = Scratch(docs.sparkSession, "clean")
-    gone = judged(docs, host).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("row").alias("_gone")).distinct()
-    gone = scratch.save(gone, "gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col(host).cast("string").eqNullSafe(F.col("_host")) & (F.col("_row") == F.col("_gone"))
-    return docs.withColumn("_row", F.xxhash64("text")).join(gone, same, "left_anti").drop("_row")
+    every = scratch.save(judged(docs, host, min_docs, share).select("doc_id", "host", "row", "kept", "signature", "removed"), "judged")
+    lines = every.select("signature", F.explode("removed").alias("line")).groupBy("signature").agg(F.collect_set("line").alias("removed"))  # of one document's lines
+    every = every.drop("removed").join(scratch.save(lines, "lines"), "signature", "left").filter(~F.col("kept") | F.col("removed").isNotNull())
+    acted = scratch.save(every.drop("signature").dropDuplicates(["doc_id", "host", "row"]), "acted")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.col(host).cast("string").alias("own_host"), F.xxhash64("text").alias("own_row"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_host").eqNullSafe(F.col("host")) & (F.col("own_row") == F.col("row"))
+    left = rows.join(acted, same, "left").filter(F.coalesce("kept", F.lit(True))).select("doc", "removed")
+
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, removed in batches:
+            some = removed.notna().to_numpy()
+            out = pd.Series([None] * len(texts), dtype=object)
+            if some.any():
+                own = pa.array(texts[some], pa.string(), from_pandas=True), pa.array(removed[some], pa.list_(pa.int64()))
+                out[some] = without_lines(*own)
+            yield out
+
+    changed = F.col("removed").isNotNull()  # other texts needn't go to Python
+    left = left.withColumn("text", F.pandas_udf(cut, "string")(F.when(changed, F.col("doc.text")), F.col("removed")))
+    doc = F.col("doc").withField("text", F.when(changed, F.col("text")).otherwise(F.col("doc.text")))
+    if chars in docs.columns:
+        doc = doc.withField(chars, F.when(changed, F.length("text")).otherwise(F.col(f"doc.{chars}")).cast(docs.schema[chars].dataType))
+    return left.select(doc.alias("doc")).select("doc.*")

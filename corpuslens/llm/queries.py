@@ -40,7 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return licenses.digest(licenses.scan(docs, licenses.train(licenses.sample(docs))))
+    return licenses.digest(licenses.scan(docs, licenses.fit(docs)))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

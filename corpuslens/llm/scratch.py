@@ -8,16 +8,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Only used where the session names no folder, as in tests on one machine.
+#: Only used where the session names no folder and all of Spark is one process, as in tests.
 _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode; on a cluster that is an error, as
+    a folder of one machine would lose tables with it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="corpuslens-")
@@ -50,6 +54,9 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -62,3 +69,17 @@ class Scratch:
         garbage collection, which may be long in coming while disks fill up."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+
+
+def keep_one(docs: DataFrame, judged: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that a verdict keeps, and those without one, with all their columns (their names can't clash, as they
+    are kept in a struct). ``judged`` has doc_id, row (the hash of the text), kept and twice: rows that repeat both go alike, and of those kept twice one stays."""
+    key = ["doc_id", "row"]
+    each = scratch.save(judged.groupBy(*key).agg(F.max("kept").alias("kept"), F.max("twice").alias("twice")).filter("NOT kept OR twice"), "verdicts")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_row"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row"))
+    out = rows.join(each, same, "left_anti")
+    twice = each.filter("kept")
+    if not twice.isEmpty():
+        out = out.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["own_id", "own_row"]))
+    return out.select("doc.*")

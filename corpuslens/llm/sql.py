@@ -52,4 +52,47 @@ WITH RECURSIVE words AS (
 SELECT doc_id, len(grams) AS n_shingles, component_id FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = sets.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_exact_dedup": OP2, "op10_ngram_jaccard": OP10}
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP9 = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), windows AS (
+  SELECT doc_id, k, array_to_string(ws[k : k + 4], ' ') AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM docs)
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest(range(k, k + 5)) AS p FROM (SELECT * FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1)) GROUP BY doc_id
+), raw AS (
+  SELECT doc_id, host, raw, {_WORDS.format("translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws
+  FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS raw FROM docs)
+), doubled AS (
+  SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM raw WHERE len(ws) > 0 GROUP BY doc_id
+), own AS (
+  SELECT doc_id, host, array_to_string(ws, ' ') AS line, sum(len(ws)) AS words FROM raw WHERE len(ws) > 0 GROUP BY ALL
+), signatures AS (
+  SELECT doc_id, host, len(ws) AS n_words, coalesce(signature, '') AS signature FROM docs
+  LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line) AS signature FROM own GROUP BY doc_id) USING (doc_id)
+), limits AS (
+  SELECT host, greatest(5.0::DOUBLE, 0.02::DOUBLE * count(DISTINCT signature)) AS most FROM signatures GROUP BY host
+), often AS (
+  SELECT host, line, most FROM own JOIN limits USING (host) GROUP BY host, line, most HAVING count(*) > most
+), voters AS (
+  SELECT doc_id, CASE WHEN 8 * (n_words - shared) <= shared THEN 'near' || lines ELSE 'own' || signature END AS voter FROM signatures
+  JOIN (SELECT doc_id, sum(words) AS shared, string_agg(line, chr(10) ORDER BY line) AS lines FROM own JOIN often USING (host, line) GROUP BY doc_id) USING (doc_id)
+), gone AS (
+  SELECT host, line FROM own JOIN often USING (host, line) JOIN voters USING (doc_id) GROUP BY host, line, most HAVING count(DISTINCT voter) > most
+), removed AS (
+  SELECT doc_id, sum(words) AS removed_words FROM own JOIN gone USING (host, line) GROUP BY doc_id
+), figures AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM docs LEFT JOIN doubled USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN removed USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+       AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < 0.2::DOUBLE * n_words)) AS kept
+FROM figures
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_exact_dedup": OP2, "op9_quality_rules": OP9, "op10_ngram_jaccard": OP10}

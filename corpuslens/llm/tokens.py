@@ -82,39 +82,31 @@ def digest(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 #: Pre-tokens of at most this many bytes go into the table of frequent ones, as two exact 64-bit words.
 PACKED_BYTES = 16
-#: Entries of that table, and of the summary that each task gives of its own pre-tokens.
-FREQUENT, SUMMARY = 1 << 16, 1 << 13
-
-
-def frequent(docs: DataFrame) -> list[bytes]:
-    """The pre-tokens that are most frequent over all documents, at most FREQUENT, as far as the summaries tell: each task
-    counts all its pre-tokens and gives the SUMMARY most frequent ones. What they miss only costs time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high, length, count = (np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
-
-        def reduce(most: int) -> None:
-            nonlocal low, high, length, count
-            _, first, where = np.unique(bpe.spread(low, high, length), return_index=True, return_inverse=True)
-            total = np.bincount(where, count, len(first)).astype(np.int64)
-            top = np.argsort(-total, kind="stable")[:most]
-            low, high, length, count = low[first[top]], high[first[top]], length[first[top]], total[top]
-
-        for _, data, offsets in arrays.text_slices(batches, "text"):
-            starts = bpe.pretokens(data, offsets)
-            a, b, n = bpe.packed(data, starts, np.append(starts[1:], len(data)))
-            short = n <= PACKED_BYTES
-            low, high, length = np.append(low, a[short]), np.append(high, b[short]), np.append(length, n[short])
-            count = np.append(count, np.ones(int(short.sum()), np.int64))
-            reduce(8 * SUMMARY)
-        if len(low):
-            reduce(SUMMARY)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(a.tobytes() + b.tobytes())[:n] for a, b, n in zip(low, high, length.tolist())], pa.binary()), pa.array(count)], names=["piece", "n"]
-            )
-
-    top = docs.select("text").mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
-    return [bytes(r.piece) for r in top.collect()]
+#: Entries of that table, at most.
+FREQUENT = 1 << 16
+
+
+def frequent(encoder: bpe.Encoder) -> tuple[list[bytes], list[int]]:
+    """Frequent pre-tokens and their numbers of ids, at most FREQUENT. The vocabulary lists byte strings by how often they were
+    met when it was learned, so it names the frequent pre-tokens itself, and no pass over the documents has to count them:
+    all its entries that are one pre-token, lowest ids first, and words also with and without the space before them."""
+    found: dict[bytes, None] = {}
+    table = encoder.vocabulary
+    for i in range(table.size):
+        piece = table.decode(np.array([i]))
+        try:
+            word = piece.decode().strip(" ")
+        except UnicodeDecodeError:
+            continue
+        other = (b" " + piece if piece[:1] != b" " else piece[1:]) if word.isalpha() else b""
+        found |= dict.fromkeys(x for x in (piece, other) if 0 < len(x) <= PACKED_BYTES and piece not in table.special)
+    listed = list(found)
+    size = np.array([len(x) for x in listed], np.int64)
+    data, offsets = np.frombuffer(b"".join(listed), np.uint8), np.concatenate([[0], np.cumsum(size)])
+    one = np.diff(np.searchsorted(bpe.pretokens(data, offsets), offsets)) == 1
+    listed = [x for x, good in zip(listed, one.tolist()) if good][:FREQUENT]
+    ends = np.cumsum([len(x) for x in listed], dtype=np.int64)
+    return listed, encoder.lookup(np.frombuffer(b"".join(listed), np.uint8), np.concatenate([[0], ends[:-1]]), ends)[2].tolist()
 
 
 class LengthTable:
@@ -152,25 +144,24 @@ class LengthTable:
 
 def count(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens by a tokenizers ``.json`` with byte-level BPE. The frequent pre-tokens' lengths are
-    broadcast (FREQUENT entries at most, about 3 MB); others are encoded once per worker and kept in its cache."""
-    encoder = bpe.encoder(tokenizer)
-    pieces = frequent(bounded(docs))
-    ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
-    lengths = encoder.lookup(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends[:-1]]), ends)[2] if pieces else []
-    table = docs.sparkSession.sparkContext.broadcast(LengthTable(pieces, list(lengths)))
+    broadcast (FREQUENT entries at most, about 3 MB); others are encoded once per worker and kept in its cache. Nothing is
+    shuffled."""
+    table = docs.sparkSession.sparkContext.broadcast(LengthTable(*frequent(bpe.Encoder(bpe.vocabulary(tokenizer)))))
+
+    def tally(own: bpe.Encoder, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if bpe.special_cuts(data, offsets, own.vocabulary.special)[1]:
+            return np.diff(own.encode(data, offsets)[1])
+        starts = bpe.pretokens(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        found = table.value.find(*bpe.packed(data, starts, ends))
+        miss = np.flatnonzero(found == 0)
+        found[miss] = own.lookup(data, starts[miss], ends[miss])[2]
+        return np.diff(np.concatenate([[0], np.cumsum(found)])[np.searchsorted(starts, offsets)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = bpe.encoder(tokenizer), table.value
+        own = bpe.encoder(tokenizer)
         for batch, data, offsets in arrays.text_slices(batches, "text"):
-            if bpe.special_cuts(data, offsets, own.vocabulary.special)[1]:
-                tokens = np.diff(own.encode(data, offsets)[1])
-            else:
-                starts = bpe.pretokens(data, offsets)
-                ends = np.append(starts[1:], len(data))
-                found = known.find(*bpe.packed(data, starts, ends))
-                miss = np.flatnonzero(found == 0)
-                found[miss] = own.lookup(data, starts[miss], ends[miss])[2]
-                tokens = np.diff(np.concatenate([[0], np.cumsum(found)])[np.searchsorted(starts, offsets)])
+            tokens = sum(tally(own, *part) for part in bpe.parts(data, offsets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

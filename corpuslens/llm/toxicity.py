@@ -30,8 +30,9 @@ TRAIN_ROWS = (1500, 3500)
 #: N-grams that a smaller share of the training texts hold, or only one, have no vector of their own (that of nothing, zero).
 MIN_SHARE = 0.004
 #: A text's mean has so many neutral words besides its own, so that a few rare n-grams don't decide on a short text.
-NEUTRAL = 60
-BUCKET_BITS, DIM, EPOCHS, RATE, DECAY = 20, 4, 40, 0.3, 1e-6
+NEUTRAL = 20
+#: RATE falls over the last SETTLE of the epochs, as the last steps else may miss by far.
+BUCKET_BITS, DIM, EPOCHS, RATE, SETTLE, DECAY = 20, 4, 80, 0.3, 0.3, 1e-6
 SIZES = (3, 4, 5)
 PART_WORDS, PART_VALUES = 8_000, 200_000
 _LETTER = np.zeros(256, bool)
@@ -42,7 +43,7 @@ _LETTER[[ord("'"), ord("@"), ord("$")]] = True
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, starts and ends of runs of letters and digits, and their number before each row (one more)."""
     low = arrays.LOWER[data]
-    starts, ends = arrays.spans(_LETTER[low], offsets)
+    starts, ends = arrays.spans(_LETTER, low, offsets)
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -176,7 +177,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
         for q, g, (m, v) in zip((embedding, softmax, bias), (slope, docs.T @ error, error.sum(0)), state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            rate = RATE if q is not bias else 0.05
+            rate = (RATE if q is not bias else 0.05) * min(1, (EPOCHS + 1 - epoch) / (SETTLE * EPOCHS))
             q -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-12)
     value = np.zeros(1 << BUCKET_BITS, np.float32)
     value[used] = embedding @ (softmax[:, 1] - softmax[:, 0])

@@ -121,6 +121,32 @@ def test_decoding_gives_the_text_back(text):
     assert bpe.vocabulary(MULTI).decode(np.array(encode(MULTI, [text])[0], np.int64)) == text.encode()
 
 
+def test_more_distinct_pretokens_than_a_cache_holds():
+    """Two million in one text, and a text with no place to part it."""
+    text = " ".join(map(str, range(100_000_000, 102_000_000)))
+    assert encode(MULTI, [text]) == [TIKTOKEN.encode_ordinary(text)]
+    data, offsets = arrays.buffers(pa.array([text], pa.string()))
+    assert sum(bpe.encoder(JSON).encode(*part)[1][-1] for part in bpe.parts(data, offsets)) == len(HUGGING.encode(text, add_special_tokens=False).ids)
+    dense = "\n".join(f"{i}é的" for i in range(300_000))
+    assert len(list(bpe.parts(*arrays.buffers(pa.array([dense], pa.string()))))) == 1
+    assert encode(JSON, [dense]) == [HUGGING.encode(dense, add_special_tokens=False).ids]
+
+
+def test_every_code_point_has_the_class_of_the_libraries():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for probe in ("a{}1{}!{} {}", "{}"):
+        texts = ["".join(probe.replace("{}", c) for c in points[k : k + 5000]) for k in range(0, len(points), 5000)]
+        assert encode(MULTI, texts) == [TIKTOKEN.encode_ordinary(t) for t in texts]
+        assert encode(JSON, texts) == [x.ids for x in HUGGING.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_frequent_pretokens_come_from_the_vocabulary():
+    pieces, sizes = tokens.frequent(bpe.encoder(JSON))
+    assert len(pieces) == len(set(pieces)) <= tokens.FREQUENT and b" the" in pieces and max(map(len, pieces)) <= tokens.PACKED_BYTES
+    some = [k for k in range(0, len(pieces), 97)]
+    assert [sizes[k] for k in some] == [len(HUGGING.encode(pieces[k].decode(), add_special_tokens=False).ids) for k in some]
+
+
 def test_long_pretoken():
     text = "ab" * 3000 + " " * 500 + "z"
     assert encode(MULTI, [text]) == [TIKTOKEN.encode_ordinary(text)]
@@ -204,6 +230,31 @@ def test_dedup_recursion(spark):
     assert sorted(r.doc_id for r in dedup.deduplicate(df, 600).collect()) == list(range(70))
 
 
+@pytest.mark.parametrize("most", [dedup.MOST_TASKS, 3])
+def test_dedup_levels_hardly_grow(spark, monkeypatch, most):
+    """Tables of 3000 bytes for 100 to 1600 rows: the levels stay few, with buckets dealt to tasks one by one or several to each."""
+    for n in (100, 400, 1600):
+        levels = []
+        save = Scratch.save
+        monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a: levels.append(name) or save(self, df, name, *a))
+        rows = [(i, f"text number {i} " + "x" * 90) for i in range(n)] + [(n + i, f"text  number {i} " + "x" * 90) for i in range(0, n, 7)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = dedup.groups(df, Scratch(spark, "test"), 3000, most).collect()
+        monkeypatch.undo()
+        assert len(levels) <= 4 and len(got) == n and sum(r.rows for r in got) == len(rows) and len({bytes(r.digest) for r in got}) == n
+        assert all(r.rows == 1 or r.keep_id >= n for r in got)  # the one with two spaces is longer
+
+
+def test_dedup_keeps_the_longest_text_of_an_id(spark):
+    rows = [(6, "Sametexthere"), (6, "Same text\nhere"), (6, "Same text\nhere"), (None, "Same text  here "), (5, "Same text  here"), (7, "x y"), (7, "x\ny"), (8, "")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("_sha", "row", "own_id", "doc", "kept", "digest")})
+        kept = dedup.deduplicate(df)
+        assert kept.columns == df.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+        assert len(got) == 3 and (None, "Same text  here ") in got and (8, "") in got
+
+
 def test_deduplicate_keeps_one_of_repeated_rows(docs):
     kept = dedup.deduplicate(docs)
     assert kept.columns == docs.columns
@@ -349,7 +400,7 @@ def test_toxicity_without_labels(spark, docs):
 
 
 def test_licenses_wrapped_over_lines(spark, corpus):
-    model = licenses.train(licenses.sample(corpus))
+    model = licenses.fit(corpus)
     rows = []
     for family, templates in licenses.TEMPLATES.items():
         for template in templates:
@@ -366,7 +417,7 @@ def test_licenses_wrapped_over_lines(spark, corpus):
 
 
 def test_licenses(spark, corpus):
-    model = licenses.train(licenses.sample(corpus))
+    model = licenses.fit(corpus)
     texts = [
         (1, "Some words.\nReleased under the MIT License.\nMore."), (2, "Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (3, "nothing of that kind"), (4, None), (5, ""),
         (6, "x " * 100 + "This work is licensed under the GNU General Public License, version 3. " + "y " * 100), (7, "Licensed under the Quux License."), (None, "All rights reserved."), (7, "Licensed under the Quux License."),
@@ -382,7 +433,7 @@ def test_licenses(spark, corpus):
 
 
 def test_licenses_find_the_planted_lines(corpus):
-    model = licenses.train(licenses.sample(corpus))
+    model = licenses.fit(corpus)
     planted = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC": "Licensed under CC BY-NC 4.0.", "All-Rights-Reserved": "All rights reserved."}
     want = {r.doc_id: ",".join(sorted(f for f, line in planted.items() if line in (r.text or ""))) for r in corpus.collect()}
     assert {r.doc_id: r.families for r in licenses.digest(licenses.scan(corpus, model)).collect()} == want
@@ -439,6 +490,19 @@ def test_lm_counts_and_probabilities(corpus):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_rows_a_block_are_bounded(corpus):
+    """Few and many ranges, in memory and dealt to files, give the same scores; rows of a block stay as many for four times the input."""
+    few = sorted(map(tuple, lm.scores(corpus, 300, (4, 4)).collect()))
+    many = sorted(map(tuple, lm.scores(corpus).collect()))
+    assert [r[:5] for r in few] == [r[:5] for r in many] and np.allclose([r[5:] for r in few], [r[5:] for r in many])
+    for times in (1, 4):
+        more = corpus.select(F.explode(F.sequence(F.lit(1), F.lit(times))), "doc_id", "text").drop("col")
+        encoded = Scratch(corpus.sparkSession, "test").save(lm.blocks(more.repartition(times)), "blocks")
+        with lm.single_rows(encoded.sparkSession):
+            assert lm.ask(encoded, 128).count() == 128 * encoded.count()
+        assert encoded.count() <= 2 * times
+
+
 def test_lm_weights():
     weights = lm.learn(np.array([(5 * lm.PAIR_STEPS + 1) * lm.WORD_STEPS + 20, (5 * lm.PAIR_STEPS) * lm.WORD_STEPS + 20]), np.array([900, 100]), 1000)
     assert weights[5, 0] > 0.8 and np.allclose(weights.sum(1), 1) and weights[0, 0] == 0
@@ -492,6 +556,22 @@ def test_jaccard_components(spark, size, num, seed):
     assert got == brute_jaccard(rows, size, num, 100)
 
 
+def test_jaccard_without_filters(spark, monkeypatch):
+    """More keys than a filter may hold: rows are found by joins."""
+    monkeypatch.setattr(jaccard, "filter_of", lambda keys: None)
+    rows = near_copies(60, 60, 7, 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()), key=repr) == brute_jaccard(rows, 3, 90, 100)
+
+
+def test_jaccard_filter_has_its_keys(spark):
+    keys = spark.range(0, 300_000, 3).select(F.xxhash64("id").alias("k"))
+    on = jaccard.filter_of(keys)
+    mine = np.array([r.k for r in keys.limit(5000).collect()])
+    other = np.array([r.k for r in spark.range(1, 300_000, 60).select(F.xxhash64("id").alias("k")).collect()])
+    assert jaccard.passes(on, mine).all() and jaccard.passes(on, other).mean() < 0.1 and jaccard.filter_of(keys, 19) is None
+
+
 def test_jaccard_on_awkward_rows(docs):
     rows = [(i, t) for i, t, *_ in ROWS]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()), key=repr)
@@ -518,8 +598,34 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
 def test_quality_clean_takes_judged_rows_only(spark):
     good = lambda k: " ".join(f"{k}w{j}" for j in range(30))
     rows = [(None, "too short", "h"), (None, good("a"), "h"), (7, good("b"), "h"), (7, "short", "h"), (8, None, None), (8, good("c"), None), (9, good("d"), "h"), (9, good("d"), "h")]
-    got = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    assert got.columns == ["doc_id", "text", "source"] and sorted(map(tuple, got.collect()), key=repr) == sorted((r for r in rows if len((r[1] or "").split()) > 9), key=repr)
+    clash = {c: F.lit("clash") for c in ("_id", "_host", "_row", "uid", "row", "host", "removed", "kept", "doc", "own_id")}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns(clash)
+    got = quality.clean(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=repr) == sorted((r for r in rows if len((r[1] or "").split()) > 9), key=repr)
+    assert quality.clean(df.filter("false")).count() == 0
+
+
+def test_quality_clean_takes_lines_out(spark):
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(30))
+    rows = [(i, f"The  Menu here\n\n{own(i)}\nthe menu\tHERE\n last line of all ", "h", 0) for i in range(60)] + [(100, "the menu here\nother " + own(100), "g", 7), (101, rows_equal := "The  Menu here\n\n" + own(3) + "\nthe menu\tHERE\n last line of all ", "g", 7)]
+    got = {r.doc_id: r for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")).collect()}
+    assert len(got) == 62 and rows_equal == rows[3][1]
+    for i in range(60):
+        assert got[i].text == f"\n{own(i)}" and got[i].n_chars == len(got[i].text)
+    assert got[101].text == got[3].text  # a copy in another host
+    assert tuple(got[100]) == rows[60]
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    import corpus_pipeline
+
+    names = ("_id", "_sha", "_row", "_hash", "row", "uid", "doc", "kept", "twice", "own_id", "digest", "tag", "score", "host", "key")
+    df = spark.createDataFrame([(i, t, None, s, 0) for i, t, s, _ in ROWS], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, DATA)
+        none = stage(spark, df.filter("false"), DATA)
+        assert none.count() == 0 and (name == "packing" or (out.columns == none.columns == df.columns and 0 < out.count() <= len(ROWS)))
 
 
 def test_suffix_filter_never_loses():
@@ -568,10 +674,28 @@ def test_words_and_hashes(texts):
     for w, h in zip((x for t in got for x in t), hashes.tolist()):
         assert by_word.setdefault(w, h) == h
     assert len(set(by_word.values())) == len(by_word)
+    parted = arrays.SLICE_BYTES
+    arrays.SLICE_BYTES = 3  # what goes in parts
+    assert all((x == y).all() for x, y in zip((starts, ends, bounds), arrays.words(data, offsets)))
+    arrays.SLICE_BYTES = parted
     found, first = arrays.windows(hashes, bounds, 2)
     assert np.diff(first).tolist() == [max(0, len(t) - 1) for t in got] and len(found) == first[-1]
 
 
+def test_hashes_of_strings_that_polynomials_confuse():
+    """Thue-Morse strings collide under any polynomial modulo 2**64, as bytes and as words."""
+    ones = np.array([bin(k).count("1") & 1 for k in range(1 << 12)], bool)
+    for a, b in (("a", "b"), ("a ", "b "), ("a\n", "b\n")):
+        texts = ["".join(np.where(ones, a, b)), "".join(np.where(ones, b, a))]
+        data, offsets = arrays.buffers(pa.array(texts, pa.string()))
+        assert len(set(arrays.span_hashes(data, offsets[:-1], offsets[1:]).tolist())) == 2
+        _, _, row, line, _ = quality.text_lines(data, offsets)
+        assert len(set(line.tolist())) == 2
+    values = arrays.mix(ones.astype(np.uint64))
+    for n in (1, 2, 63, 64, 65, 4096):
+        assert len(set(arrays.sequence_hashes(np.concatenate([values[:n], values[:n] ^ np.uint64(1)]), np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+
+
 # ---- pipeline
 
 
@@ -579,14 +703,15 @@ def test_pipeline_stages(spark):
     import corpus_pipeline
 
     before = spark.read.parquet(f"{DATA}/documents.parquet")
-    docs, kept = before, []
+    docs, kept, texts = before, [], {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         if name != "packing":
             assert out.columns == before.columns
         docs = Scratch(spark, "test").save(out, "stage")
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
-    rows = {r.doc_id: r.text for r in before.collect()}
+        texts = texts or {r.doc_id: r.text for r in docs.collect()}
+    rows = texts  # without the lines that the first stage takes out
     judged = {r.doc_id for r in quality.verdicts(before).filter("kept").collect()}
     assert kept[0] == judged and all(a >= b for a, b in zip(kept, kept[1:])) and kept[3] == kept[4]
     exact, _ = brute_dedup([(i, rows[i]) for i in sorted(kept[1])])
