@@ -13,7 +13,7 @@ from corpuslens.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line rules reject go."""
+    """Documents that the base rules or the line rules reject go, and lines above their host's limit leave the texts."""
     return quality.clean(docs)
 
 
