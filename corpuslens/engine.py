@@ -100,6 +100,10 @@ class Engine:
         read = self.store.read
         self.store.write("chunks", st.replace_children(read("chunks"), self.store.typed("chunks", chunks), ids))
         self.store.write("entities", st.replace_children(read("entities"), self.store.typed("entities", entities.extract(chunks_in)), ids))
+        body = F.concat_ws(" ", "text", "section_heading", "sheet_name")
+        terms, lengths = ranking.postings(chunks_in.select("chunk_id", "workspace_id", "document_id", body.alias("body")), ("chunk_id", "workspace_id", "document_id"), "body")
+        self.store.write("postings", st.replace_children(read("postings"), self.store.typed("postings", terms), ids))
+        self.store.write("lengths", st.replace_children(read("lengths"), self.store.typed("lengths", lengths), ids))
         if ws["enable_vector_search"]:
             self.store.write("vectors", st.replace_children(read("vectors"), self.store.typed("vectors", embed.embed(chunks_in, self.embedder)), ids))
         self.store.write("documents", st.upsert(read("documents"), self.store.typed("documents", documents), "id"))
@@ -143,8 +147,8 @@ class Engine:
         own = chunks.join(docs.select("document_id"), "document_id", "left_semi")
         known = known.join(docs.select("document_id"), "document_id", "left_semi")
         fetch = ranking.over_fetch(limit)
-        said = chunks.withColumn("body", F.concat_ws(" ", "text", "section_heading", "sheet_name"))
-        hits = ranking.bm25(said, text, "body").join(listed.select("document_id"), "document_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(fetch)
+        hits = ranking.bm25_indexed(self.store.read("postings"), self.store.read("lengths"), text, "chunk_id", "document_id")
+        hits = hits.join(listed.select("document_id"), "document_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(fetch)
         near = None
         if mode in ("hybrid", "semantic") and text.strip() and workspace_ids and self.workspaces().filter(F.col("id").isin(*workspace_ids) & F.col("enable_vector_search")).count():
             goal = self.embedder([text])[0]
@@ -163,14 +167,8 @@ class Engine:
     def text_of(self, reference: str, max_chars: int = 20_000) -> str:
         """The text of a document, by id or path, as many whole chunks as fit."""
         doc = self.resolve(reference)
-        rows = self.chunks().filter(F.col("document_id") == doc).select("ordinal", "text", "char_count").orderBy("ordinal").toLocalIterator()
-        out, used = [], 0
-        for row in rows:
-            used += row.char_count
-            if used > max_chars:
-                break
-            out.append(row.text)
-        return "\n\n".join(out)
+        rows = ranking.within_budget(self.chunks().filter(F.col("document_id") == doc), max_chars).orderBy("ordinal").select("text").collect()  # of max_chars at most
+        return "\n\n".join(r.text for r in rows)
 
     def resolve(self, reference: str) -> str:
         hit = self.documents().filter((F.col("document_id") == reference) | (F.col("path") == reference)).orderBy(F.col("document_id") != reference, "document_id").first()

@@ -46,19 +46,18 @@ def _heading(line: Column) -> Column:
 def sections(texts: DataFrame, longest: int | None = None) -> DataFrame:
     """document_id, position, ordinal, title, heading, body, char_offset. Lines and their places are arrays of the text's own row."""
     lined = texts.select("document_id", F.coalesce("text", F.lit("")).alias("text"), F.split(F.coalesce("text", F.lit("")), r"(?<=\n)|(?<=\r)(?!\n)").alias("lines"))
-    ends = F.aggregate(
-        "lines", F.array(F.lit(0)), lambda a, line: F.concat(a, F.array(F.element_at(a, -1) + F.length(line)))
-    )
-    placed = lined.withColumn("offsets", ends).withColumn("heads", F.transform("lines", lambda line: _heading(F.regexp_replace(line, r"[\r\n]+$", ""))))
+    placed = lined.withColumn("heads", F.transform("lines", lambda line: _heading(F.regexp_replace(line, r"[\r\n]+$", ""))))
     opens = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("heads", k).isNotNull())
-    cut = placed.withColumn("opens", opens).select("document_id", "text", "offsets", "heads", "opens", F.posexplode("opens").alias("position", "k"))
-    start = F.get("offsets", F.col("k") + 1)
-    stop = F.coalesce(F.get("offsets", F.get("opens", F.col("position") + 1)), F.length("text"))
+    placed = placed.withColumn("opens", opens)  # offsets are worked out for clauses only, which are few beside lines
+    offsets = F.transform("opens", lambda k: F.length(F.array_join(F.slice("lines", F.lit(1), k), "")))
+    cut = placed.select("document_id", "text", "lines", "heads", offsets.alias("offsets"), F.posexplode("opens").alias("position", "k"))
+    start = F.get("offsets", F.col("position")) + F.length(F.get("lines", F.col("k")))
+    stop = F.coalesce(F.get("offsets", F.col("position") + 1), F.length("text"))
     body = T.strip(F.substring("text", start + 1, stop - start))
     head = F.get("heads", F.col("k"))
     return cut.select(
         "document_id", "position", head["ordinal"].alias("ordinal"), head["title"].alias("title"), head["heading"].alias("heading"),
-        (body if longest is None else F.substring(body, 1, longest)).alias("body"), F.get("offsets", F.col("k")).alias("char_offset"),
+        (body if longest is None else F.substring(body, 1, longest)).alias("body"), F.get("offsets", F.col("position")).alias("char_offset"),
     )
 
 

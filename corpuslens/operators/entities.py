@@ -32,34 +32,26 @@ PATTERNS = (
 MOST_PER_KIND = 50
 
 
-def found(text: Column) -> Column:
-    """All matches in a text: array of (rank, kind, confidence, value), in order of pattern and place."""
+def found(text: Column, kind: str) -> Column:
+    """The distinct matches of a kind in a text, ignoring case: array of (confidence, text), in order of pattern and place."""
 
-    def matches(rank: int, kind: str, sure: float, pattern: str) -> Column:
-        entity = lambda v: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"), F.trim(v).alias("text"))
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), entity)
+    def matches(sure: float, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(sure).alias("confidence"), F.trim(v).alias("text")))
 
-    return F.filter(F.concat(*(matches(k, *p) for k, p in enumerate(PATTERNS))), lambda e: e["text"] != "")
+    every = F.filter(F.concat(*(matches(sure, pattern) for k, sure, pattern in PATTERNS if k == kind)), lambda e: e["text"] != "")
+    low = F.transform(every, lambda e: F.lower(e["text"]))
+    return F.filter(every, lambda e, k: F.array_position(low, F.lower(e["text"])) == k + 1)
 
 
 def extract(chunks: DataFrame, most: int = MOST_PER_KIND, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """document_id, chunk_id, text, kind, confidence: for each chunk the distinct entities (ignoring case), of each kind the
-    first ``most``. Chunks never meet, so nothing is shuffled: dedup and cap are array functions."""
-    every = found(F.coalesce("text", F.lit("")))
-    if kinds:
-        every = F.filter(every, lambda e: e["kind"].isin(*kinds))
-    keep = F.aggregate(
-        every,
-        F.array().cast("array<struct<rank:int,kind:string,confidence:double,text:string>>"),
-        lambda seen, e: F.when(F.exists(seen, lambda s: (s["kind"] == e["kind"]) & (F.lower(s["text"]) == F.lower(e["text"]))), seen).otherwise(F.concat(seen, F.array(e))),
-    )
-    kinds_here = list(dict.fromkeys(k for k, _, _ in PATTERNS))
-
-    def first(kind: str) -> Column:
-        return F.slice(F.filter("_all", lambda e: e["kind"] == kind), 1, most)
-
-    capped = F.concat(*map(first, kinds_here))
-    return chunks.select("document_id", "chunk_id", keep.alias("_all")).select("document_id", "chunk_id", F.explode(capped).alias("e")).select("document_id", "chunk_id", "e.text", "e.kind", "e.confidence")
+    first ``most``. Only the patterns of the wanted kinds are looked for. Chunks never meet, so nothing is shuffled: dedup and
+    cap are array functions."""
+    wanted = [k for k in dict.fromkeys(k for k, _, _ in PATTERNS) if kinds is None or k in kinds]
+    text = F.coalesce("text", F.lit(""))
+    listed = F.array(*(F.struct(F.lit(k).alias("kind"), F.slice(found(text, k), 1, most).alias("own")) for k in wanted))
+    each = chunks.select("document_id", "chunk_id", F.explode(listed).alias("k")).select("document_id", "chunk_id", "k.kind", F.explode("k.own").alias("e"))
+    return each.select("document_id", "chunk_id", "e.text", "kind", "e.confidence")
 
 
 def per_document(entities: DataFrame, most: int = MOST_PER_KIND) -> DataFrame:

@@ -17,27 +17,22 @@ EMAIL_NAME = r"\.eml$|\.msg$|mail|メール"
 SHORTEST_ALIAS, TIMELINE = 2, 50
 
 
+#: Rules that give another spelling of a name, in their order: what the name must hold, and what is cut out of it.
+SPELLINGS = (
+    *((form, cut) for form in JP_FORMS for cut in (form, f"{form}| ")),
+    (EN_FORM, EN_FORM),
+    ("@", "@.*"),
+    ("@", "^[^@]*@"),
+    (r"@|^[^ ]*\.[^ ]*$", r"^[^@]*@|\.[^@]*$"),
+)
+
+
 def aliases(name: str, extra: list[str] | None = None) -> list[str]:
     """Spellings under which a client may occur: without the form of the company, parts of e-mail addresses and domains."""
-    out: dict[str, str] = {}
-    for raw in (name, *(extra or [])):
-        whole = (raw or "").strip()
-        forms = [whole]
-        for form in JP_FORMS:
-            if form in whole:
-                bare = whole.replace(form, "")
-                forms += [bare, bare.replace(" ", "")]
-        if (m := re.search(EN_FORM, whole, re.IGNORECASE)) is not None:
-            forms.append(whole[: m.start()])
-        if "@" in whole:
-            local, _, domain = whole.partition("@")
-            forms += [local, domain, domain.split(".")[0]]
-        elif "." in whole and " " not in whole:
-            forms.append(whole.split(".")[0])
-        for form in map(str.strip, forms):
-            if len(form) >= SHORTEST_ALIAS:
-                out.setdefault(form.lower(), form)
-    return list(out.values())
+    given = [(x or "").strip() for x in (name, *(extra or []))]
+    spelled = [[x, *(re.sub(cut, "", x, flags=re.IGNORECASE).strip() for holds, cut in SPELLINGS if re.search(holds, x, re.IGNORECASE))] for x in given]
+    long = [x for own in spelled for x in own if len(x) >= SHORTEST_ALIAS]
+    return list({x.lower(): x for x in reversed(long)}.values())[::-1]
 
 
 def _first_alias(text: Column, names: list[str]) -> Column:

@@ -44,14 +44,14 @@ def assess(operations: DataFrame) -> DataFrame:
     say = lambda test, *parts: F.when(test, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)))
     reasons = F.array_compact(
         F.array(
-            say(op == "bulk_modify", "operation 'bulk_modify' aggregates changes from multiple sources"),
-            say(many, F.col("row_count").cast("string"), f" rows exceeds the {BULK_ROWS}-row safety threshold"),
-            say(op == "confirmable_overwrite", "operation 'confirmable_overwrite' would replace an existing file"),
-            say(_known(op, HIGH), "operation '", op, "' is high-risk"),
-            say(_known(op, MEDIUM), "operation '", op, "' creates new artifacts"),
-            say(unknown, "operation '", op, "' is unknown; defaulting to medium risk"),
-            say(read_only, "workspace '", F.col("name"), "' is read-only"),
-            say(escaped, "target '", first_out, "' is outside workspace '", F.col("name"), "'"),
+            say(op == "bulk_modify", "many changes at once"),
+            say(many, F.col("row_count").cast("string"), f" rows are more than {BULK_ROWS}"),
+            say(op == "confirmable_overwrite", "a file that is there would be lost"),
+            say(_known(op, HIGH), op, " can't be undone"),
+            say(_known(op, MEDIUM), op, " writes something new"),
+            say(unknown, "nothing is known of ", op),
+            say(read_only, F.col("name"), " may only be read"),
+            say(escaped, first_out, " lies outside of ", F.col("name")),
         )
     )
     level = F.when(read_only | escaped, "high").otherwise(base)
@@ -72,7 +72,7 @@ def intercept(spark: SparkSession, operation: str, targets: list[str] | None = N
     row = [(operation, paths, row_count, confirm, ws.get("name"), root, ws.get("policy"))]
     out = gate(spark.createDataFrame(row, "operation string, targets array<string>, row_count int, confirm boolean, name string, root_path string, policy string")).first().asDict()
     if out["outcome"] == "refused":
-        out["error"] = f"refused: {operation} classified as HIGH risk ({'; '.join(out['reasons']) or 'no reason given'})"
+        out["error"] = f"refused: {operation} ({'; '.join(out['reasons'])})"
     return out
 
 

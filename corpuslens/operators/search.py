@@ -49,8 +49,22 @@ def phrases(query: str) -> list[tuple[str, bool]]:
     return [(t, prefix) for t in T.query_tokens(query) for prefix in (False, True)]
 
 
-def _hits(tokens: Column, term: str, prefix: bool) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.startswith(term) if prefix else t == term))
+def _spaced(text: Column) -> Column:
+    """The tokens of a text with one space at either end of each, so that two are between any two."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(T.fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+
+
+def _times(spaced: Column, part: str) -> Column:
+    """How often a spaced text holds a part that can't overlap itself; strings are replaced and measured, without a lambda per token."""
+    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def _hits(spaced: Column, term: str, prefix: bool) -> Column:
+    return _times(spaced, f" {term}" if prefix else f" {term} ")
+
+
+def _length(spaced: Column) -> Column:
+    return F.when(F.length(spaced) > 2, _times(spaced, "  ") + 1).otherwise(0)
 
 
 def _weight(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
@@ -64,8 +78,8 @@ def bm25(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     wanted = phrases(query)
     if not wanted:
         return docs.filter("false").withColumn("score", F.lit(0.0))
-    found = docs.withColumn("_tokens", T.tokens(F.col(text)))
-    found = found.select("*", F.size("_tokens").alias("_length"), F.array(*(_hits(F.col("_tokens"), t, p) for t, p in wanted)).alias("_tf")).drop("_tokens")
+    found = docs.withColumn("_spaced", _spaced(F.col(text)))
+    found = found.select("*", _length(F.col("_spaced")).alias("_length"), F.array(*(_hits(F.col("_spaced"), t, p) for t, p in wanted)).alias("_tf")).drop("_spaced")
     stats = found.agg(
         F.count("*").cast("double").alias("_n"),
         F.avg("_length").alias("_average"),
@@ -76,25 +90,27 @@ def bm25(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     return hit.join(F.broadcast(stats)).withColumn("score", score).drop("_length", "_tf", "_n", "_average", "_df")  # one row of figures
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def postings(docs: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The inverted index: (term, key, tf), and (key, length)."""
-    found = docs.select(key, T.tokens(F.col(text)).alias("tokens"))
-    return found.select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")), found.select(key, F.size("tokens").alias("length"))
+    keys = (key,) if isinstance(key, str) else key
+    spaced = F.trim(_spaced(F.col(text)))
+    each = docs.select(*keys, F.explode(F.split(spaced, "  ")).alias("term")).filter("term <> ''")
+    return each.groupBy("term", *keys).agg(F.count("*").alias("tf")), docs.select(*keys, _length(_spaced(F.col(text))).alias("length"))
 
 
-def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """(key, score) over an index. The filters on term reach the scan of a stored index."""
+def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str, key: str = "doc_id", *more: str) -> DataFrame:
+    """(key, more columns of lengths, score) over an index. The filters on term reach the scan of a stored index."""
     wanted = phrases(query)
     if not wanted:
-        return lengths.filter("false").select(key, F.lit(0.0).alias("score"))
+        return lengths.filter("false").select(key, *more, F.lit(0.0).alias("score"))
     test = lambda t, p: F.col("term").startswith(t) if p else F.col("term") == t
     every = reduce(lambda a, b: a | b, (test(t, p) for t, p in wanted))
     of = F.array_compact(F.array(*(F.when(test(t, p), F.lit(k)) for k, (t, p) in enumerate(wanted))))
     tf = index.filter(every).select(key, "tf", F.explode(of).alias("phrase")).groupBy(key, "phrase").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("phrase").agg(F.count("*").cast("double").alias("df"))
     stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
-    scored = tf.join(F.broadcast(df), "phrase").join(lengths, key).join(F.broadcast(stats))  # as many rows as phrases, and one
-    return scored.groupBy(key).agg(F.sum(_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"))).alias("score"))
+    scored = tf.join(F.broadcast(df), "phrase").join(lengths.select(key, *more, "length"), key).join(F.broadcast(stats))  # as many rows as phrases, and one
+    return scored.groupBy(key, *more).agg(F.sum(_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"))).alias("score"))
 
 
 # ---- vectors
@@ -114,10 +130,10 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def fuse(lists: list[DataFrame], key: str) -> DataFrame:
-    """Reciprocal rank fusion of lists of (key, rank): (key, rrf), nothing if one is empty."""
+    """Reciprocal rank fusion of lists of (key, rank) that limits have bounded: (key, rrf), nothing if one is empty. Each list is read once."""
     both = reduce(DataFrame.unionByName, (x.select(key, "rank", F.lit(k).alias("list")) for k, x in enumerate(lists)))
-    full = both.agg((F.count_distinct("list") == len(lists)).alias("full"))
-    return both.join(F.broadcast(full)).filter("full").groupBy(key).agg(F.sum(RRF_SCALE / (RRF_K + F.col("rank"))).alias("rrf"))  # one row
+    full = F.size(F.collect_set("list").over(Window.partitionBy(F.lit(0)))) == len(lists)
+    return both.withColumn("full", full).filter("full").groupBy(key).agg(F.sum(RRF_SCALE / (RRF_K + F.col("rank"))).alias("rrf"))
 
 
 # ---- recall and ranking
@@ -131,9 +147,20 @@ def entity_documents(entities: DataFrame, query: str, per_term: int = 20) -> Dat
         return entities.filter("false").select(F.lit("").alias("term"), F.lit(0).alias("pos"), "document_id")
     said = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(k).alias("pos")) for k, t in enumerate(terms)))
     hit = entities.select("document_id", F.explode(F.filter(said, lambda s: F.lower("text").contains(F.lower(s["term"])))).alias("s"))
-    hit = hit.select("s.term", "s.pos", "document_id").distinct()
-    lists = [hit.filter(F.col("pos") == k).orderBy("document_id").limit(per_term) for k in range(len(terms))]
-    return reduce(DataFrame.unionByName, lists)
+    place = F.row_number().over(Window.partitionBy("pos").orderBy("document_id"))  # Spark keeps the first few of each task before it deals them
+    return hit.select("s.term", "s.pos", "document_id").distinct().withColumn("place", place).filter(F.col("place") <= per_term).drop("place")
+
+
+def in_period(rows: DataFrame, since: datetime | None, until: datetime | None) -> DataFrame:
+    """Rows whose mtime is within the bounds there are."""
+    tests = [F.col("mtime") >= F.lit(since)] * (since is not None) + [F.col("mtime") <= F.lit(until)] * (until is not None)
+    return reduce(DataFrame.filter, tests, rows)
+
+
+def within_budget(chunks: DataFrame, most: int, by: str = "document_id", order: str = "ordinal", size: str = "char_count") -> DataFrame:
+    """The first chunks of each document, as many whole ones as have ``most`` characters together; with ``running``, their sum so far."""
+    running = F.sum(size).over(Window.partitionBy(by).orderBy(order))
+    return chunks.withColumn("running", running).filter(F.col("running") <= most)
 
 
 def rank(
@@ -150,11 +177,7 @@ def rank(
     better), entity_term (the term an entity of the document holds, or null), semantic (boolean) and rrf."""
     terms = [t for t in re.split(r"\s+", query.lower()) if t]
     kind = kind or kind_preference(query)
-    rows = candidates
-    if period[0] is not None:
-        rows = rows.filter(F.col("mtime") >= F.lit(period[0]))
-    if period[1] is not None:
-        rows = rows.filter(F.col("mtime") <= F.lit(period[1]))
+    rows = in_period(candidates, *period)
     low = {c: F.lower(c) for c in ("name", "path", "text")}
     said = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
     matched = F.filter(said, lambda t: low["text"].contains(t))
@@ -207,11 +230,11 @@ def candidates(docs: DataFrame, chunks: DataFrame, hits: DataFrame, entities: Da
         near = ranked(semantic.select("chunk_id", "distance"), F.col("distance"), F.col("chunk_id"))
         listed = listed.unionByName(near.select("chunk_id", F.col("distance").alias("raw"), F.lit(1).alias("source")))
         rrf, flags = fuse([words, near], "chunk_id"), near.select("chunk_id", F.lit(True).alias("semantic"))
-    known = entity_documents(entities, query)
-    firsts = chunks.groupBy("document_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"))
-    listed = listed.unionByName(firsts.join(known.select("document_id").distinct(), "document_id").select("chunk_id", F.lit(-0.5).alias("raw"), F.lit(2).alias("source")))
+    boost = entity_documents(entities, query).groupBy("document_id").agg(F.min_by("term", "pos").alias("entity_term"))  # per_term of each term at most
+    some = F.broadcast(boost.select("document_id"))
+    firsts = chunks.join(some, "document_id").groupBy("document_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"))
+    listed = listed.unionByName(firsts.select("chunk_id", F.lit(-0.5).alias("raw"), F.lit(2).alias("source")))
     listed = listed.groupBy("chunk_id").agg(F.min_by("raw", "source").alias("raw"))
-    boost = known.groupBy("document_id").agg(F.min_by("term", "pos").alias("entity_term"))
     rows = listed.join(chunks.select("chunk_id", "document_id", "text"), "chunk_id").join(docs.select("document_id", "name", "path", "kind", "mtime"), "document_id")
     rows = rows.join(boost, "document_id", "left")
     if semantic is None:
@@ -236,13 +259,13 @@ def suggested_action(kind: Column, intent: str) -> Column:
     """What to do with a source, by the words of the intent, then by its kind."""
     low = intent.lower()
     for words, action in (
-        (("請求", "invoice"), "extract invoice fields and add to CSV"),
-        (("契約", "contract"), "extract clauses and compare against the other contract version"),
-        (("メール", "email", "返信"), "summarise past correspondence; draft a reply that stays in scope"),
+        (("請求", "invoice"), "read its fields into the table of invoices"),
+        (("契約", "contract"), "set its clauses against those of another version"),
+        (("メール", "email", "返信"), "sum up the letters so far, then draft an answer"),
     ):
         if any(w in low for w in words):
             return F.lit(action)
-    return F.when(kind == "xlsx", "review sheet ranges; cite by sheet + cell range when quoting").when(kind == "pdf", "cite by page number when quoting")
+    return F.when(kind == "xlsx", "quote it by sheet and cells").when(kind == "pdf", "quote it by page")
 
 
 def evidence(results: DataFrame, fields: DataFrame, intent: str, most: int = MAX_SOURCES, longest: int = MAX_TEXT) -> DataFrame:

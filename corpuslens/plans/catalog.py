@@ -5,6 +5,7 @@ index, ``events`` for file events and an audit trail, ``labels`` for the confide
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -166,7 +167,7 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{_RANK_SQL}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id) AS position FROM ranked QUALIFY position <= 8)
 SELECT CAST(position AS INTEGER) AS position, 'chk_' || substr(document_id, 5) || '_00000' AS source_id, path AS file_path, length(CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...' ELSE text END) AS shown,
-length(text) > 4000 AS truncated, CAST(coalesce(n, 0) AS BIGINT) AS n_fields, 'extract invoice fields and add to CSV' AS suggested_action
+length(text) > 4000 AS truncated, CAST(coalesce(n, 0) AS BIGINT) AS n_fields, 'read its fields into the table of invoices' AS suggested_action
 FROM top LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) USING (doc_id)"""
 )
 def evidence_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +216,7 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_PHONE})) AS v FROM documents) GROUP BY doc_id, lower(trim(v))) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, value) <= 2"""
 )
 def entity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.regexp_extract_all("text", F.lit(entities.PATTERNS[3][2]), F.lit(0))).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.regexp_extract_all("text", F.lit(next(x for k, _, x in entities.PATTERNS if k == "phone")), F.lit(0))).alias("text"))
     found = docs.select("document_id", F.trim("text").alias("text"), F.lit("phone").alias("kind"), F.lit(0.8).alias("confidence"))
     return entities.per_document(found, 2).select("document_id", "kind", "value", "times")
 
@@ -244,10 +245,8 @@ def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT conv_id, turn, running FROM (SELECT conv_id, turn, CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS running FROM conversations) WHERE running <= 1000"""
 )
 def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    running = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", running.alias("running")).filter("running <= 1000")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("char_count"))
+    return search.within_budget(turns, 1000, "conv_id", "turn").select("conv_id", "turn", "running")
 
 
 @query()
@@ -266,20 +265,25 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, block, count(*) AS n, 'rows ' || (block * 3 + 2) || '-' || (block * 3 + 1 + count(*)) AS cell_range, string_agg(l_linenumber || ',' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS body
+    """SELECT l_orderkey, block, 'rows ' || (block * 3 + 2) || '-' || (block * 3 + 1 + count(*)) AS cell_range, 'line,part' || chr(10) || string_agg(l_linenumber || ',' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS body
 FROM (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) // 3 AS block FROM lineitem) GROUP BY l_orderkey, block"""
 )
 def csv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a table in blocks (here of three), each with its range of rows."""
+    """A CSV file for each order, cut by the extractor of tables (here in blocks of three rows), each block with its range of rows."""
+    from corpuslens.sources.extractors import table_text
+
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("r"))
-    every = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / 3).cast("int")), lambda b: F.struct(b.alias("block"), F.slice("rows", b * 3 + 1, F.lit(3)).alias("rows")))
-    cut = every.select("l_orderkey", F.explode(blocks).alias("b")).select("l_orderkey", F.col("b.block").cast("long").alias("block"), F.col("b.rows").alias("rows"))
-    n = F.size("rows").cast("long")
-    return cut.select(
-        "l_orderkey", "block", n.alias("n"), F.concat(F.lit("rows "), (F.col("block") * 3 + 2).cast("string"), F.lit("-"), (F.col("block") * 3 + 1 + n).cast("string")).alias("cell_range"),
-        F.array_join(F.transform("rows", lambda r: F.concat_ws(",", r["l_linenumber"].cast("string"), r["l_partkey"].cast("string"))), "\n").alias("body"),
-    )
+    line = lambda r: F.concat_ws(",", r["l_linenumber"].cast("string"), r["l_partkey"].cast("string"))
+    files = rows.groupBy("l_orderkey").agg(F.concat(F.lit("line,part\n"), F.array_join(F.transform(F.sort_array(F.collect_list("r")), line), "\n")).alias("content"))
+
+    def run(frames):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for frame in frames:
+            cut = [(key, k, c["cell_range"], c["text"]) for key, content in zip(frame["l_orderkey"], frame["content"]) for k, c in enumerate(table_text(content.encode(), ",", 3))]
+            yield pd.DataFrame(cut, columns=["l_orderkey", "block", "cell_range", "body"])
+
+    return files.mapInPandas(run, "l_orderkey long, block long, cell_range string, body string")
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
@@ -464,6 +468,27 @@ def client_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.timeline(_client(spark, sf_dir)).select("document_id", F.date_format("mtime", "yyyy-MM-dd").alias("day"))
 
 
+_SAID = "said AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id, o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders)"
+
+
+@query(
+    f"""WITH {_SAID}, every AS (SELECT document_id, 'money' AS kind, unnest(['$' || format('{{:,.2f}}', o_totalprice), 'EUR ' || format('{{:,.2f}}', o_totalprice), o_custkey || '万円']) AS text, 0.85::DOUBLE AS confidence FROM said
+UNION ALL SELECT document_id, 'date', strftime(o_orderdate, '%Y-%m-%d'), 0.85 FROM said UNION ALL SELECT document_id, 'email', 'Buyer.' || o_custkey || '@example.com', 0.95 FROM said
+UNION ALL SELECT document_id, 'url', 'https://example.com/o/' || o_orderkey, 0.95 FROM said UNION ALL SELECT document_id, 'org', '株式会社Acme', 0.8 FROM said UNION ALL SELECT document_id, 'org', 'Blue Harbor Ltd', 0.75 FROM said)
+SELECT * FROM every"""
+)
+def entity_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter for each order that names its sums, day, buyer, link and two companies, each twice; all kinds but phones are looked for."""
+    price, day, key = F.format_number(F.col("o_totalprice"), 2), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey").cast("string")
+    said = F.concat(
+        F.lit("株式会社Acme: Paid $"), price, F.lit(" / EUR "), price, F.lit(" / "), F.col("o_custkey").cast("string"), F.lit("万円 (Day "), day, F.lit(") by Buyer."), F.col("o_custkey").cast("string"),
+        F.lit("@example.com, see https://example.com/o/"), key, F.lit(" of Blue Harbor Ltd."),
+    )
+    letters = table(spark, sf_dir, "orders").select(key.alias("document_id"), key.alias("chunk_id"), F.concat(said, F.lit("\n"), said).alias("text"))
+    found = entities.extract(letters, kinds=("money", "date", "email", "url", "org"))
+    return found.select("document_id", "kind", F.rtrim(F.regexp_replace("text", r"\.$", "")).alias("text"), "confidence")
+
+
 # ---- contracts
 
 
@@ -498,12 +523,22 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cut, cut.filter("ordinal <> 3").withColumn("body", body)
 
 
-@query()
+#: The version's second text is the first with something behind it, so the similarity of both is known: all of the first.
+_COMPARED = rf"""{_CLAUSES}, own AS (SELECT conv_id, turn, role, trim(body) AS a, count(*) OVER (PARTITION BY conv_id) AS n FROM placed),
+versions AS (SELECT *, CASE turn WHEN 0 THEN trim(a || ' 5') WHEN 1 THEN a || '!' ELSE a END AS b FROM own),
+told AS (SELECT CAST(conv_id AS VARCHAR) AS pair_id, CAST(CASE WHEN turn < 2 THEN turn WHEN turn = 2 THEN n - 1 ELSE turn - 1 END AS INTEGER) AS place, CAST(turn + 1 AS INTEGER) AS ordinal_a, role AS title_a,
+CASE WHEN turn <> 2 THEN CAST(turn + 1 AS INTEGER) END AS ordinal_b, CASE WHEN turn <> 2 THEN role END AS title_b, a, b, turn, CASE WHEN turn <> 2 THEN CASE WHEN a = b THEN 0.0 ELSE 1 - 2.0::DOUBLE * length(a) / (length(a) + length(b)) END END AS ratio FROM versions),
+compared AS (SELECT pair_id, place, ordinal_a, ordinal_b, title_a, title_b, round(ratio, 4) AS edit_ratio,
+CASE WHEN turn = 2 THEN 'removed' WHEN a = b THEN 'identical' WHEN (turn = 0 AND NOT list_contains(regexp_extract_all(a, '\d+(?:[.,]\d+)*'), '5')) OR ratio >= {contracts.WORDING} THEN 'substantive' ELSE 'wording' END AS status,
+CASE WHEN turn = 2 OR a = b THEN [] WHEN a = '' THEN ['@@ -0,0 +1 @@' || chr(10) || '+' || b] ELSE ['@@ -1 +1 @@' || chr(10) || '-' || a || chr(10) || '+' || b] END AS hunks FROM told)"""
+
+
+@query(f"WITH {_COMPARED} SELECT * REPLACE (array_to_string(hunks, chr(10)) AS hunks) FROM compared")
 def clause_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.compare(*_versions(spark, sf_dir))
+    return contracts.compare(*_versions(spark, sf_dir)).withColumn("hunks", F.array_join("hunks", "\n"))
 
 
-@query()
+@query(f"WITH {_COMPARED} SELECT pair_id, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("identical", "wording", "substantive", "added", "removed")) + " FROM compared GROUP BY pair_id")
 def clause_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.difference_summary(contracts.compare(*_versions(spark, sf_dir)))
 
@@ -592,12 +627,16 @@ def watch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.withColumn("step", F.date_format("step", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+@query(f"WITH {_MOVED} SELECT path, arg_max(event_type, seq) AS event_type, count(*) AS events FROM each GROUP BY path")
 def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, worked off; the last event of each path as the steps left it."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     root = f"{base.rstrip('/')}/corpuslens/watch-{uuid.uuid4().hex[:12]}"
     raw = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet*")
@@ -631,7 +670,7 @@ def period_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DOCS} SELECT document_id FROM docs WHERE mtime BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31 23:59:59'")
 def period_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = understand.parse("January 2024", AS_OF)
-    return docs_view(spark, sf_dir).filter(F.col("mtime").between(F.lit(asked.since), F.lit(asked.until))).select("document_id")
+    return search.in_period(docs_view(spark, sf_dir), asked.since, asked.until).select("document_id")
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Tables of a collection: documents, chunks, fields, entities, vectors, workspaces, audit trail.
+"""Tables of a collection: documents, chunks, fields, entities, vectors, the inverted index, workspaces, audit trail.
 
 A table is a folder of Parquet. A change writes the new state beside the old and then points to it, so that a reader sees
 one or the other, and an interrupted change leaves the old. Changes are joins with the ids that change; nothing is collected."""
@@ -80,7 +80,9 @@ class Store:
     def write(self, name: str, df: DataFrame) -> None:
         """A new state, in the types of the table, sorted for reads by document; the one before stays for those reading it."""
         typed = self.typed(name, df)
-        order = [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]
+        if name == "postings":  # by term, so that a search reads few of its files
+            typed = typed.repartitionByRange("term")
+        order = ["term"] if name == "postings" else [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]
         path, fs = self._fs()
         before = self._current(name)
         number = int(before.rsplit("/", 1)[1].split("-")[0]) + 1 if before else 0
@@ -100,7 +102,7 @@ class Store:
     def delete_documents(self, ids: DataFrame) -> None:
         """Documents (document_id) and all that hangs on them."""
         ids = ids.select("document_id").distinct()
-        for child in ("vectors", "entities", "fields", "chunks"):
+        for child in ("postings", "lengths", "vectors", "entities", "fields", "chunks"):
             self.write(child, without(self.read(child), ids, "document_id"))
         self.write("documents", without(self.read("documents"), ids.withColumnRenamed("document_id", "id"), "id"))
 

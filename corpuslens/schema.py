@@ -28,12 +28,15 @@ FIELDS = (
 )
 ENTITIES = "document_id string, chunk_id string, text string, kind string, confidence double"
 VECTORS = "chunk_id string, workspace_id string, document_id string, embedding array<float>"
+POSTINGS = "chunk_id string, workspace_id string, document_id string, term string, tf long"
+LENGTHS = "chunk_id string, workspace_id string, document_id string, length int"
 AUDIT = (
     "id string, timestamp timestamp, actor string, operation string, user_request string, tool string, referenced_files array<string>, "
     "output_files array<string>, risk string, user_approved boolean, error string, extra map<string,string>"
 )
 TABLES = {
     "workspaces": WORKSPACES, "documents": DOCUMENTS, "chunks": CHUNKS, "fields": FIELDS, "entities": ENTITIES, "vectors": VECTORS, "audit_log": AUDIT,
+    "postings": POSTINGS, "lengths": LENGTHS,
 }
 
 #: The kind of a document by the extension of its file.

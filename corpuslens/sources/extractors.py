@@ -9,8 +9,10 @@ import io
 import json
 import re
 import zipfile
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, pairwise
 from typing import Any
 from xml.etree import ElementTree
 
@@ -26,38 +28,32 @@ def decode(content: bytes) -> str:
 
 def plain_text(content: bytes, markdown: bool = False) -> Iterator[Chunk]:
     """Blocks that end at a blank line after TEXT_CHARS characters, and, in Markdown, before each heading."""
-    block: list[str] = []
-    heading: str | None = None
-    size = 0
-
-    def done() -> Iterator[Chunk]:
-        text = "\n".join(block).strip()
-        if text:
-            yield {"chunk_kind": "paragraph", "text": text, "section_heading": heading}
-
-    for line in decode(content).splitlines():
-        opens = markdown and line.startswith("#")
-        if opens:
-            yield from done()
-            block, size, heading = [], 0, line.lstrip("# ").strip() or heading
-        block.append(line)
-        size += len(line)
-        if not opens and size >= TEXT_CHARS and not line.strip():
-            yield from done()
-            block, size = [], 0
-    yield from done()
-
-
-def table_text(content: bytes, delimiter: str) -> Iterator[Chunk]:
-    """Blocks of TABLE_ROWS rows, each under the header; the rows are counted as in the file."""
+    lines = decode(content).splitlines()
+    until = list(accumulate(map(len, lines), initial=0))
+    heads = [k for k, line in enumerate(lines) if markdown and line[:1] == "#"]
+    blank = [k for k, line in enumerate(lines) if not line or line.isspace()]
+    title = None
+    for first, last in pairwise(sorted({0, *heads, len(lines)})):
+        title = (lines[first].lstrip("# ").strip() if markdown and lines[first][:1] == "#" else "") or title
+        cuts = [first]
+        for k in blank[bisect_left(blank, first) : bisect_left(blank, last)]:
+            if until[k + 1] - until[cuts[-1]] >= TEXT_CHARS:
+                cuts.append(k + 1)
+        for a, b in pairwise([*cuts, last]):
+            if text := "\n".join(lines[a:b]).strip():
+                yield {"chunk_kind": "paragraph", "text": text, "section_heading": title}
+
+
+def table_text(content: bytes, delimiter: str, most: int = TABLE_ROWS) -> Iterator[Chunk]:
+    """Blocks of ``most`` rows, each under the header; the rows are counted as in the file."""
     rows = list(csv.reader(io.StringIO(decode(content), newline=""), delimiter=delimiter))
     if not rows:
         return
     head, body = rows[0], rows[1:]
     if not body:
         yield {"chunk_kind": "table", "text": delimiter.join(head)}
-    for k in range(0, len(body), TABLE_ROWS):
-        block = body[k : k + TABLE_ROWS]
+    for k in range(0, len(body), most):
+        block = body[k : k + most]
         yield {"chunk_kind": "table", "text": "\n".join(delimiter.join(r) for r in (head, *block)), "cell_range": f"rows {k + 2}-{k + 1 + len(block)}"}
 
 

@@ -81,7 +81,7 @@ def test_evidence_cuts_and_flags(spark):
     got = search.evidence(rows, fields, "look at it").orderBy("position").collect()
     assert [r.source_id for r in got] == ["d1:doc", "c2"]
     assert len(got[0].extracted_text) == 4003 and got[0].truncated and len(got[0].fields) == 8
-    assert got[0].low_confidence == "a.pdf (ocr) confidence=0.50" and got[0].suggested_action == "cite by page number when quoting"
+    assert got[0].low_confidence == "a.pdf (ocr) confidence=0.50" and got[0].suggested_action == "quote it by page"
     packet = search.packet(search.evidence(rows, fields, "the contract"), "the contract").first()
     assert packet.workspace_ids == ["w"] and packet.truncated and packet.low_confidence_items == ["a.pdf (ocr) confidence=0.50"]
 
