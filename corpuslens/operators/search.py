@@ -59,6 +59,11 @@ def _times(spaced: Column, part: str) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def _once(value: Column) -> Column:
+    """The value by way of a generator: filters and projections above take it as it is, instead of working it out each time they name it."""
+    return F.explode(F.array(value))
+
+
 def _hits(spaced: Column, term: str, prefix: bool) -> Column:
     return _times(spaced, f" {term}" if prefix else f" {term} ")
 
@@ -78,7 +83,7 @@ def bm25(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     wanted = phrases(query)
     if not wanted:
         return docs.filter("false").withColumn("score", F.lit(0.0))
-    found = docs.withColumn("_spaced", _spaced(F.col(text)))
+    found = docs.select("*", _once(_spaced(F.col(text))).alias("_spaced"))
     found = found.select("*", _length(F.col("_spaced")).alias("_length"), F.array(*(_hits(F.col("_spaced"), t, p) for t, p in wanted)).alias("_tf")).drop("_spaced")
     stats = found.agg(
         F.count("*").cast("double").alias("_n"),
@@ -95,7 +100,7 @@ def postings(docs: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str =
     keys = (key,) if isinstance(key, str) else key
     spaced = F.trim(_spaced(F.col(text)))
     each = docs.select(*keys, F.explode(F.split(spaced, "  ")).alias("term")).filter("term <> ''")
-    return each.groupBy("term", *keys).agg(F.count("*").alias("tf")), docs.select(*keys, _length(_spaced(F.col(text))).alias("length"))
+    return each.groupBy("term", *keys).agg(F.count("*").alias("tf")), docs.select(*keys, _once(_spaced(F.col(text))).alias("_spaced")).select(*keys, _length(F.col("_spaced")).alias("length"))
 
 
 def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str, key: str = "doc_id", *more: str) -> DataFrame:
