@@ -19,10 +19,12 @@ from corpuslens.operators import contracts, entities, history, invoices, pii, re
 from corpuslens.plans import store as st
 from corpuslens.plans import understand
 from corpuslens.sources.extractors import html_to_text
+from corpuslens.sources.files import spread
 from corpuslens.streaming import watch
 
 AS_OF = datetime(2024, 7, 1, tzinfo=timezone.utc)
 QUERY, MORE = "the tion ering", "thing onthe"
+TEXTS = ("documents", "conversations", "orders", "pages")  # what queries make texts of and work on at length
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,7 +42,8 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def docs_view(spark: SparkSession, sf_dir: str) -> DataFrame:

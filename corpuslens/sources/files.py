@@ -31,6 +31,13 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt over all cores if it has fewer splits than there are cores: a small file of one row group would be
+    one task. A scan with more splits stays as it is, and nothing is shuffled. Filters and pruning still reach the scan."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def discover(spark: SparkSession, root: str, workspace_id: str, extensions: list[str] | None = None, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, max_bytes: int | None = None) -> DataFrame:
     """workspace_id, path, name, kind, size_bytes, mtime of the files to index; contents aren't read. Hidden folders are left out,
     except ``.claude``."""
