@@ -81,13 +81,13 @@ class Engine:
 
     # ---- indexing
 
-    def index(self, workspace_id: str, force: bool = False, max_files: int | None = None, paths: list[str] | None = None, now: datetime | None = None) -> dict:
+    def index(self, workspace_id: str, force: bool = False, max_files: int | None = None, paths: DataFrame | None = None, now: datetime | None = None) -> dict:
         """Reads new and changed files of a workspace: how many were seen, indexed, skipped, and failed."""
         ws, now = self.workspace(workspace_id), _now(now)
         self.update_workspace(workspace_id, status="indexing")
         found = files.discover(self.spark, ws["root_path"], workspace_id, ws["include_extensions"], tuple(ws["exclude_globs"] or ()), ws["max_file_size_mb"] << 20)
         if paths is not None:
-            found = found.filter(F.col("path").isin(*paths))
+            found = found.join(paths.select("path").distinct(), "path", "left_semi")
         if max_files is not None:
             found = found.orderBy("path").limit(max_files)
         todo = files.changed(found, self.store.read("documents"), force or paths is not None).persist()
@@ -97,22 +97,19 @@ class Engine:
         chunks_in = chunks.withColumnRenamed("id", "chunk_id")
         known = pii.flagged(chunks_in).select(F.col("document_id").alias("id"), F.lit(True).alias("pii_flagged"))
         documents = documents.join(known, "id", "left").withColumn("pii_flagged", F.coalesce("pii_flagged", F.lit(False)))
-        read = self.store.read
-        self.store.write("chunks", st.replace_children(read("chunks"), self.store.typed("chunks", chunks), ids))
-        self.store.write("entities", st.replace_children(read("entities"), self.store.typed("entities", entities.extract(chunks_in)), ids))
         body = F.concat_ws(" ", "text", "section_heading", "sheet_name")
         terms, lengths = ranking.postings(chunks_in.select("chunk_id", "workspace_id", "document_id", body.alias("body")), ("chunk_id", "workspace_id", "document_id"), "body")
-        self.store.write("postings", st.replace_children(read("postings"), self.store.typed("postings", terms), ids))
-        self.store.write("lengths", st.replace_children(read("lengths"), self.store.typed("lengths", lengths), ids))
+        new = {"chunks": chunks, "entities": entities.extract(chunks_in), "postings": terms, "lengths": lengths}
         if ws["enable_vector_search"]:
-            self.store.write("vectors", st.replace_children(read("vectors"), self.store.typed("vectors", embed.embed(chunks_in, self.embedder)), ids))
-        self.store.write("documents", st.upsert(read("documents"), self.store.typed("documents", documents), "id"))
+            new["vectors"] = embed.embed(chunks_in, self.embedder)
+        replace = {name: (lambda old, name=name, rows=rows: st.replace_children(old, self.store.typed(name, rows), ids)) for name, rows in new.items()}
+        self.store.change(ids, replace | {"documents": lambda old: st.upsert(old, self.store.typed("documents", documents), "id")})
         done = documents.agg(F.count("*").alias("n"), F.count_if(F.col("extraction_error").isNotNull()).alias("bad")).first()
         seen = found.count()
         todo.unpersist()
         extracted.unpersist()
         self.audit("extract", "index", referenced_files=[ws["root_path"]], now=now)
-        count = read("documents").filter(F.col("workspace_id") == workspace_id).count()
+        count = self.store.read("documents").filter(F.col("workspace_id") == workspace_id).count()
         self.update_workspace(workspace_id, status="indexed", last_indexed_at=now, document_count=count)
         return {"seen": seen, "indexed": done.n - done.bad, "skipped": seen - done.n, "errors": done.bad}
 
@@ -120,8 +117,8 @@ class Engine:
         """Acts on (path, event_type): deletes what was deleted, reads again what else was touched and is still there."""
         gone = events.filter(F.col("event_type") == "deleted").select(schema.document_id(F.lit(workspace_id), F.col("path")).alias("document_id"))
         self.store.delete_documents(gone)
-        touched = [r.path for r in events.filter(F.col("event_type") != "deleted").select("path").collect()]  # the files of one step of a watch
-        if touched:
+        touched = events.filter(F.col("event_type") != "deleted").select("path")
+        if not touched.isEmpty():
             self.index(workspace_id, paths=touched)
 
     def start_watch(self, workspace_id: str, events: DataFrame, checkpoint: str, once: bool = False):  # noqa: ANN201
@@ -201,7 +198,7 @@ class Engine:
             self.audit("extract", "extract_invoice", referenced_files=[doc])
             ids = self.spark.createDataFrame([(doc,)], "document_id string")
             kept = self.store.read("fields").filter(F.col("key").startswith("section.") & (F.col("document_id") == doc))
-            self.store.write("fields", st.replace_children(self.store.read("fields"), self.store.typed("fields", best).unionByName(kept), ids))
+            self.store.change(ids, {"fields": lambda old: st.replace_children(old, self.store.typed("fields", best).unionByName(kept), ids)})
         return best
 
     def invoice_table(self, workspace_id: str, path: str, confirm: bool = False, overwrite: bool = False, extract: bool = True) -> dict:
@@ -250,7 +247,7 @@ class Engine:
         cut = contracts.sections(contracts.stitch(self.chunks().filter(F.col("document_id") == doc)), contracts.LONGEST_BODY)
         if persist:
             ids = self.spark.createDataFrame([(doc,)], "document_id string")
-            self.store.write("fields", st.replace_prefix(self.store.read("fields"), self.store.typed("fields", contracts.as_fields(cut)), ids, "section."))
+            self.store.change(ids, {"fields": lambda old: st.replace_prefix(old, self.store.typed("fields", contracts.as_fields(cut)), ids, "section.")})
         return cut
 
     def compare_contracts(self, first: str, second: str) -> DataFrame:
@@ -280,6 +277,11 @@ class Engine:
         self.audit("draft", "email_draft", user_request=intent, output_files=[target], now=now)
         return out | {"path": target}
 
+    def vector_count(self, workspace_id: str | None = None) -> int:
+        """How many chunks have a vector, of one workspace or of all."""
+        rows = self.store.read("vectors").filter(F.col("embedding").isNotNull())
+        return (rows if workspace_id is None else rows.filter(F.col("workspace_id") == workspace_id)).count()
+
     # ---- trail
 
     def audit(self, operation: str, tool: str, risk_level: str = "low", now: datetime | None = None, **more: Any) -> None:

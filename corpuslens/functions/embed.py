@@ -29,17 +29,26 @@ def hashing(dim: int = 64) -> Embedder:
 
 
 def embed(chunks: DataFrame, embedder: Embedder, batch: int = 64) -> DataFrame:
-    """chunk_id, workspace_id, document_id, embedding of the chunks with text; a batch that fails is left out, not the job."""
+    """chunk_id, workspace_id, document_id, embedding, error of the chunks with text. Where a batch fails, its texts are tried one by
+    one; one that fails again has no embedding but the error, and the job goes on."""
+
+    def one_by_one(texts: list[str]) -> Iterator[tuple[np.ndarray | None, str | None]]:
+        for text in texts:
+            try:
+                yield np.asarray(embedder([text])[0], np.float32), None
+            except Exception as e:  # noqa: BLE001  an embedder may be remote or out of memory
+                yield None, f"{type(e).__name__}: {e}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k in range(0, len(frame), batch):
                 part = frame.iloc[k : k + batch]
+                texts = part["text"].tolist()
                 try:
-                    vectors = embedder(part["text"].tolist())
-                except Exception:  # noqa: BLE001  an embedder may be remote or out of memory
-                    continue
-                yield part.drop(columns="text").assign(embedding=[np.asarray(v, np.float32) for v in vectors])
+                    made = [(np.asarray(v, np.float32), None) for v in embedder(texts)]
+                except Exception:  # noqa: BLE001
+                    made = list(one_by_one(texts))
+                yield part.drop(columns="text").assign(embedding=[v for v, _ in made], error=[e for _, e in made])
 
     some = chunks.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("chunk_id", "workspace_id", "document_id", "text")
-    return some.mapInPandas(run, "chunk_id string, workspace_id string, document_id string, embedding array<float>")
+    return some.mapInPandas(run, "chunk_id string, workspace_id string, document_id string, embedding array<float>, error string")

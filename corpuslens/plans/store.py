@@ -1,13 +1,16 @@
 """Tables of a collection: documents, chunks, fields, entities, vectors, the inverted index, workspaces, audit trail.
 
-A table is a folder of Parquet. A change writes the new state beside the old and then points to it, so that a reader sees
-one or the other, and an interrupted change leaves the old. Changes are joins with the ids that change; nothing is collected."""
+A table is dealt to parts by a hash of the document's id. A change writes the parts it touches beside the old ones, for all tables
+it concerns, and then adds one entry to a log that names the folder of each part. So a change costs what its parts hold, a reader
+sees all of it or nothing, and an interrupted one leaves the old state. Of the rows, only numbers of parts are collected."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.schema import TABLES
@@ -50,61 +53,112 @@ def fitting_vectors(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 class Store:
-    """The tables under a folder that all executors reach."""
+    """The tables under a folder that all executors reach. ``parts`` counts when a store is begun; it stays with the store."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+
+    # ---- the log: {"parts": n, "now": {table: {part: folder}}, "before": the same of the state that changed last}
 
     def _fs(self):  # noqa: ANN202
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self, name: str) -> str | None:
+    def _state(self) -> tuple[int, dict]:
         path, fs = self._fs()
-        folder = path(f"{self.root}/{name}")
-        if not fs.exists(folder):
-            return None
-        done = sorted(s.getPath().toString() for s in fs.listStatus(folder) if fs.exists(path(s.getPath(), "_SUCCESS")))
-        return done[-1] if done else None
-
-    def read(self, name: str) -> DataFrame:
-        """The table's last whole state; an empty one before the first write."""
-        at = self._current(name)
-        return self.spark.read.schema(TABLES[name]).parquet(at) if at else self.spark.createDataFrame([], TABLES[name])
+        folder = path(f"{self.root}/_log")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        names = [n for n in names if n.endswith(".json")]
+        if not names:
+            return -1, {"parts": self.parts, "now": {}, "before": {}}
+        stream = fs.open(path(folder, names[-1]))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return int(names[-1].split(".")[0]), json.loads(text)
+
+    def _log(self, number: int, state: dict) -> None:
+        """Adds an entry; an error if another writer was faster. Files of entries before the last one go."""
+        path, fs = self._fs()
+        entry, draft = path(f"{self.root}/_log/{number:012d}.json"), path(f"{self.root}/_log/{uuid.uuid4().hex}.draft")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if fs.exists(entry) or not fs.rename(draft, entry):
+            fs.delete(draft, False)
+            raise RuntimeError("another writer has changed the store; nothing was changed here")
+        for status in fs.listStatus(path(f"{self.root}/_log")):
+            name = status.getPath().getName()
+            if name.endswith(".json") and int(name.split(".")[0]) < number - 1:
+                fs.delete(status.getPath(), False)
+
+    # ---- tables
+
+    def _part(self, key: str | None, parts: int) -> Column:
+        return (F.pmod(F.xxhash64(key), F.lit(parts)) if key else F.lit(0)).cast("int").alias("part")
+
+    def read(self, name: str, parts: set[int] | None = None) -> DataFrame:
+        """The table's last whole state, or some parts of it; empty before the first write."""
+        if name == "audit_log":
+            path, fs = self._fs()
+            folders = [f"{self.root}/{name}"] if fs.exists(path(f"{self.root}/{name}")) else []
+        else:
+            now = self._state()[1]["now"].get(name, {})
+            folders = [f"{self.root}/{at}" for part, at in now.items() if parts is None or int(part) in parts]
+        return self.spark.read.schema(TABLES[name]).parquet(*folders) if folders else self.spark.createDataFrame([], TABLES[name])
 
     def typed(self, name: str, df: DataFrame) -> DataFrame:
         """The table's columns in its types, null where there are none."""
         wanted = self.spark.createDataFrame([], TABLES[name]).schema
         return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """A new state, in the types of the table, sorted for reads by document; the one before stays for those reading it."""
-        typed = self.typed(name, df)
-        if name == "postings":  # by term, so that a search reads few of its files
-            typed = typed.repartitionByRange("term")
-        order = ["term"] if name == "postings" else [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]
+    def commit(self, changes: dict[str, DataFrame], touched: set[int] | None = None) -> None:
+        """New states of some tables, or of their ``touched`` parts, in one step. What the step before had stays for those reading it."""
+        number, state = self._state()
         path, fs = self._fs()
-        before = self._current(name)
-        number = int(before.rsplit("/", 1)[1].split("-")[0]) + 1 if before else 0
-        typed.sortWithinPartitions(*order).write.parquet(f"{self.root}/{name}/{number:012d}-{uuid.uuid4().hex[:8]}")
-        for status in fs.listStatus(path(f"{self.root}/{name}")):
-            if int(status.getPath().getName().split("-")[0]) < number - 1:
-                fs.delete(status.getPath(), True)
+        now, before = dict(state["now"]), dict(state["before"])
+        for name, rows in changes.items():
+            key = {"documents": "id", "workspaces": None}.get(name, "document_id")
+            typed = self.typed(name, rows)
+            order = ["term"] if name == "postings" else [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]  # a search reads few row groups
+            at = f"{name}/{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+            dealt = typed.withColumn("part", self._part(key, state["parts"])).hint("rebalance", "part")  # a large part becomes several files
+            dealt.sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{self.root}/{at}")
+            written = {n.split("=")[1]: f"{at}/{n}" for s in fs.listStatus(path(f"{self.root}/{at}")) if (n := s.getPath().getName()).startswith("part=")}
+            old = state["now"].get(name, {})
+            before[name] = old
+            now[name] = {p: f for p, f in old.items() if touched is not None and int(p) not in touched} | written
+        self._log(number + 1, {"parts": state["parts"], "now": now, "before": before})
+        for name in changes:
+            used = {f.split("/")[1] for f in (*now[name].values(), *before[name].values())}
+            for status in fs.listStatus(path(f"{self.root}/{name}")):
+                folder = status.getPath().getName()
+                if folder not in used and int(folder.split("-")[0]) <= number:
+                    fs.delete(status.getPath(), True)
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """A new state of a table."""
+        self.commit({name: df})
+
+    def change(self, ids: DataFrame, how: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
+        """Changes tables where they concern some documents (document_id), in one step: ``how`` makes the new rows of the parts
+        that hold them from the old rows of these parts. Other parts are neither read nor written."""
+        count = self._state()[1]["parts"]
+        parts = {r.part for r in ids.select(self._part("document_id", count)).distinct().collect()}  # as many as there are parts at most
+        if parts:
+            self.commit({name: make(self.read(name, parts)) for name, make in how.items()}, parts)
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Adds rows to the current state, without touching those that are there."""
-        at = self._current(name)
-        if at is None:
-            self.write(name, df)
-        else:
-            self.typed(name, df).write.mode("append").parquet(at)
+        """Adds rows to the trail, without touching those that are there."""
+        self.typed(name, df).write.mode("append").parquet(f"{self.root}/{name}")
 
     def delete_documents(self, ids: DataFrame) -> None:
         """Documents (document_id) and all that hangs on them."""
         ids = ids.select("document_id").distinct()
-        for child in ("postings", "lengths", "vectors", "entities", "fields", "chunks"):
-            self.write(child, without(self.read(child), ids, "document_id"))
-        self.write("documents", without(self.read("documents"), ids.withColumnRenamed("document_id", "id"), "id"))
+        children = ("postings", "lengths", "vectors", "entities", "fields", "chunks")
+        own = {name: (lambda old: without(old, ids, "document_id")) for name in children}
+        self.change(ids, own | {"documents": lambda old: without(old, ids.withColumnRenamed("document_id", "id"), "id")})
 
     def delete_workspace(self, workspace_id: str) -> None:
         own = self.read("documents").filter(F.col("workspace_id") == workspace_id).select(F.col("id").alias("document_id"))

@@ -27,7 +27,7 @@ FIELDS = (
     "cell_range string, extractor string"
 )
 ENTITIES = "document_id string, chunk_id string, text string, kind string, confidence double"
-VECTORS = "chunk_id string, workspace_id string, document_id string, embedding array<float>"
+VECTORS = "chunk_id string, workspace_id string, document_id string, embedding array<float>, error string"
 POSTINGS = "chunk_id string, workspace_id string, document_id string, term string, tf long"
 LENGTHS = "chunk_id string, workspace_id string, document_id string, length int"
 AUDIT = (

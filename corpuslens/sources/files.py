@@ -1,12 +1,13 @@
 """Files: finding those to read, telling which have changed, and extracting their chunks.
 
-The list of files comes from Spark's binaryFile source, which the executors read in parallel; contents are only loaded for
-files that changed. An extractor is a plain function from bytes to chunks and runs in Python, once per file; a file that it can't
+The list of files comes from Spark's binaryFile source, which the executors read in parallel; contents are loaded
+of files that changed. An extractor is a plain function from bytes to chunks and runs in Python, once per file; a file that it can't
 read becomes a document with an error, and never ends a job."""
 
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -26,6 +27,10 @@ CHUNK = (
 )
 
 
+#: As many changed files are read by their names, each by itself; beyond, by a scan of the folder.
+LISTED = 10_000
+
+
 def _plain(path: Column) -> Column:
     """A path without the scheme of a local one."""
     return F.regexp_replace(path, "^file:/+", "/")
@@ -77,7 +82,16 @@ def extract(spark: SparkSession, todo: DataFrame, root: str, options: dict | Non
             for row in frame.itertuples(index=False):
                 yield pd.DataFrame(extract_file(row.workspace_id, row.path, row.kind, bytes(row.content), options), columns=[c.split(" ")[0] for c in CHUNK.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_plain(F.col("path")).alias("path"), "content")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    some = [r.path for r in todo.select("path").limit(LISTED + 1).collect()]
+    if len(some) <= LISTED:  # few changes: only their files are opened
+        if not some:
+            return spark.createDataFrame([], CHUNK)
+        loaded = listed.load([re.sub(r"([][{}*?\\])", r"\\\1", p) for p in some])
+    else:  # many: files older than all of them, or larger, aren't opened
+        bound = todo.agg(F.min("mtime").alias("since"), F.max("size_bytes").alias("most")).first()
+        loaded = listed.load(root).filter((F.col("modificationTime") >= F.lit(bound.since)) & (F.col("length") <= bound.most))
+    files = loaded.select(_plain(F.col("path")).alias("path"), "content")
     return files.join(todo.select("workspace_id", "path", "kind"), "path").select("workspace_id", "path", "kind", "content").mapInPandas(run, CHUNK)
 
 
