@@ -3,7 +3,7 @@ texts to vectors of one length."""
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +21,8 @@ def hashing(dim: int = 64) -> Embedder:
         out = np.zeros((len(texts), dim))
         for k, text in enumerate(texts):
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[k, h % dim] += 1 if h >> 31 else -1
+                h = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[8:], "little")
+                out[k, h % dim] += 1 if h >> 63 else -1
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
     return embed

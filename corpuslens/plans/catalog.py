@@ -252,7 +252,16 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.within_budget(turns, 1000, "conv_id", "turn").select("conv_id", "turn", "running")
 
 
-@query()
+#: Each sentence of a document is a paragraph of its file. A block ends at the first blank line that has 1500 characters before it.
+_LINED = """lined AS (SELECT doc_id, line, k, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY k) AS until FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS k
+FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)), chr(10)) AS lines FROM documents))),
+cuts AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS before FROM lined
+UNION ALL SELECT c.doc_id, min(l.k) + 1, min(l.until) FROM cuts c JOIN lined l ON l.doc_id = c.doc_id AND l.k >= c.first AND trim(l.line) = '' AND l.until - c.before >= 1500 GROUP BY c.doc_id, c.first),
+blocks AS (SELECT l.doc_id, c.first, trim(string_agg(l.line, chr(10) ORDER BY l.k), ' ' || chr(10)) AS text FROM lined l
+ASOF JOIN cuts c ON l.doc_id = c.doc_id AND l.k >= c.first GROUP BY l.doc_id, c.first)"""
+
+
+@query(f"WITH RECURSIVE {_LINED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS ordinal, text FROM blocks WHERE text <> ''")
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of text files, as the extractor of plain text cuts them."""
     from corpuslens.sources.extractors import plain_text
@@ -264,7 +273,8 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = [(d, k, c["text"]) for d, t in zip(frame["doc_id"], frame["text"]) for k, c in enumerate(plain_text((t or "").encode()))]
             yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "text"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, text string")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return files.mapInPandas(run, "doc_id long, ordinal int, text string")
 
 
 @query(
@@ -294,7 +304,11 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
 
 
-@query()
+@query(
+    r"""WITH parts AS (SELECT page_id, regexp_split_to_array(regexp_replace(coalesce(html, ''), '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '<br>', 'g'), '<[^>]*>') AS said FROM pages),
+plain AS (SELECT page_id, list_transform(said, lambda s: trim(replace(replace(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))) AS said FROM parts)
+SELECT page_id, coalesce(array_to_string(list_filter(said, lambda s: s <> ''), chr(10)), '') AS text FROM plain"""
+)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("string")
     def plain(html):  # noqa: ANN001, ANN202
@@ -676,7 +690,14 @@ def period_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.in_period(docs_view(spark, sf_dir), asked.since, asked.until).select("document_id")
 
 
-@query()
+@query(
+    f"""WITH {DOCS}, words AS (SELECT 'chk_' || substr(document_id, 5) || '_00000' AS chunk_id, md5_number_lower(unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))) AS h FROM docs),
+summed AS (SELECT chunk_id, CAST(h % 64 AS BIGINT) AS place, CAST(sum(CASE WHEN h >> 63 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM words GROUP BY ALL),
+normal AS (SELECT chunk_id, place, v, sqrt(sum(v * v) OVER (PARTITION BY chunk_id)) AS norm FROM summed)
+SELECT chunk_id, place, CAST(CAST(v / norm AS FLOAT) AS DOUBLE) AS weight FROM normal WHERE v <> 0"""
+)
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = docs_view(spark, sf_dir).select(F.col("document_id").alias("chunk_id"), "workspace_id", "document_id", "text")
-    return embed.embed(chunks, embed.hashing(64))
+    """The places of each chunk's vector that aren't zero."""
+    chunks = docs_view(spark, sf_dir).select(schema.chunk_id(F.col("document_id"), F.lit(0)).alias("chunk_id"), "workspace_id", "document_id", "text")
+    places = embed.embed(chunks, embed.hashing(64)).select("chunk_id", F.posexplode("embedding").alias("place", "weight"))
+    return places.filter("weight <> 0").select("chunk_id", F.col("place").cast("long").alias("place"), F.col("weight").cast("double").alias("weight"))
