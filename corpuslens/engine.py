@@ -122,8 +122,16 @@ class Engine:
             self.index(workspace_id, paths=touched)
 
     def start_watch(self, workspace_id: str, events: DataFrame, checkpoint: str, once: bool = False):  # noqa: ANN201
-        """Acts on a stream of events of a workspace until stopped."""
-        act = lambda batch, _: self.apply_events(workspace_id, batch)
+        """Acts on a stream of events of a workspace until stopped. A step that fails is told in the trail and doesn't end the watch;
+        the next ``index`` finds the files it left."""
+
+        def act(batch: DataFrame, _: int) -> None:
+            try:
+                self.apply_events(workspace_id, batch)
+                self.watches.count(workspace_id, batch.count())
+            except Exception as e:  # noqa: BLE001
+                self.audit("extract", "watch", error=f"{type(e).__name__}: {e}"[:2000])
+
         return self.watches.start(workspace_id, lambda: watch.watch(events, act, checkpoint, f"watch-{workspace_id}", once=once))
 
     # ---- search
@@ -218,7 +226,7 @@ class Engine:
         gate = risk.intercept(self.spark, "bulk_modify", [target], ws, row_count=n, confirm=confirm)
         if gate["outcome"] != "pass":
             if gate["outcome"] == "confirm":
-                invoices.write_csv(rows.orderBy("source_path").limit(10), f"{target}.preview")
+                invoices.write_csv(rows.orderBy("source_path").limit(10), f"{target.removesuffix('.csv')}.preview.csv")
             return gate | {"rows": n}
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         there = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -100,9 +100,9 @@ def tables(todo: DataFrame, extracted: DataFrame, now: datetime) -> tuple[DataFr
     doc_id = schema.document_id(F.col("workspace_id"), F.col("path"))
     whole = extracted.groupBy("workspace_id", "path").agg(
         F.max("content_sha256").alias("sha256"), F.max("error").alias("extraction_error"), F.max("method").alias("extraction_method"),
-        F.max("parts").alias("parts"), F.count("ordinal").alias("chunks"),
+        F.max("parts").alias("parts"), F.count_if(F.col("chunk_kind").isin("page", "sheet", "slide")).alias("leaves"), F.count("ordinal").alias("chunks"),
     )
-    of_kind = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("parts"))
+    of_kind = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("leaves").cast("int"))
     documents = todo.join(whole, ["workspace_id", "path"]).select(
         doc_id.alias("id"), "workspace_id", "path", "name", "kind", "size_bytes", "sha256", "mtime", F.lit(now).cast("timestamp").alias("indexed_at"),
         of_kind("pdf").alias("page_count"), of_kind("xlsx").alias("sheet_count"), of_kind("pptx").alias("slide_count"),

@@ -58,7 +58,11 @@ class Watches:
     """The running watches of a session, one for each workspace."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.queries = spark, {}
+        self.spark, self.queries, self.done = spark, {}, {}
+
+    def count(self, workspace_id: str, paths: int) -> None:
+        """Adds paths that a watch has worked off."""
+        self.done[workspace_id] = self.done.get(workspace_id, 0) + paths
 
     def start(self, workspace_id: str, make: Callable[[], StreamingQuery]) -> StreamingQuery:
         """The workspace's watch, which ``make`` starts if it has none."""
@@ -78,5 +82,4 @@ class Watches:
             self.stop(workspace_id)
 
     def list(self) -> list[dict]:
-        done = lambda q: sum(p.numInputRows for p in q.recentProgress)
-        return [{"workspace_id": w, "active": q.isActive, "events_processed": done(q)} for w, q in self.queries.items()]
+        return [{"workspace_id": w, "active": q.isActive, "events_processed": self.done.get(w, 0)} for w, q in self.queries.items()]

@@ -42,6 +42,12 @@ def test_office_files():
     assert [(c["text"], c.get("section_heading")) for c in extractors.docx_text(DOCX)] == [("Title\nBody text", "Title"), ("A\tB", None)]
     assert [(c["text"], c["sheet_name"], c["cell_range"]) for c in extractors.xlsx_text(XLSX)] == [("Item\t\tPrice\n7", "Q1", "A2:C4")]
     assert [(c["text"], c["slide_number"]) for c in extractors.pptx_text(PPTX)] == [("Deck\nPoint\n[notes]\nSay it", 1)]
+    table = "<a:tbl><a:tr><a:tc><a:t>H</a:t></a:tc><a:tc><a:t>I</a:t></a:tc></a:tr><a:tr><a:tc><a:t>1</a:t></a:tc><a:tc><a:t>2</a:t></a:tc></a:tr></a:tbl>"
+    deck = zipped({"ppt/slides/slide1.xml": f"<p:sld {A}><p:graphicFrame>{table}</p:graphicFrame></p:sld>"})
+    assert [(c["text"], c["chunk_kind"], c["confidence"], c["slide_number"]) for c in extractors.pptx_text(deck)] == [("H\tI\n1\t2", "table", 0.85, 1)]
+    assert list(extractors.tables("pptx", deck)) == [{"headers": ["H", "I"], "rows": [["1", "2"]], "confidence": 0.85, "slide_number": 1}]
+    assert list(extractors.tables("docx", DOCX)) == [{"headers": ["A", "B"], "rows": [], "confidence": 0.95}]
+    assert list(extractors.tables("xlsx", XLSX)) == [{"headers": ["Item", "", "Price"], "rows": [["7"]], "confidence": 0.9, "sheet_name": "Q1", "cell_range": "A2:C4"}]
     assert [extractors.column_name(n) for n in (1, 26, 27, 52, 703)] == ["A", "Z", "AA", "AZ", "AAA"]
 
 
@@ -127,7 +133,13 @@ def test_changes_deletion_and_watch(spark, engine, tmp_path):
     names = {r.name for r in engine.documents().collect()}
     assert "new.txt" in names and "c.docx" not in names
     assert engine.chunks().filter("text = 'fresh words'").count() == 1
-    assert engine.watches.list() and engine.watches.stop(engine.ws)
+    assert engine.watches.list()[0]["events_processed"] == 2 and engine.watches.stop(engine.ws)
+    engine.apply_events, kept = lambda *_: 1 / 0, engine.apply_events
+    failing = engine.start_watch(engine.ws, stream, f"file://{tmp_path}/state2", once=True)
+    failing.awaitTermination()
+    engine.apply_events = kept
+    assert failing.exception() is None and engine.recent_audit().filter("tool = 'watch' AND error LIKE 'ZeroDivisionError%'").count() == 1
+    engine.watches.stop(engine.ws)
     engine.remove_workspace(engine.ws)
     assert engine.documents().count() == 0 and engine.chunks().count() == 0 and engine.workspaces().count() == 0
 
