@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, dedup, jaccard, licenses, lm, packing, quality, tokens, toxicity
+from corpuslens.llm import align, chat, dedup, fim, jaccard, licenses, lm, packing, pages, quality, tokens, toxicity
 
 #: Where a vocabulary file is; the operators take its path as a parameter.
 TOKENIZERS = public_tokenizers.path
@@ -64,6 +64,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.scores(align.align(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"), TOKENIZERS("piece_bpe_32k.model")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(_table(spark, sf_dir, "documents")))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op5_license_scan, op6_packing, op7_lm_scoring, op8_token_counts, op9_quality_rules, op10_ngram_jaccard)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op5_license_scan, op6_packing, op7_lm_scoring, op8_token_counts, op9_quality_rules, op10_ngram_jaccard,
+        op11_cross_tokenizer_alignment, op12_fill_in_middle, op13_html_extraction,
+    )
 }

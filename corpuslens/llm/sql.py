@@ -95,4 +95,32 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM figures
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_exact_dedup": OP2, "op9_quality_rules": OP9, "op10_ngram_jaccard": OP10}
+OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS c2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM docs
+), cut AS (
+  SELECT *, coalesce(array_to_string(units[1 : least(c1, c2)], ''), '') AS p, coalesce(array_to_string(units[least(c1, c2) + 1 : greatest(c1, c2)], ''), '') AS m,
+         coalesce(array_to_string(units[greatest(c1, c2) + 1 :], ''), '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+#: Reads the markup that the given pages have: one article a page, of headings, paragraphs, line breaks and bold text.
+OP13 = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS raw FROM pages
+), texts AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM articles
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op2_exact_dedup": OP2, "op9_quality_rules": OP9, "op10_ngram_jaccard": OP10, "op12_fill_in_middle": OP12, "op13_html_extraction": OP13}

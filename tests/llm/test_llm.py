@@ -73,7 +73,7 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_a_row_per_document(spark, corpus, name):
     n = QUERIES[name](spark, DATA).count()
-    assert n == corpus.count() if name not in ("op1_chat_formatting", "op6_packing") else n > 0
+    assert n == corpus.count() if name not in ("op1_chat_formatting", "op6_packing", "op13_html_extraction") else n > 0
 
 
 # ---- chat
