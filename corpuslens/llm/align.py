@@ -19,6 +19,7 @@ import copy
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from corpuslens.llm import arrays, bpe
 from corpuslens.llm.scratch import Scratch, bounded
 
 #: Characters of a text given to B's library at once, about; links of a block of documents (a long text may have more).
-PART_CHARS, BLOCK_LINKS = 1 << 18, 1 << 21
+PART_CHARS, BLOCK_LINKS = 1 << 18, 1 << 20
 ALIGNED = "doc_id long, a_ids binary, b_ids binary, first_b binary, last_b binary, group_a binary, group_b binary, link_a binary, link_b binary"
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, links array<binary>, keys array<long>, times array<long>"
@@ -128,42 +129,72 @@ def _kept(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.nda
     return np.array([spelled[ends[k] : ends[k + 1]] == t for k, t in enumerate(texts)], bool)
 
 
+@dataclass
+class Aligned:
+    """A slice of texts: ids of both sides, first and last B token that each A token overlaps, tokens of each group, places of linked
+    tokens; for each, bounds (one more than texts) of what belongs to a text."""
+
+    doc_ids: pa.Array
+    a: np.ndarray
+    a_bounds: np.ndarray
+    b: np.ndarray
+    b_bounds: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    group_a: np.ndarray
+    group_b: np.ndarray
+    group_bounds: np.ndarray
+    link_a: np.ndarray
+    link_b: np.ndarray
+    link_bounds: np.ndarray
+
+
+def aligned(batches: Iterator[pa.RecordBatch], own_a: bpe.Encoder, own_b: Pieces) -> Iterator[Aligned]:
+    """Slices of record batches of doc_id and text, with their alignment."""
+    a_lengths, b_lengths = own_a.vocabulary.lengths, own_b.lengths
+    for batch, _, _ in arrays.text_slices(batches, "text", bpe.SLICE_BYTES):
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        spaced = [b" " + t.encode() if t else b"" for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in spaced])]).astype(np.int64)
+        a, a_bounds = own_a.encode(np.frombuffer(b"".join(spaced), np.uint8), offsets)
+        b, b_bounds = own_b.encode(texts)
+        good = _kept(own_a.vocabulary.bytes, own_a.vocabulary.starts, a_lengths, a, a_bounds, spaced)
+        good &= _kept(own_b.bytes, own_b.starts, b_lengths, b, b_bounds, spaced)
+        a, a_bounds = _only(a, a_bounds, good)
+        b, b_bounds = _only(b, b_bounds, good)
+        a_ends, b_ends = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
+        index = IntervalIndex(b_ends - b_lengths[b], b_ends)
+        first, last = index.overlapped(a_ends - a_lengths[a], a_ends)
+        edge = np.flatnonzero(index.unspanned(first, last))  # the last B token of each group
+        a_edge = np.searchsorted(a_ends, b_ends[edge])  # and its last A token
+        links = np.flatnonzero(b_ends[last] == a_ends) if len(b) else np.empty(0, np.int64)
+        yield Aligned(
+            batch.column(0), a, a_bounds, b, b_bounds, first, last, np.diff(a_edge, prepend=-1), np.diff(edge, prepend=-1), np.searchsorted(edge, b_bounds),
+            links, last[links], np.searchsorted(links, a_bounds),
+        )
+
+
 def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
     """doc_id, a_ids and b_ids; first_b and last_b: the B tokens that each A token overlaps, by place; group_a and group_b: how many A
     and B tokens each group has; link_a and link_b: places of the A and B tokens that end together. All but doc_id are
     little-endian unsigned 32-bit."""
 
+    def cells(values: np.ndarray, bounds: np.ndarray, less: np.ndarray | None = None) -> pa.Array:
+        return pa.array([(values[x:y] - (0 if less is None else less[k])).astype("<u4").tobytes() for k, (x, y) in enumerate(zip(bounds, bounds[1:]))], pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_a, own_b = plain_encoder(tokenizer_a), pieces(tokenizer_b)
-        a_lengths, b_lengths = own_a.vocabulary.lengths, own_b.lengths
-        for batch, _, _ in arrays.text_slices(batches, "text", bpe.SLICE_BYTES):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            spaced = [b" " + t.encode() if t else b"" for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in spaced])]).astype(np.int64)
-            a, a_bounds = own_a.encode(np.frombuffer(b"".join(spaced), np.uint8), offsets)
-            b, b_bounds = own_b.encode(texts)
-            good = _kept(own_a.vocabulary.bytes, own_a.vocabulary.starts, a_lengths, a, a_bounds, spaced)
-            good &= _kept(own_b.bytes, own_b.starts, b_lengths, b, b_bounds, spaced)
-            a, a_bounds = _only(a, a_bounds, good)
-            b, b_bounds = _only(b, b_bounds, good)
-            a_ends, b_ends = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
-            index = IntervalIndex(b_ends - b_lengths[b], b_ends)
-            first, last = index.overlapped(a_ends - a_lengths[a], a_ends)
-            edge = np.flatnonzero(index.unspanned(first, last))  # the last B token of each group
-            a_edge = np.searchsorted(a_ends, b_ends[edge])  # and its last A token
-            group_b, group_a = np.diff(edge, prepend=-1), np.diff(a_edge, prepend=-1)
-            links = np.flatnonzero(b_ends[last] == a_ends) if len(b) else np.empty(0, np.int64)
-            groups, linked = np.searchsorted(edge, b_bounds), np.searchsorted(links, a_bounds)
-            cells = lambda values, bounds, less=None: [
-                (values[bounds[k] : bounds[k + 1]] - (0 if less is None else less[k])).astype("<u4").tobytes() for k in range(len(texts))
-            ]
+        for x in aligned(batches, plain_encoder(tokenizer_a), pieces(tokenizer_b)):
             columns = [
-                cells(a, a_bounds), cells(b, b_bounds), cells(first, a_bounds, b_bounds), cells(last, a_bounds, b_bounds), cells(group_a, groups), cells(group_b, groups),
-                cells(links, linked, a_bounds), cells(last[links], linked, b_bounds),
+                x.doc_ids, cells(x.a, x.a_bounds), cells(x.b, x.b_bounds), cells(x.first, x.a_bounds, x.b_bounds), cells(x.last, x.a_bounds, x.b_bounds), cells(x.group_a, x.group_bounds),
+                cells(x.group_b, x.group_bounds), cells(x.link_a, x.link_bounds, x.a_bounds), cells(x.link_b, x.link_bounds, x.b_bounds),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], names=[c.split(" ")[0] for c in ALIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in ALIGNED.split(", ")])
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ALIGNED)
+    return _read(docs).mapInArrow(run, ALIGNED)
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def _only(ids: np.ndarray, bounds: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,54 +213,54 @@ def _spelling(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(names), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def spelled(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, pool: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
-    """The groups of a text as ``a1,a2|b1;a3|b2,b3``."""
-    size, ends_a, ends_b = len(pool[1]) // 3, np.cumsum(group_a), np.cumsum(group_b)
-    names = np.concatenate([a, b]).astype(np.int64)
+def spelled(x: Aligned, pool: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """The groups of each text as ``a1,a2|b1;a3|b2,b3``."""
+    size, ends_a, ends_b, n = len(pool[1]) // 3, np.cumsum(x.group_a), np.cumsum(x.group_b), len(x.a)
+    names = np.concatenate([x.a, x.b]).astype(np.int64)
     names[ends_a - 1] += size
-    names[len(a) + ends_b - 1] += 2 * size
-    place = np.empty(len(names), np.int64)
-    place[np.arange(len(a)) + np.repeat(ends_b - group_b, group_a)] = np.arange(len(a))
-    place[np.arange(len(b)) + np.repeat(ends_a, group_b)] = np.arange(len(b)) + len(a)
-    return bpe.spell(*pool, names[place])[:-1]
+    names[n + ends_b - 1] += 2 * size
+    order = np.empty(len(names), np.int64)
+    order[np.arange(n) + np.repeat(ends_b - x.group_b, x.group_a)] = np.arange(n)
+    order[np.arange(len(x.b)) + np.repeat(ends_a, x.group_b)] = np.arange(n, len(names))
+    names = names[order]
+    ends = np.concatenate([[0], np.cumsum(pool[2][names])])[x.a_bounds + x.b_bounds]
+    every = bpe.spell(*pool, names)
+    return [every[i : max(i, j - 1)] for i, j in zip(ends.tolist(), ends[1:].tolist())]
 
 
-def blocks(aligned: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
     """Documents in blocks of about BLOCK_LINKS links: their figures, the distinct linked id pairs of the block (A's id above B's) with
     their numbers, and for each document its links as places among these pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count, pool = TaskContext.get().partitionId() << 32, 0, _spelling(1 << 16)
-        docs, keys, held = [], [], 0
+        own_a, own_b = plain_encoder(tokenizer_a), pieces(tokenizer_b)
+        task, count, held = TaskContext.get().partitionId() << 32, 0, 0
+        pool = _spelling(max(own_a.vocabulary.size, len(own_b.lengths)))
+        docs: list[tuple] = []
+        keys: list[np.ndarray] = []
 
         def block() -> pa.RecordBatch:
             nonlocal docs, keys, held, count
             distinct, at, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            links = [at[x:y].astype("<u4").tobytes() for x, y in zip(bounds, bounds[1:])]
-            values = [task + count, *zip(*docs), links, distinct, times]
-            out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, SCHEMA.types)], schema=SCHEMA)
+            ends = np.cumsum([0, *(d[5] for d in docs)])
+            links = [at[i:j].astype("<u4").tobytes() for i, j in zip(ends, ends[1:])]
+            values = [task + count, *zip(*(d[:5] for d in docs)), links, distinct, times]
             docs, keys, held, count = [], [], 0, count + 1
-            return out
-
-        for batch in batches:
-            for row in range(len(batch)):
-                a, b, group_a, group_b, link_a, link_b = (np.frombuffer(batch.column(name)[row].as_buffer(), "<u4").astype(np.int64) for name in NEEDED[1:])
-                top = max(a.max(initial=0), b.max(initial=0)) + 1
-                pool = pool if top * 3 <= len(pool[1]) else _spelling(int(top))
-                text = hashlib.sha256(spelled(a, b, group_a, group_b, pool)).hexdigest() if len(a) else ""
-                docs.append((batch.column(0)[row].as_py(), len(a), len(b), len(group_b), text))
-                keys.append(a[link_a] << 32 | b[link_b])
-                held += len(link_a) + 8
-                if held >= BLOCK_LINKS:
-                    yield block()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, SCHEMA.types)], schema=SCHEMA)
+
+        for x in aligned(batches, own_a, own_b):
+            shas = [hashlib.sha256(t).hexdigest() if t else "" for t in spelled(x, pool)]
+            docs += zip(x.doc_ids.to_pylist(), *(np.diff(b).tolist() for b in (x.a_bounds, x.b_bounds, x.group_bounds)), shas, np.diff(x.link_bounds).tolist())
+            keys.append(x.a[x.link_a].astype(np.int64) << 32 | x.b[x.link_b])
+            held += len(x.link_a) + 8 * len(shas)
+            if held >= BLOCK_LINKS:
+                yield block()
         if docs:
             yield block()
 
-    return aligned.select(*NEEDED).mapInArrow(run, BLOCKS)
+    return _read(docs).mapInArrow(run, BLOCKS)
 
 
-NEEDED = ["doc_id", "a_ids", "b_ids", "group_a", "group_b", "link_a", "link_b"]
 _LIST = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 SCHEMA = pa.schema([(n, _LIST[t]) for n, t in re.findall(r"(\w+) ([^ ,]+)", BLOCKS)])
 
@@ -243,13 +274,13 @@ def translations(pairs: DataFrame) -> DataFrame:
     return totals.select("*", b_id).join(highest, "b_id").select("key", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
-def scores(aligned: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256.
 
     Links are counted within blocks of documents first, so that a pair of ids is shuffled once a block that holds it, and a frequent pair
     has as many rows as there are blocks; the counts go back to the blocks in the same way."""
-    scratch = Scratch(aligned.sparkSession, "align")
-    held = scratch.save(blocks(aligned), "blocks")
+    scratch = Scratch(docs.sparkSession, "align")
+    held = scratch.save(blocks(docs, tokenizer_a, tokenizer_b), "blocks")
     pairs = held.select("block", F.posexplode(F.arrays_zip("keys", "times"))).select("block", "pos", "col.keys", "col.times").withColumnRenamed("keys", "key")
     counted = scratch.save(translations(pairs), "translations")
     answers = pairs.join(counted, "key").select(F.col("block").alias("of"), "pos", "count", "best")

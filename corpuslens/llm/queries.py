@@ -65,7 +65,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.scores(align.align(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"), TOKENIZERS("piece_bpe_32k.model")))
+    return align.scores(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"), TOKENIZERS("piece_bpe_32k.model"))
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

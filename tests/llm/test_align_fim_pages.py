@@ -68,7 +68,7 @@ def brute(rows):
 
 
 def measured(df):
-    return Counter(tuple(r) for r in align.scores(align.align(df, A_FILE, B_FILE)).select(*(c.split(" ")[0] for c in align.SCORED.split(", "))).collect())
+    return Counter(tuple(r) for r in align.scores(df, A_FILE, B_FILE).select(*(c.split(" ")[0] for c in align.SCORED.split(", "))).collect())
 
 
 AWKWARD = [
