@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
@@ -44,20 +44,21 @@ def _heading(line: Column) -> Column:
 
 
 def sections(texts: DataFrame, longest: int | None = None) -> DataFrame:
-    """document_id, position, ordinal, title, heading, body, char_offset. Lines and their places are arrays of the text's own row."""
-    lined = texts.select("document_id", F.coalesce("text", F.lit("")).alias("text"), F.split(F.coalesce("text", F.lit("")), r"(?<=\n)|(?<=\r)(?!\n)").alias("lines"))
-    placed = lined.withColumn("heads", F.transform("lines", lambda line: _heading(F.regexp_replace(line, r"[\r\n]+$", ""))))
-    opens = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("heads", k).isNotNull())
-    placed = placed.withColumn("opens", opens)  # offsets are worked out for clauses only, which are few beside lines
-    offsets = F.transform("opens", lambda k: F.length(F.array_join(F.slice("lines", F.lit(1), k), "")))
-    cut = placed.select("document_id", "text", "lines", "heads", offsets.alias("offsets"), F.posexplode("opens").alias("position", "k"))
-    start = F.get("offsets", F.col("position")) + F.length(F.get("lines", F.col("k")))
-    stop = F.coalesce(F.get("offsets", F.col("position") + 1), F.length("text"))
-    body = T.strip(F.substring("text", start + 1, stop - start))
-    head = F.get("heads", F.col("k"))
+    """document_id, position, ordinal, title, heading, body, char_offset. Each line is looked at once, as an element of its text's array;
+    texts without a clause end there. The lines of the others become rows: a running sum of lengths gives their places, a running
+    count of headings the clause they belong to, and the lines of a clause make its body. Both windows and the
+    grouping go by text, so there is one shuffle, and the work grows with the number of lines."""
+    lined = texts.select("document_id", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), r"(?<=\n)|(?<=\r)(?!\n)"))).alias("lines"))
+    headed = lined.select("document_id", "lines", F.explode(F.array(F.transform("lines", lambda x: _heading(F.regexp_replace(x, r"[\r\n]+$", ""))))).alias("heads"))
+    headed = headed.filter(F.exists("heads", lambda h: h.isNotNull())).withColumn("row", F.monotonically_increasing_id())
+    rows = headed.select("document_id", "row", F.posexplode(F.arrays_zip("lines", "heads")).alias("k", "line")).select("document_id", "row", "k", F.col("line.lines").alias("line"), F.col("line.heads").alias("head"))
+    before = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"at": F.sum(F.length("line")).over(before) - F.length("line"), "clause": F.count("head").over(before)}).filter("clause > 0")
+    under = F.transform(F.sort_array(F.collect_list(F.when(F.col("head").isNull(), F.struct("k", "line")))), lambda x: x["line"])
+    cut = rows.groupBy("row", "clause").agg(F.first("document_id").alias("document_id"), F.max("head").alias("head"), F.min("at").alias("char_offset"), T.strip(F.array_join(under, "")).alias("body"))
     return cut.select(
-        "document_id", "position", head["ordinal"].alias("ordinal"), head["title"].alias("title"), head["heading"].alias("heading"),
-        (body if longest is None else F.substring(body, 1, longest)).alias("body"), F.get("offsets", F.col("position")).alias("char_offset"),
+        "document_id", (F.col("clause") - 1).cast("int").alias("position"), "head.ordinal", "head.title", "head.heading",
+        (F.col("body") if longest is None else F.substring("body", 1, longest)).alias("body"), F.col("char_offset").cast("int").alias("char_offset"),
     )
 
 

@@ -32,26 +32,28 @@ PATTERNS = (
 MOST_PER_KIND = 50
 
 
-def found(text: Column, kind: str) -> Column:
-    """The distinct matches of a kind in a text, ignoring case: array of (confidence, text), in order of pattern and place."""
+def _matches(text: Column, kind: str) -> Column:
+    """All matches of a kind in a text: array of (confidence, text), in order of pattern and place."""
 
-    def matches(sure: float, pattern: str) -> Column:
+    def of(sure: float, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(sure).alias("confidence"), F.trim(v).alias("text")))
 
-    every = F.filter(F.concat(*(matches(sure, pattern) for k, sure, pattern in PATTERNS if k == kind)), lambda e: e["text"] != "")
-    low = F.transform(every, lambda e: F.lower(e["text"]))
-    return F.filter(every, lambda e, k: F.array_position(low, F.lower(e["text"])) == k + 1)
+    return F.filter(F.concat(*(of(sure, pattern) for k, sure, pattern in PATTERNS if k == kind)), lambda e: e["text"] != "")
 
 
 def extract(chunks: DataFrame, most: int = MOST_PER_KIND, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """document_id, chunk_id, text, kind, confidence: for each chunk the distinct entities (ignoring case), of each kind the
     first ``most``. Only the patterns of the wanted kinds are looked for. Chunks never meet, so nothing is shuffled: dedup and
-    cap are array functions."""
+    cap are array functions. Matches are worked out once a chunk, by generators, and sorted with their places, so that equal ones stand together;
+    the work grows like a sort of them."""
     wanted = [k for k in dict.fromkeys(k for k, _, _ in PATTERNS) if kinds is None or k in kinds]
-    text = F.coalesce("text", F.lit(""))
-    listed = F.array(*(F.struct(F.lit(k).alias("kind"), F.slice(found(text, k), 1, most).alias("own")) for k in wanted))
-    each = chunks.select("document_id", "chunk_id", F.explode(listed).alias("k")).select("document_id", "chunk_id", "k.kind", F.explode("k.own").alias("e"))
-    return each.select("document_id", "chunk_id", "e.text", "kind", "e.confidence")
+    text, own = F.coalesce("text", F.lit("")), ("document_id", "chunk_id")
+    each = chunks.select(*own, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), _matches(text, k).alias("every")) for k in wanted))).alias("k"))
+    low = F.sort_array(F.transform("k.every", lambda e, i: F.struct(F.lower(e["text"]).alias("low"), i.alias("at"))))
+    each = each.select(*own, "k.kind", "k.every", F.explode(F.array(low)).alias("low"))
+    first = F.filter("low", lambda x, i: ~F.get("low", i - 1)["low"].eqNullSafe(x["low"]))
+    first = F.transform(F.slice(F.sort_array(F.transform(first, lambda x: x["at"])), 1, most), lambda i: F.get("every", i))
+    return each.select(*own, "kind", F.explode(first).alias("e")).select(*own, "e.text", "kind", "e.confidence")
 
 
 def per_document(entities: DataFrame, most: int = MOST_PER_KIND) -> DataFrame:

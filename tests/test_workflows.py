@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -198,3 +199,28 @@ def test_digits_of_any_script(spark):
         flags = re.IGNORECASE if "(?i" in pattern else 0
         want |= {(k, kind, m[0].strip(" ")) for k, t in enumerate(said) for m in re.finditer(re.sub(r"^\(\?i?U\)", "", pattern), t, flags)}
     assert found == want and len(want) >= 5
+
+
+def test_entities_of_a_text_with_very_many_matches(spark):
+    text = " ".join(f"Name{i}@Host{i % 7}.com" for i in range(100_000)) + " NAME1@HOST1.COM name2@host2.com"
+    df = spark.createDataFrame([("d", "c", text), ("d", "c2", None)], "document_id string, chunk_id string, text string")
+    began = time.time()
+    got = entities.extract(df, most=10**6, kinds=("email",)).agg(F.count("*").alias("n"), F.countDistinct(F.lower("text")).alias("distinct"), F.count_if(F.col("text").startswith("Name"))).first()
+    assert tuple(got) == (100_000, 100_000, 100_000) and time.time() - began < 30
+    assert [r.text for r in entities.extract(df, most=3, kinds=("email",)).collect()] == ["Name0@Host0.com", "Name1@Host1.com", "Name2@Host2.com"]
+
+
+@pytest.mark.parametrize("per", [1, 40])
+def test_clauses_of_a_contract_with_very_many_lines(spark, per):
+    n = 20_000
+    lines = [f"Section {i // per}: Title {i}" if i % per == 0 else f"  line {i} of a body é" for i in range(n)]
+    text = "Preamble\n" + "\r\n".join(lines)
+    df = spark.createDataFrame([("a", text), ("a", text), ("b", "no clause\nat all"), ("c", None)], "document_id string, text string")
+    began = time.time()
+    got = contracts.sections(df).orderBy("position").collect()
+    assert time.time() - began < 40 and len(got) == 2 * n // per
+    for k, r in enumerate(got):
+        i = k // 2 * per
+        assert (r.document_id, r.position, r.ordinal, r.title) == ("a", k // 2, k // 2, f"Title {i}") and text[r.char_offset :].startswith(r.heading)
+        assert r.body == "\r\n".join(lines[i + 1 : i + per]).strip()
+    assert [r.body for r in contracts.sections(df.filter("document_id = 'b'")).collect()] == []
