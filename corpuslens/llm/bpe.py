@@ -30,6 +30,10 @@ SLICE_BYTES = 1 << 20
 CACHE_BITS, CACHED_BYTES, MERGED_BYTES = 20, 16, 64
 #: Pre-tokens merged together.
 MERGED_TOGETHER = 1 << 16
+#: A longer pre-token is merged in runs of about APART bytes that no token joins; a run of more than HEAPED_BYTES in rounds.
+APART, HEAPED_BYTES = 32, 1 << 14
+#: Where no pre-token surely starts in so many bytes, a long text is parted inside a pre-token.
+NEAR_BYTES = 1 << 16
 
 # ---- pre-tokenisation
 
@@ -171,6 +175,8 @@ class Vocabulary:
         self.by_order = np.zeros(int(order.max(initial=0)) + 1, np.int64)
         self.by_order[order] = made
         self.special = special
+        self._spelled: tuple[set[bytes], set[bytes], int] | None = None
+        self._early: np.ndarray | None = None
         self.low = np.full(1 << 16, NEVER, np.int64)  # pairs of single bytes, which most look-ups are for
         a, b = np.meshgrid(bytes_to_id, bytes_to_id, indexing="ij")
         self.low[:] = self._search(a.ravel().astype(np.int64), b.ravel().astype(np.int64))
@@ -223,8 +229,86 @@ class Vocabulary:
         order = np.argsort(np.concatenate(owners), kind="stable")
         return take_runs(flat, (np.cumsum(count) - count)[order], count[order]), count[order]
 
+    def joins(self, data: bytes, at: int) -> bool:
+        """If some token could hold the bytes on both sides of a place. Where none could, what is before and what is after it merge on
+        their own, whatever stands there."""
+        if self._spelled is None:
+            tokens = {self.bytes[a : a + n].tobytes() for a, n in zip(self.starts.tolist(), self.lengths.tolist()) if n > 1}
+            self._spelled = tokens, {t[:k] for t in tokens for k in range(1, len(t) + 1)}, int(self.lengths.max(initial=1))
+        tokens, beginnings, longest = self._spelled
+        for left in range(1, min(longest, at + 1)):
+            head = data[at - left : at]
+            if head not in beginnings:
+                continue
+            for right in range(1, longest - left + 1):
+                both = data[at - left : at + right]
+                if both in tokens:
+                    return True
+                if both not in beginnings or at + right >= len(data):
+                    break
+        return False
+
+    def early(self) -> np.ndarray:
+        """Which tokens are in a pair that merges before another pair makes the token. Places of a pair that makes one mustn't merge
+        together, as the first may bring up a pair that goes before the second."""
+        if self._early is None:
+            born, self._early = np.full(self.size, -1, np.int64), np.zeros(self.size, bool)
+            np.maximum.at(born, self.made, self.order)
+            for part in (self.pairs // self.size, self.pairs % self.size):
+                self._early[part[self.order < born[part]]] = True
+        return self._early
+
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """Ids of one piece of any length, by a heap over a linked list."""
+        """Ids of one piece of any length: in runs that no token joins, all short ones together."""
+        cuts, at, step = [0], APART, 1
+        while at < len(piece):
+            if self.joins(piece, at):
+                step = min(2 * step, 4096) if at - cuts[-1] > 64 * APART else 1
+                at += step
+            else:
+                cuts.append(at)
+                at, step = at + APART, 1
+        raw, starts = np.frombuffer(piece, np.uint8), np.array(cuts)
+        sizes = np.diff(starts, append=len(piece))
+        short = sizes <= MERGED_BYTES
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(starts)
+        for rows in np.split(np.flatnonzero(short), range(MERGED_TOGETHER >> 2, int(short.sum()), MERGED_TOGETHER >> 2)):
+            if len(rows):
+                ids, count = self.merge(take_runs(raw, starts[rows], sizes[rows]), sizes[rows])
+                for k, own in zip(rows.tolist(), np.split(ids, np.cumsum(count)[:-1])):
+                    out[k] = own
+        for k in np.flatnonzero(~short).tolist():
+            own = piece[starts[k] : starts[k] + sizes[k]]
+            out[k] = self.merge_rounds(own) if sizes[k] > HEAPED_BYTES else self.merge_heap(own)
+        return np.concatenate(out)
+
+    def merge_rounds(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece, all places of its best pair merged in each round: for long runs of few characters, which few rounds end. If places
+        of a pair depend on each other, the heap does it."""
+        raw = np.frombuffer(piece, np.uint8)
+        token = self.of_byte[raw].astype(np.int32)
+        rank = self.low[raw[:-1].astype(np.int32) * 256 + raw[1:]].astype(np.int32)
+        del raw
+        while len(rank) and (best := int(rank.min())) < NEVER:
+            if self.early()[self.by_order[best]]:
+                return self.merge_heap(piece)
+            at = np.flatnonzero(rank == best)
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of places side by side, every second one
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
+            token[at] = self.by_order[best]
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            token = token[keep]
+            rank = np.append(rank, np.int32(NEVER))[keep][: len(token) - 1]
+            at -= np.arange(len(at))
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(rank))]
+            for part in np.array_split(near, 1 + (len(near) >> 20)):
+                rank[part] = self._search(token[part].astype(np.int64), token[part + 1].astype(np.int64))
+        return token.astype("<u4")
+
+    def merge_heap(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece, by a heap over a linked list."""
         raw = np.frombuffer(piece, np.uint8)
         token = self.of_byte[raw].astype(np.int64).tolist()
         n = len(token)
@@ -432,11 +516,11 @@ class Encoder:
     def encode_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As encode, with the bytes at which pre-tokens start and the number of ids before each."""
         ids, starts, before, at, n = [np.empty(0, "<u4")], [np.empty(0, np.int64)], [], 0, 0
-        for part, bounds in parts(data, offsets):
+        for part, bounds, begun in parts(data, offsets, self.vocabulary):
             own, where, count = self._spans(part, bounds)
             ids.append(own)
-            starts.append(where + at)
-            before.append(count[:-1] + n)
+            starts.append(where[begun:] + at)
+            before.append(count[begun:-1] + n)
             at, n = at + len(part), n + len(own)
         starts, before = np.concatenate(starts), np.concatenate([*before, [n]])
         return np.concatenate(ids), before[np.searchsorted(starts, offsets)], starts, before
@@ -454,21 +538,56 @@ class Encoder:
         return take_runs(pool, place, size), starts, np.concatenate([[0], np.cumsum(size)])
 
 
-def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A slice of texts as it is, or a long text in parts, each of about SLICE_BYTES, that encode as the whole does: a part ends before
-    a space after a visible character, where a pre-token starts whatever is around it. A text without such places stays whole."""
-    a, n = 0, len(data)
+def parts(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """A slice of texts as it is, or a long text in parts, each of about SLICE_BYTES, that encode as the whole does, and if a part
+    begins inside a pre-token. A text that can't be parted (a run of one character, say) stays whole."""
+    a, n, begun = 0, len(data), False
     while len(offsets) == 2 and n - a > 2 * SLICE_BYTES:
-        b, k = a + SLICE_BYTES, None
-        while k is None and b < n:
-            near = data[b - 1 : b + SLICE_BYTES]
-            found = np.flatnonzero((near[1:] == 0x20) & (near[:-1] < 0x80) & ~WHITE_BYTE[near[:-1]])
-            k, b = (b + int(found[0]), b) if len(found) else (None, b + SLICE_BYTES)
-        if k is None:
+        b, found = a + SLICE_BYTES, None
+        while found is None and b < n:
+            found = _cut(data, b, vocabulary)
+            b += NEAR_BYTES
+        if found is None:
             break
-        yield data[a:k], np.array([0, k - a])
-        a = k
-    yield (data[a:], np.array([0, n - a])) if a else (data, offsets)
+        yield data[a : found[0]], np.array([0, found[0] - a]), begun
+        a, begun = found
+    yield (data[a:], np.array([0, n - a]), begun) if a else (data, offsets, False)
+
+
+def _cut(data: np.ndarray, b: int, vocabulary: Vocabulary) -> tuple[int, bool] | None:
+    """A place in the NEAR_BYTES after b at which a text may be parted, and if it is inside a pre-token. After four code points of one class
+    (no apostrophes, which may contract) the state of the scan is known: a pre-token starts at a code point of another class, and
+    goes on at one of the same; there a part may end where no token joins both sides."""
+    near = data[b - 1 : b + NEAR_BYTES]
+    spaced = np.flatnonzero((near[1:] == 0x20) & (near[:-1] < 0x80) & ~WHITE_BYTE[near[:-1]])
+    if len(spaced):  # before a space after a visible character
+        return b + int(spaced[0]), False
+    a, end = b - 64, min(len(data), b + NEAR_BYTES)
+    while data[a] & 0xC0 == 0x80:
+        a += 1
+    while end > b and end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    points = np.frombuffer(data[a:end].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < 8:
+        return None
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    at, kind = a + np.cumsum(width) - width, classes()[points]
+    i = np.arange(4, len(points) - 1)
+    steady = (kind[i - 1] < SPACE) & (at[i] >= b)
+    for k in range(2, 5):
+        steady &= kind[i - k] == kind[i - 1]
+    for k in range(-4, 2):
+        steady &= points[i + k] != 0x27
+    i = i[steady]
+    longest = max((len(t) for t in vocabulary.special), default=0)
+    around = lambda k: data[max(k - longest + 1, 0) : k + longest - 1].tobytes()
+    for inside, places in ((False, at[i[kind[i] != kind[i - 1]]][:64]), (True, at[i[kind[i] == kind[i - 1]]][:1024])):
+        for k in places.tolist():
+            if longest and any(t in around(k) for t in vocabulary.special):
+                continue
+            if not inside or not vocabulary.joins(data[max(k - 256, 0) : k + 256].tobytes(), min(k, 256)):
+                return k, inside
+    return None
 
 
 def special_cuts(data: np.ndarray, offsets: np.ndarray, special: dict[bytes, int]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:

@@ -161,7 +161,7 @@ def count(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.encoder(tokenizer)
         for batch, data, offsets in arrays.text_slices(batches, "text"):
-            tokens = sum(tally(own, *part) for part in bpe.parts(data, offsets))
+            tokens = sum(tally(own, *part[:2]) for part in bpe.parts(data, offsets, own.vocabulary))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
 
     return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

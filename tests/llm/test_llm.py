@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import subprocess
 import sys
 import textwrap
 import zlib
@@ -126,12 +127,69 @@ def test_more_distinct_pretokens_than_a_cache_holds():
     text = " ".join(map(str, range(100_000_000, 102_000_000)))
     assert encode(MULTI, [text]) == [TIKTOKEN.encode_ordinary(text)]
     data, offsets = arrays.buffers(pa.array([text], pa.string()))
-    assert sum(bpe.encoder(JSON).encode(*part)[1][-1] for part in bpe.parts(data, offsets)) == len(HUGGING.encode(text, add_special_tokens=False).ids)
+    assert sum(bpe.encoder(JSON).encode(*part)[1][-1] for *part, _ in bpe.parts(data, offsets, bpe.vocabulary(JSON))) == len(HUGGING.encode(text, add_special_tokens=False).ids)
     dense = "\n".join(f"{i}é的" for i in range(300_000))
-    assert len(list(bpe.parts(*arrays.buffers(pa.array([dense], pa.string()))))) == 1
+    assert len(list(bpe.parts(*arrays.buffers(pa.array([dense], pa.string())), bpe.vocabulary(JSON)))) > 1
     assert encode(JSON, [dense]) == [HUGGING.encode(dense, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("path", [MULTI, JSON])
+def test_long_texts_are_parted_anywhere(path, monkeypatch):
+    """Parts of a few bytes, with and without spaces, also inside pre-tokens and beside special strings; offsets as of the whole."""
+    rng = np.random.default_rng(5)
+    kinds = ["的一是不了人我在有他", "abcdefghij", "0123456789", "!?.,;:", "\n\n \t", "é😀ñか"]
+    texts = ["".join("".join(rng.choice(list(kinds[rng.integers(len(kinds))]), rng.integers(1, 40))) for _ in range(60)) for _ in range(30)]
+    texts += ["的是" * 400, "a" * 3000, "it's" * 300, "x<|endoftext|>" * 200, "<|endoftext|>" * 200, "''" * 500, " " * 2000]
+    for text in texts:
+        data, offsets = arrays.buffers(pa.array([text], pa.string()))
+        whole = bpe.Encoder(bpe.vocabulary(path)).encode_spans(data, offsets)
+        monkeypatch.setattr(bpe, "SLICE_BYTES", 100)
+        monkeypatch.setattr(bpe, "NEAR_BYTES", 64)
+        parted = bpe.Encoder(bpe.vocabulary(path)).encode_spans(data, offsets)
+        monkeypatch.undo()
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parted))
+        assert whole[0].tolist() == (TIKTOKEN.encode_ordinary(text) if path == MULTI else HUGGING.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("piece", [" ", "a", "的", "ab", "\n", "=-"])
+def test_long_runs_of_few_characters(piece):
+    text = piece * 20_000
+    assert encode(JSON, [text]) == [HUGGING.encode(text, add_special_tokens=False).ids]
+    assert bpe.vocabulary(MULTI).merge_rounds(text.encode()).tolist() == bpe.vocabulary(MULTI).merge_heap(text.encode()).tolist() == bpe.vocabulary(MULTI).merge_long(text.encode()).tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcdefgh est的一éA", min_size=1, max_size=300))
+def test_ways_to_merge_a_piece_agree(text):
+    for path in (MULTI, JSON):
+        table = bpe.vocabulary(path)
+        assert table.merge_rounds(text.encode()).tolist() == table.merge_heap(text.encode()).tolist() == table.merge_long(text.encode()).tolist()
+
+
+@pytest.mark.parametrize("kind", ["chinese", "lines"])
+def test_memory_for_a_long_text_without_spaces(kind):
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import numpy as np
+from corpuslens.llm import bpe
+rng = np.random.default_rng(1)
+if {kind!r} == "chinese":
+    data = np.frombuffer(rng.integers(0x4E00, 0x9000, 16 << 18, dtype=np.uint32).tobytes().decode("utf-32-le").encode(), np.uint8)
+else:
+    data = rng.choice(np.frombuffer(b"abcdefgh\\n", np.uint8), 16 << 20)
+own = bpe.encoder({JSON!r})
+own.encode(data[:3000], np.array([0, 3000]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids, _ = own.encode(data, np.array([0, len(data)]))
+assert bpe.vocabulary({JSON!r}).decode(ids) == data.tobytes()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout) < 900  # MB; with the ids and offsets of the whole text
+
+
 def test_every_code_point_has_the_class_of_the_libraries():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for probe in ("a{}1{}!{} {}", "{}"):
