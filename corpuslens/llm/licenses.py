@@ -36,6 +36,10 @@ from corpuslens.llm.scratch import bounded
 WINDOW, STEP, MIN_CONTAINED, ODDS = 40, 10, 0.8, 2.5
 #: Documents whose paragraphs serve as examples without a license, at most (the lowest hashes of doc_id), and paragraphs, in all and of one.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS, OF_ONE = 400, 1500, 50
+#: Characters of such a paragraph, at most: some windows. A paragraph that is scanned is never cut.
+SAMPLE_CHARS = 2000
+#: Windows whose scores are summed at once.
+SUMMED = 1 << 14
 BUCKET_BITS, VARIATIONS, EPOCHS = 15, 30, 60
 
 #: Usual notices of license families.
@@ -161,13 +165,20 @@ def buckets(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def summed(weights: np.ndarray, one: np.ndarray, two: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Class scores of ranges of words: weights of words and pairs, over the root of their number."""
-    total = np.zeros((len(one) + 1, weights.shape[1]))
-    np.cumsum(weights[one], axis=0, out=total[1:])
-    pairs = np.zeros_like(total)
-    np.cumsum(weights[two], axis=0, out=pairs[1:])
-    n = end - begin
-    return (total[end] - total[begin] + pairs[end - 1] - pairs[begin]) / np.sqrt(n)[:, None]
+    """Class scores of ranges of words: weights of words and pairs, over the root of their number. Some ranges at a time, as there is a
+    row of scores for each word between the first and the last of them."""
+    out, order = np.empty((len(begin), weights.shape[1])), np.argsort(begin, kind="stable")
+    for k in np.split(order, range(SUMMED, len(order), SUMMED)):
+        if not len(k):
+            continue
+        a, b = int(begin[k[0]]), int(end[k].max())
+        total = np.zeros((b - a + 1, weights.shape[1]))
+        np.cumsum(weights[one[a:b]], axis=0, out=total[1:])
+        pairs = np.zeros_like(total)
+        np.cumsum(weights[two[a:b]], axis=0, out=pairs[1:])
+        x, y = begin[k] - a, end[k] - a
+        out[k] = (total[y] - total[x] + pairs[y - 1] - pairs[x]) / np.sqrt(y - x)[:, None]
+    return out
 
 
 @dataclass
@@ -195,7 +206,7 @@ def variations(rng: np.random.Generator, fillers: list[str]) -> tuple[list[str],
                 if k % 3 == 2 and len(words) > 6:
                     words = [w for w in words if rng.random() > 0.1]
                 if k % 2 and fillers:
-                    extra = str(rng.choice(fillers)).split()
+                    extra = fillers[int(rng.integers(0, len(fillers)))].split()
                     cut = int(rng.integers(0, len(extra) + 1))
                     words = [*extra[max(0, cut - 15) : cut], *words, *extra[cut : cut + 15]]
                 texts.append(" ".join(words[: 2 * WINDOW]))
@@ -270,18 +281,22 @@ def fit(docs: DataFrame) -> Model:
     """A model whose examples without a license are paragraphs of the SAMPLE_DOCS documents with the lowest hashes, OF_ONE of each at
     most. One task of an executor trains; only the model comes to the driver."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[str]] = {}
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = [p for p in (text.as_py() or "").split("\n") if p.strip()]
-                got[i] = own[:: -(-len(own) // OF_ONE) or 1]
+            for row in range(len(batch)):  # a text at a time; only a few short paragraphs of it go on
+                own = [p for p in (batch.column(1)[row].as_py() or "").split("\n") if p.strip()]
+                own = [p[:SAMPLE_CHARS] for p in own[:: -(-len(own) // OF_ONE) or 1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([own], pa.list_(pa.string()))], names=["doc_id", "paragraphs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = {i: own for batch in batches for i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
         model = train([p for i in sorted(got) for p in got[i]])
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary()), pa.array([model.temperature])], names=["weights", "bias", "temperature"])
 
-    made = bounded(some).repartition(1).mapInArrow(run, "weights binary, bias binary, temperature double").first()
+    drawn = some.mapInArrow(draw, "doc_id long, paragraphs array<string>").groupBy("doc_id").agg(F.min("paragraphs").alias("paragraphs"))
+    made = drawn.repartition(1).mapInArrow(run, "weights binary, bias binary, temperature double").first()
     weights, bias = (np.frombuffer(bytes(x), kind) for x, kind in ((made.weights, np.float32), (made.bias, np.float64)))
     return Model(weights.reshape(1 << BUCKET_BITS, -1), bias, made.temperature)
 

@@ -2,10 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, white space between words ignored) and hashed. For each host (the source of a
 document) the distinct documents that hold a line are counted; lines above the host's limit are removed (``clean`` takes them
-out of the texts), and a document that this depletes is rejected. Every distinct document counts: documents of the same lines count once, and so do
-near copies, which are documents of a host that hold the same frequent lines (those that more rows hold than the limit) and at
-most 1/NEAR as many words besides them, so that any two of them share eight words of ten. So a group of copies or such near
-copies doesn't turn its own text into boilerplate; that is for the dedup stages to judge.
+out of the texts), and a document that this depletes is rejected. Documents of the same lines count once, so a group of copies
+doesn't turn its own text into boilerplate; every other document counts, near copies too.
 
 Null texts have no words; null hosts are a host of their own; a null doc_id stays null; rows that repeat are judged
 each (and alike, as copies); other columns, whatever their names, are carried by ``clean`` and otherwise ignored; an empty
@@ -32,8 +30,6 @@ from corpuslens.llm.scratch import Scratch, bounded
 MIN_DOCS, SHARE = 5, 0.02
 #: A document is depleted if removing lines leaves fewer words than LEFT_WORDS, or less than LEFT_SHARE of its words.
 LEFT_WORDS, LEFT_SHARE = 10, 0.2
-#: Documents of the same frequent lines count once if these hold NEAR times as many words as their other lines, or more.
-NEAR = 8
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>, signature long, row long"
@@ -105,16 +101,13 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     """One row per document: doc_id, host, row, the base figures, base_failed, removed_words, kept, its signature, and the hashes of its removed lines."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(features(docs, host).withColumn("uid", F.monotonically_increasing_id()), "features")
-    own = rows.select("uid", F.coalesce("host", F.lit("\0")).alias("host"), F.explode("lines").alias("l")).select("uid", "host", "l.*")
+    own = rows.select("uid", F.coalesce("host", F.lit("\0")).alias("host"), "signature", F.explode("lines").alias("l")).select("uid", "host", "signature", "l.*")
     hosts = rows.groupBy(F.coalesce("host", F.lit("\0")).alias("host"), "signature").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("docs"))
     often = own.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     often = scratch.save(often.join(hosts, "host").filter(F.col("n") > limit).select("host", "line", limit.alias("limit")), "often")
     hits = scratch.save(own.join(often, ["host", "line"]), "hits")
-    shared = hits.groupBy("uid").agg(F.sum("words").alias("shared"), F.bit_xor(F.xxhash64("line")).alias("same"))
-    near = NEAR * (F.col("n_words") - F.col("shared")) <= F.col("shared")
-    voters = rows.join(shared, "uid").select("uid", F.when(near, F.col("same")).otherwise(F.col("signature")).alias("voter"))
-    gone = hits.join(voters, "uid").groupBy("host", "line", "limit").agg(F.countDistinct("voter").alias("n"))
+    gone = hits.groupBy("host", "line", "limit").agg(F.countDistinct("signature").alias("n"))
     gone = scratch.save(gone.filter(F.col("n") > F.col("limit")).select("host", "line"), "gone")
     removed = hits.join(gone, ["host", "line"]).groupBy("uid").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -151,15 +144,12 @@ def without_lines(texts: pa.Array, removed: pa.ListArray) -> list[str]:
 
 
 def clean(docs: DataFrame, host: str = "source", chars: str = "n_chars", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """The rows that are kept, with all their columns, and without the lines above their host's limit. Documents of the same lines in several
-    hosts all lose what one of them loses, so that copies stay copies. Where a text changes, the column ``chars``, if there is one, gets
-    its new number of code points. Rows are told apart by doc_id, host and text; those that repeat are judged alike. The input
-    goes through one join by these."""
+    """The rows that are kept, with all their columns, and without the lines above their host's limit. Where a text changes, the column
+    ``chars``, if there is one, gets its new number of code points. Rows are told apart by doc_id, host and text; those that repeat are judged
+    alike. The input goes through one join by these."""
     scratch = Scratch(docs.sparkSession, "clean")
-    every = scratch.save(judged(docs, host, min_docs, share).select("doc_id", "host", "row", "kept", "signature", "removed"), "judged")
-    lines = every.select("signature", F.explode("removed").alias("line")).groupBy("signature").agg(F.collect_set("line").alias("removed"))  # of one document's lines
-    every = every.drop("removed").join(scratch.save(lines, "lines"), "signature", "left").filter(~F.col("kept") | F.col("removed").isNotNull())
-    acted = scratch.save(every.drop("signature").dropDuplicates(["doc_id", "host", "row"]), "acted")
+    every = judged(docs, host, min_docs, share).select("doc_id", "host", "row", "kept", "removed")
+    acted = scratch.save(every.filter(~F.col("kept") | F.col("removed").isNotNull()).dropDuplicates(["doc_id", "host", "row"]), "acted")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.col(host).cast("string").alias("own_host"), F.xxhash64("text").alias("own_row"))
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_host").eqNullSafe(F.col("host")) & (F.col("own_row") == F.col("row"))
     left = rows.join(acted, same, "left").filter(F.coalesce("kept", F.lit(True))).select("doc", "removed")

@@ -70,17 +70,14 @@ WITH docs AS (
 ), own AS (
   SELECT doc_id, host, array_to_string(ws, ' ') AS line, sum(len(ws)) AS words FROM raw WHERE len(ws) > 0 GROUP BY ALL
 ), signatures AS (
-  SELECT doc_id, host, len(ws) AS n_words, coalesce(signature, '') AS signature FROM docs
+  SELECT doc_id, host, coalesce(signature, '') AS signature FROM docs
   LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line) AS signature FROM own GROUP BY doc_id) USING (doc_id)
 ), limits AS (
   SELECT host, greatest(5.0::DOUBLE, 0.02::DOUBLE * count(DISTINCT signature)) AS most FROM signatures GROUP BY host
 ), often AS (
   SELECT host, line, most FROM own JOIN limits USING (host) GROUP BY host, line, most HAVING count(*) > most
-), voters AS (
-  SELECT doc_id, CASE WHEN 8 * (n_words - shared) <= shared THEN 'near' || lines ELSE 'own' || signature END AS voter FROM signatures
-  JOIN (SELECT doc_id, sum(words) AS shared, string_agg(line, chr(10) ORDER BY line) AS lines FROM own JOIN often USING (host, line) GROUP BY doc_id) USING (doc_id)
 ), gone AS (
-  SELECT host, line FROM own JOIN often USING (host, line) JOIN voters USING (doc_id) GROUP BY host, line, most HAVING count(DISTINCT voter) > most
+  SELECT host, line FROM own JOIN often USING (host, line) JOIN signatures USING (doc_id, host) GROUP BY host, line, most HAVING count(DISTINCT signature) > most
 ), removed AS (
   SELECT doc_id, sum(words) AS removed_words FROM own JOIN gone USING (host, line) GROUP BY doc_id
 ), figures AS (

@@ -6,7 +6,7 @@ to the softmax, scoring needs one number per bucket. A misspelling that was neve
 the word it stands for, and so its vector.
 
 Training reads a bounded, documented sample of the labelled rows (TRAIN_ROWS: the lowest hashes of doc_id in each class),
-whole texts; scoring reads every whole text, map-side, without a shuffle. Null texts count as empty; texts without a
+whole texts as bags of their words (of TRAIN_WORDS distinct ones at most); scoring reads every whole text, map-side, without a shuffle. Null texts count as empty; texts without a
 word get the score of the bias; a null doc_id is scored and never held out or trained on; null labels are left out; of
 several labels of a doc_id the highest counts; rows that repeat are scored each; other columns are ignored; without
 labels of both classes every score is the share of toxic labels (0.0 if there are none).
@@ -29,8 +29,8 @@ from corpuslens.llm.scratch import bounded
 TRAIN_ROWS = (1500, 3500)
 #: N-grams that a smaller share of the training texts hold, or only one, have no vector of their own (that of nothing, zero).
 MIN_SHARE = 0.004
-#: A text's mean has so many neutral words besides its own, so that a few rare n-grams don't decide on a short text.
-NEUTRAL = 20
+#: Distinct words of a text that training takes, at most (those of the lowest hashes); a text is scored by all of its words.
+TRAIN_WORDS = 4096
 #: RATE falls over the last SETTLE of the epochs, as the last steps else may miss by far.
 BUCKET_BITS, DIM, EPOCHS, RATE, SETTLE, DECAY = 20, 4, 80, 0.3, 0.3, 1e-6
 SIZES = (3, 4, 5)
@@ -107,28 +107,59 @@ class Model:
             bucket, edge = ngrams(low, starts[first], ends[first])
             word = np.add.reduceat(self.value[bucket], edge[:-1]) / np.diff(edge)
             total = np.concatenate([[0], np.cumsum(word[where])])
-            logit += np.diff(total[bounds]) / (n + NEUTRAL)
+            logit += np.diff(total[bounds]) / np.maximum(n, 1)
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
+@dataclass
+class Bags:
+    """Distinct words of texts (bytes of the words one after the other, and where each ends), how often a text says each, ends of the
+    texts among them, and the words of each text in all."""
+
+    data: np.ndarray
+    ends: np.ndarray
+    times: np.ndarray
+    bounds: np.ndarray
+    total: np.ndarray
+
+
+def bags(data: np.ndarray, offsets: np.ndarray, most: int = TRAIN_WORDS) -> Bags:
+    low, starts, ends, bounds = tokens(data, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    hashes = arrays.span_hashes(low, starts, ends)
+    order = np.lexsort((hashes, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (row[order][1:] != row[order][:-1])
+    at = np.flatnonzero(new)
+    times, of, first = np.diff(at, append=len(order)), row[order][at], order[at]
+    few = np.arange(len(of)) - np.searchsorted(of, of) < most  # in a row they stand by their hashes
+    times, of, first = times[few], of[few], first[few]
+    size = ends[first] - starts[first]
+    flat = low[np.repeat(starts[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    return Bags(flat, np.cumsum(size), times, np.searchsorted(of, np.arange(len(offsets))), np.diff(bounds))
+
+
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
+    """A model of texts in memory."""
+    return train_bags(bags(*arrays.buffers(pa.array(texts, pa.string()))), toxic, weight, seed)
+
+
+def train_bags(bag: Bags, toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
     """Embeddings and softmax by Adam on the weighted cross-entropy, over all texts in each epoch."""
-    total = float(weight.sum()) if len(weight) else 0.0
+    total, n_texts = float(weight.sum()) if len(weight) else 0.0, len(bag.total)
     share = float((weight * toxic).sum()) / total if total else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 700.0 if share else -700.0)
-    data, offsets = arrays.buffers(pa.array(texts, pa.string()))
-    low, starts, ends, bounds = tokens(data, offsets)
-    first, where = unique_words(low, starts, ends)
+    low, ends = bag.data, bag.ends
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    first, word = unique_words(low, starts, ends)
     # documents by distinct words, each with its share
-    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    key, times = np.unique(row * len(first) + where, return_counts=True)
-    row, word = key // len(first), key % len(first)
-    part = (times / (np.diff(bounds) + NEUTRAL)[row]).astype(np.float32)
-    starts, ends, where, key, times = starts[first], ends[first], None, None, None  # what isn't needed any more goes
+    row = np.repeat(np.arange(n_texts), np.diff(bag.bounds))
+    part = (bag.times / bag.total[row]).astype(np.float32)
+    starts, ends = starts[first], ends[first]
     by_word = np.argsort(word, kind="stable").astype(np.int32)
     word_edge = np.searchsorted(word[by_word], np.arange(len(first)))
-    row_edge = np.searchsorted(row, np.arange(len(texts) + 1))
+    row_edge = bag.bounds
     busy = np.flatnonzero(np.diff(row_edge))
     # n-grams in parts, twice: those that enough texts hold are known only after all are counted
     texts_of = np.bincount(word, minlength=len(first))
@@ -143,7 +174,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
             if count:
                 held += np.bincount(bucket, texts_of[owner], 1 << BUCKET_BITS)
             else:
-                common = held[bucket] >= max(2, round(MIN_SHARE * len(texts)))
+                common = held[bucket] >= max(2, round(MIN_SHARE * n_texts))
                 kept.append((bucket[common].astype(np.int32), owner[common]))
     scale = (1 / size).astype(np.float32)[:, None]
     bucket, ngram_word = (np.concatenate([x[i] for x in kept]) for i in (0, 1))
@@ -159,13 +190,13 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)), np.log([1 - share, share])
     compact = np.searchsorted(used, bucket).astype(np.int32)
     bucket_word = ngram_word[by_bucket]
-    del bucket, ngram_word, by_bucket, data, low
+    del bucket, ngram_word, by_bucket, low
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (embedding, softmax, bias)]
     target, w = np.eye(2)[toxic.astype(int)], (weight / total)[:, None]
     for epoch in range(1, EPOCHS + 1):
         words = np.zeros((len(first), DIM), np.float32)
         words[spelled] = run_sums(embedding, compact, edge) * scale[spelled]
-        docs = np.zeros((len(texts), DIM))
+        docs = np.zeros((n_texts, DIM))
         docs[busy] = np.add.reduceat(words[word] * part[:, None], row_edge[:-1][busy])
         logit = docs @ softmax + bias
         p = np.exp(logit - logit.max(1, keepdims=True))
@@ -197,16 +228,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS)
     sample = known.filter("toxic = 1").orderBy(*order).limit(rows[0]).unionByName(known.filter("toxic = 0").orderBy(*order).limit(rows[1]))
     drawn = {t: min(n, rows[1 - t]) for t, n in counts.items()}
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in arrays.text_slices(batches, "text"):
+            bag, n = bags(data, offsets), len(batch)
+            edge = np.concatenate([[0], bag.ends])[bag.bounds]
+            spelled = [bag.data[a:b].tobytes() for a, b in zip(edge, edge[1:])]
+            size = np.diff(bag.ends, prepend=0)
+            lists = [[x[bag.bounds[k] : bag.bounds[k + 1]].astype("<i4").tobytes() for k in range(n)] for x in (size, bag.times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (spelled, *lists)), pa.array(bag.total.astype(np.int64)), batch.column(2)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted({r["doc_id"]: r for b in batches for r in b.to_pylist()}.values(), key=lambda r: r["doc_id"])
-        toxic = np.array([r["toxic"] for r in got], np.int64)
+        if not (held := list(batches)):
+            return
+        got = pa.Table.from_batches(held).sort_by([(n, "ascending") for n in names])
+        ids = got.column("doc_id").to_numpy()
+        got = got.take(np.flatnonzero(np.diff(ids, prepend=ids[0] - 1 if len(ids) else 0)))  # one text of a doc_id
+        spelled, size, times = (np.frombuffer(b"".join(got.column(n).to_pylist()), kind) for n, kind in (("spelled", np.uint8), ("size", "<i4"), ("times", "<i4")))
+        of = np.array([len(x.as_buffer() or b"") // 4 for x in got.column("size")], np.int64)
+        bag = Bags(spelled, np.cumsum(size, dtype=np.int64), times, np.concatenate([[0], np.cumsum(of)]), got.column("total").to_numpy())
+        toxic = got.column("toxic").to_numpy().astype(np.int64)
         weight = np.array([counts[t] / drawn[t] for t in toxic.tolist()])
+        del got, held
         arrays.give_back()
-        model = train([r["text"] or "" for r in got], toxic, weight)
+        model = train_bags(bag, toxic, weight)
         yield pa.RecordBatch.from_arrays([pa.array([model.value.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["value", "bias"])
 
-    # one task of an executor trains, on at most sum(rows) rows; only the model comes to the driver
+    # texts become bags of words where they are read; one task of an executor trains on at most sum(rows) of them, and only the model
+    # comes to the driver
+    names = ["doc_id", "spelled", "size", "times", "total", "toxic"]
     got = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    got = got.mapInArrow(gather, "doc_id long, spelled binary, size binary, times binary, total long, toxic int")
     made = got.repartition(1).mapInArrow(run, "value binary, bias double").first()
     return Model(np.frombuffer(bytes(made.value), "<f4"), made.bias) if made else train([], np.empty(0, np.int64), np.empty(0))
 
