@@ -16,8 +16,8 @@ from corpuslens.operators import contracts, drafts, entities, history, invoices,
 from corpuslens.operators import search as ranking
 from corpuslens.plans import store as st
 from corpuslens.plans import understand
-from corpuslens.sources import extractors, files
-from corpuslens.streaming import watch
+from corpuslens.sources import extractors, files, walk
+from corpuslens.streaming import folder, watch
 
 MODES = ("hybrid", "filename", "fulltext", "semantic", "entity")
 
@@ -59,7 +59,8 @@ class Engine:
             "last_indexed_at": known.last_indexed_at if known else None, "document_count": known.document_count if known else 0, "error": None,
         } | settings
         new = self.spark.createDataFrame([row], schema.WORKSPACES)
-        self.store.write("workspaces", st.upsert(self.store.read("workspaces"), new, "id"))
+        self.store.update("workspaces", lambda old: st.upsert(old, new, "id"))
+        self.audit("create", "add_workspace", referenced_files=[root_path], now=now)
         return row["id"]
 
     def workspaces(self) -> DataFrame:
@@ -73,11 +74,12 @@ class Engine:
 
     def update_workspace(self, workspace_id: str, **values: Any) -> None:
         new = self.spark.createDataFrame([{"id": workspace_id} | values], schema.WORKSPACES)
-        self.store.write("workspaces", st.patch(self.store.read("workspaces"), new, "id"))
+        self.store.update("workspaces", lambda old: st.patch(old, new, "id"))
 
     def remove_workspace(self, workspace_id: str) -> None:
         self.watches.stop(workspace_id)
         self.store.delete_workspace(workspace_id)
+        self.audit("delete", "remove_workspace", extra={"workspace": workspace_id})
 
     # ---- indexing
 
@@ -85,9 +87,7 @@ class Engine:
         """Reads new and changed files of a workspace: how many were seen, indexed, skipped, and failed."""
         ws, now = self.workspace(workspace_id), _now(now)
         self.update_workspace(workspace_id, status="indexing")
-        found = files.discover(self.spark, ws["root_path"], workspace_id, ws["include_extensions"], tuple(ws["exclude_globs"] or ()), ws["max_file_size_mb"] << 20)
-        if paths is not None:
-            found = found.join(paths.select("path").distinct(), "path", "left_semi")
+        found = files.discover(self.spark, ws["root_path"], workspace_id, ws["include_extensions"], tuple(ws["exclude_globs"] or ()), ws["max_file_size_mb"] << 20, paths)
         if max_files is not None:
             found = found.orderBy("path").limit(max_files)
         todo = files.changed(found, self.store.read("documents"), force or paths is not None).persist()
@@ -99,7 +99,8 @@ class Engine:
         documents = documents.join(known, "id", "left").withColumn("pii_flagged", F.coalesce("pii_flagged", F.lit(False)))
         body = F.concat_ws(" ", "text", "section_heading", "sheet_name")
         terms, lengths = ranking.postings(chunks_in.select("chunk_id", "workspace_id", "document_id", body.alias("body")), ("chunk_id", "workspace_id", "document_id"), "body")
-        new = {"chunks": chunks, "entities": entities.extract(chunks_in), "postings": terms, "lengths": lengths}
+        said = entities.extract(chunks_in)
+        new = {"chunks": chunks, "entities": said, "grams": ranking.entity_grams(said), "postings": terms, "lengths": lengths}
         if ws["enable_vector_search"]:
             new["vectors"] = embed.embed(chunks_in, self.embedder)
         replace = {name: (lambda old, name=name, rows=rows: st.replace_children(old, self.store.typed(name, rows), ids)) for name, rows in new.items()}
@@ -121,18 +122,29 @@ class Engine:
         if not touched.isEmpty():
             self.index(workspace_id, paths=touched)
 
-    def start_watch(self, workspace_id: str, events: DataFrame, checkpoint: str, once: bool = False):  # noqa: ANN201
-        """Acts on a stream of events of a workspace until stopped. A step that fails is told in the trail and doesn't end the watch;
-        the next ``index`` finds the files it left."""
+    def start_watch(self, workspace_id: str, events: DataFrame | None = None, checkpoint: str | None = None, once: bool = False, step: str = watch.STEP):  # noqa: ANN201
+        """Acts on what happens to a workspace's files until stopped: on the events that its folder's listings give, or on a stream of
+        them. A step that fails is done again in halves, so that only the paths that can't be worked off are left, and told in the
+        trail; the next ``index`` finds them. Without ``checkpoint``, a watch that starts again finds what changed meanwhile by the store's own folder."""
+        ws = self.workspace(workspace_id)
+        if events is None:
+            at = walk.rooted(self.spark, ws["root_path"])
+            if at is None:
+                raise ValueError(f"no listing of {ws['root_path']} in tasks; give a stream of events")
+            events = folder.folder_events(self.spark, at, tuple(ws["exclude_globs"] or ()))
 
         def act(batch: DataFrame, _: int) -> None:
+            batch.persist()
             try:
-                self.apply_events(workspace_id, batch)
-                self.watches.count(workspace_id, batch.count())
-            except Exception as e:  # noqa: BLE001
-                self.audit("extract", "watch", error=f"{type(e).__name__}: {e}"[:2000])
+                watch.in_halves(batch, lambda part: self.apply_events(workspace_id, part), lambda n: self.watches.count(workspace_id, n), self._failed)
+            finally:
+                batch.unpersist()
+
+        checkpoint = checkpoint or f"{self.store.root}/_watches/{workspace_id}"
+        return self.watches.start(workspace_id, lambda: watch.watch(events, act, checkpoint, f"watch-{workspace_id}", step, once))
 
-        return self.watches.start(workspace_id, lambda: watch.watch(events, act, checkpoint, f"watch-{workspace_id}", once=once))
+    def _failed(self, path: str, error: Exception) -> None:
+        self.audit("extract", "watch", referenced_files=[path], error=f"{type(error).__name__}: {error}"[:2000])
 
     # ---- search
 
@@ -142,7 +154,7 @@ class Engine:
             raise ValueError(f"mode must be one of {MODES}")
         now = _now(now)
         asked = understand.parse(text, now, calendar)
-        docs, chunks, known = self.documents(), self.chunks(), self.store.read("entities")
+        docs, chunks = self.documents(), self.chunks()
         kinds = [k for k in kinds or [] if k in schema.KIND_BY_EXTENSION.values()]  # unknown ones don't count
         if workspace_ids:
             docs = docs.filter(F.col("workspace_id").isin(*workspace_ids))
@@ -150,7 +162,7 @@ class Engine:
             docs = docs.filter(F.col("kind").isin(*kinds))
         listed = docs.filter(F.col("kind").isin(*kinds)) if kinds else docs
         own = chunks.join(docs.select("document_id"), "document_id", "left_semi")
-        known = known.join(docs.select("document_id"), "document_id", "left_semi")
+        known = None if mode in ("filename", "fulltext", "semantic") else ranking.entity_documents_indexed(self.store.read("grams"), text, docs.select("document_id"))
         fetch = ranking.over_fetch(limit)
         hits = ranking.bm25_indexed(self.store.read("postings"), self.store.read("lengths"), text, "chunk_id", "document_id")
         hits = hits.join(listed.select("document_id"), "document_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(fetch)
@@ -160,9 +172,7 @@ class Engine:
             near = ranking.nearest(self.store.read("vectors"), goal, fetch, where=F.col("workspace_id").isin(*workspace_ids))
         if mode in ("filename", "semantic", "entity"):
             hits = hits.filter("false")
-        if mode in ("filename", "fulltext", "semantic"):
-            known = known.filter("false")
-        rows = ranking.candidates(docs, own, hits, known, text, near)
+        rows = ranking.candidates(docs, own, hits, known, near)
         if mode == "filename" or rows.isEmpty():
             first = docs if not workspace_ids else docs.filter(F.col("workspace_id") == workspace_ids[0])
             rows = ranking.by_file_name(first.orderBy(F.desc("mtime"), "document_id").limit(500) if mode != "filename" else docs, text)

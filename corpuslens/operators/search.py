@@ -144,10 +144,49 @@ def fuse(lists: list[DataFrame], key: str) -> DataFrame:
 # ---- recall and ranking
 
 
+def entity_terms(query: str, shortest: int = 3, most: int = 5) -> list[str]:
+    return [t for t in query.split() if len(t) >= shortest][:most]
+
+
+def entity_grams(entities: DataFrame) -> DataFrame:
+    """The index of what entities hold: (gram, low, document_id), one row for each three characters of an entity's text in lower case, and for
+    the one or two at its end. So every character of a text begins a gram, and a term of any length begins one wherever it
+    stands. Entities are short; a text is repeated as often as it has characters."""
+    low = entities.select("document_id", F.lower("text").alias("low")).filter("low <> ''").distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low")), lambda k: F.substring("low", k, 3)))
+    return low.select(F.explode(grams).alias("gram"), "low", "document_id")
+
+
+def _gram_of(grams: DataFrame, terms: list[str]) -> dict[str, str]:
+    """For each term the gram that fewest rows have; one look at the lists of all their grams."""
+    own = {t: sorted({t[k : k + 3] for k in range(len(t) - 2)}) for t in terms if len(t) >= 3}
+    every = sorted({g for gs in own.values() for g in gs})
+    found = {r.gram: r.n for r in grams.filter(F.col("gram").isin(*every)).groupBy("gram").agg(F.count("*").alias("n")).collect()} if every else {}
+    return {t: min(gs, key=lambda g: (found.get(g, 0), g)) for t, gs in own.items()}
+
+
+def entity_documents_indexed(grams: DataFrame, query: str, docs: DataFrame | None = None, per_term: int = 20, shortest: int = 3) -> DataFrame:
+    """As ``entity_documents``, from the index: of each term the list of its rarest gram is read and verified, of a term of one or two
+    characters the lists of the grams that begin with it, which hold nothing else. The filters on gram reach the scan of a stored index,
+    which is sorted by it. ``docs`` (document_id) restricts the documents."""
+    terms = entity_terms(query, shortest)
+    if not terms:
+        return grams.filter("false").select(F.lit("").alias("term"), F.lit(0).alias("pos"), "document_id")
+    low = [t.lower() for t in terms]
+    rarest = _gram_of(grams, low)
+    tests = [(F.col("gram") == rarest[t]) & F.col("low").contains(t) if t in rarest else F.col("gram").startswith(t) for t in low]
+    hit = grams.filter(reduce(lambda a, b: a | b, tests))
+    said = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(t).alias("term"), F.lit(k).alias("pos"))) for k, (t, test) in enumerate(zip(terms, tests)))))
+    hit = hit.select("document_id", F.explode(said).alias("s")).select("s.term", "s.pos", "document_id").distinct()
+    hit = hit if docs is None else hit.join(docs, "document_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("pos").orderBy("document_id"))  # Spark keeps the first few of each task before it deals them
+    return hit.withColumn("place", place).filter(F.col("place") <= per_term).select("term", "pos", "document_id")
+
+
 def entity_documents(entities: DataFrame, query: str, per_term: int = 20) -> DataFrame:
     """(term, pos, document_id): for each of the first five terms of three or more characters, the first documents, by id,
     with an entity that holds it."""
-    terms = [t for t in query.split() if len(t) >= 3][:5]
+    terms = entity_terms(query)
     if not terms:
         return entities.filter("false").select(F.lit("").alias("term"), F.lit(0).alias("pos"), "document_id")
     said = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(k).alias("pos")) for k, t in enumerate(terms)))
@@ -226,16 +265,17 @@ def rank(
     return scored.groupBy("document_id").agg(best.alias("best")).select("best.*")  # combined map-side, unlike a window
 
 
-def candidates(docs: DataFrame, chunks: DataFrame, hits: DataFrame, entities: DataFrame, query: str, semantic: DataFrame | None = None) -> DataFrame:
-    """Recall lists joined to what ``rank`` needs: ``hits`` (chunk_id, score), ``semantic`` (chunk_id, distance), documents with
-    entities (their first chunk), and, if all are empty, documents whose name holds a term."""
+def candidates(docs: DataFrame, chunks: DataFrame, hits: DataFrame, known: DataFrame | None, semantic: DataFrame | None = None) -> DataFrame:
+    """Recall lists joined to what ``rank`` needs: ``hits`` (chunk_id, score), ``semantic`` (chunk_id, distance), ``known`` (term, pos,
+    document_id) of documents with entities (their first chunk), and, if all are empty, documents whose name holds a term."""
     words = ranked(hits.select("chunk_id", "score"), F.desc("score"), F.col("chunk_id"))
     listed = words.select("chunk_id", (-F.col("score")).alias("raw"), F.lit(0).alias("source"))
     if semantic is not None:
         near = ranked(semantic.select("chunk_id", "distance"), F.col("distance"), F.col("chunk_id"))
         listed = listed.unionByName(near.select("chunk_id", F.col("distance").alias("raw"), F.lit(1).alias("source")))
         rrf, flags = fuse([words, near], "chunk_id"), near.select("chunk_id", F.lit(True).alias("semantic"))
-    boost = entity_documents(entities, query).groupBy("document_id").agg(F.min_by("term", "pos").alias("entity_term"))  # per_term of each term at most
+    known = docs.filter("false").select(F.lit("").alias("term"), F.lit(0).alias("pos"), "document_id") if known is None else known
+    boost = known.groupBy("document_id").agg(F.min_by("term", "pos").alias("entity_term"))  # per_term of each term at most
     some = F.broadcast(boost.select("document_id"))
     firsts = chunks.join(some, "document_id").groupBy("document_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"))
     listed = listed.unionByName(firsts.select("chunk_id", F.lit(-0.5).alias("raw"), F.lit(2).alias("source")))

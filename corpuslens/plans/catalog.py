@@ -5,7 +5,6 @@ index, ``events`` for file events and an audit trail, ``labels`` for the confide
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -18,6 +17,7 @@ from corpuslens.functions import text as T
 from corpuslens.operators import contracts, entities, history, invoices, pii, review, risk, search
 from corpuslens.plans import store as st
 from corpuslens.plans import understand
+from corpuslens.plans.work import shared_folder
 from corpuslens.sources.extractors import html_to_text
 from corpuslens.sources.files import spread
 from corpuslens.streaming import watch
@@ -146,7 +146,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = docs.select(schema.chunk_id(F.col("document_id"), F.lit(0)).alias("chunk_id"), "document_id", F.lit(0).alias("ordinal"), "text")
     hits = search.bm25(chunks, RANKED).orderBy(F.desc("score"), "chunk_id").limit(search.over_fetch(20))
     mails = entities.extract(chunks, kinds=("email",))
-    return search.rank(search.candidates(docs, chunks, hits, mails, RANKED), RANKED, AS_OF)
+    return search.rank(search.candidates(docs, chunks, hits, search.entity_documents(mails, RANKED)), RANKED, AS_OF)
 
 
 RANKED = "tion invoice src3"
@@ -196,6 +196,17 @@ def entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.entity_documents(entities.extract(chunks, kinds=("email",)), "example .com")
 
 
+@query(
+    f"""WITH {DOCS}, mails AS (SELECT document_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}\\b')) AS mail FROM docs)
+SELECT DISTINCT term, CAST(pos AS INTEGER) AS pos, document_id FROM mails, (VALUES ('xample.o', 0), ('@', 1), ('.C', 2), ('e1', 3), ('zzz@', 4)) t(term, pos) WHERE contains(lower(mail), lower(term))"""
+)
+def entity_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with an address that holds a part, from the index of grams; two parts are shorter than a gram."""
+    chunks = docs_view(spark, sf_dir).select("document_id", F.lit("0").alias("chunk_id"), "text")
+    grams = search.entity_grams(entities.extract(chunks, most=100_000, kinds=("email",)))
+    return search.entity_documents_indexed(grams, "xample.o @ .C e1 zzz@", per_term=2**31 - 1, shortest=1)
+
+
 # ---- text
 
 
@@ -647,14 +658,7 @@ def watch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MOVED} SELECT path, arg_max(event_type, seq) AS event_type, count(*) AS events FROM each GROUP BY path")
 def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, worked off; the last event of each path as the steps left it."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    root = f"{base.rstrip('/')}/corpuslens/watch-{uuid.uuid4().hex[:12]}"
+    root = shared_folder(spark, "watch")
     raw = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events.parquet*")
     out = f"{root}/out"

@@ -2,7 +2,11 @@
 
 A table is dealt to parts by a hash of the document's id. A change writes the parts it touches beside the old ones, for all tables
 it concerns, and then adds one entry to a log that names the folder of each part. So a change costs what its parts hold, a reader
-sees all of it or nothing, and an interrupted one leaves the old state. Of the rows, only numbers of parts are collected."""
+sees all of it or nothing, and an interrupted one leaves the old state. Of the rows, only numbers of parts are collected.
+
+A change reads one state and its entry follows that state's number; an entry is only added where there is none. So a writer whose
+state another one has replaced meanwhile gets an error, and nothing of either is lost. That needs a file system that creates a name
+only once: a local one (by hard links), or one whose rename fails on a name that is there, as HDFS does."""
 
 from __future__ import annotations
 
@@ -52,6 +56,10 @@ def fitting_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.filter(F.size("embedding") == dim)
 
 
+#: Tables whose rows hang on a document.
+CHILDREN = ("postings", "lengths", "vectors", "entities", "grams", "fields", "chunks")
+
+
 class Store:
     """The tables under a folder that all executors reach. ``parts`` counts when a store is begun; it stays with the store."""
 
@@ -85,26 +93,44 @@ class Store:
         stream = fs.create(draft, False)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        if fs.exists(entry) or not fs.rename(draft, entry):
+        try:
+            if not self._create(fs, draft, entry):
+                raise RuntimeError("another writer has changed the store; nothing was changed here")
+        finally:
             fs.delete(draft, False)
-            raise RuntimeError("another writer has changed the store; nothing was changed here")
         for status in fs.listStatus(path(f"{self.root}/_log")):
             name = status.getPath().getName()
             if name.endswith(".json") and int(name.split(".")[0]) < number - 1:
                 fs.delete(status.getPath(), False)
 
+    def _create(self, fs, draft, entry) -> bool:  # noqa: ANN001
+        """Gives a written file its name in one step; False if the name is taken."""
+        jvm = self.spark.sparkContext._jvm
+        try:
+            if fs.getUri().getScheme() == "file":
+                files, local = jvm.java.nio.file.Files, jvm.java.nio.file.Paths
+                files.createLink(local.get(fs.makeQualified(entry).toUri()), local.get(fs.makeQualified(draft).toUri()))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, entry, none)
+        except Exception:  # noqa: BLE001
+            if fs.exists(entry):
+                return False
+            raise
+        return True
+
     # ---- tables
 
     def _part(self, key: str | None, parts: int) -> Column:
         return (F.pmod(F.xxhash64(key), F.lit(parts)) if key else F.lit(0)).cast("int").alias("part")
 
-    def read(self, name: str, parts: set[int] | None = None) -> DataFrame:
-        """The table's last whole state, or some parts of it; empty before the first write."""
+    def read(self, name: str, parts: set[int] | None = None, state: dict | None = None) -> DataFrame:
+        """The table's last whole state (or that of ``state``), or some parts of it; empty before the first write."""
         if name == "audit_log":
             path, fs = self._fs()
             folders = [f"{self.root}/{name}"] if fs.exists(path(f"{self.root}/{name}")) else []
         else:
-            now = self._state()[1]["now"].get(name, {})
+            now = (state or self._state()[1])["now"].get(name, {})
             folders = [f"{self.root}/{at}" for part, at in now.items() if parts is None or int(part) in parts]
         return self.spark.read.schema(TABLES[name]).parquet(*folders) if folders else self.spark.createDataFrame([], TABLES[name])
 
@@ -113,23 +139,30 @@ class Store:
         wanted = self.spark.createDataFrame([], TABLES[name]).schema
         return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
 
-    def commit(self, changes: dict[str, DataFrame], touched: set[int] | None = None) -> None:
-        """New states of some tables, or of their ``touched`` parts, in one step. What the step before had stays for those reading it."""
-        number, state = self._state()
+    def commit(self, changes: dict[str, DataFrame], touched: set[int] | None = None, base: tuple[int, dict] | None = None) -> None:
+        """New states of some tables, or of their ``touched`` parts, in one step after the state ``base`` that they were made from; an error if
+        that isn't the last one any more. What the step before had stays for those reading it."""
+        number, state = base or self._state()
         path, fs = self._fs()
-        now, before = dict(state["now"]), dict(state["before"])
+        now, before, folders = dict(state["now"]), dict(state["before"]), []
         for name, rows in changes.items():
             key = {"documents": "id", "workspaces": None}.get(name, "document_id")
             typed = self.typed(name, rows)
-            order = ["term"] if name == "postings" else [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]  # a search reads few row groups
+            order = {"postings": ["term"], "grams": ["gram", "low"]}.get(name) or [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]  # a search reads few row groups
             at = f"{name}/{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+            folders.append(at)
             dealt = typed.withColumn("part", self._part(key, state["parts"])).hint("rebalance", "part")  # a large part becomes several files
             dealt.sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{self.root}/{at}")
             written = {n.split("=")[1]: f"{at}/{n}" for s in fs.listStatus(path(f"{self.root}/{at}")) if (n := s.getPath().getName()).startswith("part=")}
             old = state["now"].get(name, {})
             before[name] = old
-            now[name] = {p: f for p, f in old.items() if touched is not None and int(p) not in touched} | written
-        self._log(number + 1, {"parts": state["parts"], "now": now, "before": before})
+            now[name] = {p: f for p, f in old.items() if touched is not None and key and int(p) not in touched} | written
+        try:
+            self._log(number + 1, {"parts": state["parts"], "now": now, "before": before})
+        except RuntimeError:
+            for at in folders:
+                fs.delete(path(f"{self.root}/{at}"), True)
+            raise
         for name in changes:
             used = {f.split("/")[1] for f in (*now[name].values(), *before[name].values())}
             for status in fs.listStatus(path(f"{self.root}/{name}")):
@@ -138,29 +171,37 @@ class Store:
                     fs.delete(status.getPath(), True)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new state of a table."""
+        """A new state of a table, whatever it was before."""
         self.commit({name: df})
 
-    def change(self, ids: DataFrame, how: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
+    def update(self, name: str, how: Callable[[DataFrame], DataFrame]) -> None:
+        """A new state of a whole table, made from the old one."""
+        base = self._state()
+        self.commit({name: how(self.read(name, state=base[1]))}, base=base)
+
+    def change(self, ids: DataFrame, how: dict[str, Callable[[DataFrame], DataFrame]], also: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
         """Changes tables where they concern some documents (document_id), in one step: ``how`` makes the new rows of the parts
-        that hold them from the old rows of these parts. Other parts are neither read nor written."""
-        count = self._state()[1]["parts"]
+        that hold them from the old rows of these parts. Other parts are neither read nor written. ``also`` makes new states of
+        tables that aren't dealt by documents, in the same step."""
+        base = self._state()
+        count = base[1]["parts"]
         parts = {r.part for r in ids.select(self._part("document_id", count)).distinct().collect()}  # as many as there are parts at most
-        if parts:
-            self.commit({name: make(self.read(name, parts)) for name, make in how.items()}, parts)
+        new = {name: make(self.read(name, parts, base[1])) for name, make in how.items()} if parts else {}
+        new |= {name: make(self.read(name, state=base[1])) for name, make in (also or {}).items()}
+        if new:
+            self.commit(new, parts, base)
 
     def append(self, name: str, df: DataFrame) -> None:
         """Adds rows to the trail, without touching those that are there."""
         self.typed(name, df).write.mode("append").parquet(f"{self.root}/{name}")
 
-    def delete_documents(self, ids: DataFrame) -> None:
+    def delete_documents(self, ids: DataFrame, also: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
         """Documents (document_id) and all that hangs on them."""
         ids = ids.select("document_id").distinct()
-        children = ("postings", "lengths", "vectors", "entities", "fields", "chunks")
-        own = {name: (lambda old: without(old, ids, "document_id")) for name in children}
-        self.change(ids, own | {"documents": lambda old: without(old, ids.withColumnRenamed("document_id", "id"), "id")})
+        own = {name: (lambda old: without(old, ids, "document_id")) for name in CHILDREN}
+        self.change(ids, own | {"documents": lambda old: without(old, ids.withColumnRenamed("document_id", "id"), "id")}, also)
 
     def delete_workspace(self, workspace_id: str) -> None:
+        """A workspace and all its documents, in one step."""
         own = self.read("documents").filter(F.col("workspace_id") == workspace_id).select(F.col("id").alias("document_id"))
-        self.delete_documents(own)
-        self.write("workspaces", self.read("workspaces").filter(F.col("id") != workspace_id))
+        self.delete_documents(own, {"workspaces": lambda old: old.filter(F.col("id") != workspace_id)})

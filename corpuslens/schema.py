@@ -28,6 +28,7 @@ FIELDS = (
 )
 ENTITIES = "document_id string, chunk_id string, text string, kind string, confidence double"
 VECTORS = "chunk_id string, workspace_id string, document_id string, embedding array<float>, error string"
+GRAMS = "gram string, low string, document_id string"
 POSTINGS = "chunk_id string, workspace_id string, document_id string, term string, tf long"
 LENGTHS = "chunk_id string, workspace_id string, document_id string, length int"
 AUDIT = (
@@ -36,7 +37,7 @@ AUDIT = (
 )
 TABLES = {
     "workspaces": WORKSPACES, "documents": DOCUMENTS, "chunks": CHUNKS, "fields": FIELDS, "entities": ENTITIES, "vectors": VECTORS, "audit_log": AUDIT,
-    "postings": POSTINGS, "lengths": LENGTHS,
+    "postings": POSTINGS, "lengths": LENGTHS, "grams": GRAMS,
 }
 
 #: The kind of a document by the extension of its file.

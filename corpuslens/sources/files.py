@@ -1,6 +1,6 @@
 """Files: finding those to read, telling which have changed, and extracting their chunks.
 
-The list of files comes from Spark's binaryFile source, which the executors read in parallel; contents are loaded
+Files are listed by a walk in tasks that enters no excluded folder (where only Spark knows a file system, by its binaryFile source); contents are loaded
 of files that changed. An extractor is a plain function from bytes to chunks and runs in Python, once per file; a file that it can't
 read becomes a document with an error, and never ends a job."""
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import schema
+from corpuslens.sources import walk
 from corpuslens.sources.extractors import extract_file
 
 DEFAULT_EXCLUDES = (
@@ -43,9 +44,28 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
 
 
-def discover(spark: SparkSession, root: str, workspace_id: str, extensions: list[str] | None = None, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, max_bytes: int | None = None) -> DataFrame:
+def discover(
+    spark: SparkSession, root: str, workspace_id: str, extensions: list[str] | None = None, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, max_bytes: int | None = None, paths: DataFrame | None = None
+) -> DataFrame:
     """workspace_id, path, name, kind, size_bytes, mtime of the files to index; contents aren't read. Hidden folders are left out,
-    except ``.claude``."""
+    except ``.claude``. With ``paths`` (path), of these only, and nothing is listed."""
+    rules, at = walk.Rules(excludes, extensions, max_bytes), walk.rooted(spark, root)
+    if at is not None:
+        found = walk.walk(spark, at, rules) if paths is None else walk.looked_up(paths, at, rules)
+        return _described(found, workspace_id)
+    rows = _scanned(spark, root, extensions, excludes, max_bytes)
+    return _described(rows if paths is None else rows.join(paths.select("path").distinct(), "path", "left_semi"), workspace_id)
+
+
+def _described(rows: DataFrame, workspace_id: str) -> DataFrame:
+    path = F.col("path")
+    return rows.select(
+        F.lit(workspace_id).alias("workspace_id"), "path", schema.base_name(path).alias("name"), schema.kind_of(path).alias("kind"), "size_bytes", "mtime"
+    ).filter(F.col("kind").isNotNull())
+
+
+def _scanned(spark: SparkSession, root: str, extensions: list[str] | None, excludes: tuple[str, ...], max_bytes: int | None) -> DataFrame:
+    """path, size_bytes, mtime by Spark's own listing, which enters every folder but hidden ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
     path = _plain(F.col("path"))
     below = F.substring(path, len(root.replace("file://", "").rstrip("/")) + 2, 2**31 - 1)
@@ -57,10 +77,7 @@ def discover(spark: SparkSession, root: str, workspace_id: str, extensions: list
         rows = rows.filter(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(wanted))
     if max_bytes is not None:
         rows = rows.filter(F.col("length") <= max_bytes)
-    return rows.select(
-        F.lit(workspace_id).alias("workspace_id"), path.alias("path"), schema.base_name(path).alias("name"), schema.kind_of(path).alias("kind"),
-        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"),
-    ).filter(F.col("kind").isNotNull())
+    return rows.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
 
 
 def changed(found: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:

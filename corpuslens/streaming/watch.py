@@ -54,6 +54,27 @@ def watch(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=step)).start()
 
 
+#: A step that fails is halved so often at most; what is left of it then fails together.
+HALVINGS = 20
+
+
+def in_halves(batch: DataFrame, work: Callable[[DataFrame], None], done: Callable[[int], None], failed: Callable[[str, Exception], None], depth: int = 0) -> None:
+    """Works off a step's paths; if that fails, each half of them by itself (by bits of the path's hash), down to single paths. Good paths
+    are worked off again with each half, which a change of the store allows: it has the same result. ``done`` hears how many were."""
+    try:
+        n = batch.count()
+        if n:
+            work(batch)
+            done(n)
+        return
+    except Exception as e:  # noqa: BLE001
+        first = batch.first()
+        if batch.limit(2).count() < 2 or depth >= HALVINGS:
+            return failed(first.path, e)
+    for bit in (0, 1):
+        in_halves(batch.filter(F.getbit(F.xxhash64("path"), F.lit(depth)) == bit), work, done, failed, depth + 1)
+
+
 class Watches:
     """The running watches of a session, one for each workspace."""
 

@@ -131,3 +131,21 @@ def test_bm25_without_terms(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert search.bm25(docs, "?").count() == 0 and search.bm25(docs, "word").count() == 0
     assert search.bm25(docs.filter("false"), "word").agg(F.count("*")).first()[0] == 0
+
+
+def test_substrings_of_entities_come_from_the_index(spark, tmp_path):
+    texts = ["Acme GmbH", "acme corp", "x", "ab", "ABC", "İstanbul Ltd", "日本株式会社", "a.b@c.de", "aaaa", "", "100%_\\x", "acme GMBH"]
+    rows = [(f"d{k % 7}", t) for k, t in enumerate(texts)] + [("d9", None)]
+    known = spark.createDataFrame(rows, "document_id string, text string")
+    grams = search.entity_grams(known)
+    grams.sort("gram").write.parquet(f"{tmp_path}/grams")
+    grams = spark.read.parquet(f"{tmp_path}/grams")
+    for query in ("acme", "gmbh zzz", "a", "ab b", "x\\ %_ 株 式会社 本株", "aaa aa c.d", "", "  ", "ACME corp"):
+        got = search.entity_documents_indexed(grams, query, per_term=100, shortest=1)
+        want = {(t, k, d) for k, t in enumerate(query.split()[:5]) for d, text in rows if text and t.lower() in text.lower()}
+        assert {tuple(r) for r in got.collect()} == want
+        three = search.entity_documents_indexed(grams, query, docs=spark.createDataFrame([(f"d{k}",) for k in range(5)], "document_id string"), per_term=2)
+        scan = search.entity_documents(known.filter("document_id < 'd5'"), query, per_term=2)
+        assert {tuple(r) for r in three.collect()} == {tuple(r) for r in scan.collect()}
+    plan = search.entity_documents_indexed(grams, "acme", per_term=100)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(gram), EqualTo(gram," in plan or "EqualTo(gram" in plan

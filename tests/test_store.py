@@ -51,3 +51,65 @@ def test_a_text_that_cannot_be_embedded_is_told(spark):
     made = {r.chunk_id: r for r in embed.embed(rows, picky).collect()}
     assert made.keys() == {"c1", "c2"} and made["c1"].embedding == [1.0, 0.0] and made["c1"].error is None
     assert made["c2"].embedding is None and made["c2"].error == "ValueError: no"
+
+
+def test_a_writer_that_read_an_older_state_gets_an_error(spark, tmp_path):
+    store = st.Store(spark, f"file://{tmp_path}/s", parts=2)
+    row = lambda k: spark.createDataFrame([(k, f"/data/{k}")], "id string, root_path string")
+    store.update("workspaces", lambda old: st.upsert(old, store.typed("workspaces", row("one")), "id"))
+
+    def slow(old):
+        store.update("workspaces", lambda now: st.upsert(now, store.typed("workspaces", row("three")), "id"))  # another writer comes between
+        return st.upsert(old, store.typed("workspaces", row("two")), "id")
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.update("workspaces", slow)
+    assert {r.id for r in store.read("workspaces").collect()} == {"one", "three"}
+    store.commit({"chunks": chunks(spark, [("a", "x"), ("b", "y")])})
+    ids = spark.createDataFrame([("a",)], "document_id string")
+
+    def between(old):
+        store.delete_documents(spark.createDataFrame([("b",)], "document_id string"))
+        return old.filter("false")
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.change(ids, {"chunks": between})
+    assert [r.document_id for r in store.read("chunks").collect()] == ["a"]
+    number, state = store._state()
+    used = {f.split("/")[1] for t in (state["now"], state["before"]) for f in t["chunks"].values()}
+    left = {p.name for p in (tmp_path / "s" / "chunks").iterdir() if list(p.glob("part=*"))}
+    assert left == used and len(list((tmp_path / "s" / "chunks").glob("0*"))) == 2  # what the loser wrote is gone
+    assert not list((tmp_path / "s" / "_log").glob("*.draft"))
+
+
+def test_many_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = st.Store(spark, f"file://{tmp_path}/s", parts=2)
+    store.update("workspaces", lambda old: old)
+
+    def add(k):
+        while True:
+            try:
+                return store.update("workspaces", lambda old: st.upsert(old, store.typed("workspaces", spark.createDataFrame([(f"w{k}",)], "id string")), "id"))
+            except RuntimeError:
+                continue
+            except Exception as e:  # noqa: BLE001
+                if "FILE_NOT_EXIST" not in str(e) and "does not exist" not in str(e) and "PATH_NOT_FOUND" not in str(e):  # two states on, its files may be gone
+                    raise
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(8)))
+    assert {r.id for r in store.read("workspaces").collect()} == {f"w{k}" for k in range(8)}
+
+
+def test_a_workspace_goes_with_its_documents_in_one_step(spark, tmp_path):
+    store = st.Store(spark, f"file://{tmp_path}/s", parts=2)
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    store.commit({"workspaces": rows("w", "v"), "documents": spark.createDataFrame([("d", "w"), ("e", "v")], "id string, workspace_id string"), "chunks": chunks(spark, [("d", "x")])})
+    number = store._state()[0]
+    store.delete_workspace("w")
+    assert store._state()[0] == number + 1 and [r.id for r in store.read("workspaces").collect()] == ["v"]
+    assert [r.id for r in store.read("documents").collect()] == ["e"] and store.read("chunks").isEmpty()
+    store.delete_workspace("v")
+    assert store.read("workspaces").isEmpty() and store.read("documents").isEmpty()
