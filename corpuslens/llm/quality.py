@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import arrays
@@ -30,6 +30,8 @@ from corpuslens.llm.scratch import Scratch, bounded
 MIN_DOCS, SHARE = 5, 0.02
 #: A document is depleted if removing lines leaves fewer words than LEFT_WORDS, or less than LEFT_SHARE of its words.
 LEFT_WORDS, LEFT_SHARE = 10, 0.2
+#: Lines to remove that tasks carry (8 bytes each), at most.
+CARRIED = 1 << 20
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>, signature long, row long"
@@ -97,8 +99,8 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, FEATURES)
 
 
-def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, host, row, the base figures, base_failed, removed_words, kept, its signature, and the hashes of its removed lines."""
+def counted(docs: DataFrame, host: str, min_docs: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The features of each document with a uid; the frequent lines that each holds (host, line, uid, words); and the lines above their host's limit (host, line)."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(features(docs, host).withColumn("uid", F.monotonically_increasing_id()), "features")
     own = rows.select("uid", F.coalesce("host", F.lit("\0")).alias("host"), "signature", F.explode("lines").alias("l")).select("uid", "host", "signature", "l.*")
@@ -109,6 +111,16 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     hits = scratch.save(own.join(often, ["host", "line"]), "hits")
     gone = hits.groupBy("host", "line", "limit").agg(F.countDistinct("signature").alias("n"))
     gone = scratch.save(gone.filter(F.col("n") > F.col("limit")).select("host", "line"), "gone")
+    return rows, hits, gone
+
+
+def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """One row per document: doc_id, host, row, the base figures, base_failed, removed_words, kept, its signature, and the hashes of its removed lines."""
+    rows, hits, gone = counted(docs, host, min_docs, share)
+    return _verdicts(rows, hits, gone)
+
+
+def _verdicts(rows: DataFrame, hits: DataFrame, gone: DataFrame) -> DataFrame:
     removed = hits.join(gone, ["host", "line"]).groupBy("uid").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -132,7 +144,12 @@ def without_lines(texts: pa.Array, removed: pa.ListArray) -> list[str]:
     a, _, row, line, _ = text_lines(data, offsets)
     gone = np.repeat(np.arange(len(removed)), removed.value_lengths().to_numpy(zero_copy_only=False))
     known = in_row(removed.flatten().to_numpy(zero_copy_only=False).view(np.uint64), gone)
-    drop, blob, out = set(a[np.isin(in_row(line, row), known)].tolist()), data.tobytes(), []
+    return _rejoined(data, offsets, set(a[np.isin(in_row(line, row), known)].tolist()))
+
+
+def _rejoined(data: np.ndarray, offsets: np.ndarray, drop: set[int]) -> list[str]:
+    """Texts without the lines that begin at some bytes."""
+    blob, out = data.tobytes(), []
     for at, end in zip(offsets.tolist(), offsets[1:].tolist()):
         kept = []
         for piece in blob[at:end].split(b"\n"):
@@ -143,12 +160,65 @@ def without_lines(texts: pa.Array, removed: pa.ListArray) -> list[str]:
     return out
 
 
+def of_host(line: np.ndarray, host: np.ndarray) -> np.ndarray:
+    """Hashes of lines in hosts, from theirs."""
+    return arrays.mix(line ^ arrays.mix(host + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _acted(data: np.ndarray, offsets: np.ndarray, host: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, list[str | None]]:
+    """Whether each text is kept, and those that are and lose lines, without them. ``gone`` are sorted hashes of lines in hosts."""
+    starts, ends, bounds = arrays.words(data, offsets)
+    a, _, row, line, size = text_lines(data, offsets)
+    key = of_host(line, host[row])
+    hit = gone[np.minimum(np.searchsorted(gone, key), len(gone) - 1)] == key if len(gone) else np.zeros(len(key), bool)
+    n, removed = np.diff(bounds), np.bincount(row[hit], size[hit], minlength=len(offsets) - 1)
+    again = repeated_words(arrays.span_hashes(data, starts, ends), bounds)
+    left = n - removed
+    kept = ~((n < 10) | (100 * again > 20 * n)) & ~((removed > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * n)))
+    texts: list[str | None] = [None] * len(n)
+    for k in np.flatnonzero(kept & (removed > 0)).tolist():
+        own = slice(*np.searchsorted(row, (k, k + 1)))
+        texts[k] = _rejoined(data[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k], set((a[own][hit[own]] - offsets[k]).tolist()))[0]
+    return kept, texts
+
+
 def clean(docs: DataFrame, host: str = "source", chars: str = "n_chars", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """The rows that are kept, with all their columns, and without the lines above their host's limit. Where a text changes, the column
     ``chars``, if there is one, gets its new number of code points. Rows are told apart by doc_id, host and text; those that repeat are judged
-    alike. The input goes through one join by these."""
+    alike. The lines to remove are few (more than one document of fifty holds each): up to CARRIED of them go to all tasks, which then
+    judge and cut each text where it is read; beyond that the input goes through one join."""
+    rows, hits, gone = counted(docs, host, min_docs, share)
+    if gone.limit(CARRIED + 1).count() > CARRIED:
+        return _cleaned_by_join(docs, _verdicts(rows, hits, gone), host, chars)
+    some = gone.select("line", F.xxhash64("host").alias("host")).toArrow()
+    line, own = (some.column(c).to_numpy().view(np.uint64) for c in ("line", "host"))
+    shared = docs.sparkSession.sparkContext.broadcast(np.unique(of_host(line, own)))
+
+    def act(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, hosts in batches:
+            data, offsets = arrays.buffers(pa.array(texts, pa.string(), from_pandas=True))
+            of, kept, out = hosts.to_numpy().astype(np.int64).view(np.uint64), [np.empty(0, bool)], []
+            for i, j in arrays.slices(offsets):
+                got = _acted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], of[i:j], shared.value)
+                kept.append(got[0])
+                out += got[1]
+            yield pd.DataFrame({"kept": np.concatenate(kept), "text": pd.Series(out, dtype=object)})
+
+    each = bounded(docs).select(F.struct("*").alias("doc"), F.pandas_udf(act, "kept boolean, text string").asNondeterministic()("text", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))).alias("act"))
+    return _changed(each.filter("act.kept"), F.col("act.text").isNotNull(), F.col("act.text"), chars, docs)
+
+
+def _changed(rows: DataFrame, changed: Column, text: Column, chars: str, docs: DataFrame) -> DataFrame:
+    """The documents (doc) with new texts where they have changed."""
+    doc = F.col("doc").withField("text", F.when(changed, text).otherwise(F.col("doc.text")))
+    if chars in docs.columns:
+        doc = doc.withField(chars, F.when(changed, F.length(text)).otherwise(F.col(f"doc.{chars}")).cast(docs.schema[chars].dataType))
+    return rows.select(doc.alias("doc")).select("doc.*")
+
+
+def _cleaned_by_join(docs: DataFrame, every: DataFrame, host: str, chars: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "clean")
-    every = judged(docs, host, min_docs, share).select("doc_id", "host", "row", "kept", "removed")
+    every = every.select("doc_id", "host", "row", "kept", "removed")
     acted = scratch.save(every.filter(~F.col("kept") | F.col("removed").isNotNull()).dropDuplicates(["doc_id", "host", "row"]), "acted")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.col(host).cast("string").alias("own_host"), F.xxhash64("text").alias("own_row"))
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_host").eqNullSafe(F.col("host")) & (F.col("own_row") == F.col("row"))
@@ -164,8 +234,5 @@ def clean(docs: DataFrame, host: str = "source", chars: str = "n_chars", min_doc
             yield out
 
     changed = F.col("removed").isNotNull()  # other texts needn't go to Python
-    left = left.withColumn("text", F.pandas_udf(cut, "string")(F.when(changed, F.col("doc.text")), F.col("removed")))
-    doc = F.col("doc").withField("text", F.when(changed, F.col("text")).otherwise(F.col("doc.text")))
-    if chars in docs.columns:
-        doc = doc.withField(chars, F.when(changed, F.length("text")).otherwise(F.col(f"doc.{chars}")).cast(docs.schema[chars].dataType))
-    return left.select(doc.alias("doc")).select("doc.*")
+    left = left.withColumn("cut", F.pandas_udf(cut, "string")(F.when(changed, F.col("doc.text")), F.col("removed")))
+    return _changed(left, changed, F.col("cut"), chars, docs)

@@ -707,7 +707,9 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
     assert {i for i, t in got if t} == {None, 0, 1, 2, 3, 4} and (2, near("d")) in got and (0, near("e", "z")) in got and (1, near("a")) in got
 
 
-def test_quality_clean_takes_judged_rows_only(spark):
+@pytest.mark.parametrize("carried", [10**6, 0])
+def test_quality_clean_takes_judged_rows_only(spark, monkeypatch, carried):
+    monkeypatch.setattr(quality, "CARRIED", carried)
     good = lambda k: " ".join(f"{k}w{j}" for j in range(30))
     rows = [(None, "too short", "h"), (None, good("a"), "h"), (7, good("b"), "h"), (7, "short", "h"), (8, None, None), (8, good("c"), None), (9, good("d"), "h"), (9, good("d"), "h")]
     clash = {c: F.lit("clash") for c in ("_id", "_host", "_row", "uid", "row", "host", "removed", "kept", "doc", "own_id")}
@@ -718,7 +720,21 @@ def test_quality_clean_takes_judged_rows_only(spark):
     assert quality.clean(df.filter("false")).count() == 0
 
 
-def test_quality_clean_takes_lines_out(spark):
+def test_quality_clean_is_the_same_by_both_ways(spark, corpus, monkeypatch):
+    here = corpus.withColumn("source", F.lit("s"))
+    one = Counter(map(tuple, quality.clean(here).collect()))
+    monkeypatch.setattr(quality, "CARRIED", 0)
+    assert one == Counter(map(tuple, quality.clean(here).collect()))
+    kept = {r.doc_id: r for r in quality.verdicts(here).collect()}
+    was = {r.doc_id: r for r in here.collect()}
+    assert {t[0] for t in one} == {i for i, r in kept.items() if r.kept} and any(kept[t[0]].removed_words for t in one)
+    for i, text, *_ in one:
+        assert len(words(text)) == kept[i].n_words - kept[i].removed_words and (kept[i].removed_words > 0) == (text != was[i].text)
+
+
+@pytest.mark.parametrize("carried", [10**6, 0])
+def test_quality_clean_takes_lines_out(spark, monkeypatch, carried):
+    monkeypatch.setattr(quality, "CARRIED", carried)
     own = lambda i: " ".join(f"own{i}x{k}" for k in range(30))
     rows = [(i, f"The  Menu here\n\n{own(i)}\nthe menu\tHERE\n last line of all ", "h", 0) for i in range(60)] + [(100, "the menu here\nother " + own(100), "g", 7), (101, rows_equal := "The  Menu here\n\n" + own(3) + "\nthe menu\tHERE\n last line of all ", "g", 7)]
     got = {r.doc_id: r for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")).collect()}
