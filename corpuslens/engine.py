@@ -7,12 +7,13 @@ import uuid
 from datetime import datetime, timezone
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import schema
 from corpuslens.functions import embed
-from corpuslens.operators import contracts, drafts, entities, history, invoices, pii, review, risk
+from corpuslens.operators import contracts, drafts, entities, history, invoices, pii, review, risk, vectors
 from corpuslens.operators import search as ranking
 from corpuslens.plans import store as st
 from corpuslens.plans import understand
@@ -101,10 +102,11 @@ class Engine:
         terms, lengths = ranking.postings(chunks_in.select("chunk_id", "workspace_id", "document_id", body.alias("body")), ("chunk_id", "workspace_id", "document_id"), "body")
         said = entities.extract(chunks_in)
         new = {"chunks": chunks, "entities": said, "grams": ranking.entity_grams(said), "postings": terms, "lengths": lengths}
+        also = {}
         if ws["enable_vector_search"]:
-            new["vectors"] = embed.embed(chunks_in, self.embedder)
+            new["vectors"], also = self._vectors(embed.embed(chunks_in, self.embedder).persist())
         replace = {name: (lambda old, name=name, rows=rows: st.replace_children(old, self.store.typed(name, rows), ids)) for name, rows in new.items()}
-        self.store.change(ids, replace | {"documents": lambda old: st.upsert(old, self.store.typed("documents", documents), "id")})
+        self.store.change(ids, replace | {"documents": lambda old: st.upsert(old, self.store.typed("documents", documents), "id")}, also)
         done = documents.agg(F.count("*").alias("n"), F.count_if(F.col("extraction_error").isNotNull()).alias("bad")).first()
         seen = found.count()
         todo.unpersist()
@@ -114,6 +116,32 @@ class Engine:
         self.update_workspace(workspace_id, status="indexed", last_indexed_at=now, document_count=count)
         return {"seen": seen, "indexed": done.n - done.bad, "skipped": seen - done.n, "errors": done.bad}
 
+    def centres(self) -> np.ndarray:
+        """Of the vector index; no rows before the first vector."""
+        rows = self.store.read("centres").orderBy("cell").collect()  # vectors.CENTRES at most
+        return np.array([r.centre for r in rows]) if rows else np.zeros((0, 0))
+
+    def _vectors(self, made: DataFrame) -> tuple[DataFrame, dict]:
+        """New vectors with their places in the index; the first ones, and those of another dimension than the index has, begin a new one."""
+        centres = self.centres()
+        sized = made.filter(F.col("embedding").isNotNull()).select(F.size("embedding").alias("dim")).first()
+        if sized is None or (len(centres) and centres.shape[1] == sized.dim):
+            return (vectors.placed(made, centres) if len(centres) else made), {}
+        centres = vectors.fit(made)
+        rows = self.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], schema.CENTRES)
+        return vectors.placed(made, centres), {"centres": lambda _: rows}
+
+    def rebuild_vectors(self) -> int:
+        """Fits the index anew on all vectors there are, and drops those of another dimension than most have; how many lists it has then. For
+        when a workspace has grown, or another embedder has read it."""
+        base = self.store._state()
+        old = self.store.read("vectors", state=base[1]).drop("cell", "away")
+        centres = vectors.fit(old)
+        rows = self.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], schema.CENTRES)
+        kept = st.fitting_vectors(old, centres.shape[1]) if len(centres) else old
+        self.store.commit({"vectors": vectors.placed(kept, centres) if len(centres) else kept, "centres": rows}, base=base)
+        return len(centres)
+
     def apply_events(self, workspace_id: str, events: DataFrame) -> None:
         """Acts on (path, event_type): deletes what was deleted, reads again what else was touched and is still there."""
         gone = events.filter(F.col("event_type") == "deleted").select(schema.document_id(F.lit(workspace_id), F.col("path")).alias("document_id"))
@@ -169,7 +197,8 @@ class Engine:
         near = None
         if mode in ("hybrid", "semantic") and text.strip() and workspace_ids and self.workspaces().filter(F.col("id").isin(*workspace_ids) & F.col("enable_vector_search")).count():
             goal = self.embedder([text])[0]
-            near = ranking.nearest(self.store.read("vectors"), goal, fetch, where=F.col("workspace_id").isin(*workspace_ids))
+            index = self.store.read("vectors")
+            near = vectors.nearest(index, self.centres(), vectors.lists(index), goal, fetch, where=F.col("workspace_id").isin(*workspace_ids))
         if mode in ("filename", "semantic", "entity"):
             hits = hits.filter("false")
         rows = ranking.candidates(docs, own, hits, known, near)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuslens import schema
 from corpuslens.functions import embed, money
 from corpuslens.functions import text as T
-from corpuslens.operators import contracts, entities, history, invoices, pii, review, risk, search
+from corpuslens.operators import contracts, entities, history, invoices, pii, review, risk, search, vectors
 from corpuslens.plans import store as st
 from corpuslens.plans import understand
 from corpuslens.plans.work import shared_folder
@@ -129,6 +129,21 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(_vectors(spark, sf_dir), _target(spark, sf_dir), 20, where=F.col("label").isin(1, 2)).withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    """SELECT query, rank, chunk_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query, e.vec_id AS chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS distance,
+CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), e.vec_id) AS INTEGER) AS rank
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 10"""
+)
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest ten of every fiftieth vector among all, from inverted lists."""
+    rows = _vectors(spark, sf_dir)
+    centres = vectors.fit(rows)
+    index = vectors.placed(rows, centres)
+    queries = rows.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("target"))
+    found = vectors.nearest_all(index, centres, vectors.lists(index), queries, 10)
+    return found.select("query", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
 @query(
     f"""WITH {_bm25_sql(QUERY)}, words AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 40)),
 near AS (SELECT vec_id AS id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, {_DISTANCE} AS d FROM embeddings ORDER BY d, vec_id LIMIT 40))

@@ -53,7 +53,8 @@ def patch(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def fitting_vectors(vectors: DataFrame, dim: int) -> DataFrame:
-    return vectors.filter(F.size("embedding") == dim)
+    """The vectors of a dimension, and the rows that tell why there is none."""
+    return vectors.filter(F.col("embedding").isNull() | (F.size("embedding") == dim))
 
 
 #: Tables whose rows hang on a document.
@@ -146,9 +147,9 @@ class Store:
         path, fs = self._fs()
         now, before, folders = dict(state["now"]), dict(state["before"]), []
         for name, rows in changes.items():
-            key = {"documents": "id", "workspaces": None}.get(name, "document_id")
+            key = {"documents": "id", "workspaces": None, "centres": None}.get(name, "document_id")
             typed = self.typed(name, rows)
-            order = {"postings": ["term"], "grams": ["gram", "low"]}.get(name) or [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]  # a search reads few row groups
+            order = {"postings": ["term"], "grams": ["gram", "low"], "vectors": ["cell", "away"]}.get(name) or [c for c in ("workspace_id", "document_id", "id") if c in typed.columns]  # a search reads few row groups
             at = f"{name}/{number + 1:012d}-{uuid.uuid4().hex[:8]}"
             folders.append(at)
             dealt = typed.withColumn("part", self._part(key, state["parts"])).hint("rebalance", "part")  # a large part becomes several files

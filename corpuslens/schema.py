@@ -27,7 +27,8 @@ FIELDS = (
     "cell_range string, extractor string"
 )
 ENTITIES = "document_id string, chunk_id string, text string, kind string, confidence double"
-VECTORS = "chunk_id string, workspace_id string, document_id string, embedding array<float>, error string"
+VECTORS = "chunk_id string, workspace_id string, document_id string, embedding array<float>, error string, cell int, away double"
+CENTRES = "cell int, centre array<double>"
 GRAMS = "gram string, low string, document_id string"
 POSTINGS = "chunk_id string, workspace_id string, document_id string, term string, tf long"
 LENGTHS = "chunk_id string, workspace_id string, document_id string, length int"
@@ -37,7 +38,7 @@ AUDIT = (
 )
 TABLES = {
     "workspaces": WORKSPACES, "documents": DOCUMENTS, "chunks": CHUNKS, "fields": FIELDS, "entities": ENTITIES, "vectors": VECTORS, "audit_log": AUDIT,
-    "postings": POSTINGS, "lengths": LENGTHS, "grams": GRAMS,
+    "postings": POSTINGS, "lengths": LENGTHS, "grams": GRAMS, "centres": CENTRES,
 }
 
 #: The kind of a document by the extension of its file.
