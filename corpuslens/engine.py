@@ -168,6 +168,7 @@ class Engine:
             finally:
                 batch.unpersist()
 
+        self.audit("index", "start_watch", referenced_files=[ws["root_path"]])
         checkpoint = checkpoint or f"{self.store.root}/_watches/{workspace_id}"
         return self.watches.start(workspace_id, lambda: watch.watch(events, act, checkpoint, f"watch-{workspace_id}", step, once))
 
@@ -287,10 +288,20 @@ class Engine:
         docs = self.documents()
         if workspace_ids:
             docs = docs.filter(F.col("workspace_id").isin(*workspace_ids))
+        self.audit("search", "client_history", user_request=name)
         return history.history(docs, self.store.read("entities"), self.store.read("fields"), history.aliases(name, extra))
 
+    def client_histories(self, clients: DataFrame, workspace_ids: list[str] | None = None) -> DataFrame:
+        """The histories of many clients (client_id, name, perhaps extra), with client_id."""
+        docs = self.documents()
+        if workspace_ids:
+            docs = docs.filter(F.col("workspace_id").isin(*workspace_ids))
+        self.audit("search", "client_histories")
+        return history.histories(docs, self.store.read("grams"), self.store.read("fields"), clients)
+
     def contract_sections(self, reference: str, persist: bool = True) -> DataFrame:
         doc = self.resolve(reference)
+        self.audit("extract", "contract_sections", referenced_files=[doc])
         cut = contracts.sections(contracts.stitch(self.chunks().filter(F.col("document_id") == doc)), contracts.LONGEST_BODY)
         if persist:
             ids = self.spark.createDataFrame([(doc,)], "document_id string")
@@ -298,11 +309,13 @@ class Engine:
         return cut
 
     def compare_contracts(self, first: str, second: str) -> DataFrame:
+        self.audit("compare", "compare_contracts", referenced_files=[first, second])
         a, b = (contracts.sections(contracts.stitch(self.chunks().filter(F.col("document_id") == self.resolve(r)))).withColumn("pair_id", F.lit("pair")) for r in (first, second))
         return contracts.compare(a, b)
 
     def low_confidence_review(self, workspace_id: str, threshold: float = review.THRESHOLD, limit: int = review.LIMIT) -> DataFrame:
         docs = self.documents().filter(F.col("workspace_id") == workspace_id)
+        self.audit("review", "low_confidence_review", extra={"workspace": workspace_id})
         return review.grouped(review.low_confidence(self.store.read("fields"), docs, threshold, limit))
 
     def folder_summary(self, workspace_id: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import money
 from corpuslens.functions import text as T
-from corpuslens.operators import contracts, drafts, entities, history, invoices, pii, review, risk
+from corpuslens.operators import contracts, drafts, entities, history, invoices, pii, review, risk, search
 
 NOW = datetime(2026, 5, 17, tzinfo=timezone.utc)
 
@@ -224,3 +224,19 @@ def test_clauses_of_a_contract_with_very_many_lines(spark, per):
         assert (r.document_id, r.position, r.ordinal, r.title) == ("a", k // 2, k // 2, f"Title {i}") and text[r.char_offset :].startswith(r.heading)
         assert r.body == "\r\n".join(lines[i + 1 : i + per]).strip()
     assert [r.body for r in contracts.sections(df.filter("document_id = 'b'")).collect()] == []
+
+
+def test_histories_of_many_clients_are_those_one_by_one(spark):
+    names = ["株式会社Acme", "Acme Ltd.", "buyer@acme.co.jp", "AB", "b c", "x", "", None, "Ünï GmbH", "Zed Inc.", "acme", "nobody at all"]
+    clients = spark.createDataFrame([(k, n, ["ACM", " "] if k == 9 else None) for k, n in enumerate(names)], "client_id int, name string, extra array<string>")
+    texts = ["acme k.k.", "ACME", "Blue ünï", "zed", "ab", "cab c", "buyer", "acme.co.jp", "x", "", None, "株式会社 Acme", "acm"]
+    known = spark.createDataFrame([(f"d{k % 8}", t) for k, t in enumerate(texts)], "document_id string, text string")
+    docs = spark.createDataFrame([(f"d{k}", f"{n}.pdf", f"/f/{n}.pdf", "pdf", NOW) for k, n in enumerate(["acme invoice", "q", "請求書", "ab", "zed-nda", "ünï", "w", "w2", "buyer", "b c"])], "document_id string, name string, path string, kind string, mtime timestamp")
+    fields = spark.createDataFrame([("d0", "total", "¥1,000", 0.9), ("d0", "invoice_number", "7", 0.9)], "document_id string, key string, value string, confidence double")
+    got = history.histories(docs, search.entity_grams(known), fields, clients).collect()
+    want = set()
+    for k, name in enumerate(names):
+        spelled = history.aliases(name, ["ACM", " "] if k == 9 else None)
+        want |= {(k, *r) for r in history.history(docs, known, fields, spelled).collect()}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 15
+    assert history.histories(docs, search.entity_grams(known), fields, clients.filter("false")).count() == 0
