@@ -266,18 +266,20 @@ class Engine:
         gate = risk.intercept(self.spark, "bulk_modify", [target], ws, row_count=n, confirm=confirm)
         if gate["outcome"] != "pass":
             if gate["outcome"] == "confirm":
-                invoices.write_csv(rows.orderBy("source_path").limit(10), f"{target.removesuffix('.csv')}.preview.csv")
+                gate["preview"] = invoices.write_preview(rows, target)
+            rows.unpersist()
             return gate | {"rows": n}
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         there = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
         if there and not overwrite:
-            target = f"{target.removesuffix('.csv')}-{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}.csv"
+            target = f"{target.removesuffix('.csv')}-{datetime.now(timezone.utc):%Y%m%d-%H%M%S}.csv"
         elif there:
             gate = risk.intercept(self.spark, "confirmable_overwrite", [target], ws, confirm=confirm)
             if gate["outcome"] != "pass":
                 if gate["outcome"] == "confirm":
-                    invoices.write_difference(rows, target, f"{target}.diff")
-                return gate | {"rows": n, "difference": f"{target}.diff"}
+                    gate["difference"] = invoices.write_difference(rows, target)
+                rows.unpersist()
+                return gate | {"rows": n}
         invoices.write_csv(rows, target)
         self.audit("export_csv", "invoice_table", "medium", output_files=[target])
         low = invoices.low_rows(rows).count()

@@ -5,12 +5,14 @@ All of it is expressions over arrays of lines, within a chunk's row; documents m
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import money
 from corpuslens.functions import text as T
+from corpuslens.operators import diff
 
 #: What values look like.
 AMOUNT = (
@@ -35,6 +37,7 @@ KEYS = tuple(k for k, *_ in LABELS)
 COLUMNS = ("invoice_number", "issue_date", "due_date", "issuer", "recipient", "subtotal", "tax", "total", "currency", "payment_account", "source_path", "confidence_avg")
 INVOICE_KINDS = ("pdf", "markdown", "xlsx", "docx")
 SAME_LINE, NEXT_LINE, INLINE, LOW = 0.95, 0.75, 0.65, 0.70
+PREVIEW = 10
 
 
 def clean(value: Column) -> Column:
@@ -126,18 +129,26 @@ def low_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("confidence_avg").cast("double") < LOW)
 
 
-def write_difference(rows: DataFrame, path: str, to: str) -> None:
-    """What overwriting a table would take away (-) and add (+), as lines of text; a note if it is nothing."""
-    line = F.to_csv(F.struct(*COLUMNS))
-    new = rows.select(*COLUMNS).select(line.alias("value"))
-    old = rows.sparkSession.read.option("header", True).schema(", ".join(f"{c} string" for c in COLUMNS)).csv(path).na.fill("").select(line.alias("value"))
-    gone = old.exceptAll(new).select(F.concat(F.lit("- "), "value").alias("value"))
-    come = new.exceptAll(old).select(F.concat(F.lit("+ "), "value").alias("value"))
-    both = gone.unionByName(come)
-    note = rows.sparkSession.createDataFrame([("(no textual difference)",)], "value string")
-    (note if both.isEmpty() else both.orderBy(F.substring("value", 3, 2**31 - 1))).coalesce(1).write.mode("overwrite").text(to)
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header, in a folder (a report, of the size of the number of invoices)."""
-    rows.select(*COLUMNS).orderBy("source_path", "invoice_number").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header (a report, of the size of the number of invoices)."""
+    out = rows.select(*COLUMNS).orderBy("source_path", "invoice_number").coalesce(1)
+    diff.write_single(lambda at: out.write.option("header", True).csv(at), rows.sparkSession, path)
+
+
+def write_preview(rows: DataFrame, path: str, most: int = PREVIEW) -> str:
+    """The first rows of a table beside where it would be written, as ``<stem>.preview.csv``."""
+    to = f"{path.removesuffix('.csv')}.preview.csv"
+    write_csv(rows.orderBy("source_path", "invoice_number").limit(most), to)
+    return to
+
+
+def write_difference(rows: DataFrame, path: str) -> str:
+    """What overwriting a table would change, as ``<stem>.diff.txt`` beside it: a unified difference, or a note that nothing would."""
+    to, proposed = f"{path.removesuffix('.csv')}.diff.txt", f"{path}.{uuid.uuid4().hex[:8]}.proposed"
+    base = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(proposed)
+    try:
+        write_csv(rows, proposed)
+        diff.write_difference(rows.sparkSession, path, proposed, to)
+    finally:
+        base.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(base, False)
+    return to
