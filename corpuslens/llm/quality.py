@@ -203,6 +203,8 @@ def clean(docs: DataFrame, host: str = "source", chars: str = "n_chars", min_doc
                 kept.append(got[0])
                 out += got[1]
             yield pd.DataFrame({"kept": np.concatenate(kept), "text": pd.Series(out, dtype=object)})
+            del texts, data, offsets, of, kept, out
+            arrays.give_back()  # a worker lives on beside those of the next stages
 
     each = bounded(docs).select(F.struct("*").alias("doc"), F.pandas_udf(act, "kept boolean, text string").asNondeterministic()("text", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))).alias("act"))
     return _changed(each.filter("act.kept"), F.col("act.text").isNotNull(), F.col("act.text"), chars, docs)

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -278,11 +279,11 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score under 0.5, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("double")
-    def probability(text):  # noqa: ANN001, ANN202
-        import pandas as pd
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            data, offsets = arrays.buffers(pa.array(texts, pa.string(), from_pandas=True))
+            yield pd.Series(np.concatenate([shared.value.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in arrays.slices(offsets)] or [np.empty(0)]))
+            del texts, data, offsets
+            arrays.give_back()
 
-        data, offsets = arrays.buffers(pa.array(text, pa.string(), from_pandas=True))
-        return pd.Series(np.concatenate([shared.value.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in arrays.slices(offsets)] or [np.empty(0)]))
-
-    return docs.filter(probability("text") < 0.5)
+    return docs.filter(F.pandas_udf(probability, "double")("text") < 0.5)
