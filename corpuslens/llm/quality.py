@@ -14,6 +14,7 @@ of these are split by adaptive execution.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,8 +207,14 @@ def clean(docs: DataFrame, host: str = "source", chars: str = "n_chars", min_doc
             del texts, data, offsets, of, kept, out
             arrays.give_back()  # a worker lives on beside those of the next stages
 
-    each = bounded(docs).select(F.struct("*").alias("doc"), F.pandas_udf(act, "kept boolean, text string").asNondeterministic()("text", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))).alias("act"))
-    return _changed(each.filter("act.kept"), F.col("act.text").isNotNull(), F.col("act.text"), chars, docs)
+    name = f"act_{uuid.uuid4().hex}"  # beside the columns, whatever their names, so that rows wait for Python as they are and no text twice
+    judge = F.pandas_udf(act, "kept boolean, text string").asNondeterministic()
+    each = bounded(docs).select("*", judge("text", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))).alias(name)).filter(F.col(name)["kept"])
+    text = F.col(name)["text"]
+    new = {"text": F.coalesce(text, "text")}
+    if chars in docs.columns:
+        new[chars] = F.when(text.isNotNull(), F.length(text)).otherwise(F.col(chars)).cast(docs.schema[chars].dataType)
+    return each.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def _changed(rows: DataFrame, changed: Column, text: Column, chars: str, docs: DataFrame) -> DataFrame:
