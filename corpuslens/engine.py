@@ -102,14 +102,17 @@ class Engine:
         terms, lengths = ranking.postings(chunks_in.select("chunk_id", "workspace_id", "document_id", body.alias("body")), ("chunk_id", "workspace_id", "document_id"), "body")
         said = entities.extract(chunks_in)
         new = {"chunks": chunks, "entities": said, "grams": ranking.entity_grams(said), "postings": terms, "lengths": lengths}
-        also = {}
+        also, made = {}, None
         if ws["enable_vector_search"]:
-            new["vectors"], also = self._vectors(embed.embed(chunks_in, self.embedder).persist())
+            made = embed.embed(chunks_in, self.embedder).persist()
+            new["vectors"], also = self._vectors(made)
         replace = {name: (lambda old, name=name, rows=rows: st.replace_children(old, self.store.typed(name, rows), ids)) for name, rows in new.items()}
         self.store.change(ids, replace | {"documents": lambda old: st.upsert(old, self.store.typed("documents", documents), "id")}, also)
         done = documents.agg(F.count("*").alias("n"), F.count_if(F.col("extraction_error").isNotNull()).alias("bad")).first()
         seen = found.count()
         todo.unpersist()
+        if made is not None:
+            made.unpersist()
         extracted.unpersist()
         self.audit("extract", "index", referenced_files=[ws["root_path"]], now=now)
         count = self.store.read("documents").filter(F.col("workspace_id") == workspace_id).count()

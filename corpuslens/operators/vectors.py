@@ -129,7 +129,8 @@ def nearest(index: DataFrame, centres: np.ndarray, known: dict[int, tuple[int, f
     far = lambda rows: rows.withColumn("distance", T.distance(F.col("embedding"), goal)).select(*columns, "distance")
     if not len(centres) or centres.shape[1] != len(target):
         return far(index.filter("false"))
-    rows = index if where is None else index.filter(where)
+    rows = index.filter(F.size("embedding") == len(target))  # of another dimension than the centres' since the index was begun anew
+    rows = rows if where is None else rows.filter(where)
     to_centre = np.sqrt(((centres - np.asarray(target, np.float64)) ** 2).sum(1))
     order, bound, take = sorted(known, key=lambda c: (to_centre[c], c)), np.inf, 0
     while not np.isfinite(bound) and take < len(order):  # lists that a filter empties are made up for by more of them
@@ -175,7 +176,7 @@ def nearest_all(index: DataFrame, centres: np.ndarray, known: dict[int, tuple[in
     kind = queries.schema["query"].dataType.simpleString()
     shape = f"query {kind}, target array<double>, cell int, low double, high double"
     asked = queries.select("query", F.col("target").cast("array<double>").alias("target"))
-    rows = index.filter(F.col("cell").isNotNull()).select(key, "embedding", "cell", "away")
+    rows = index.filter(F.col("cell").isNotNull() & (F.size("embedding") == dim)).select(key, "embedding", "cell", "away")
 
     def far(looked: DataFrame) -> DataFrame:
         return looked.join(rows, (looked["cell"] == rows["cell"]) & rows["away"].between(looked["low"], looked["high"])).select("query", key, T.distance(F.col("embedding"), F.col("target")).alias("distance"))

@@ -138,7 +138,9 @@ def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest ten of every fiftieth vector among all, from inverted lists."""
     rows = _vectors(spark, sf_dir)
     centres = vectors.fit(rows)
-    index = vectors.placed(rows, centres)
+    at = shared_folder(spark, "vectors")
+    vectors.placed(rows, centres).sortWithinPartitions("cell", "away").write.parquet(at)
+    index = spark.read.parquet(at)
     queries = rows.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("target"))
     found = vectors.nearest_all(index, centres, vectors.lists(index), queries, 10)
     return found.select("query", "rank", "chunk_id", F.round("distance", 6).alias("distance"))

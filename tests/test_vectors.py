@@ -67,6 +67,8 @@ def test_nearest_of_many_queries_is_that_of_scans(rows, index, points):
         assert [x.chunk_id for x in r.a] == [f"c{k:05d}" for k in sorted(range(len(d)), key=lambda k: (d[k], k))[:6]]
     assert vectors.share_read(stored, centres, known, queries.limit(8), got) < 0.4
     assert vectors.nearest_all(stored, centres, known, queries.filter("false"), 6).count() == 0
+    other = stored.unionByName(stored.limit(9).withColumn("embedding", F.slice("embedding", 1, 3)))  # left from an index of another dimension
+    assert [r.distance for r in vectors.nearest(other, centres, known, points[0].tolist(), 3).collect()][0] == 0
 
 
 def test_bounds_reach_the_scan(index, points):
