@@ -184,6 +184,16 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("document_id", F.round("score", 6).alias("score"), F.array_join("matched_terms", ",").alias("matched"))
 
 
+@query(
+    f"""{_RANK_SQL}, said_why AS (SELECT document_id, array_to_string(list_concat(list_transform(list_filter(terms, lambda t: contains(lower(name), t)), lambda t: concat('filename ~ ', chr(39), t, chr(39))),
+list_filter([CASE WHEN kind = 'pdf' THEN 'kind == pdf' END, CASE WHEN term IS NOT NULL THEN concat('entity ~ ', chr(39), term, chr(39)) END, CASE WHEN 2.0 * (1 - least(age, 365.0) / 365.0) > 0.5 THEN 'recent' END], lambda x: x IS NOT NULL)), '; ') AS why FROM ranked)
+SELECT document_id, CASE WHEN why = '' THEN 'fts match' ELSE why END AS reason FROM said_why"""
+)
+def rank_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each document is where it is in the ranking."""
+    return _ranked(spark, sf_dir).select("document_id", "reason")
+
+
 @query(
     f"""{_RANK_SQL}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id) AS position FROM ranked QUALIFY position <= 8)
 SELECT CAST(position AS INTEGER) AS position, 'chk_' || substr(document_id, 5) || '_00000' AS source_id, path AS file_path, length(CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...' ELSE text END) AS shown,
@@ -707,18 +717,23 @@ def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- understanding
 
 
-PHRASES = ("invoices of last month", "this week", "Q2 2023 report", "minutes of March 2024", "2023-11", "since 2022", "last year", "nothing here")
-
-
 @query(
-    """SELECT * FROM (VALUES ('invoices of last month', '2024-06-01 00:00:00', '2024-06-30 23:59:59'), ('this week', '2024-07-01 00:00:00', '2024-07-07 00:00:00'), ('Q2 2023 report', '2023-04-01 00:00:00', '2023-06-30 23:59:59'),
-('minutes of March 2024', '2024-03-01 00:00:00', '2024-03-31 23:59:59'), ('2023-11', '2023-11-01 00:00:00', '2023-11-30 23:59:59'), ('since 2022', '2022-01-01 00:00:00', '2022-12-31 00:00:00'),
-('last year', '2023-01-01 00:00:00', '2023-12-31 00:00:00'), ('nothing here', NULL, NULL)) t(phrase, since, until)"""
+    """WITH said AS (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 5 AS way, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders),
+spans AS (SELECT o_orderkey, CASE WHEN way IN (0, 2) THEN date_trunc('month', d) WHEN way = 1 THEN date_trunc('quarter', d) WHEN way = 3 AND y >= 2000 THEN date_trunc('year', d) END AS since,
+CASE WHEN way IN (0, 2) THEN date_trunc('month', d) + INTERVAL 1 MONTH - INTERVAL 1 SECOND WHEN way = 1 THEN date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 SECOND
+WHEN way = 3 AND y >= 2000 THEN date_trunc('year', d) + INTERVAL 1 YEAR - INTERVAL 1 DAY END AS until FROM said)
+SELECT o_orderkey, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, strftime(until, '%Y-%m-%d %H:%M:%S') AS until FROM spans"""
 )
 def period_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    say = lambda t: f"{t:%Y-%m-%d %H:%M:%S}" if t else None
-    rows = [(p, say(u.since), say(u.until)) for p in PHRASES for u in [understand.parse(p, AS_OF)]]
-    return spark.createDataFrame(rows, "phrase string, since string, until string")
+    """What phrases about the days of orders say: a month by name, a quarter, a month by number, a year, and nothing."""
+    day = F.col("o_orderdate").cast("timestamp")
+    year = F.year(day).cast("string")
+    kinds = (F.concat(F.lit("minutes of "), F.date_format(day, "MMMM yyyy")), F.concat(F.lit("report Q"), F.quarter(day).cast("string"), F.lit(" "), year), F.date_format(day, "yyyy-MM"), F.concat(F.lit("since "), year))
+    phrase = F.lit("nothing here")
+    for k, said in enumerate(kinds):
+        phrase = F.when(F.col("o_orderkey") % 5 == k, said).otherwise(phrase)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", understand.bounds(phrase, AS_OF).alias("p"))
+    return rows.select("o_orderkey", *(F.date_format(f"p.{c}", "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("since", "until")))
 
 
 @query(f"WITH {DOCS} SELECT document_id FROM docs WHERE mtime BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31 23:59:59'")
