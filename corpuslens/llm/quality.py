@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,26 +196,26 @@ def clean(docs: DataFrame, host: str = "source", chars: str = "n_chars", min_doc
     line, own = (some.column(c).to_numpy().view(np.uint64) for c in ("line", "host"))
     shared = docs.sparkSession.sparkContext.broadcast(np.unique(of_host(line, own)))
 
-    def act(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, hosts in batches:
-            data, offsets = arrays.buffers(pa.array(texts, pa.string(), from_pandas=True))
-            of, kept, out = hosts.to_numpy().astype(np.int64).view(np.uint64), [np.empty(0, bool)], []
+    schema, names = docs.schema, docs.columns
+    at, size = names.index("text"), names.index(chars) if chars in names else None
+
+    def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = arrays.buffers(batch.column(at))
+            of = batch.column(len(names)).to_numpy(zero_copy_only=False).view(np.uint64)
             for i, j in arrays.slices(offsets):
-                got = _acted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], of[i:j], shared.value)
-                kept.append(got[0])
-                out += got[1]
-            yield pd.DataFrame({"kept": np.concatenate(kept), "text": pd.Series(out, dtype=object)})
-            del texts, data, offsets, of, kept, out
-            arrays.give_back()  # a worker lives on beside those of the next stages
-
-    name = f"act_{uuid.uuid4().hex}"  # beside the columns, whatever their names, so that rows wait for Python as they are and no text twice
-    judge = F.pandas_udf(act, "kept boolean, text string").asNondeterministic()
-    each = bounded(docs).select("*", judge("text", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))).alias(name)).filter(F.col(name)["kept"])
-    text = F.col(name)["text"]
-    new = {"text": F.coalesce(text, "text")}
-    if chars in docs.columns:
-        new[chars] = F.when(text.isNotNull(), F.length(text)).otherwise(F.col(chars)).cast(docs.schema[chars].dataType)
-    return each.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+                kept, texts = _acted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], of[i:j], shared.value)
+                columns = batch.slice(i, j - i).columns[: len(names)]
+                if any(t is not None for t in texts):
+                    changed = pa.array([t is not None for t in texts])
+                    columns[at] = pc.if_else(changed, pa.array(texts, columns[at].type), columns[at])
+                    if size is not None:
+                        columns[size] = pc.if_else(changed, pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[size].type), columns[size])
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(kept))
+        arrays.give_back()  # a worker lives on beside those of the next stages
+
+    own_host = F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))
+    return bounded(docs).select("*", own_host.alias(f"host_{uuid.uuid4().hex}")).mapInArrow(act, schema)
 
 
 def _changed(rows: DataFrame, changed: Column, text: Column, chars: str, docs: DataFrame) -> DataFrame:
