@@ -26,6 +26,8 @@ SAMPLE, CENTRES, ROUNDS = 20_000, 2048, 12
 #: Slack of the bounds, as a share of the distances: sums of floating point numbers in another order differ less.
 SLACK = 1e-6
 INDEXED = "cell int, away double"
+#: Vectors, and queries, that meet in one group, about; products of them that are held at once.
+BLOCK, PRODUCTS = 8192, 1 << 22
 
 
 def fit(vectors: DataFrame, key: str = "chunk_id", count: int | None = None, sample: int = SAMPLE, seed: int = 3) -> np.ndarray:
@@ -145,49 +147,131 @@ def nearest(index: DataFrame, centres: np.ndarray, known: dict[int, tuple[int, f
     return far(rows.filter(_within(left)) if left else rows.filter("false")).orderBy("distance", key).limit(limit)
 
 
+def blocks(known: dict[int, tuple[int, float, float]], centres: np.ndarray, most: int = BLOCK) -> list[tuple[list[int], int]]:
+    """Lists dealt to blocks of about ``most`` vectors, neighbours together: (cells, parts); a list that is longer is a block by itself, in parts.
+    As many entries as there are lists, at most."""
+    if not known:
+        return []
+    out: list[tuple[list[int], int]] = []
+    order = sorted(known, key=lambda c: (float(centres[c] @ _axis(centres)), c))
+    here, held = [], 0
+    for c in order:
+        n = known[c][0]
+        if n > most:
+            out.append(([c], -(-n // most)))
+            continue
+        if here and held + n > most:
+            out.append((here, 1))
+            here, held = [], 0
+        here.append(c)
+        held += n
+    return out + ([(here, 1)] if here else [])
+
+
+def _axis(centres: np.ndarray) -> np.ndarray:
+    """The direction in which the centres differ most."""
+    return np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
+
+
+def _exact(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, summed in the order of ``text.distance``, so that ties are the same."""
+    out = np.zeros(len(points))
+    for k in range(points.shape[1]):
+        out += (points[:, k] - targets[:, k]) ** 2
+    return np.sqrt(out)
+
+
+def _first_of(points: np.ndarray, keys: np.ndarray, targets: np.ndarray, bounds: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each target (places, keys, distances) the first ``limit`` points within its bound, by distance and key. Products of matrices tell
+    what may be among them; these alone are measured exactly."""
+    square, step = (points**2).sum(1), max(1, PRODUCTS // max(1, len(points)))
+    for k in range(0, len(targets), step):
+        part = targets[k : k + step]
+        own = (part**2).sum(1)
+        near = square[None, :] - 2 * part @ points.T + own[:, None]
+        limits = bounds[k : k + step] ** 2
+        if len(points) > limit and np.isinf(limits).any():
+            limits = np.minimum(limits, np.partition(near, limit - 1, axis=1)[:, limit - 1])
+        slack = SLACK * (1 + own + square.max())
+        who, which = np.nonzero(near <= (limits + slack)[:, None])
+        far = np.empty(len(who))
+        for j in range(0, len(who), 1 << 16):
+            far[j : j + (1 << 16)] = _exact(points[which[j : j + (1 << 16)]], part[who[j : j + (1 << 16)]])
+        order = np.lexsort((keys[which], far, who))
+        who, which, far = who[order], which[order], far[order]
+        kept = np.arange(len(who)) - np.searchsorted(who, who) < limit
+        yield k + who[kept], keys[which[kept]], far[kept]
+
+
 def nearest_all(index: DataFrame, centres: np.ndarray, known: dict[int, tuple[int, float, float]], queries: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
-    """query, key, distance and rank: the ``limit`` nearest of each of a set of queries (query, target). Queries are joined to the parts of
-    lists that they must read, first for a bound, then for the answers; hot lists are split by adaptive execution."""
-    shared = queries.sparkSession.sparkContext.broadcast((centres, known))
+    """query, key, distance and rank: the ``limit`` nearest of each of a set of queries (query, target). The lists are dealt to blocks of at most about
+    BLOCK vectors. Queries go to the blocks that they must read, first for a bound, then for the answers; a block meets at most about BLOCK of them
+    at once, as matrices. Neither vectors nor queries need to fit anywhere, and hot lists are blocks by themselves, in parts."""
+    from pyspark.sql import Window
+
+    dealt = blocks(known, centres)
+    place = {c: b for b, (cells, _) in enumerate(dealt) for c in cells}
+    held = [sum(known[c][0] for c in cells) for cells, _ in dealt]
+    shared = queries.sparkSession.sparkContext.broadcast((centres, known, dealt, place, held))
     dim = centres.shape[1] if len(centres) else 0
+    kind, key_kind = queries.schema["query"].dataType.simpleString(), index.schema[key].dataType.simpleString()
+    asked = queries.select("query", F.col("target").cast("array<double>").alias("target"))
+    groups = max(1, -(-asked.count() // BLOCK))
 
     def looks(bounded: bool):  # noqa: ANN202
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own, lists_ = shared.value
+            own, lists_, dealt_, place_, held_ = shared.value
+            cells = np.array(sorted(lists_), np.int64)
+            of = np.array([place_[c] for c in cells], np.int64)
+            least, most = (np.array([lists_[c][k] for c in cells], float) for k in (1, 2))
             for frame in frames:
                 good, points = _matrix(frame["target"], dim)
                 part, out = frame[good], []
                 for query, target, bound, point in zip(part["query"], part["target"], part["bound"] if bounded else [np.inf] * len(part), points):
-                    d = np.sqrt(((own - point) ** 2).sum(1))
-                    if bounded:
-                        ranges = _ranges(d, lists_, float(bound) if bound is not None else np.inf)
+                    d = np.sqrt(((own[cells] - point) ** 2).sum(1))
+                    if bounded and np.isfinite(bound):
+                        slack = SLACK * (1 + d + bound)
+                        wanted = np.unique(of[(d - bound - slack <= most) & (d + bound + slack >= least)])
+                    elif bounded:
+                        wanted = np.arange(len(dealt_))
                     else:
-                        ranges, held = [], 0
-                        for c in sorted(lists_, key=lambda c: (d[c], c)):
-                            ranges.append((c, -np.inf, np.inf))
-                            held += lists_[c][0]
-                            if held >= limit:
+                        wanted, n = [], 0
+                        for b in dict.fromkeys(of[np.argsort(d, kind="stable")]):
+                            wanted.append(b)
+                            n += held_[b]
+                            if n >= limit:
                                 break
-                    out += [(query, target, c, low, high) for c, low, high in ranges]
-                yield pd.DataFrame(out, columns=["query", "target", "cell", "low", "high"])
+                    out += [(query, target, bound, int(b), p) for b in wanted for p in range(dealt_[b][1])]
+                yield pd.DataFrame(out, columns=["query", "target", "bound", "block", "part"])
 
         return run
 
-    kind = queries.schema["query"].dataType.simpleString()
-    shape = f"query {kind}, target array<double>, cell int, low double, high double"
-    asked = queries.select("query", F.col("target").cast("array<double>").alias("target"))
-    rows = index.filter(F.col("cell").isNotNull() & (F.size("embedding") == dim)).select(key, "embedding", "cell", "away")
+    shape = f"query {kind}, target array<double>, bound double, block int, part int"
+    rows = index.filter(F.col("cell").isNotNull() & (F.size("embedding") == dim)).select(key, "embedding", "cell")
+
+    @F.pandas_udf("block int, parts int")
+    def lies(cell: pd.Series) -> pd.DataFrame:
+        at = cell.map(shared.value[3])
+        return pd.DataFrame({"block": at.astype("int32"), "parts": at.map(lambda b: shared.value[2][b][1]).astype("int32")})
 
-    def far(looked: DataFrame) -> DataFrame:
-        return looked.join(rows, (looked["cell"] == rows["cell"]) & rows["away"].between(looked["low"], looked["high"])).select("query", key, T.distance(F.col("embedding"), F.col("target")).alias("distance"))
+    rows = rows.withColumn("_lies", lies("cell")).select(key, "embedding", F.col("_lies.block").alias("block"), F.pmod(F.xxhash64(key), F.col("_lies.parts")).cast("int").alias("part"))
+    rows = rows.withColumn("several", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
-    def first(found: DataFrame) -> DataFrame:
-        from pyspark.sql import Window
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": left["query"][:0], key: right[key][:0], "distance": np.zeros(0)})
+        points, targets = (np.stack(f.to_numpy()).astype(np.float64) for f in (right["embedding"], left["target"]))
+        names, found = left["query"].to_numpy(), _first_of(points, right[key].to_numpy(), targets, left["bound"].to_numpy(np.float64), limit)
+        return pd.concat([pd.DataFrame({"query": names[who], key: keys, "distance": far}) for who, keys, far in found])
 
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).filter(F.col("rank") <= limit)  # each task keeps its first ones before they are dealt
+    def first(looked: DataFrame) -> DataFrame:
+        by = ("block", "part", "several")
+        looked = looked.withColumn("several", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int"))
+        met = looked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(meet, f"query {kind}, {key} {key_kind}, distance double")
+        return met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).filter(F.col("rank") <= limit)
 
-    bound = first(far(asked.mapInPandas(looks(False), shape))).groupBy("query").agg(F.when(F.count("*") >= limit, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
-    return first(far(asked.join(bound, "query").mapInPandas(looks(True), shape)))
+    bound = first(asked.mapInPandas(looks(False), shape)).groupBy("query").agg(F.when(F.count("*") >= limit, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
+    return first(asked.join(bound, "query").mapInPandas(looks(True), shape))
 
 
 def share_read(index: DataFrame, centres: np.ndarray, known: dict[int, tuple[int, float, float]], queries: DataFrame, answers: DataFrame) -> float:

@@ -101,3 +101,18 @@ def test_another_dimension_begins_a_new_index(spark, tmp_path):
     assert engine.centres().shape[1] == 3 and engine.store.read("vectors").filter("cell IS NULL").count() == 0
     assert engine.rebuild_vectors() == len(engine.centres()) and engine.vector_count(ws) == 6
     assert [r.name for r in engine.search("aaaaaa b", [ws], mode="semantic", limit=2).collect()] == found
+
+
+def test_queries_meet_lists_in_bounded_blocks(rows, index, points, monkeypatch):
+    """No group holds more vectors than a block, not even of a point that a third of all rows repeat, and the answers are those of one block."""
+    stored, centres, known = index
+    queries = rows.filter("embedding IS NOT NULL AND size(embedding) = 8 AND NOT exists(embedding, x -> x IS NULL)").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("target"))
+    queries = queries.filter(F.substring("query", 2, 5).cast("int") % 31 == 0)
+    whole = sorted(map(tuple, vectors.nearest_all(stored, centres, known, queries, 6).collect()))
+    dealt = vectors.blocks(known, centres, 50)
+    assert sorted(c for cells, _ in dealt for c in cells) == sorted(known)
+    assert all(sum(known[c][0] for c in cells) <= 50 * parts for cells, parts in dealt) and max(parts for _, parts in dealt) >= 600 // 50
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "PRODUCTS", 100)
+    monkeypatch.setattr(vectors.blocks, "__defaults__", (50,))
+    assert sorted(map(tuple, vectors.nearest_all(stored, centres, known, queries, 6).collect())) == whole
