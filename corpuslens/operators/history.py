@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from corpuslens.functions import money
 from corpuslens.operators import search
@@ -17,6 +18,8 @@ EN_FORM = r"[,\s]+(?:Inc\.?|LLC|Ltd\.?|Limited|Corp\.?|Corporation|GmbH|S\.A\.|K
 BUCKET_NAMES = (("invoice", r"請求書|invoice|billing", "/invoices/"), ("contract", r"契約|nda|agreement|contract|覚書", "/contracts/"))
 EMAIL_NAME = r"\.eml$|\.msg$|mail|メール"
 SHORTEST_ALIAS, TIMELINE = 2, 50
+#: So many beginnings of aliases (three characters, with the lengths of aliases) go to all tasks; more are joined by a shuffle.
+FEW_BEGINS = 100_000
 
 
 #: Rules that give another spelling of a name, in their order: what the name must hold, and what is cut out of it.
@@ -68,21 +71,26 @@ def spelled(clients: DataFrame) -> DataFrame:
 
 def recall_all(docs: DataFrame, grams: DataFrame, clients: DataFrame) -> DataFrame:
     """(client_id, document_id, alias, via) of all clients in one pass: as ``recall`` of each. ``grams`` is the index of entities
-    (search.entity_grams); names and paths are indexed alike. An alias is joined to the list of its rarest gram and verified there; one of
-    two characters to the grams that begin with it. All of these are joins by gram, so neither clients nor documents need to fit anywhere,
-    and hot grams are split by adaptive execution."""
+    (search.entity_grams); names and paths are indexed alike. Rows of the index whose gram begins an alias give the parts of their text that begin
+    so and are as long as such an alias; these are joined to the aliases whole. So no alias is set against a list of texts: the work grows with the
+    texts and with what is found, and neither clients nor documents need to fit anywhere."""
     named = search.entity_grams(docs.select("document_id", F.concat_ws("\n", "name", "path").alias("text")))
     index = grams.select("gram", "low", "document_id", F.lit(0).alias("way")).unionByName(named.withColumn("way", F.lit(1)))
-    said = spelled(clients).withColumn("said", F.lower("alias"))
-    wanted = said.select("said").distinct()
-    long = wanted.filter(F.length("said") > 2).select("said", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("said") - 2), lambda k: F.substring("said", k, 3)))).alias("gram"))
-    often = index.join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = long.join(often, "gram", "left").groupBy("said").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("said", "r.gram")
-    found = rarest.join(index, "gram").filter(F.col("low").contains(F.col("said"))).select("said", "document_id", "way")
-    short = wanted.filter(F.length("said") == 2)
-    if not short.isEmpty():
-        found = found.unionByName(short.join(index, F.col("said") == F.substring("gram", 1, 2)).select("said", "document_id", "way"))
-    hit = found.distinct().join(said, "said")
+    said = spelled(clients).withColumn("said", F.lower("alias")).filter(F.length("said") >= SHORTEST_ALIAS)
+    begins = said.select(F.substring("said", 1, 3).alias("begin"), F.length("said").alias("size")).distinct()
+    begins = begins.groupBy("begin").agg(F.collect_list("size").alias("sizes")).persist(StorageLevel.DISK_ONLY)
+    few = begins.limit(FEW_BEGINS + 1).count() <= FEW_BEGINS
+
+    def parts(rows: DataFrame, of: DataFrame, test: Column) -> DataFrame:
+        at = F.filter(F.sequence(F.lit(1), F.length("low")), lambda k: F.col("low").substr(k, F.length("begin")) == F.col("begin"))
+        cut = F.transform(at, lambda k: F.transform("sizes", lambda n: F.when(k + n - 1 <= F.length("low"), F.col("low").substr(k, n))))
+        return rows.join(F.broadcast(of) if few else of, test).select(F.explode(F.array_compact(F.array_distinct(F.flatten(cut)))).alias("said"), "document_id", "way")
+
+    long, short = begins.filter(F.length("begin") == 3), begins.filter(F.length("begin") < 3)
+    found = parts(index, long, F.col("gram") == F.col("begin"))
+    if not short.isEmpty():  # of two characters: the grams that begin with them
+        found = found.unionByName(index.join(F.broadcast(short) if few else short, F.substring("gram", 1, 2) == F.col("begin")).select(F.col("begin").alias("said"), "document_id", "way"))
+    hit = found.join(said, "said")
     best = hit.groupBy("client_id", "document_id").agg(F.min(F.struct("way", "pos", "alias")).alias("b"))
     return best.select("client_id", "document_id", "b.alias", F.when(F.col("b.way") == 0, "entity").otherwise("filename").alias("via"))
 

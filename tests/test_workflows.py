@@ -240,3 +240,17 @@ def test_histories_of_many_clients_are_those_one_by_one(spark):
         want |= {(k, *r) for r in history.history(docs, known, fields, spelled).collect()}
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 15
     assert history.histories(docs, search.entity_grams(known), fields, clients.filter("false")).count() == 0
+
+
+def test_aliases_of_many_clients_are_joined_by_equality(spark):
+    """No alias is set against a list of texts, which would be quadratic; parts that begin alike, overlap or repeat in a text are all found."""
+    names = ["aaa", "aaaa", "aab", "ab", "b, Inc.", "xaab", "Zed@aaab.com"]
+    texts = ["aaaab", "xaaabaaab", "ab", "b", "AAAA", "zed", ""]
+    docs = spark.createDataFrame([(f"d{k}", f"/p/{t}.md", f"{t}.md", "markdown") for k, t in enumerate(texts)], "document_id string, path string, name string, kind string")
+    known = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts[::-1])], "document_id string, text string")
+    clients = spark.createDataFrame(list(enumerate(names)), "client_id int, name string")
+    found = history.recall_all(docs, search.entity_grams(known), clients)
+    got = sorted(map(tuple, found.select("client_id", "document_id", "alias", "via").collect()))
+    want = sorted((k, *r) for k, n in enumerate(names) for r in history.recall(docs, known, history.aliases(n)).select("document_id", "alias", "via").collect())
+    assert got == want and len(got) > 20
+    assert "Contains(" not in found._jdf.queryExecution().analyzed().toString() and "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
