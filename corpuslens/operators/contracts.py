@@ -91,11 +91,15 @@ def similarity(a: str, b: str) -> float:
 
 
 def edit_ratio(a: str, b: str) -> float:
+    if a in b or b in a:  # the longest match is all of the shorter one: no need to look for it
+        return 1.0 - 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 0.0
     return max(0.0, 1.0 - difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()) if a or b else 0.0
 
 
 def hunks(a: str, b: str) -> list[str]:
     """The blocks of a unified diff of two normal bodies."""
+    if a == b:
+        return []
     listed = list(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=CONTEXT))[2:]
     starts = [k for k, line in enumerate(listed) if line.startswith("@@")]
     return ["\n".join(listed[i:j]) for i, j in zip(starts, [*starts[1:], len(listed)])]
