@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What an entity of each kind looks like (classes as in Python: digits of any script), how sure that makes us, in the order of precedence.
+#: Looks ahead, and a run of characters that is tried from its beginning (or the match before) only,
+#: spare attempts that must fail. A run of ASCII characters can name a company only if the form stands behind it.
 PATTERNS = (
     (
         "money", 0.85,
-        r"(?iU)[¥$€]\s?\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?|\d{1,3}(?:[,，]\d{3})*\s*円|\d+(?:\.\d+)?\s*(?:万円|百万円|億円)"
-        r"|(?:USD|JPY|EUR|GBP|CNY)\s*\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?",
+        r"(?iU)(?=[¥$€\dUJEGC])(?:[¥$€]\s?\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?|\d{1,3}(?:[,，]\d{3})*\s*円|\d+(?:\.\d+)?\s*(?:万円|百万円|億円)"
+        r"|(?:USD|JPY|EUR|GBP|CNY)\s*\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?)",
     ),
-    ("date", 0.85, r"(?U)\d{4}[-/年]\s?\d{1,2}[-/月]\s?\d{1,2}日?|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}年\d{1,2}月|\d{1,2}月\d{1,2}日"),
-    ("email", 0.95, r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
+    ("date", 0.85, r"(?U)(?=\d)(?:\d{4}[-/年]\s?\d{1,2}[-/月]\s?\d{1,2}日?|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}年\d{1,2}月|\d{1,2}月\d{1,2}日)"),
+    ("email", 0.95, r"(?U)\b[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
     (
         "phone", 0.80,
         r"(?U)\+?\d{1,3}[-\s.]?\(?\d{1,4}\)?[-\s.]?\d{2,4}[-\s.]?\d{3,4}|0\d{1,4}-\d{1,4}-\d{3,4}|\(\d{2,4}\)\s?\d{3,4}-?\d{3,4}",
@@ -21,8 +23,8 @@ PATTERNS = (
     ("url", 0.95, r"""(?iU)https?://[^\s<>"'()]+|www\.[A-Za-z0-9.\-]+\.[A-Za-z]{2,}[^\s<>"'()]*"""),
     (
         "org", 0.80,
-        r"(?U)(?:株式会社|有限会社|合同会社|合資会社|合名会社) ?[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+"
-        r"|[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+ ?(?:株式会社|有限会社|合同会社|社団法人)",
+        r"(?U)(?=[株有合])(?:株式会社|有限会社|合同会社|合資会社|合名会社) ?[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+"
+        r"|(?:\G|(?<![一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]))(?![A-Za-z0-9\-]++(?! ?[一-鿿ぁ-ヿ㐀-䶿・]))[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+ ?(?:株式会社|有限会社|合同会社|社団法人)",
     ),
     (
         "org", 0.75,

@@ -17,3 +17,12 @@ def test_bodies_that_hold_each_other_are_not_matched(monkeypatch):
     monkeypatch.setattr(difflib, "SequenceMatcher", None)
     assert contracts.edit_ratio("a" * 200_000, "a" * 200_000) == 0.0 and contracts.edit_ratio("ab" * 100_000, "ab" * 100_000 + "!") > 0
     assert contracts.hunks("a\nb", "a\nb") == []
+
+
+def test_names_of_companies_in_a_long_run(spark):
+    texts = [("c1", "d", "a" * 150_000), ("c2", "d", "東京abc株式会社Acme-b c有限会社 Acme 社団法人")]
+    rows = spark.createDataFrame(texts, "chunk_id string, document_id string, text string")
+    began = time.time()
+    found = [(r.chunk_id, r.text) for r in entities.extract(rows, kinds=("org",)).collect()]
+    assert time.time() - began < 20
+    assert found[0] == ("c2", "東京abc株式会社") and len(found) > 1 and all(k == "c2" for k, _ in found)
