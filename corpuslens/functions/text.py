@@ -12,6 +12,8 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccddeeeegiiilnnoorssstuuuzzz"
 assert len(_ACCENTED) == len(_PLAIN)
 #: What Python's splitlines breaks at.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: White space as Unicode has it.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def fold(text: Column) -> Column:
@@ -34,7 +36,7 @@ def query_tokens(text: str) -> list[str]:
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def lines(text: Column) -> Column:

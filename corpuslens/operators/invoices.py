@@ -60,14 +60,15 @@ def _same_line(label: str, look: str | None) -> Column:
         tail = lambda line: F.when(line.rlike(f"(?i){found}"), F.regexp_replace(line, f"(?i)^.*?{found}", ""))
     else:
         tail = lambda line: F.when(F.instr(line, label) > 0, F.substring(line, F.instr(line, label) + len(label), F.length(line)))
-    values = F.transform("lines", lambda line: _value(tail(T.strip(line)), look))
+    having = F.filter("lines", lambda line: F.lower(line).contains(label.lower()))  # few lines have it, and only these are looked at closely
+    values = F.transform(having, lambda line: _value(tail(T.strip(line)), look))
     return _first(F.filter(values, lambda v: v != label))
 
 
 def _next_line(label: str, look: str | None) -> Column:
     """The value in the line after one that is nothing but the label, perhaps as a heading; ``solid`` has no blank lines."""
     here = lambda line: T.strip(F.regexp_replace(line, r"^#+\s*", ""))
-    is_label = lambda line: (here(line) == label) | (clean(here(line)) == label)
+    is_label = lambda line: line.contains(label) & ((here(line) == label) | (clean(here(line)) == label))
     follows = F.transform("solid", lambda line, i: F.when(is_label(line), F.get("solid", i + 1)))
     return _first(F.transform(follows, lambda line: _value(clean(line), look)))
 

@@ -26,3 +26,10 @@ def test_names_of_companies_in_a_long_run(spark):
     found = [(r.chunk_id, r.text) for r in entities.extract(rows, kinds=("org",)).collect()]
     assert time.time() - began < 20
     assert found[0] == ("c2", "東京abc株式会社") and len(found) > 1 and all(k == "c2" for k, _ in found)
+
+
+def test_stripping_a_text_with_much_white_space_inside(spark):
+    rows = spark.createDataFrame([("a" + " " * 300_000 + "b",), (" 　\x85a​ ",)], "t string")
+    began = time.time()
+    assert [len(r[0]) for r in rows.select(T.strip(F.col("t"))).collect()] == [300_002, 2]
+    assert time.time() - began < 20
