@@ -33,3 +33,11 @@ def test_stripping_a_text_with_much_white_space_inside(spark):
     began = time.time()
     assert [len(r[0]) for r in rows.select(T.strip(F.col("t"))).collect()] == [300_002, 2]
     assert time.time() - began < 20
+
+
+def test_texts_to_embed_come_in_bounded_batches(spark):
+    spark.conf.unset(embed.BYTES)
+    rows = spark.range(200).select(F.col("id").cast("string").alias("chunk_id"), F.lit("w").alias("workspace_id"), F.lit("d").alias("document_id"), F.lit("some words").alias("text"))
+    made = embed.embed(rows.coalesce(1), lambda texts: [[float(len(texts))] for _ in texts])
+    assert sorted({r.embedding[0] for r in made.collect()}) == [8.0, 64.0]
+    assert int(spark.conf.get(embed.BYTES)) == 8 << 20
