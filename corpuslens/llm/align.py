@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from corpuslens.llm import arrays, bpe
 from corpuslens.llm.scratch import Scratch, bounded
 
-#: Characters of a text given to B's library at once, about; links of a block of documents (a long text may have more).
-PART_CHARS, BLOCK_LINKS = 1 << 18, 1 << 20
+#: Characters of a text given to B's library at once, about; links of a block of documents (a long text may have more); links or
+#: id pairs in one row at most: Parquet's writer looks at its memory every hundred rows at the soonest.
+PART_CHARS, BLOCK_LINKS, ROW_LINKS = 1 << 18, 1 << 20, 1 << 12
 ALIGNED = "doc_id long, a_ids binary, b_ids binary, first_b binary, last_b binary, group_a binary, group_b binary, link_a binary, link_b binary"
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, links array<binary>, keys array<long>, times array<long>"
+BLOCKS = "block long, doc long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary, first long, keys array<long>, times array<long>"
 B_MARK, CUT = "▁", "\n"
 
 # ---- tokens and their bytes
@@ -229,8 +230,9 @@ def spelled(x: Aligned, pool: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list
 
 
 def blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
-    """Documents in blocks of about BLOCK_LINKS links: their figures, the distinct linked id pairs of the block (A's id above B's) with
-    their numbers, and for each document its links as places among these pairs."""
+    """Documents in blocks of about BLOCK_LINKS links, in rows of two kinds, none with more than ROW_LINKS links or pairs: a document's
+    figures and its links, as places among the distinct linked id pairs of its block (more rows with its other links, if there are
+    many), and some of these pairs (A's id above B's) with their numbers and the place of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_a, own_b = plain_encoder(tokenizer_a), pieces(tokenizer_b)
@@ -242,11 +244,12 @@ def blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal docs, keys, held, count
             distinct, at, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            ends = np.cumsum([0, *(d[5] for d in docs)])
-            links = [at[i:j].astype("<u4").tobytes() for i, j in zip(ends, ends[1:])]
-            values = [task + count, *zip(*(d[:5] for d in docs)), links, distinct, times]
+            at, ends, rows = at.astype("<u4"), np.cumsum([0, *(d[5] for d in docs)]).tolist(), []
+            for k, (d, i, j) in enumerate(zip(docs, ends, ends[1:])):
+                rows += [(task + count, k, *d[:5], at[x : min(x + ROW_LINKS, j)].tobytes(), None, None, None) for x in range(i, max(j, i + 1), ROW_LINKS)]
+            rows += [(task + count, *[None] * 7, x, distinct[x : x + ROW_LINKS], times[x : x + ROW_LINKS]) for x in range(0, len(distinct), ROW_LINKS)]
             docs, keys, held, count = [], [], 0, count + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, SCHEMA.types)], schema=SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), SCHEMA.types)], schema=SCHEMA)
 
         for x in aligned(batches, own_a, own_b):
             shas = [hashlib.sha256(t).hexdigest() if t else "" for t in spelled(x, pool)]
@@ -261,8 +264,8 @@ def blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
     return _read(docs).mapInArrow(run, BLOCKS)
 
 
-_LIST = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
-SCHEMA = pa.schema([(n, _LIST[t]) for n, t in re.findall(r"(\w+) ([^ ,]+)", BLOCKS)])
+_TYPE = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+SCHEMA = pa.schema([(n, _TYPE[t]) for n, t in re.findall(r"(\w+) ([^ ,]+)", BLOCKS)])
 
 
 def translations(pairs: DataFrame) -> DataFrame:
@@ -281,10 +284,10 @@ def scores(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
     has as many rows as there are blocks; the counts go back to the blocks in the same way."""
     scratch = Scratch(docs.sparkSession, "align")
     held = scratch.save(blocks(docs, tokenizer_a, tokenizer_b), "blocks")
-    pairs = held.select("block", F.posexplode(F.arrays_zip("keys", "times"))).select("block", "pos", "col.keys", "col.times").withColumnRenamed("keys", "key")
+    pairs = held.filter("keys IS NOT NULL").select("block", "first", F.posexplode(F.arrays_zip("keys", "times")))
+    pairs = pairs.select("block", (F.col("first") + F.col("pos")).alias("pos"), F.col("col.keys").alias("key"), "col.times")
     counted = scratch.save(translations(pairs), "translations")
     answers = pairs.join(counted, "key").select(F.col("block").alias("of"), "pos", "count", "best")
-    names = [c.split(" ")[0] for c in SCORED.split(", ")]
 
     def run(block: pa.Table, answer: pa.Table) -> pa.Table:
         if not block.num_rows:
@@ -292,12 +295,19 @@ def scores(docs: DataFrame, tokenizer_a: str, tokenizer_b: str) -> DataFrame:
         at = answer.column("pos").to_numpy()
         count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         count[at], best[at] = answer.column("count").to_numpy(), answer.column("best").to_numpy()
-        links = [np.frombuffer(x.as_buffer(), "<u4") for x in block.column("links").combine_chunks().flatten()]
-        own = {n: block.column(n).combine_chunks().flatten() for n in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
-        own |= {"n_links": [len(x) for x in links], "n_best": [int(best[x].sum()) for x in links], "count_sum": [int(count[x].sum()) for x in links]}
-        return pa.table([pa.array(own[n], f.type) if isinstance(own[n], list) else own[n] for n, f in zip(names, _SCORED)], schema=_SCORED)
-
-    return held.drop("keys", "times").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, SCORED)
+        links = block.column("links").to_pylist()
+        ends = np.cumsum([0, *(len(x) // 4 for x in links)])
+        links = np.frombuffer(b"".join(links), "<u4")
+        _, first, doc = np.unique(block.column("doc").to_numpy(), return_index=True, return_inverse=True)
+        more = {"n_links": np.diff(ends)} | {n: np.diff(np.concatenate([[0], np.cumsum(v[links])])[ends]) for n, v in (("n_best", best), ("count_sum", count))}
+        own = {n: block.column(n).take(pa.array(first)) for n in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")}
+        for n, v in more.items():  # of all rows of a document
+            own[n] = np.zeros(len(first), np.int64)
+            np.add.at(own[n], doc, v)
+        return pa.table([own[f.name] for f in _SCORED], schema=_SCORED)
+
+    rows = held.filter("keys IS NULL").drop("first", "keys", "times")
+    return rows.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, SCORED)
 
 
 _SCORED = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.split(" ") for c in SCORED.split(", "))])

@@ -89,6 +89,15 @@ def test_alignment_of_documents(spark, monkeypatch):
     assert Counter(tuple(r[c.split(" ")[0]] for c in align.SCORED.split(", ")) for r in QUERIES["op11_cross_tokenizer_alignment"](spark, DATA).collect()) == brute(rows)
 
 
+def test_rows_of_blocks_are_bounded(spark):
+    """However many links a block or a text has: Parquet's writer holds a hundred rows before it looks at its memory."""
+    rows = [(k, " ".join(f"word{i % 997} and {i}" for i in range(n))) for k, n in enumerate((6000, 1, 0, 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    table = align.blocks(df, A_FILE, B_FILE).toArrow().combine_chunks()
+    assert max(table.slice(k, 1).nbytes for k in range(table.num_rows)) <= 1 << 15
+    assert measured(df) == brute(rows)
+
+
 def test_groups_overlaps_and_links(spark):
     text = "An unbelievable counterrevolutionary, 12345 naïve 的か"
     row = align.align(spark.createDataFrame([(1, text)], "doc_id long, text string"), A_FILE, B_FILE).first()
