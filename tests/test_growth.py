@@ -1,8 +1,11 @@
 """Work that must not grow with the square of a text's length, or be done where its outcome is known."""
 
 import difflib
+import re
 import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuslens.functions import embed
@@ -41,3 +44,35 @@ def test_texts_to_embed_come_in_bounded_batches(spark):
     made = embed.embed(rows.coalesce(1), lambda texts: [[float(len(texts))] for _ in texts])
     assert sorted({r.embedding[0] for r in made.collect()}) == [8.0, 64.0]
     assert int(spark.conf.get(embed.BYTES)) == 8 << 20
+
+
+def test_patterns_are_not_tried_where_nothing_can_match(spark):
+    """A word of very many parts without an @ is no address."""
+    rows = spark.createDataFrame([("c1", "d", "a." * 150_000), ("c2", "d", "a.b@c.de")], "chunk_id string, document_id string, text string")
+    began = time.time()
+    found = entities.extract(rows, kinds=("money", "date", "email", "url", "org")).collect()
+    assert time.time() - began < 20 and [(r.chunk_id, r.kind, r.text) for r in found] == [("c2", "email", "a.b@c.de")]
+
+
+PLAIN = {
+    "money": r"(?i)[¥$€]\s?\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?|\d{1,3}(?:[,，]\d{3})*\s*円|\d+(?:\.\d+)?\s*(?:万円|百万円|億円)|(?:USD|JPY|EUR|GBP|CNY)\s*\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?",
+    "date": r"\d{4}[-/年]\s?\d{1,2}[-/月]\s?\d{1,2}日?|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}年\d{1,2}月|\d{1,2}月\d{1,2}日",
+    "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "url": r"""(?i)https?://[^\s<>"'()]+|www\.[A-Za-z0-9.\-]+\.[A-Za-z]{2,}[^\s<>"'()]*""",
+    "org": r"(?:株式会社|有限会社|合同会社|合資会社|合名会社) ?[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+|[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+ ?(?:株式会社|有限会社|合同会社|社団法人)",
+    "org of another form": r"\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){0,3}\s*(?:Inc\.?|LLC|Ltd\.?|Limited|Corp\.?|Corporation|GmbH|S\.A\.|Co\.,?\s*Ltd\.?|K\.K\.)\b",
+}
+PARTS = st.sampled_from(
+    "株式会社|有限会社|社団法人|合資会社|Acme|Blue|Inc.|Ltd| Co., Ltd|K.K.|S.A.|GmbH| | |  |\n|\t|-|.|,|，|/|年|月|日|円|万円|億円|$|¥|€|USD|eur |Gbp|1|23|456|2024|05|(|)|+|@|a|x.de|foo|www.|WWW.|http://|HTTPS://|<|ü|東京|カナ|・|%|_|　|\xa0|ſ|９|²".split("|")
+)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(PARTS, max_size=30).map("".join))
+def test_entities_are_those_of_the_plain_patterns(text):
+    want = {}
+    for name, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            if value := m[0].strip(" "):
+                want.setdefault((name.split(" ")[0], value.lower()), value)
+    assert [(kind, value) for value, kind, _ in entities.found_in(text, ("money", "date", "email", "url", "org"))] == [(kind, value) for (kind, _), value in want.items()]
