@@ -55,7 +55,7 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(own, re.IGNORECASE if "i" in flags else 0)
 
 
-_RUN, _FORM = re.compile(f"[{_NAME} ]+"), re.compile("会社|法人")
+_RUN, _FORM, _DIALLED = re.compile(f"[{_NAME} ]+"), re.compile("会社|法人"), re.compile(r"[+\d(][+\d\-\s.()]*")
 _CHARACTERS = frozenset(c for c in map(chr, range(0x10000)) if _RUN.match(c))
 _BEHIND = _compiled(next(p for _, _, p in PATTERNS if _FRESH in p).replace(_FRESH, ""))
 
@@ -73,6 +73,11 @@ def _mails(p: re.Pattern, text: str) -> list[str]:
     return [v for w in text.split() if "@" in w for v in p.findall(w)] if "@" in text else []
 
 
+def _phones(p: re.Pattern, text: str) -> list[str]:
+    """In the runs of a number's characters that are as long as the shortest."""
+    return [v for run in _DIALLED.findall(text) if len(run) >= 7 for v in p.findall(run)]
+
+
 def _links(p: re.Pattern, text: str) -> list[str]:
     if "www." in text.lower():
         return [v for w in text.split() if "://" in w or "www." in w.lower() for v in p.findall(w)]
@@ -102,7 +107,7 @@ def _companies(p: re.Pattern, text: str) -> list[str]:
 @lru_cache
 def _finders(kinds: tuple[str, ...]) -> list[tuple[str, list[tuple[float, Callable[[str], list[str]]]]]]:
     """For each kind the confidence of its patterns and what gives their matches in a text."""
-    ways = {"money": _money, "email": _mails, "url": _links, "org": _companies}
+    ways = {"money": _money, "email": _mails, "phone": _phones, "url": _links, "org": _companies}
     way = lambda kind, p: partial(_names if _FRESH in p else ways.get(kind, re.Pattern.findall), _compiled(p))
     return [(kind, [(sure, way(k, p)) for k, sure, p in PATTERNS if k == kind]) for kind in kinds]
 

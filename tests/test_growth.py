@@ -58,6 +58,7 @@ PLAIN = {
     "money": r"(?i)[¥$€]\s?\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?|\d{1,3}(?:[,，]\d{3})*\s*円|\d+(?:\.\d+)?\s*(?:万円|百万円|億円)|(?:USD|JPY|EUR|GBP|CNY)\s*\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?",
     "date": r"\d{4}[-/年]\s?\d{1,2}[-/月]\s?\d{1,2}日?|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}年\d{1,2}月|\d{1,2}月\d{1,2}日",
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "phone": r"\+?\d{1,3}[-\s.]?\(?\d{1,4}\)?[-\s.]?\d{2,4}[-\s.]?\d{3,4}|0\d{1,4}-\d{1,4}-\d{3,4}|\(\d{2,4}\)\s?\d{3,4}-?\d{3,4}",
     "url": r"""(?i)https?://[^\s<>"'()]+|www\.[A-Za-z0-9.\-]+\.[A-Za-z]{2,}[^\s<>"'()]*""",
     "org": r"(?:株式会社|有限会社|合同会社|合資会社|合名会社) ?[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+|[一-鿿ぁ-ヿ㐀-䶿A-Za-z0-9・\-]+ ?(?:株式会社|有限会社|合同会社|社団法人)",
     "org of another form": r"\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){0,3}\s*(?:Inc\.?|LLC|Ltd\.?|Limited|Corp\.?|Corporation|GmbH|S\.A\.|Co\.,?\s*Ltd\.?|K\.K\.)\b",
@@ -75,4 +76,4 @@ def test_entities_are_those_of_the_plain_patterns(text):
         for m in re.finditer(pattern, text):
             if value := m[0].strip(" "):
                 want.setdefault((name.split(" ")[0], value.lower()), value)
-    assert [(kind, value) for value, kind, _ in entities.found_in(text, ("money", "date", "email", "url", "org"))] == [(kind, value) for (kind, _), value in want.items()]
+    assert [(kind, value) for value, kind, _ in entities.found_in(text, ("money", "date", "email", "phone", "url", "org"))] == [(kind, value) for (kind, _), value in want.items()]
